@@ -1,8 +1,50 @@
-"""The corpus pipeline: stages over documents, each with one operator."""
+"""The corpus pipeline: language ID, exact dedup, near-dedup, substring dedup and packing over documents."""
 
-STAGES = []
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cullspark.llm import exact_dedup, langid, minhash, packing, queries, substring_dedup
+from cullspark.llm.common import cut, drop_ids
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in one of the languages; rejected ones go."""
+    verdicts = langid.documents_identified(spark, docs)
+    return drop_ids(docs, verdicts.where("not kept"))
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The largest doc_id of each group of equal texts."""
+    return drop_ids(docs, exact_dedup.exact_groups(docs).where("not kept"))
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The smallest doc_id of each class of near-duplicates."""
+    return drop_ids(docs, minhash.near_classes(docs).where("not kept"))
+
+
+def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages that an earlier one has; n_chars follows the text."""
+    done = substring_dedup.without_repeats(docs)
+    return done.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in sequences of 4096 tokens."""
+    return packing.packed(docs, queries.vocabulary("word_bpe_49k.json"))
+
+
+STAGES = [("language ID", language_id), ("exact dedup", exact), ("near dedup", near), ("substring dedup", substrings), ("packing", pack)]
+#: Models, signatures and tokens are beyond SQL; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = cut(docs, "stage")
+    return docs

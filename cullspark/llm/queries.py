@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, packing, warc
+from . import bpe, exact_dedup, langid, minhash, packing, substring_dedup, warc
 from .common import table
 
 
@@ -14,6 +14,20 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.documents_identified(spark, table(spark, sf_dir, "documents"))
+
+
+def language_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same operator where all four kinds of evidence are at hand; its models come from documents."""
+    model = langid.train(table(spark, sf_dir, "documents"))
+    return langid.identify(langid.of_pages(table(spark, sf_dir, "pages")), model).withColumnRenamed("id", "page_id")
+
+
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.without_repeats(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_removed")
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
@@ -26,11 +40,15 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_classes(table(spark, sf_dir, "documents"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op3_packing, op5_warc, op6_exact_dedup, op8_bpe)}
+QUERIES = {f.__name__: f for f in (op1_language_id, language_of_pages, op2_substring_dedup, op3_packing, op5_warc, op6_exact_dedup, op7_minhash, op8_bpe)}
 
 ORACLES = {
     "op5_warc": """

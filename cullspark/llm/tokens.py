@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import os
 import re
-
-import numpy as np
+from array import array
 
 #: White space as Unicode defines it; str.split also cuts at U+001C to U+001F.
 _WHITE = "\t-\r \x85\xa0  -     　"
 _SPACE, _CHUNK = re.compile(f"[{_WHITE}]+"), re.compile(f"[^{_WHITE}]+")
+_WORD = re.compile("([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([.,;:!?|#*$%&()/]*)")
 _EXTRA = re.compile("[\x1c-\x1f]")
 #: Longer texts are cut lazily, so that the list of chunks stays small.
 LONG = 1 << 20
@@ -19,19 +19,20 @@ class WordEncoder:
     """Whole-text ids as little-endian 32-bit bytes.
 
     The tokenizer drops white space and none of its steps looks across it, so a text's ids are those of
-    its white-space chunks in a row. Chunks are kept in a bounded memo, which holds most of a text.
+    its white-space chunks in a row. Chunks and their parts are kept in bounded memos, which hold most of a text.
     """
 
     _shared: dict[str, WordEncoder] = {}
 
-    def __init__(self, path: str, memo: int = 400_000):
+    def __init__(self, path: str, memo: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.memo: dict[str, bytes] = {}
+        self.chunks: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
         self.most = memo
 
     @classmethod
@@ -51,14 +52,23 @@ class WordEncoder:
         return self._join([x for x in _SPACE.split(text) if x] if _EXTRA.search(text) else text.split())
 
     def _join(self, chunks: list[str]) -> bytes:
-        memo = self.memo
+        known = self.chunks
         try:
-            return b"".join([memo[x] for x in chunks])
+            return b"".join([known[x] for x in chunks])
         except KeyError:
-            new = list({x for x in chunks if x not in memo})
-            if len(memo) + len(new) > self.most:
-                memo.clear()
-                new = list(set(chunks))
-            for x, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                memo[x] = np.array(e.ids, "<u4").tobytes()
-            return b"".join([memo[x] for x in chunks])
+            new = {x: _parts(x) for x in chunks if x not in known}
+            parts, now = self.parts, {}
+            if fresh := list({p for ps in new.values() for p in ps if p not in parts}):
+                now = {p: array("I", e.ids).tobytes() for p, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False))}
+                if len(parts) < self.most // 2:
+                    parts.update(now)
+            made = {x: b"".join([now[p] if p in now else parts[p] for p in ps]) for x, ps in new.items()}
+            if len(known) < self.most:  # the first chunks hold the frequent ones
+                known.update(made)
+            return b"".join([made[x] if x in made else known[x] for x in chunks])
+
+
+def _parts(chunk: str) -> tuple[str, ...]:
+    """Parts with the chunk's ids in a row: a Latin-1 word in lower case, as the tokenizer makes it, and the signs after it."""
+    m = _WORD.fullmatch(chunk)
+    return (chunk,) if m is None else (m[1].lower(), m[2]) if m[2] else (m[1].lower(),)
