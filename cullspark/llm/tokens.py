@@ -7,7 +7,7 @@ import re
 from array import array
 
 #: White space as Unicode defines it; str.split also cuts at U+001C to U+001F.
-_WHITE = "\t-\r \x85\xa0  -     　"
+_WHITE = "\t-\r \x85\xa0" + f"{chr(0x2000)}-{chr(0x200A)}" + "".join(map(chr, (0x1680, 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 _SPACE, _CHUNK = re.compile(f"[{_WHITE}]+"), re.compile(f"[^{_WHITE}]+")
 _WORD = re.compile("([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([.,;:!?|#*$%&()/]*)")
 _EXTRA = re.compile("[\x1c-\x1f]")
