@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, langid, minhash, packing, substring_dedup, warc
+from . import ann, bpe, chat, exact_dedup, langid, line_dedup, minhash, packing, substring_dedup, warc
 from .common import table
 
 
@@ -32,6 +32,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.without_similar_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed", "n_links")
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(table(spark, sf_dir, "pages"))
 
@@ -48,7 +52,15 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, language_of_pages, op2_substring_dedup, op3_packing, op5_warc, op6_exact_dedup, op7_minhash, op8_bpe)}
+def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.linked(chat.as_tool_calls(table(spark, sf_dir, "conversations")), chat.REPLY)
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, language_of_pages, op2_substring_dedup, op3_packing, op4_line_dedup, op5_warc, op6_exact_dedup, op7_minhash, op8_bpe, op9_ann, op10_chat)}
 
 ORACLES = {
     "op5_warc": """
@@ -63,4 +75,26 @@ ORACLES = {
         with d as (select doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) as text_sha256 from documents),
         g as (select text_sha256, max(doc_id) as keep_id, count(*) as group_size from d group by 1)
         select doc_id, keep_id, group_size, doc_id = keep_id as kept, d.text_sha256 from d join g using (text_sha256)""",
+    "op9_ann": """
+        with v as (select vec_id, cast(embedding as double[]) as e from embeddings
+          where vec_id is not null and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        s as (select q.vec_id as query_id, v.vec_id, list_sum(list_transform(list_zip(q.e, v.e), lambda p: p[1] * p[2])) as score
+          from v q join v on q.vec_id <> v.vec_id where q.vec_id % 20 = 0),
+        r as (select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank, vec_id, score from s)
+        select * from r where rank <= 20""",
+    "op10_chat": """
+        with m as (select conv_id, turn, role, text from conversations),
+        c as (select * from m where role = 'user'), r as (select * from m where role = 'assistant'),
+        e as (
+          select c.conv_id, c.turn, 'call' as kind, c.conv_id || ':' || c.turn as call_id, r.turn is not null as linked,
+            case when c.turn >= 2 and p.turn is null then 'after ' || c.conv_id || ':' || (c.turn - 2) || ' is no earlier call' else '' end as errors,
+            '{"arguments":{"prompt":' || to_json(c.text) || ',"turn":' || c.turn || '},"id":"' || c.conv_id || ':' || c.turn || '","name":"reply","result":' || coalesce(cast(to_json(r.text) as varchar), 'null') || '}' as json
+          from c left join r on c.conv_id = r.conv_id and r.turn = c.turn + 1 left join c p on p.conv_id = c.conv_id and p.turn = c.turn - 2
+          union all
+          select r.conv_id, r.turn, 'result', r.conv_id || ':' || (r.turn - 1), false, 'no such call',
+            '{"id":"' || r.conv_id || ':' || (r.turn - 1) || '","result":' || to_json(r.text) || '}'
+          from r where not exists (select 1 from c where c.conv_id = r.conv_id and c.turn = r.turn - 1)
+          union all
+          select conv_id, turn, 'message', null, false, '', '{"content":' || to_json(text) || ',"role":' || to_json(role) || '}' from m where role not in ('user', 'assistant'))
+        select conv_id, turn, row_number() over (partition by conv_id order by turn, kind) - 1 as position, kind, call_id, linked, errors, json from e""",
 }
