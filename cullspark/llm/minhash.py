@@ -19,7 +19,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,8 +29,9 @@ from .graph import components
 WORDS, SIMILAR = 5, 0.8
 BANDS, ROWS = 32, 5
 M = BANDS * ROWS
-#: Pairs whose signatures agree in a smaller share aren't verified: eight deviations under SIMILAR.
-ESTIMATE = 0.55
+#: Pairs whose signatures agree in a smaller share aren't verified: this is 4.7 deviations under SIMILAR, which
+#: one pair in a million at exactly SIMILAR misses.
+ESTIMATE = 0.65
 #: Rows of one side of a block when a bucket is compared.
 BLOCK = 1024
 #: Shingles that are signed at once.
@@ -196,12 +196,17 @@ def signed(docs: DataFrame) -> DataFrame:
     return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, print binary, n long, bands array<long>, marks binary")
 
 
+def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id and text of the documents of ids."""
+    ids = cut(ids.distinct(), "ids")
+    few = ids.count() <= BROADCAST_ROWS
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+    return cut(texts.dropDuplicates(["doc_id"]), "texts")
+
+
 def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Of pairs (a, b) those whose texts are similar enough, on their shingles' counts."""
-    ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
-    few = ids.count() <= BROADCAST_ROWS
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    texts = cut(texts, "texts")
+    texts = _texts(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, bag = None, None
@@ -219,22 +224,56 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return cut(two.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "links")
 
 
-def _close(group: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of one block whose components differ and whose signatures and sizes allow the similarity."""
-    marks = np.stack([np.frombuffer(x, np.uint8) for x in group["marks"]])
-    doc, n, comp, side = (group[c].to_numpy() for c in ("doc_id", "n", "comp", "side"))
-    left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-    out = []
-    for i in right:
-        j = left[comp[left] != comp[i]]
-        j = j[np.minimum(n[j], n[i]) >= SIMILAR * np.maximum(n[j], n[i])]
-        j = j[(marks[j] == marks[i]).mean(axis=1) >= ESTIMATE]
-        out.append(np.stack([np.maximum(doc[j], doc[i]), np.minimum(doc[j], doc[i])], axis=1))
-    return pd.DataFrame(np.concatenate(out) if out else np.zeros((0, 2), np.int64), columns=["a", "b"])
+def _close(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Verified links between components in each block.
+
+    Rows come sorted by block; the last block of a batch waits for the next one.
+    """
+    held: list[np.ndarray] | None = None
+    for batch in rows:
+        now = [batch.column(k).to_numpy() for k in range(8)]
+        now += [np.frombuffer(b"".join(batch.column(8).to_pylist()), np.uint8).reshape(-1, M), batch.column(9).flatten().to_numpy().reshape(-1, BANDS)]
+        now.append(np.array(batch.column(10).to_pylist(), object))
+        held = now if held is None else [np.concatenate(x) for x in zip(held, now)]
+        starts = _starts(held[:3])
+        yield _pairs([x[: starts[-1]] for x in held], starts[:-1])
+        held = [x[starts[-1] :] for x in held]
+    if held is not None:
+        yield _pairs(held, np.zeros(1, np.int64))
+
+
+def _starts(keys: list[np.ndarray]) -> np.ndarray:
+    new = np.ones(len(keys[0]), bool)
+    new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+    return np.flatnonzero(new)
+
+
+def _pairs(columns: list[np.ndarray], starts: np.ndarray) -> pa.RecordBatch:
+    """Links of whole blocks. A pair is looked at in the first band that it shares, and not once a link has joined its components."""
+    _, _, _, side, doc, comp, n, band, marks, bands, text = columns
+    found: list[tuple[int, int]] = []
+    for a, b in zip(starts, [*starts[1:], len(doc)]):
+        own = comp[a:b].copy()
+        left, right = np.flatnonzero(side[a:b] != 1), np.flatnonzero(side[a:b] != 0)
+        bags: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for i in right:
+            j = left[(own[left] != own[i]) & (np.minimum(n[a + left], n[a + i]) >= SIMILAR * np.maximum(n[a + left], n[a + i]))]
+            j = j[(marks[a + j] == marks[a + i]).mean(axis=1) >= ESTIMATE] if len(j) else j
+            j = j[(bands[a + j] == bands[a + i]).argmax(axis=1) == band[a + i]] if len(j) else j
+            for k in j:
+                if own[k] == own[i]:
+                    continue
+                for x in (i, k):
+                    if x not in bags:
+                        bags[x] = shingles(normal(text[a + x]))
+                if similarity(bags[i], bags[k]) >= SIMILAR:
+                    found.append((max(doc[a + i], doc[a + k]), min(doc[a + i], doc[a + k])))
+                    own[own == own[k]] = own[i]
+    return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
 
 def _across(rows: DataFrame) -> DataFrame:
-    """Candidate pairs between components of the buckets of rows (key, doc_id, comp, n, marks).
+    """Verified links between components of the buckets of rows (key, band, doc_id, comp, n, marks, bands, text).
 
     In a bucket the largest component is one side, all others the other. Both are dealt into blocks and
     every block of the others meets each block of the largest and each of the others, once.
@@ -251,7 +290,8 @@ def _across(rows: DataFrame) -> DataFrame:
     # among the others: blocks -1-i and j with i <= j; a row of both sides of its own block is on side 2
     among = F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda o: F.struct((-1 - F.least(o, F.col("at"))).alias("l"), F.greatest(o, F.col("at")).alias("r"), F.when(o == F.col("at"), 2).when(o > F.col("at"), 0).otherwise(1).alias("side")))
     dealt = rows.withColumn("at", at).withColumn("m", F.explode(meets.otherwise(F.concat(with_main, among))))
-    return dealt.select("key", "m.l", "m.r", "m.side", "doc_id", "comp", "n", "marks").groupBy("key", "l", "r").applyInPandas(_close, "a long, b long")
+    dealt = dealt.select("key", "m.l", "m.r", "m.side", "doc_id", "comp", "n", "band", "marks", "bands", "text")
+    return dealt.repartition("key", "l", "r").sortWithinPartitions("key", "l", "r").mapInArrow(_close, "a long, b long")
 
 
 def near_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -262,7 +302,7 @@ def near_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     member = cut(prints.join(groups, "print").select("doc_id", "rep").distinct(), "members")
     reps = sign.join(groups.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     reps = cut(reps, "reps")
-    rows = reps.select("doc_id", F.explode("bands").alias("key"))
+    rows = reps.select("doc_id", F.posexplode("bands").alias("band", "key"))
     buckets = rows.groupBy("key").agg(F.min("doc_id").alias("b"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
     shared = cut(rows.join(buckets, "key"), "shared")
     pairs = shared.where("doc_id <> b").select(F.col("doc_id").alias("a"), "b").distinct()
@@ -275,9 +315,10 @@ def near_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     known = shared.drop("b").join(comps.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
     known = cut(known, "known")
     mixed = known.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
-    open_rows = known.join(mixed, "key", "left_semi").join(marks, "doc_id")
-    more = cut(_across(cut(open_rows, "open")).distinct().join(likely, ["a", "b"], "left_anti"), "across")
-    return member, links.unionByName(_verified(more, docs))
+    open_rows = known.join(mixed, "key", "left_semi").join(reps.select("doc_id", "n", "marks", "bands"), "doc_id")
+    open_rows = cut(open_rows, "open")
+    texts = _texts(docs, open_rows.select("doc_id"))
+    return member, links.unionByName(cut(_across(open_rows.join(texts, "doc_id")), "across"))
 
 
 def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
