@@ -1,4 +1,483 @@
-"""All queries by name, and the SQL they are held against."""
+"""All queries of the photo engine by name, and the SQL they are held against.
+
+Queries without SQL depend on the order of faces or photos; tests hold them against plain loops.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import scalar as S
+from ..operators import duplicates, faces, identity, incremental, merge, stats
+from ..sources.fixtures import DUCK, labelled, photos
 
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(sql: str | None = None):
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = DUCK.replace("with ", "with recursive ", 1) + sql
+        return f
+
+    return put
+
+
+def flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.flagged(photos(spark, sf_dir), labelled(spark, sf_dir))
+
+
+def r9(c: Column) -> Column:
+    return F.round(c, 9)
+
+
+# --- classification, flags, counts
+
+_STATS = """select album_id, count(*) as total_photos, count(*) filter (selected) as my_selections, count(*) filter (ai_selected) as ai_selected,
+  count(*) filter (maybe) as maybe, count(*) filter (blurred) as blurred, count(*) filter (closed_eyes) as closed_eyes, cast(0 as bigint) as duplicated from flagged group by album_id"""
+
+
+@query(_STATS)
+def album_stats(spark, sf_dir):
+    return stats.album_stats(flagged(spark, sf_dir))
+
+
+@query("select photo_id, face_index, eye, focus, tier from tiered")
+def eye_focus_labels(spark, sf_dir):
+    return labelled(spark, sf_dir).select("photo_id", "face_index", "eye", "focus", "tier")
+
+
+@query("select photo_id, album_id, n_faces, closed_eyes, blurred, ai_selected, maybe, selected from flagged")
+def photo_flags(spark, sf_dir):
+    return flagged(spark, sf_dir).select("photo_id", "album_id", "n_faces", "closed_eyes", "blurred", "ai_selected", "maybe", "selected")
+
+
+@query("select photo_id, stars from flagged")
+def star_rating(spark, sf_dir):
+    return flagged(spark, sf_dir).select("photo_id", "stars")
+
+
+@query("select photo_id from flagged where selected and star_rating in (3, 4, 5) and (maybe or blurred)")
+def grid_filter(spark, sf_dir):
+    return flagged(spark, sf_dir).where(S.grid_matches("selected", (3, 4, 5), ("maybe", "blurred"))).select("photo_id")
+
+
+@query("select album_id, photo_id from flagged where closed_eyes")
+def cull_filter(spark, sf_dir):
+    return flagged(spark, sf_dir).where(S.flag_matches("closed_eyes")).select("album_id", "photo_id")
+
+
+@query("select 'ai_selected' as key, count(*) as n from flagged where ai_selected union all select 'blurred', count(*) from flagged where blurred union all select 'closed_eyes', count(*) from flagged where closed_eyes union all select 'maybe', count(*) from flagged where maybe")
+def key_filter_counts(spark, sf_dir):
+    keys = ("ai_selected", "blurred", "closed_eyes", "maybe")
+    counted = flagged(spark, sf_dir).agg(*(F.count_if(S.flag_matches(k)).alias(k) for k in keys))
+    return counted.unpivot([], list(keys), "key", "n")
+
+
+@query("select album_id, count(*) as photos, cast(sum(file_size) as bigint) as bytes from photos0 group by 1")
+def album_totals(spark, sf_dir):
+    return stats.album_totals(photos(spark, sf_dir))
+
+
+_STATE = "case photo_id % 7 when 0 then 'uploading' when 1 then 'pending' when 2 then 'failed' when 3 then null when 4 then 'idle' else 'uploaded' end"
+
+
+def _staged(spark, sf_dir):
+    return photos(spark, sf_dir).withColumn("status", F.expr(_STATE)).withColumn("progress", (F.col("photo_id") % 101).cast("double"))
+
+
+@query(f"""select album_id, count(*) as total, count(*) filter (s = 'pending') as pending, count(*) filter (s = 'uploading') as uploading, count(*) filter (s = 'uploaded') as uploaded, count(*) filter (s = 'failed') as failed
+  from (select album_id, case when coalesce(st, 'pending') = 'idle' then 'pending' else coalesce(st, 'pending') end as s from (select album_id, {_STATE} as st from photos0)) group by 1""")
+def status_counts(spark, sf_dir):
+    p = _staged(spark, sf_dir)
+    return stats.status_counts(p.select("album_id", "photo_id"), p, ("pending", "uploading", "uploaded", "failed"))
+
+
+@query(f"""select album_id, round(1 - count(*) filter (s in ('pending', 'uploading')) * 1e0 / count(*), 9) as progress
+  from (select album_id, case when coalesce(st, 'pending') = 'idle' then 'pending' else coalesce(st, 'pending') end as s from (select album_id, {_STATE} as st from photos0)) group by 1""")
+def import_progress(spark, sf_dir):
+    c = status_counts(spark, sf_dir)
+    return c.select("album_id", r9(stats.local_progress(F.col("total"), F.col("pending"), F.col("uploading"))).alias("progress"))
+
+
+@query(f"""select album_id, round(sum(w * d) / sum(w), 9) as progress, bool_and(s in ('uploaded', 'failed')) as finished, bool_and(s = 'uploaded') as successful, bool_or(s = 'uploading') as in_flight
+  from (select album_id, coalesce({_STATE}, 'idle') as s, case when file_size > 0 then file_size else 1 end as w,
+    case when {_STATE} in ('uploaded', 'failed') then 1e0 when {_STATE} = 'uploading' then (photo_id % 101) / 100e0 else 0e0 end as d from photos0) group by 1""")
+def upload_progress(spark, sf_dir):
+    return stats.upload_progress(_staged(spark, sf_dir).fillna("idle", ["status"])).withColumn("progress", r9(F.col("progress")))
+
+
+# --- orders, lookups
+
+@query("select album_id, photo_id, row_number() over (partition by album_id order by file_name, photo_id) as position from photos0")
+def natural_order(spark, sf_dir):
+    w = Window.partitionBy("album_id").orderBy(S.natural_key(F.col("file_name")), "photo_id")
+    return photos(spark, sf_dir).select("album_id", "photo_id", F.row_number().over(w).alias("position"))
+
+
+@query("select album_id, photo_id, row_number() over (partition by album_id order by captured_at desc, photo_id) as position from photos0")
+def uploaded_desc(spark, sf_dir):
+    w = Window.partitionBy("album_id").orderBy(F.desc("captured_at"), "photo_id")
+    return photos(spark, sf_dir).select("album_id", "photo_id", F.row_number().over(w).alias("position"))
+
+
+@query("""select album_id, photo_id, row_number() over (partition by album_id order by case when photo_id % 4 = 0 then -photo_id end nulls last, file_name, photo_id) as position from photos0""")
+def culling_order(spark, sf_dir):
+    p = photos(spark, sf_dir)
+    order = p.where("photo_id % 4 = 0").select("album_id", "photo_id", (-F.col("photo_id")).alias("photo_order"))
+    return merge.ordered(p, order).select("album_id", "photo_id", "position")
+
+
+@query("select album_id, photo_id from (select *, row_number() over (partition by album_id order by file_name, photo_id) as r from photos0) where r > 12 and r <= 60")
+def album_page(spark, sf_dir):
+    w = Window.partitionBy("album_id").orderBy(S.natural_key(F.col("file_name")), "photo_id")
+    return photos(spark, sf_dir).withColumn("r", F.row_number().over(w)).where("r > 12 and r <= 60").select("album_id", "photo_id")
+
+
+@query("select photo_id, regexp_extract(lower(regexp_replace(file_name, '\\.[^.]+$', '')), '^(.*?)(\\d+)$', 1) as prefix, cast(regexp_extract(regexp_replace(file_name, '\\.[^.]+$', ''), '(\\d+)$', 1) as bigint) as idx, regexp_replace(file_name, '\\.[^.]*$', '') as stem from photos0")
+def burst_parse(spark, sf_dir):
+    n = F.col("file_name")
+    return photos(spark, sf_dir).select("photo_id", S.burst_prefix(n).alias("prefix"), S.burst_index(n).cast("long").alias("idx"), S.photo_id_of_file(n).alias("stem"))
+
+
+@query("""select p.photo_id, q.photo_id as other_id,
+  bit_count(xor(('0x' || substr(p.perceptual_hash, 1, 8))::bigint, ('0x' || substr(q.perceptual_hash, 1, 8))::bigint)) + bit_count(xor(('0x' || substr(p.perceptual_hash, 9, 8))::bigint, ('0x' || substr(q.perceptual_hash, 9, 8))::bigint)) as hamming
+  from photos0 p join photos0 q on q.photo_id = p.photo_id + 1""")
+def hash_hamming(spark, sf_dir):
+    p = photos(spark, sf_dir).select("photo_id", "perceptual_hash")
+    q = p.select((F.col("photo_id") - 1).alias("photo_id"), F.col("photo_id").alias("other_id"), F.col("perceptual_hash").alias("h"))
+    return p.join(q, "photo_id").select("photo_id", "other_id", S.hamming(F.col("perceptual_hash"), F.col("h")).cast("int").alias("hamming"))
+
+
+# --- duplicates
+
+_PAIRS = """, pairs as (select a.album_id, a.photo_id as a, b.photo_id as b, a.captured_at - b.captured_at as dt,
+    abs(cast(regexp_extract(a.file_name, '(\\d+)\\.', 1) as bigint) - cast(regexp_extract(b.file_name, '(\\d+)\\.', 1) as bigint)) as gap,
+    bit_count(xor(('0x' || substr(a.perceptual_hash, 1, 8))::bigint, ('0x' || substr(b.perceptual_hash, 1, 8))::bigint)) + bit_count(xor(('0x' || substr(a.perceptual_hash, 9, 8))::bigint, ('0x' || substr(b.perceptual_hash, 9, 8))::bigint)) as ham
+  from photos0 a join photos0 b on a.album_id = b.album_id and (b.captured_at < a.captured_at or (b.captured_at = a.captured_at and b.photo_id < a.photo_id)) and a.captured_at - b.captured_at <= 300000),
+ranked as (select photo_id, area, box_width / greatest(box_height, 1e-8) as asp, row_number() over (partition by photo_id order by area desc, face_index) as k, count(*) over (partition by photo_id) as n from tiered),
+framed as (select p.a, p.b, bool_and(greatest(x.area, y.area) / least(x.area, y.area) <= 1.85 and greatest(x.asp, y.asp) / least(x.asp, y.asp) <= 1.35) as ok
+  from pairs p join ranked x on x.photo_id = p.a join ranked y on y.photo_id = p.b and x.k = y.k and x.n = y.n group by 1, 2),
+prints as (select photo_id, face_index, box_width / greatest(box_height, 1e-8) as p1, box_left as p2, box_top as p3, count(*) over (partition by photo_id) as n from tiered),
+nearest as (select p.a, p.b, x.face_index, min(sqrt(((x.p1 - y.p1)**2 + (x.p2 - y.p2)**2 + (x.p3 - y.p3)**2) / 5)) as d
+  from pairs p join prints x on x.photo_id = p.a join prints y on y.photo_id = p.b and x.n = y.n group by 1, 2, 3),
+alike as (select a, b, avg(d) < 0.06 as ok from nearest group by 1, 2),
+links as (select p.* from pairs p left join framed f on f.a = p.a and f.b = p.b left join alike l on l.a = p.a and l.b = p.b where gap <= 10 and
+  case when ham <= 4 then true when gap <= 2 and ham <= 8 then true when ham > case when gap <= 2 then 30 else 24 end then false when gap <= 2 and coalesce(f.ok, false) then true else coalesce(l.ok, false) and coalesce(f.ok, false) end)"""
+
+_GROUPS = _PAIRS + """, edges as (select a, b from links union select b, a from links), reach as (select a as id, a as m from edges union select r.id, e.b from reach r join edges e on e.a = r.m),
+comp as (select id as photo_id, min(m) as component from reach group by 1)"""
+
+_BEST = _GROUPS + """, ranks as (select c.photo_id, c.component, f.album_id, count(*) over (partition by component) as n,
+  first(c.photo_id) over (partition by component order by case when blurred then 0 when closed_eyes then 1 else 2 end desc, coalesce(star_rating, 0) desc, captured_at nulls last, file_name, cast(c.photo_id as varchar)) as best_photo_id from comp c join flagged f on f.photo_id = c.photo_id)"""
+
+
+def with_faces(spark, sf_dir) -> DataFrame:
+    """Photos with flags, boxes and fingerprints of their faces, in order of face_index."""
+    f = labelled(spark, sf_dir)
+    face = F.struct(F.col("box").alias("boundingBox"), F.array().cast("array<struct<type:string,x:double,y:double>>").alias("landmarks"), F.struct(*(F.lit(0.0).alias(k) for k in ("pitch", "roll", "yaw"))).alias("pose"))
+    f = f.withColumn("print", S.fingerprint(face))
+    by = f.groupBy("photo_id").agg(F.array_sort(F.collect_list(F.struct("face_index", "box", "print"))).alias("_f"))
+    by = by.select("photo_id", F.transform("_f", lambda x: x["box"]).alias("boxes"), F.transform("_f", lambda x: x["print"]).alias("prints"))
+    return flagged(spark, sf_dir).join(by, "photo_id", "left")
+
+
+@query(_PAIRS + "select album_id, a, b, dt from pairs")
+def temporal_pairs(spark, sf_dir):
+    return duplicates.pairs(photos(spark, sf_dir)).select("album_id", F.col("a_photo_id").alias("a"), F.col("b_photo_id").alias("b"), "dt")
+
+
+def _links(spark, sf_dir):
+    return duplicates.duplicate_pairs(with_faces(spark, sf_dir)).select("album_id", F.col("a_photo_id").alias("a"), F.col("b_photo_id").alias("b"), "gap", "hamming")
+
+
+@query(_PAIRS + "select album_id, a, b, gap, ham as hamming from links")
+def near_dup_pairs(spark, sf_dir):
+    return _links(spark, sf_dir).withColumn("gap", F.col("gap").cast("long")).withColumn("hamming", F.col("hamming").cast("int"))
+
+
+@query(_GROUPS + "select photo_id, component from comp")
+def dup_components(spark, sf_dir):
+    return duplicates.groups(photos(spark, sf_dir), _links(spark, sf_dir)).select("photo_id", "component")
+
+
+def _members(spark, sf_dir):
+    return duplicates.best_of_groups(flagged(spark, sf_dir), duplicates.groups(photos(spark, sf_dir), _links(spark, sf_dir)))
+
+
+@query(_BEST + "select photo_id, 'dup-' || best_photo_id || '-' || n as group_id, best_photo_id, photo_id <> best_photo_id as duplicated from ranks")
+def dup_best(spark, sf_dir):
+    return _members(spark, sf_dir).select("photo_id", "group_id", "best_photo_id", "duplicated")
+
+
+@query(_BEST + "select f.photo_id, coalesce(r.photo_id <> best_photo_id, false) as duplicated, case when coalesce(r.photo_id <> best_photo_id, false) then false else selected end as selected from flagged f left join ranks r on r.photo_id = f.photo_id")
+def dup_flags(spark, sf_dir):
+    return incremental.with_duplicate_flags(flagged(spark, sf_dir), _members(spark, sf_dir)).select("photo_id", "duplicated", "selected")
+
+
+_PATCH = _BEST + """, left_ as (select r.photo_id, r.component, case when blurred then 0 when closed_eyes then 1 else 2 end as t, f.star_rating, f.captured_at, f.file_name, 'dup-' || best_photo_id || '-' || n as group_id from ranks r join flagged f on f.photo_id = r.photo_id where r.photo_id % 5 <> 0),
+patched as (select *, count(*) over (partition by component) as left_n, max(t) over (partition by component) as top,
+  first(photo_id) over (partition by component order by t desc, coalesce(star_rating, 0) desc, captured_at nulls last, file_name, cast(photo_id as varchar)) as b from left_)"""
+
+
+@query(_PATCH + "select photo_id, case when left_n > 1 and top = 2 then group_id end as group_id, case when left_n > 1 and top = 2 then b end as best_photo_id, left_n > 1 and top = 2 and photo_id <> b as duplicated from patched")
+def dup_patch_after_delete(spark, sf_dir):
+    p = flagged(spark, sf_dir)
+    gone = p.where("photo_id % 5 = 0").select("album_id", "photo_id")
+    return incremental.groups_after_delete(_members(spark, sf_dir), p, gone).drop("album_id")
+
+
+@query(_STATS.replace("from flagged", "from flagged where photo_id % 5 <> 0") + " union all select album_id, 0, 0, 0, 0, 0, 0, 0 from photos0 group by 1 having count(*) filter (photo_id % 5 <> 0) = 0")
+def stats_delta(spark, sf_dir):
+    p = flagged(spark, sf_dir)
+    return incremental.stats_after_delete(stats.album_stats(p), p.where("photo_id % 5 = 0"))
+
+
+# --- faces
+
+_FACE_PAIRS = """, fp as (select a.photo_id, a.face_index as a, b.face_index as b, a.area as aa, b.area as ba,
+    greatest(0, least(a.box_left + a.box_width, b.box_left + b.box_width) - greatest(a.box_left, b.box_left)) * greatest(0, least(a.box_top + a.box_height, b.box_top + b.box_height) - greatest(a.box_top, b.box_top)) as inter,
+    sqrt((a.box_left + a.box_width / 2 - b.box_left - b.box_width / 2)**2 + (a.box_top + a.box_height / 2 - b.box_top - b.box_height / 2)**2) as apart,
+    least(sqrt(a.box_width**2 + a.box_height**2), sqrt(b.box_width**2 + b.box_height**2)) as diag
+  from tiered a join tiered b on a.photo_id = b.photo_id and a.face_index < b.face_index)"""
+
+
+def _face_pairs(spark, sf_dir):
+    f = labelled(spark, sf_dir)
+    a, b = (f.select("photo_id", F.col("face_index").alias(k), F.col("box").alias(f"{k}_box")) for k in "ab")
+    return a.join(b, "photo_id").where("a < b")
+
+
+@query("select photo_id, face_index, round(area, 9) as area, round(box_width / box_height, 9) as aspect, round(box_left + box_width / 2, 9) as cx, round(box_top + box_height / 2, 9) as cy from tiered")
+def face_geometry(spark, sf_dir):
+    b = F.col("box")
+    x, y = S.centre(b)
+    return labelled(spark, sf_dir).select("photo_id", "face_index", r9(S.area(b)).alias("area"), r9(S.aspect(b)).alias("aspect"), r9(x).alias("cx"), r9(y).alias("cy"))
+
+
+@query(_FACE_PAIRS + """select photo_id, a, b, round(inter / (aa + ba - inter), 9) as iou from fp where inter > 0 and (inter / (aa + ba - inter) >= 0.42 or (greatest(aa, ba) / least(aa, ba) >= 1.8 and inter / least(aa, ba) >= 0.5)
+  or (greatest(aa, ba) / least(aa, ba) >= 1.8 and inter / (aa + ba - inter) >= 0.18 and apart < 0.48 * diag))""")
+def spatial_redundant_pairs(spark, sf_dir):
+    a, b = F.col("a_box"), F.col("b_box")
+    return _face_pairs(spark, sf_dir).where(S.redundant(a, b)).select("photo_id", "a", "b", r9(S.iou(a, b)).alias("iou"))
+
+
+def _sets(spark, sf_dir):
+    return faces.gather(labelled(spark, sf_dir), "eye", "focus", "sharpness", "eye_conf")
+
+
+def _flat(sets: DataFrame, kept: Column) -> DataFrame:
+    return sets.select("photo_id", F.explode(kept).alias("f")).select("photo_id", F.col("f.face_index").alias("face_index"))
+
+
+_REF = """, ord as (select photo_id, area, row_number() over (partition by photo_id order by area) as k, count(*) over (partition by photo_id) as n from tiered where area > 0),
+ref as (select photo_id, avg(area) as ref from ord where k > n // 2 group by 1), cnt as (select photo_id, count(*) as n from tiered group by 1)"""
+
+
+@query(_REF + """select t.photo_id, t.face_index from tiered t join ref using (photo_id) join cnt using (photo_id) where area >= 0.0004
+  and not (n >= 2 and area < 0.00075 and area < ref * 0.5 and not (ref / area >= 8 and exists (select 1 from tiered o where o.photo_id = t.photo_id and o.area >= ref * 0.85 and o.box_top + o.box_height / 2 + 0.03 < t.box_top + t.box_height / 2)))
+  and not (n >= 2 and focus = 'soft' and area < 0.012 and ref >= 0.012 and area < ref * 0.5) and not (eye = 'open' and focus = 'blurred')""")
+def nonface_filter(spark, sf_dir):
+    sets = _sets(spark, sf_dir)
+    return _flat(sets, faces.without_artifacts(F.col("faces")))
+
+
+@query(""", fc as (select *, box_left + box_width / 2 as x, box_top + box_height / 2 as y, count(*) over (partition by photo_id) as n, (sharpness < 48 or focus = 'blurred') as sm from tiered)
+  select photo_id, face_index from fc f where n < 2 or not (
+    (area between 0.0035 and 0.16 and (sm or area >= 0.012) and exists (select 1 from fc o where o.photo_id = f.photo_id and o.face_index <> f.face_index and o.area >= 0.0004 and o.area < f.area and o.y > f.y + 0.04 and f.area / o.area >= 3))
+    or (sm and n <= 6 and (x <= 0.32 or x >= 0.68) and area between 0.0035 and 0.16 and exists (select 1 from fc o where o.photo_id = f.photo_id and o.face_index <> f.face_index and o.area >= 0.00175 and o.area / f.area between 0.4 and 2.5 and greatest(f.x, 1 - f.x) >= greatest(o.x, 1 - o.x) + 0.2 and o.y <= f.y + 0.06))
+    or (sm and area >= 0.015 and (x <= 0.38 or x >= 0.62) and exists (select 1 from fc o where o.photo_id = f.photo_id and o.face_index <> f.face_index and o.area >= 0.0008 and o.area < 0.85 * f.area and abs(o.x - 0.5) < abs(f.x - 0.5))))""")
+def media_filter(spark, sf_dir):
+    sets = _sets(spark, sf_dir)
+    return _flat(sets, faces.without_displayed_media(F.col("faces")))
+
+
+@query(""", b as (select *, box_top + box_height / 2 as y from tiered), s as (select photo_id, bool_or(y between 0.45 and 0.88) as stage, count(*) filter (not (area >= 0.012 and y < 0.40)) as keep from b group by 1)
+  select b.photo_id, face_index from b join s using (photo_id) where not (stage and keep > 0) or not (area >= 0.012 and y < 0.40)""")
+def backdrop_filter(spark, sf_dir):
+    return _flat(_sets(spark, sf_dir), faces.without_backdrop(F.col("faces")))
+
+
+@query("select photo_id, face_index from tiered where not (eye = 'open' and focus = 'blurred')")
+def open_blurred_filter(spark, sf_dir):
+    return labelled(spark, sf_dir).where("not (eye = 'open' and focus = 'blurred')").select("photo_id", "face_index")
+
+
+@query()
+def face_nms(spark, sf_dir):
+    return _flat(_sets(spark, sf_dir), faces.suppressed(F.col("faces")))
+
+
+@query()
+def detector_nms(spark, sf_dir):
+    return _flat(_sets(spark, sf_dir), faces.suppressed(F.col("faces"), score=lambda f: f["sharpness"] * 1.0, overlap=0.4, most=5000))
+
+
+@query()
+def detector_dedupe(spark, sf_dir):
+    return _flat(_sets(spark, sf_dir), faces.suppressed(F.col("faces"), score=lambda f: f["sharpness"] * 1e3 + S.area(f["box"]), values=S.DETECTOR))
+
+
+@query(""", pair as (select a.photo_id, a.face_index as seed, b.face_index, b.area, b.sharpness from tiered a join tiered b on a.photo_id = b.photo_id and b.area <= a.area * 2.4e0 and b.area >= a.area / 2.4e0),
+  sc as (select photo_id, seed, round(sum(area) * sqrt(count(*)) * (0.5e0 + 0.5e0 * sum(sharpness * 1e0) / count(*) / 100), 12) as score from pair group by 1, 2),
+  top as (select photo_id, arg_max(seed, (score, -seed)) as seed from sc group by 1)
+  select p.photo_id, p.face_index from pair p join top t on t.photo_id = p.photo_id and t.seed = p.seed""")
+def dominant_cluster(spark, sf_dir):
+    return _flat(_sets(spark, sf_dir), faces.dominant(F.col("faces")))
+
+
+@query()
+def clean_faces(spark, sf_dir):
+    """Artifacts, displayed media and redundant boxes out, then the dominant group."""
+    sets = _sets(spark, sf_dir)
+    for step in (faces.without_artifacts, faces.without_displayed_media, faces.suppressed, faces.dominant):
+        sets = sets.withColumn("faces", step(F.col("faces")))
+    return _flat(sets, F.col("faces"))
+
+
+@query(""", z as (select photo_id, arg_min(face_index, (hi, -eye_conf, face_index)) as face_index, count(*) as closed_faces from tiered where eye = 'closed' and area >= 0.01 and area < 0.1 group by 1) select * from z""")
+def closed_eye_dedupe(spark, sf_dir):
+    return faces.closed_once(labelled(spark, sf_dir))
+
+
+@query(""", g as (select *, (eye = 'partial' and focus = 'soft') as forced from tiered), h as (select *, not forced and area < 0.01 as tiny, count(*) filter (forced) over (partition by photo_id) as nf from g),
+  k as (select *, row_number() over (partition by photo_id, tiny order by hi desc, eye_conf desc, face_index) as r from h) select photo_id, face_index, forced from k where forced or (tiny and r <= greatest(0, 5 - nf))""")
+def crowd_partial_budget(spark, sf_dir):
+    return faces.partial_budget(labelled(spark, sf_dir))
+
+
+@query("""select photo_id, face_index, cast(round(greatest(0e0, box_left - 0.3 * box_width) * 4000) as int) as x, cast(round(greatest(0e0, box_top - 0.3 * box_height) * 3000) as int) as y,
+  greatest(1, cast(round(least(1e0, box_left + box_width * 1.3) * 4000) as int) - cast(round(greatest(0e0, box_left - 0.3 * box_width) * 4000) as int)) as w, greatest(1, cast(round(least(1e0, box_top + box_height * 1.5) * 3000) as int) - cast(round(greatest(0e0, box_top - 0.3 * box_height) * 3000) as int)) as h from tiered""")
+def face_crops(spark, sf_dir):
+    return labelled(spark, sf_dir).select("photo_id", "face_index", S.crop(F.col("box"), F.lit(4000), F.lit(3000)).alias("c")).select("photo_id", "face_index", "c.*")
+
+
+def _printed(spark, sf_dir):
+    f = labelled(spark, sf_dir)
+    face = F.struct(F.col("box").alias("boundingBox"), F.array().cast("array<struct<type:string,x:double,y:double>>").alias("landmarks"), F.struct(*(F.lit(0.0).alias(k) for k in ("pitch", "roll", "yaw"))).alias("pose"))
+    return f.withColumn("print", S.fingerprint(face)).withColumn("area", S.area(F.col("box")))
+
+
+@query("select photo_id, face_index, round(box_width / box_height, 9) as p0, box_left as p1, box_top as p2 from tiered")
+def face_fingerprint(spark, sf_dir):
+    p = F.col("print")
+    return _printed(spark, sf_dir).select("photo_id", "face_index", r9(p[0]).alias("p0"), p[1].alias("p1"), p[2].alias("p2"))
+
+
+@query("select a.photo_id, a.face_index as a, b.face_index as b, round(sqrt(((a.box_width / a.box_height - b.box_width / b.box_height)**2 + (a.box_left - b.box_left)**2 + (a.box_top - b.box_top)**2) / 5), 8) as distance from tiered a join tiered b on a.photo_id = b.photo_id and a.face_index < b.face_index")
+def fingerprint_distance(spark, sf_dir):
+    f = _printed(spark, sf_dir).select("photo_id", "face_index", "print")
+    b = f.select("photo_id", F.col("face_index").alias("b"), F.col("print").alias("q"))
+    return f.join(b, "photo_id").where("face_index < b").select("photo_id", F.col("face_index").alias("a"), "b", F.round(S.distance(F.col("print"), F.col("q")), 8).alias("distance"))
+
+
+def _album_faces(spark, sf_dir):
+    p = photos(spark, sf_dir)
+    w = Window.partitionBy("album_id").orderBy("captured_at", "photo_id")
+    p = p.withColumn("photo_order", F.row_number().over(w)).select("album_id", "photo_id", "captured_at", "photo_order")
+    return _printed(spark, sf_dir).join(p, "photo_id").withColumn("cluster", F.concat(F.lit("person-"), F.col("sharpness") % 9)).withColumns({"yaw": F.lit(0.0), "pitch": F.lit(0.0)})
+
+
+@query(""", o as (select photo_id, album_id, row_number() over (partition by album_id order by captured_at, photo_id) as photo_order from photos0),
+  s as (select t.*, album_id, photo_order, 'person-' || (sharpness % 9) || '::' || eye || '::' || focus as variant,
+    case eye when 'open' then 400 when 'partial' then 200 else 0 end + case focus when 'good' then 300 when 'soft' then 150 else 0 end + least(sharpness, 100) + 100 + box_width * box_height * 500 - photo_order * 10 as score from tiered t join o using (photo_id))
+  select album_id, variant, count(*) as occurrences, count(distinct photo_id) as photos, arg_max(photo_id, (score, -photo_order, -face_index)) as best_photo_id, min(photo_order) as first_order from s group by 1, 2""")
+def key_face_groups(spark, sf_dir):
+    k = identity.key_faces(_album_faces(spark, sf_dir))
+    return k.select("album_id", "variant", "occurrences", F.size("photo_ids").cast("long").alias("photos"), F.col("best.photo_id").alias("best_photo_id"), F.col("first_order").cast("long").alias("first_order"))
+
+
+@query(""", o as (select photo_id, album_id, row_number() over (partition by album_id order by captured_at, photo_id) as photo_order from photos0),
+  s as (select t.photo_id, album_id, photo_order, 'person-' || (sharpness % 9) || '::' || eye || '::' || focus as variant from tiered t join o using (photo_id)),
+  v as (select album_id, variant, count(*) as n, count(distinct photo_id) as np, count(distinct photo_id) filter (photo_id % 5 <> 0) as nl, arg_min(photo_id, photo_order) filter (photo_id % 5 <> 0) as src from s group by 1, 2)
+  select album_id, variant, greatest(1, n - (np - nl)) as occurrences, src as source_photo_id from v where nl > 0""")
+def keyface_patch(spark, sf_dir):
+    gone = photos(spark, sf_dir).where("photo_id % 5 = 0").select("album_id", "photo_id")
+    return incremental.key_faces_after_delete(identity.key_faces(_album_faces(spark, sf_dir)), gone).select("album_id", "variant", "occurrences", "source_photo_id")
+
+
+@query()
+def face_clusters(spark, sf_dir):
+    return identity.cluster_faces(_album_faces(spark, sf_dir))
+
+
+@query()
+def key_face_merge(spark, sf_dir):
+    f = _album_faces(spark, sf_dir)
+    k = identity.key_faces(f)
+    best = k.select("album_id", "variant", "photo_ids", "first_order", F.col("best.photo_id").alias("photo_id"), F.col("best.face_index").alias("face_index"))
+    return identity.merge_key_faces(best.join(f.select("photo_id", "face_index", "eye", "focus", "print"), ["photo_id", "face_index"]))
+
+
+# --- merging and storing
+
+_ROWS = "select album_id, photo_id, file_name, case photo_id % 3 when 0 then 'uploaded' when 1 then 'pending' else 'uploading' end as status, case photo_id % 4 when 0 then 'analyzed' when 1 then 'analyzing' else 'idle' end as analysis_status, case photo_id % 5 when 0 then 'uploaded' when 1 then 'uploading' else 'idle' end as server_upload_status, {K} as side from {T}"
+
+
+def _side(spark, sf_dir, name: str, where: str, shift: int):
+    p = photos(spark, sf_dir)
+    sql = _ROWS.format(K=f"'{name}'", T="{p}").replace("photo_id %", f"(photo_id + {shift}) %") + f" where {where}"
+    return spark.sql(sql, p=p)
+
+
+_M1 = _ROWS.format(K="'current'", T="photos0") + " where photo_id % 10 <> 7"
+_M2 = (_ROWS.format(K="'incoming'", T="photos0")).replace("photo_id %", "(photo_id + 1) %") + " where photo_id % 10 <> 3"
+
+
+@query(f""", c as ({_M1}), i as ({_M2}), j as (select coalesce(c.album_id, i.album_id) as album_id, coalesce(c.photo_id, i.photo_id) as photo_id, c.side is not null and (i.side is null or
+    case when c.server_upload_status = 'uploaded' and i.server_upload_status <> 'uploaded' then true when i.server_upload_status = 'uploaded' and c.server_upload_status <> 'uploaded' then false
+      when c.server_upload_status = 'uploading' and i.server_upload_status <> 'uploading' then true when i.server_upload_status = 'uploading' and c.server_upload_status <> 'uploading' then false
+      when c.analysis_status = 'analyzing' and i.analysis_status <> 'analyzing' then true when i.analysis_status = 'analyzing' and c.analysis_status <> 'analyzing' then false
+      when c.analysis_status = 'analyzed' and i.analysis_status <> 'analyzed' then true when i.analysis_status = 'analyzed' and c.analysis_status <> 'analyzed' then false
+      when c.status = 'uploaded' and i.status <> 'uploaded' then true else false end) as ours
+  from c full join i on c.album_id = i.album_id and c.photo_id = i.photo_id)
+  select album_id, photo_id, case when ours then 'current' else 'incoming' end as side from j""")
+def photo_merge_prefer(spark, sf_dir):
+    return merge.merged(_side(spark, sf_dir, "current", "photo_id % 10 <> 7", 0), _side(spark, sf_dir, "incoming", "photo_id % 10 <> 3", 1)).select("album_id", "photo_id", "side")
+
+
+@query(""", d as (select album_id, 'file:///' || file_name as uri, file_name as name, file_size as size from photos0 where photo_id % 6 <> 1), s as (select album_id, 'file:///' || file_name as uri, photo_id, file_name as name, file_size as size, case photo_id % 3 when 0 then 'uploaded' when 1 then 'pending' else 'uploading' end as status from photos0 where photo_id % 6 <> 2)
+  select coalesce(d.album_id, s.album_id) as album_id, coalesce(d.uri, s.uri) as uri, coalesce(cast(photo_id as varchar), regexp_replace(coalesce(s.name, d.name), '\\.[^.]*$', '')) as photo_id,
+    case when s.uri is null then 'uploaded' when d.uri is not null and status in ('pending', 'uploading') then 'uploaded' else status end as status
+  from d full join s on d.album_id = s.album_id and d.uri = s.uri where d.uri is not null or status in ('pending', 'uploading', 'failed')""")
+def disk_reconcile(spark, sf_dir):
+    p = photos(spark, sf_dir).withColumn("uri", F.concat(F.lit("file:///"), "file_name"))
+    disk = p.where("photo_id % 6 <> 1").select("album_id", "uri", F.col("file_name").alias("name"), F.col("file_size").alias("size"))
+    store = p.where("photo_id % 6 <> 2").select("album_id", "photo_id", "uri", F.col("file_name").alias("name"), F.col("file_size").alias("size"), F.expr("case photo_id % 3 when 0 then 'uploaded' when 1 then 'pending' else 'uploading' end").alias("status"))
+    return merge.reconciled(disk, store).select("album_id", "uri", "photo_id", "status")
+
+
+@query("select album_id, photo_id, case when photo_id % 3 = 0 then null when photo_id % 2 = 0 then star_rating + 1 else star_rating end as star_rating from photos0 where photo_id % 5 <> 1 and (photo_id % 3 = 0 or photo_id % 2 = 0)")
+def server_sync_changes(spark, sf_dir):
+    p = photos(spark, sf_dir)
+    current = p.withColumn("server_upload_status", F.expr("case photo_id % 5 when 1 then 'uploading' else 'idle' end"))
+    server = p.withColumn("star_rating", F.expr("case when photo_id % 3 = 0 then null when photo_id % 2 = 0 then star_rating + 1 else star_rating end"))
+    return merge.changed(current, server, ("star_rating",))
+
+
+@query("select album_id, photo_id, case when photo_id % 4 = 0 then -1 else star_rating end as star_rating from photos0")
+def store_upsert(spark, sf_dir):
+    p = photos(spark, sf_dir).select("album_id", "photo_id", "star_rating", F.lit(1).alias("updated_at"))
+    new = p.where("photo_id % 4 = 0").withColumn("star_rating", F.lit(-1)).withColumn("updated_at", F.lit(2))
+    return merge.upsert(p, new, ("album_id", "photo_id"), "updated_at").drop("updated_at")
+
+
+@query("select event_id, epoch_us(date_trunc('second', ts)) // 1000 as captured_at from events")
+def exif_to_millis(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return e.select("event_id", S.exif_millis(F.date_format("ts", "yyyy:MM:dd HH:mm:ss")).alias("captured_at"))
+
+
+@query("select a.photo_id as a, b.photo_id as b, bit_count(xor(('0x' || substr(a.perceptual_hash, 1, 8))::bigint, ('0x' || substr(b.perceptual_hash, 1, 8))::bigint)) + bit_count(xor(('0x' || substr(a.perceptual_hash, 9, 8))::bigint, ('0x' || substr(b.perceptual_hash, 9, 8))::bigint)) as hamming from photos0 a join photos0 b on a.photo_id < b.photo_id and a.album_id = b.album_id where hamming <= 4")
+def hash_neighbours(spark, sf_dir):
+    p = photos(spark, sf_dir)
+    album = p.select(F.col("photo_id").alias("a"), F.col("album_id").alias("x")), p.select(F.col("photo_id").alias("b"), F.col("album_id").alias("y"))
+    return duplicates.hash_blocks(p).join(album[0], "a").join(album[1], "b").where("x = y").select("a", "b", F.col("hamming").cast("int").alias("hamming"))
+
+
+@query()
+def legacy_duplicates(spark, sf_dir):
+    return duplicates.greedy_duplicates(photos(spark, sf_dir))
