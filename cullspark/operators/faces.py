@@ -40,8 +40,11 @@ def without_artifacts(faces: Column) -> Column:
     return F.filter(faces, keep)
 
 
-def without_displayed_media(faces: Column, soft_by_label: bool = True, peer_floor: float = 0.0008) -> Column:
-    """Drops faces on posters and screens: soft ones beside, above or at the edge of real ones."""
+def without_displayed_media(faces: Column, soft_by_label: bool = True, peer_floor: float = 0.0008, yaw=None) -> Column:
+    """Drops faces on posters and screens: soft ones beside, above or at the edge of real ones.
+
+    yaw: a function from face to its yaw, for the rule on faces that look aside; without it that rule is off.
+    """
 
     def displayed(f: Column) -> Column:
         a, (x, y) = S.area(f["box"]), S.centre(f["box"])
@@ -50,12 +53,15 @@ def without_displayed_media(faces: Column, soft_by_label: bool = True, peer_floo
         sized = a.between(0.0035, 0.16)
         others = lambda test: F.exists(faces, lambda o: (o["face_index"] != f["face_index"]) & test(o, S.area(o["box"]), *S.centre(o["box"])))
         above = others(lambda o, b, ox, oy: (b >= TINY) & (b < a) & (oy > y + 0.04) & (a / F.greatest(b, F.lit(1e-8)) >= 3))
-        edge = lambda v: F.greatest(v, 1 - v)
-        beside = others(lambda o, b, ox, oy: (b >= 0.00175) & (b / F.greatest(a, F.lit(1e-8))).between(0.4, 2.5) & (edge(x) >= edge(ox) + 0.2) & (y <= oy + 0.06))
+        edge = lambda v: F.abs(v - 0.5)
+        beside = others(lambda o, b, ox, oy: (b >= 0.00175) & (a / F.greatest(b, F.lit(1e-8))).between(0.4, 2.5) & (edge(x) >= edge(ox) + 0.2) & (y <= oy + 0.06))
         centred = others(lambda o, b, ox, oy: (b >= peer_floor) & (b < 0.85 * a) & (F.abs(ox - 0.5) < F.abs(x - 0.5)))
         side = (x <= 0.38) | (x >= 0.62)
         second = soft & (F.size(faces) <= 6) & ((x <= 0.32) | (x >= 0.68)) & sized & beside
-        return (sized & above & (soft | (a >= 0.012))) | second | (soft & (a >= 0.015) & side & centred)
+        turned = F.lit(False)
+        if yaw is not None:
+            turned = soft & side & (S.yaw_radians(yaw(f)) >= 0.4) & others(lambda o, b, ox, oy: (S.yaw_radians(yaw(o)) <= 0.35) & (b >= TINY))
+        return (sized & above & (soft | (a >= 0.012))) | second | turned | (soft & (a >= 0.015) & side & centred)
 
     return F.when(F.size(faces) < 2, faces).otherwise(F.filter(faces, lambda f: ~displayed(f)))
 

@@ -154,18 +154,20 @@ def hash_hamming(spark, sf_dir):
 
 # --- duplicates
 
-_PAIRS = """, pairs as (select a.album_id, a.photo_id as a, b.photo_id as b, a.captured_at - b.captured_at as dt,
+_PAIRS = """, pairs as materialized (select a.album_id, a.photo_id as a, b.photo_id as b, a.captured_at - b.captured_at as dt,
     abs(cast(regexp_extract(a.file_name, '(\\d+)\\.', 1) as bigint) - cast(regexp_extract(b.file_name, '(\\d+)\\.', 1) as bigint)) as gap,
     bit_count(xor(('0x' || substr(a.perceptual_hash, 1, 8))::bigint, ('0x' || substr(b.perceptual_hash, 1, 8))::bigint)) + bit_count(xor(('0x' || substr(a.perceptual_hash, 9, 8))::bigint, ('0x' || substr(b.perceptual_hash, 9, 8))::bigint)) as ham
   from photos0 a join photos0 b on a.album_id = b.album_id and (b.captured_at < a.captured_at or (b.captured_at = a.captured_at and b.photo_id < a.photo_id)) and a.captured_at - b.captured_at <= 300000),
-ranked as (select photo_id, area, box_width / greatest(box_height, 1e-8) as asp, row_number() over (partition by photo_id order by area desc, face_index) as k, count(*) over (partition by photo_id) as n from tiered),
-framed as (select p.a, p.b, bool_and(greatest(x.area, y.area) / least(x.area, y.area) <= 1.85 and greatest(x.asp, y.asp) / least(x.asp, y.asp) <= 1.35) as ok
-  from pairs p join ranked x on x.photo_id = p.a join ranked y on y.photo_id = p.b and x.k = y.k and x.n = y.n group by 1, 2),
-prints as (select photo_id, face_index, box_width / greatest(box_height, 1e-8) as p1, box_left as p2, box_top as p3, count(*) over (partition by photo_id) as n from tiered),
-nearest as (select p.a, p.b, x.face_index, min(sqrt(((x.p1 - y.p1)**2 + (x.p2 - y.p2)**2 + (x.p3 - y.p3)**2) / 5)) as d
-  from pairs p join prints x on x.photo_id = p.a join prints y on y.photo_id = p.b and x.n = y.n group by 1, 2, 3),
+ranked as materialized (select photo_id, area, box_width / greatest(box_height, 1e-8) as asp, row_number() over (partition by photo_id order by area desc, face_index) as k, count(*) over (partition by photo_id) as n from tiered),
+px as materialized (select p.a, p.b, x.* from pairs p join ranked x on x.photo_id = p.a),
+framed as (select x.a, x.b, bool_and(greatest(x.area, y.area) / least(x.area, y.area) <= 1.85 and greatest(x.asp, y.asp) / least(x.asp, y.asp) <= 1.35) as ok
+  from px x join ranked y on y.photo_id = x.b where x.k = y.k and x.n = y.n group by 1, 2),
+prints as materialized (select photo_id, face_index, box_width / greatest(box_height, 1e-8) as p1, box_left as p2, box_top as p3, count(*) over (partition by photo_id) as n from tiered),
+pq as materialized (select p.a, p.b, x.* from pairs p join prints x on x.photo_id = p.a),
+nearest as (select x.a, x.b, x.face_index, min(sqrt(((x.p1 - y.p1)**2 + (x.p2 - y.p2)**2 + (x.p3 - y.p3)**2) / 5)) as d
+  from pq x join prints y on y.photo_id = x.b where x.n = y.n group by 1, 2, 3),
 alike as (select a, b, avg(d) < 0.06 as ok from nearest group by 1, 2),
-links as (select p.* from pairs p left join framed f on f.a = p.a and f.b = p.b left join alike l on l.a = p.a and l.b = p.b where gap <= 10 and
+links as materialized (select p.* from pairs p left join framed f on f.a = p.a and f.b = p.b left join alike l on l.a = p.a and l.b = p.b where gap <= 10 and
   case when ham <= 4 then true when gap <= 2 and ham <= 8 then true when ham > case when gap <= 2 then 30 else 24 end then false when gap <= 2 and coalesce(f.ok, false) then true else coalesce(l.ok, false) and coalesce(f.ok, false) end)"""
 
 _GROUPS = _PAIRS + """, edges as (select a, b from links union select b, a from links), reach as (select a as id, a as m from edges union select r.id, e.b from reach r join edges e on e.a = r.m),
@@ -270,7 +272,8 @@ def _sets(spark, sf_dir):
 
 
 def _flat(sets: DataFrame, kept: Column) -> DataFrame:
-    return sets.select("photo_id", F.explode(kept).alias("f")).select("photo_id", F.col("f.face_index").alias("face_index"))
+    """One row per face kept. An outer explode: an inner one would push a filter on kept, and so kept itself, below all its parts."""
+    return sets.select("photo_id", F.explode_outer(kept).alias("f")).where("f is not null").select("photo_id", F.col("f.face_index").alias("face_index"))
 
 
 _REF = """, ord as (select photo_id, area, row_number() over (partition by photo_id order by area) as k, count(*) over (partition by photo_id) as n from tiered where area > 0),
@@ -285,11 +288,13 @@ def nonface_filter(spark, sf_dir):
     return _flat(sets, faces.without_artifacts(F.col("faces")))
 
 
-@query(""", fc as (select *, box_left + box_width / 2 as x, box_top + box_height / 2 as y, count(*) over (partition by photo_id) as n, (sharpness < 48 or focus = 'blurred') as sm from tiered)
-  select photo_id, face_index from fc f where n < 2 or not (
-    (area between 0.0035 and 0.16 and (sm or area >= 0.012) and exists (select 1 from fc o where o.photo_id = f.photo_id and o.face_index <> f.face_index and o.area >= 0.0004 and o.area < f.area and o.y > f.y + 0.04 and f.area / o.area >= 3))
-    or (sm and n <= 6 and (x <= 0.32 or x >= 0.68) and area between 0.0035 and 0.16 and exists (select 1 from fc o where o.photo_id = f.photo_id and o.face_index <> f.face_index and o.area >= 0.00175 and o.area / f.area between 0.4 and 2.5 and greatest(f.x, 1 - f.x) >= greatest(o.x, 1 - o.x) + 0.2 and o.y <= f.y + 0.06))
-    or (sm and area >= 0.015 and (x <= 0.38 or x >= 0.62) and exists (select 1 from fc o where o.photo_id = f.photo_id and o.face_index <> f.face_index and o.area >= 0.0008 and o.area < 0.85 * f.area and abs(o.x - 0.5) < abs(f.x - 0.5))))""")
+@query(""", fc as materialized (select *, box_left + box_width / 2 as x, box_top + box_height / 2 as y, count(*) over (partition by photo_id) as n, (sharpness < 48 or focus = 'blurred') as sm from tiered),
+  judged as (select p.photo_id, p.face_index, bool_or(
+    (p.area between 0.0035 and 0.16 and (p.sm or p.area >= 0.012) and o.area >= 0.0004 and o.area < p.area and o.y > p.y + 0.04 and p.area / o.area >= 3)
+    or (p.sm and p.n <= 6 and (p.x <= 0.32 or p.x >= 0.68) and p.area between 0.0035 and 0.16 and o.area >= 0.00175 and p.area / o.area between 0.4 and 2.5 and abs(p.x - 0.5) >= abs(o.x - 0.5) + 0.2 and p.y <= o.y + 0.06)
+    or (p.sm and p.area >= 0.015 and (p.x <= 0.38 or p.x >= 0.62) and o.area >= 0.0008 and o.area < 0.85 * p.area and abs(o.x - 0.5) < abs(p.x - 0.5))) as bad
+    from fc p left join fc o on o.photo_id = p.photo_id and o.face_index <> p.face_index group by 1, 2)
+  select photo_id, face_index from judged where not coalesce(bad, false)""")
 def media_filter(spark, sf_dir):
     sets = _sets(spark, sf_dir)
     return _flat(sets, faces.without_displayed_media(F.col("faces")))

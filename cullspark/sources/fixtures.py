@@ -31,7 +31,7 @@ _FACES = """
 
 #: The same views for the other engine, as common table expressions with flags and ratings.
 DUCK = (
-    "with photos0 as (" + _PHOTOS.format(S="varchar", MS="(epoch_us(ts) // 1000)") + "), faces0 as (" + _FACES + """),
+    "with photos0 as materialized (" + _PHOTOS.format(S="varchar", MS="(epoch_us(ts) // 1000)") + "), faces0 as (" + _FACES + """),
 faces as (select f.*, greatest(left_prob, right_prob) as hi, least(left_prob, right_prob) as lo,
     case when sharpness >= 65 then 'good' when sharpness >= 40 then 'soft' else 'blurred' end as focus,
     box_width * box_height as area from faces0 f),
@@ -42,8 +42,8 @@ labelled as (select *, case
     when hi <= 0.40 and lo between 0.08 and 0.25 and eye_conf < 80 then 'partial'
     when eyes_open then case when eye_conf >= 70 then 'open' else 'partial' end
     when eye_conf >= 88 then 'closed' else 'partial' end as eye from faces),
-tiered as (select *, case when eye = 'closed' or focus = 'blurred' then 0 when eye = 'open' and focus = 'good' then 2 else 1 end as tier from labelled),
-flagged as (select p.*, coalesce(n, 0) as n_faces, coalesce(c, false) as closed_eyes, coalesce(b, false) as blurred,
+tiered as materialized (select *, case when eye = 'closed' or focus = 'blurred' then 0 when eye = 'open' and focus = 'good' then 2 else 1 end as tier from labelled),
+flagged as materialized (select p.*, coalesce(n, 0) as n_faces, coalesce(c, false) as closed_eyes, coalesce(b, false) as blurred,
     coalesce(not c and not b and not s and not pt, false) as ai_selected, coalesce(not c and not b and (s or pt), false) as maybe,
     coalesce(not c and not b, false) as selected, coalesce(stars, 0) as stars
   from photos0 p left join (select photo_id, count(*) as n, bool_or(eye = 'closed') as c, bool_or(focus = 'blurred') as b, bool_or(focus = 'soft') as s, bool_or(eye = 'partial') as pt,
