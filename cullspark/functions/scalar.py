@@ -185,7 +185,7 @@ def natural_key(name: Column) -> Column:
 def exif_millis(text: Column) -> Column:
     """Milliseconds of "yyyy:MM:dd HH:mm:ss" as UTC, or null; days beyond a month's end roll over."""
     pattern = r"^(\d{4}):(\d{2}):(\d{2}) (\d{2}):(\d{2}):(\d{2})"
-    part = [F.regexp_extract(text, pattern, k).cast("int") for k in range(1, 7)]
+    part = [F.regexp_extract(text, pattern, k).try_cast("int") for k in range(1, 7)]
     year, month, day, hour, minute, second = part
     fine = text.rlike(pattern) & (year >= 1970) & month.between(1, 12) & day.between(1, 31) & (hour <= 23) & (minute <= 59) & (second <= 60)
     date = F.date_add(F.make_date(year, F.when(month.between(1, 12), month), F.lit(1)), day - 1)
