@@ -342,7 +342,7 @@ def near_classes(docs: DataFrame) -> DataFrame:
     comps = components(links)
     classes = member.join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", F.coalesce("comp", "rep").alias("class_id"))
     classes = cut(classes, "classes")
-    sizes = classes.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size"))
+    sizes = cut(classes.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size")), "sizes")
     classes = classes.join(sizes, "class_id")
     every = docs.select(F.col("doc_id").cast("long").alias("doc_id")).join(classes, "doc_id", "left")
     own = F.coalesce("class_id", "doc_id")
