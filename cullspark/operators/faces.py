@@ -92,20 +92,78 @@ def suppressed(faces: Column, score=keep_score, values: tuple | None = None, ove
     return F.aggregate(ranked, none, lambda kept, f: F.when(F.exists(kept, lambda k: clash(k["box"], f["box"])), kept).otherwise(F.concat(kept, F.array(f))))
 
 
-def dominant(faces: Column, ratio: float = 2.4) -> Column:
-    """The dominant group: for each face as seed those within an area ratio of it; the best by total area, number and mean sharpness, the earlier seed on ties."""
+# Fixed values of the choice of subjects.
+PEER_RATIO, SPREAD, PHOTOBOMB, FOREGROUND, FOREGROUND_SHARP = 2.4, 3.25, 3.5, 1.55, 0.8
+SHARP_RATIO, RELATIVE_SHARP, SOFT_CEILING, PRINT_YAW, PRINT_SHARP, LEAST_SHARE = 0.48, 0.45, 50, 28, 0.72, 0.35
 
-    def total(group: Column, value) -> Column:
-        return F.aggregate(F.transform(group, value), F.lit(0.0), lambda s, x: s + x)
 
-    def scored(seed: Column) -> Column:
-        size = S.area(seed["box"])
-        group = F.filter(faces, lambda f: F.when(size > 0, (S.area(f["box"]) <= size * ratio) & (S.area(f["box"]) >= size / ratio)).otherwise(S.area(f["box"]) == size))
-        n = F.size(group)
-        score = total(group, lambda f: S.area(f["box"])) * F.sqrt(n) * (0.5 + 0.5 * total(group, lambda f: F.coalesce(f["sharpness"].cast("double"), F.lit(0.0))) / n / 100)
-        return F.struct(F.round(score, 12).alias("score"), (-seed["face_index"]).alias("earlier"), group.alias("group"))
+def _median(values: Column) -> Column:
+    s = F.array_sort(values)
+    n = F.size(s)
+    return F.when(n == 0, 0.0).otherwise((F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))) / 2)
 
-    return F.when(F.size(faces) < 2, faces).otherwise(F.array_max(F.transform(faces, scored))["group"])
+
+def _of(group: Column, field: str) -> Column:
+    return F.transform(group, lambda m: m[field])
+
+
+def _sum(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda s, x: s + x)
+
+
+def dominant(sets: DataFrame, yaw=lambda f: F.lit(0.0)) -> DataFrame:
+    """sets (photo_id, faces) with faces cut down to the subjects, in order.
+
+    Faces of like size form groups; the best by total area, number and sharpness is the subjects' unless
+    a clear foreground face outdoes it and is no photobomb at the edge. Then faces far off the group, much
+    softer than it, or turned and soft as on a print are left out, never most of it. Each step is a
+    column of its own, so that no step is worked out again inside the next.
+    """
+
+    def measures(f: Column) -> Column:
+        b = f["box"]
+        x, y = S.centre(b)
+        sharp = F.coalesce(f["sharpness"].cast("double"), F.lit(0.0))
+        edge = (b["left"] < 0.08) | (b["top"] < 0.06) | (b["left"] + b["width"] > 0.92) | (b["top"] + b["height"] > 0.94) | (x < 0.16) | (x > 0.84)
+        return F.struct(f["face_index"].alias("i"), S.area(b).alias("area"), x.alias("x"), y.alias("y"), b["width"].alias("w"), b["height"].alias("h"), sharp.alias("sharp"), yaw(f).alias("yaw"), edge.alias("edge"), (S.area(b) * (0.35 + 0.65 * sharp / 100)).alias("prominence"))
+
+    m = F.col("_m")
+    like = lambda a, b: (F.least(a, b) > 1e-12) & (F.greatest(a, b) <= PEER_RATIO * F.least(a, b))
+    peers = lambda seed: F.filter(m, lambda o: like(o["area"], seed["area"]))
+    score = lambda g: _sum(_of(g, "area")) * F.sqrt(F.size(g)) * (0.5 + 0.5 * _sum(_of(g, "sharp")) / F.greatest(F.size(g), F.lit(1)) / 100)
+    df = sets.withColumn("_m", F.transform("faces", measures))
+    df = df.withColumn("_groups", F.transform(m, lambda seed: F.struct((-seed["i"]).alias("i"), peers(seed).alias("g"))))
+    df = df.withColumn("_ranked", F.transform("_groups", lambda g: F.struct(F.round(score(g["g"]), 12).alias("score"), F.size(g["g"]).alias("n"), g["i"].alias("i"), g["g"].alias("g"))))
+    df = df.withColumn("_best", F.array_max("_ranked")["g"]).withColumn("_dense", F.array_max(F.filter("_ranked", lambda r: r["n"] >= 2))["g"])
+    df = df.withColumn("_first", F.array_max(F.transform(m, lambda f: F.struct(f["prominence"].alias("p"), (-f["i"]).alias("i"), f.alias("f"))))["f"])
+    first, dense = F.col("_first"), F.col("_dense")
+    df = df.withColumn("_area", _median(_of(dense, "area"))).withColumn("_sharp", _median(_of(dense, "sharp"))).withColumn("_top", F.array_max(_of(dense, "prominence"))).withColumn("_peers", peers(first))
+    large = F.col("_area")
+    bomb = (first["area"] >= large * PHOTOBOMB) & first["edge"]
+    front = (first["area"] >= large * FOREGROUND) & (first["sharp"] >= F.col("_sharp") * FOREGROUND_SHARP) & (first["sharp"] >= 45)
+    winner = (first["prominence"] >= F.col("_top") * 1.2) & (first["area"] >= large * 1.35) & (first["sharp"] >= 45)
+    inside = F.exists(dense, lambda f: f["i"] == first["i"])
+    df = df.withColumn("_g", F.when(dense.isNull(), F.col("_best")).when(inside | bomb, dense).when(front | winner, F.col("_peers")).otherwise(dense))
+    g = F.col("_g")
+    df = df.withColumn("_cx", _median(_of(g, "x"))).withColumn("_cy", _median(_of(g, "y"))).withColumn("_w", _median(_of(g, "w"))).withColumn("_h", _median(_of(g, "h")))
+    df = df.withColumn("_mx", _median(F.transform(g, lambda f: F.abs(f["x"] - F.col("_cx"))))).withColumn("_my", _median(F.transform(g, lambda f: F.abs(f["y"] - F.col("_cy")))))
+    xs = F.array_sort(_of(g, "x"))
+    df = df.withColumn("_gaps", F.zip_with(F.slice(xs, 2, F.greatest(F.size(g) - 1, F.lit(0))), F.slice(xs, 1, F.greatest(F.size(g) - 1, F.lit(0))), lambda a, b: a - b))
+    wide = F.greatest(F.col("_mx") * SPREAD, F.col("_w") * 2.5)
+    df = df.withColumn("_lx", F.when(F.col("_my") <= F.col("_h") * 0.55, F.greatest(wide, _median(F.col("_gaps")) * 2.75, F.col("_w") * 4)).otherwise(wide)).withColumn("_ly", F.greatest(F.col("_my") * SPREAD, F.col("_h") * 1.75))
+    near = F.filter(g, lambda f: (F.abs(f["x"] - F.col("_cx")) <= F.col("_lx")) & (F.abs(f["y"] - F.col("_cy")) <= F.col("_ly")))
+    df = df.withColumn("_near", near).withColumn("_g2", F.when((F.size(g) <= 2) | (F.size("_near") == 0), g).otherwise(F.col("_near")))
+    few = lambda kept, of: F.size(kept) < F.greatest(F.lit(1), F.ceil(F.size(of) * LEAST_SHARE))
+    df = df.withColumn("_sm", _median(_of(F.col("_g2"), "sharp"))).withColumn("_sx", F.array_max(_of(F.col("_g2"), "sharp")))
+    faint = lambda f: (f["sharp"] < F.col("_sm") * SHARP_RATIO) | ((F.col("_sx") >= 55) & (f["sharp"] < F.col("_sx") * RELATIVE_SHARP) & (f["sharp"] < SOFT_CEILING))
+    df = df.withColumn("_sharper", F.filter("_g2", lambda f: ~faint(f)))
+    df = df.withColumn("_g3", F.when((F.size("_g2") < 2) | ((F.col("_sm") < 20) & (F.col("_sx") < 40)) | few("_sharper", "_g2"), F.col("_g2")).otherwise(F.col("_sharper")))
+    df = df.withColumn("_pm", _median(_of(F.col("_g3"), "sharp")))
+    frontal = F.exists("_g3", lambda f: (F.abs(f["yaw"]) < 18) & (f["sharp"] >= F.col("_pm") * 0.9) & (f["sharp"] >= 50))
+    df = df.withColumn("_real", F.filter("_g3", lambda f: ~((F.abs(f["yaw"]) >= PRINT_YAW) & (f["sharp"] < F.col("_pm") * PRINT_SHARP))))
+    df = df.withColumn("_ids", _of(F.when((F.size("_g3") < 2) | ~frontal | (F.col("_pm") < 40) | few("_real", "_g3"), F.col("_g3")).otherwise(F.col("_real")), "i"))
+    kept = F.filter("faces", lambda f: F.array_contains(F.col("_ids"), f["face_index"]))
+    return df.withColumn("_kept", F.when(F.size("faces") <= 1, F.col("faces")).otherwise(kept)).select(*(F.col("_kept").alias(c) if c == "faces" else c for c in sets.columns))
 
 
 def partial_budget(faces: DataFrame, budget: int = 5, micro: float = 0.001) -> DataFrame:

@@ -326,21 +326,18 @@ def detector_dedupe(spark, sf_dir):
     return _flat(_sets(spark, sf_dir), faces.suppressed(F.col("faces"), score=lambda f: f["sharpness"] * 1e3 + S.area(f["box"]), values=S.DETECTOR))
 
 
-@query(""", pair as (select a.photo_id, a.face_index as seed, b.face_index, b.area, b.sharpness from tiered a join tiered b on a.photo_id = b.photo_id and b.area <= a.area * 2.4e0 and b.area >= a.area / 2.4e0),
-  sc as (select photo_id, seed, round(sum(area) * sqrt(count(*)) * (0.5e0 + 0.5e0 * sum(sharpness * 1e0) / count(*) / 100), 12) as score from pair group by 1, 2),
-  top as (select photo_id, arg_max(seed, (score, -seed)) as seed from sc group by 1)
-  select p.photo_id, p.face_index from pair p join top t on t.photo_id = p.photo_id and t.seed = p.seed""")
+@query()
 def dominant_cluster(spark, sf_dir):
-    return _flat(_sets(spark, sf_dir), faces.dominant(F.col("faces")))
+    return _flat(faces.dominant(_sets(spark, sf_dir)), F.col("faces"))
 
 
 @query()
 def clean_faces(spark, sf_dir):
     """Artifacts, displayed media and redundant boxes out, then the dominant group."""
     sets = _sets(spark, sf_dir)
-    for step in (faces.without_artifacts, faces.without_displayed_media, faces.suppressed, faces.dominant):
+    for step in (faces.without_artifacts, faces.without_displayed_media, faces.suppressed):
         sets = sets.withColumn("faces", step(F.col("faces")))
-    return _flat(sets, F.col("faces"))
+    return _flat(faces.dominant(sets), F.col("faces"))
 
 
 @query(""", z as (select photo_id, arg_min(face_index, (hi, -eye_conf, face_index)) as face_index, count(*) as closed_faces from tiered where eye = 'closed' and area >= 0.01 and area < 0.1 group by 1) select * from z""")

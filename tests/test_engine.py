@@ -140,6 +140,59 @@ def test_suppression_and_its_order(spark):
     assert got == {p: loop_suppressed(s) for p, s in enumerate(sets) if s}
 
 
+def loop_dominant(fs):
+    """Subjects of faces (index, left, top, width, height, sharpness, yaw)."""
+    if len(fs) < 2:
+        return [f[0] for f in fs]
+    m = [dict(i=f[0], area=max(0, f[3]) * max(0, f[4]), x=f[1] + f[3] / 2, y=f[2] + f[4] / 2, f=f, s=f[5], yaw=f[6]) for f in fs]
+    med = lambda v: float(np.median(v))
+    prom = lambda o: o["area"] * (0.35 + 0.65 * o["s"] / 100)
+    peers = lambda seed: [o for o in m if max(o["area"], seed["area"]) <= 2.4 * min(o["area"], seed["area"])]
+    score = lambda g: round(sum(o["area"] for o in g) * len(g) ** 0.5 * (0.5 + 0.5 * sum(o["s"] for o in g) / len(g) / 100), 12)
+    groups = [peers(o) for o in m]
+    rank = lambda k: (score(groups[k]), len(groups[k]), -k)
+    g = groups[max(range(len(m)), key=rank)]
+    many = [k for k in range(len(m)) if len(groups[k]) > 1]
+    first = max(m, key=lambda o: (prom(o), -o["i"]))
+    if many:
+        g = dense = groups[max(many, key=rank)]
+        if first not in dense:
+            area, (_, left, top, w, h, _, _) = med([o["area"] for o in dense]), first["f"]
+            edge = left < 0.08 or top < 0.06 or left + w > 0.92 or top + h > 0.94 or first["x"] < 0.16 or first["x"] > 0.84
+            front = first["area"] >= area * 1.55 and first["s"] >= 0.8 * med([o["s"] for o in dense]) and first["s"] >= 45
+            win = prom(first) >= 1.2 * max(map(prom, dense)) and first["area"] >= 1.35 * area and first["s"] >= 45
+            if not (first["area"] >= 3.5 * area and edge) and (front or win):
+                g = peers(first)
+    if len(g) > 2:
+        cx, cy, w, h = (med(v) for v in ([o["x"] for o in g], [o["y"] for o in g], [o["f"][3] for o in g], [o["f"][4] for o in g]))
+        mx, my = med([abs(o["x"] - cx) for o in g]), med([abs(o["y"] - cy) for o in g])
+        lx, ly = max(3.25 * mx, 2.5 * w), max(3.25 * my, 1.75 * h)
+        if my <= 0.55 * h:
+            lx = max(lx, 2.75 * med(np.diff(sorted(o["x"] for o in g))), 4 * w)
+        g = [o for o in g if abs(o["x"] - cx) <= lx and abs(o["y"] - cy) <= ly] or g
+    least = lambda g: max(1, math.ceil(0.35 * len(g)))
+    if len(g) > 1:
+        md, mx = med([o["s"] for o in g]), max(o["s"] for o in g)
+        if not (md < 20 and mx < 40):
+            kept = [o for o in g if o["s"] >= 0.48 * md and not (mx >= 55 and o["s"] < 0.45 * mx and o["s"] < 50)]
+            g = kept if len(kept) >= least(g) else g
+    if len(g) > 1:
+        md = med([o["s"] for o in g])
+        if md >= 40 and any(abs(o["yaw"]) < 18 and o["s"] >= 0.9 * md and o["s"] >= 50 for o in g):
+            kept = [o for o in g if not (abs(o["yaw"]) >= 28 and o["s"] < 0.72 * md)]
+            g = kept if len(kept) >= least(g) else g
+    return sorted(o["i"] for o in g)
+
+
+def test_dominant_faces(spark):
+    r = random.Random(4)
+    sets = [[(i, r.randint(0, 80) / 100, r.choice([40, 42, r.randint(0, 80)]) / 100, r.randint(4, 30) / 100, r.randint(4, 30) / 100, float(r.randint(0, 100)), float(r.choice([0, 0, 34]))) for i in range(r.randint(1, 8))] for _ in range(150)]
+    rows = [(p, f[0], f[1:5], f[5], f[6]) for p, s in enumerate(sets) for f in s]
+    df = faces.gather(spark.createDataFrame(rows, f"photo_id long, face_index int, box struct<{BOX}>, sharpness double, yaw double"), "sharpness", "yaw")
+    got = {x.photo_id: [f.face_index for f in x.faces] for x in faces.dominant(df, yaw=lambda f: f["yaw"]).collect()}
+    assert got == {p: loop_dominant(s) for p, s in enumerate(sets)}
+
+
 def test_face_clusters(spark):
     got = identity.cluster_faces(catalogue._album_faces(spark, DIR)).collect()
     rows = catalogue._album_faces(spark, DIR).select("album_id", "photo_id", "captured_at", "face_index", "print", "area").collect()
