@@ -26,6 +26,8 @@ LIST, CENTROIDS = 512, 16_384
 #: Vectors of the sample for each centroid; the sample is at most CENTROIDS times that.
 SAMPLE = 32
 DEGREE, BEAM = 24, 48
+#: Beam for placing vectors, of which only the nearest few centroids matter.
+PLACE_BEAM = 12
 #: A vector's copies in lists, at most, and how much farther than its nearest they may be (distances).
 COPIES, NEAR = 4, 1.15
 #: Lists that a query reads: at least LISTS, and all of the beam within RATIO times the nearest's distance.
@@ -103,7 +105,7 @@ class Graph:
 
 def _lists(graph: Graph, x: np.ndarray) -> list[np.ndarray]:
     """The lists a vector goes to."""
-    ids, far = graph.search(x)
+    ids, far = graph.search(x, PLACE_BEAM)
     far = np.sqrt(np.maximum(far, 0))
     out = []
     for i, d in zip(ids, far):
