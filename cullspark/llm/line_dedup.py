@@ -13,6 +13,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +26,8 @@ SIMILAR = 0.8
 #: Buckets of the rarity table, a number each.
 BUCKETS = 1 << 18
 CHARS_AT_ONCE = 1 << 18
+#: A prefix word in more lines than this is compared in blocks of so many lines, and its links are counted, not listed.
+FEW, BLOCK = 100, 1024
 
 
 def _batches(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[list[str]]]]:
@@ -108,36 +111,109 @@ def lines(docs: DataFrame, counts: np.ndarray) -> DataFrame:
     return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, line int, class long, n int, prefix array<long>")
 
 
-def _candidates(reps: DataFrame) -> DataFrame:
-    """Pairs of classes (a, b) that share a prefix word and pass both filters."""
-    posted = cut(reps.where(F.size("prefix") > 0).select("class", "n", F.posexplode("prefix").alias("at", "word")), "posted")
-    one, two = (posted.select("word", *(F.col(c).alias(c + k) for c in ("class", "n", "at"))) for k in "12")
+def _candidates(cold: DataFrame) -> DataFrame:
+    """Pairs of classes (a, b) that share a word of few lines and pass both filters.
+
+    At the first such word that a pair shares, what it may share before are words of many lines: so many
+    at most as either has (hots).
+    """
+    one, two = (cold.select("word", *(F.col(c).alias(c + k) for c in ("class", "n", "at", "hots"))) for k in "12")
     need = F.ceil(F.round(SIMILAR / (1 + SIMILAR) * (F.col("n1") + F.col("n2")), 6))
     fits = F.least("n1", "n2") >= SIMILAR * F.greatest("n1", "n2") - 1e-9
-    left = 1 + F.least(F.col("n1") - F.col("at1"), F.col("n2") - F.col("at2")) - 1
+    left = F.least(F.col("n1") - F.col("at1"), F.col("n2") - F.col("at2")) + F.least("hots1", "hots2")
     return one.join(two, "word").where((F.col("class1") < F.col("class2")) & fits & (left >= need)).select(F.col("class1").alias("a"), F.col("class2").alias("b")).distinct()
 
 
-def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pairs of classes whose first lines are similar enough."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(reps.select("class", "doc_id", "line"), "class")
+def _hot_links(hot: DataFrame, every: DataFrame, words: DataFrame) -> DataFrame:
+    """class, links and near (the first place of a linked line) from words of many lines.
+
+    hot: word, class, n, at. every: all prefix words (class, at, word, hot) of the classes in hot. words:
+    class, doc_id, line, words. A word's lines are dealt into blocks, each block meets each other once,
+    and a task counts a block's links instead of listing them. A pair belongs to the first word of many
+    lines that it shares, unless it shares one of few lines, where the join has it.
+    """
+    prefix = every.groupBy("class").agg(F.array_sort(F.collect_list(F.struct("at", "word", "hot"))).alias("prefix"))
+    full = cut(prefix.join(words, "class"), "full")
+    sizes = cut(hot.groupBy("word").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("blocks")), "sizes")
+    own = F.pmod(F.xxhash64("class"), F.col("blocks"))
+    meets = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("own")).alias("l"), F.greatest(o, F.col("own")).alias("r")))
+    dealt = hot.join(sizes, "word").withColumn("own", own).withColumn("m", F.explode(meets)).select("word", "m.l", "m.r", "own", "class", "n", "at").join(full, "class")
+    counted = dealt.groupBy("word", "l", "r").applyInPandas(_count, "class long, links long, doc_id long, line int")
+    return counted.select("class", "links", F.struct("doc_id", "line").alias("near"))
+
+
+def _matrix(sets: list[list]) -> np.ndarray:
+    """Rows of 0 and 1 over the members of all sets."""
+    number: dict = {}
+    rows = [[number.setdefault(x, len(number)) for x in s] for s in sets]
+    out = np.zeros((len(sets), max(1, len(number))), np.float32)
+    for i, r in enumerate(rows):
+        out[i, r] = 1
+    return out
+
+
+def _count(group: pd.DataFrame) -> pd.DataFrame:
+    group = group.sort_values(["doc_id", "line"]).reset_index(drop=True)
+    sets = _matrix([list(w) for w in group["words"]])
+    n = sets.sum(axis=1)
+    shared = sets @ sets.T
+    linked = shared >= SIMILAR * (n[:, None] + n[None, :] - shared) - 1e-4
+    cold = _matrix([[p["word"] for p in ps if not p["hot"]] for ps in group["prefix"]])
+    before = _matrix([[p["word"] for p in ps if p["hot"] and p["at"] < at] for ps, at in zip(group["prefix"], group["at"])])
+    linked &= (cold @ cold.T == 0) & (before @ before.T == 0)
+    np.fill_diagonal(linked, False)
+    if group["l"].iloc[0] != group["r"].iloc[0]:  # pairs inside a block are counted in its own group
+        own = group["own"].to_numpy()
+        linked &= own[:, None] != own[None, :]
+    links = linked.sum(axis=1)
+    first = linked.argmax(axis=1)  # rows are in order of place
+    at = np.flatnonzero(links)
+    own, doc, line = (group[c].to_numpy() for c in ("class", "doc_id", "line"))
+    return pd.DataFrame({"class": own[at], "links": links[at].astype(np.int64), "doc_id": doc[first[at]], "line": line[first[at]]})
+
+
+def _words(classes: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+    """class, doc_id, line and the words of its first line."""
+    wanted = classes.select("class").distinct().join(reps.select("class", "doc_id", "line"), "class")
     wanted = cut(wanted.groupBy("doc_id").agg(F.collect_list(F.struct("class", "line")).alias("wanted")), "wanted")
     few = wanted.count() <= BROADCAST_ROWS // 10
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(wanted) if few else wanted, "doc_id")
     words = F.array_distinct(F.filter(F.split(F.lower(F.element_at(F.split("text", "\n"), F.col("w.line") + 1)), r"\s+"), lambda x: x != ""))
-    found = cut(texts.select("text", F.explode("wanted").alias("w")).select(F.col("w.class").alias("class"), words.alias("words")).dropDuplicates(["class"]), "found")
+    found = texts.select("doc_id", "text", F.explode("wanted").alias("w")).select(F.col("w.class").alias("class"), "doc_id", F.col("w.line").alias("line"), words.alias("words"))
+    return cut(found.dropDuplicates(["class"]), "found")
+
+
+def _verified(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """Pairs of classes whose first lines are similar enough."""
     both = pairs.join(found.select(F.col("class").alias("a"), F.col("words").alias("x")), "a").join(found.select(F.col("class").alias("b"), F.col("words").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
     return cut(both.where(shared >= SIMILAR * (F.size("x") + F.size("y") - shared) - 1e-9).select("a", "b"), "links")
 
 
+def linked(reps: DataFrame, docs: DataFrame) -> DataFrame:
+    """class, links and near (the first place of a linked line) of every class with links."""
+    posted = cut(reps.where(F.size("prefix") > 0).select("class", "n", F.posexplode("prefix").alias("at", "word")), "posted")
+    hot_words = cut(posted.groupBy("word").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > FEW).select(F.col("word").alias("hot_word")), "hot")
+    flagged = cut(posted.join(hot_words, F.col("word") == F.col("hot_word"), "left").withColumn("hot", F.col("hot_word").isNotNull()).drop("hot_word"), "flagged")
+    hots = cut(flagged.where("hot").groupBy("class").agg(F.count(F.lit(1)).cast("int").alias("hots")), "hots")
+    cold = flagged.where("not hot").join(hots, "class", "left").withColumn("hots", F.coalesce("hots", F.lit(0)))
+    pairs = cut(_candidates(cold), "pairs")
+    found = _words(pairs.select(F.explode(F.array("a", "b")).alias("class")).unionByName(hots.select("class")), reps, docs)
+    links = _verified(pairs, found)
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    place = reps.select(F.col("class").alias("b"), F.struct("doc_id", "line").alias("near"))
+    listed = both.join(place, "b").select(F.col("a").alias("class"), F.lit(1).cast("long").alias("links"), "near")
+    counted = _hot_links(flagged.where("hot").drop("hot"), flagged.join(hots, "class", "left_semi"), found)
+    return cut(listed.unionByName(counted).groupBy("class").agg(F.sum("links").alias("links"), F.min("near").alias("near")), "linked")
+
+
 def similar_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """All lines with words; their classes with the first line of each; and the links between classes."""
+    """All lines with words; their classes with the first line of each; and the classes' links (class, links, near)."""
     every = cut(lines(docs, rarity(docs)), "lines")
     first = every.groupBy("class").agg(F.min("doc_id").alias("doc_id"))
     at = every.join(cut(first, "first"), ["class", "doc_id"]).groupBy("class", "doc_id").agg(F.min("line").alias("line"))
     reps = cut(every.join(cut(at, "at"), ["class", "doc_id", "line"]).dropDuplicates(["class"]), "reps")
-    return every.drop("prefix"), reps, _verified(cut(_candidates(reps), "pairs"), reps, docs)
+    return every.drop("prefix"), reps, linked(reps, docs)
 
 
 @F.pandas_udf(T.StringType())
@@ -154,10 +230,7 @@ def without_similar_lines(docs: DataFrame) -> DataFrame:
     text lose the same lines. A text may become empty; no row is dropped. No rows in, no rows out.
     """
     every, reps, links = similar_lines(docs)
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    place = reps.select(F.col("class").alias("b"), F.struct("doc_id", "line").alias("place"))
-    linked = both.join(place, "b").groupBy(F.col("a").alias("class")).agg(F.min("place").alias("near"), F.count(F.lit(1)).alias("links"))
-    best = reps.select("class", F.struct("doc_id", "line").alias("own")).join(linked, "class", "left")
+    best = reps.select("class", F.struct("doc_id", "line").alias("own")).join(links, "class", "left")
     best = cut(best.select("class", F.least("own", F.coalesce("near", "own")).alias("best"), F.coalesce("links", F.lit(0).cast("long")).alias("links")), "best")
     judged = every.distinct().join(best, "class").withColumn("gone", F.col("best") < F.struct("doc_id", "line"))
     by = judged.groupBy(F.col("doc_id").alias("by_id")).agg(F.count(F.lit(1)).alias("n_lines"), F.sum("links").alias("n_links"), F.collect_list(F.when(F.col("gone"), F.col("line"))).alias("gone"))
