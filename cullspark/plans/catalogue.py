@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import detector, display
 from ..functions import scalar as S
 from ..operators import duplicates, faces, identity, incremental, merge, stats
 from ..sources.fixtures import DUCK, labelled, photos
@@ -483,3 +484,32 @@ def hash_neighbours(spark, sf_dir):
 @query()
 def legacy_duplicates(spark, sf_dir):
     return duplicates.greedy_duplicates(photos(spark, sf_dir))
+
+
+# --- detector output and display
+
+@query(_REF + """, d as (select t.*, ref, n, sharpness / 100e0 as score, box_left + box_width / 2 as x, box_top + box_height / 2 as y, box_width / box_height as shape from tiered t join ref using (photo_id) join cnt using (photo_id)),
+  j as (select *, (score >= 0.55 and area >= 0.0025) or (score >= 0.70 and area >= 0.0015) or (score >= 0.68 and area >= 0.00045) or not (
+      (area < 0.0015 and score < 0.55) or (area < 0.00090 and score < 0.68) or ((shape < 0.48 or shape > 1.75) and score < 0.65)
+      or (n >= 3 and area < ref * 0.18 and area < 0.0030 and score < 0.60) or (n >= 8 and area < 0.0018 and score < 0.58)
+      or (least(x, 1 - x, y, 1 - y) < 0.06 and area < 0.0035 and score < 0.58) or (area < 0.0060 and score < 0.50)) as keep from d),
+  k as (select *, count(*) filter (keep) over (partition by photo_id) as kept from j)
+  select photo_id, face_index from k where keep or n <= 1 or kept = 0""")
+def detector_filter(spark, sf_dir):
+    sets = faces.gather(labelled(spark, sf_dir).withColumn("score", F.col("sharpness") / 100), "score")
+    sets = sets.withColumn("ref", faces.reference_area(F.col("faces")))
+    return _flat(sets, detector.without_weak(F.col("faces"), F.col("ref")))
+
+
+@query("""select photo_id, face_index, not (hi <= 0.05 and (left_prob + right_prob) / 2 <= 0.05) as open,
+  round(least(99, case when hi <= 0.05 and (left_prob + right_prob) / 2 <= 0.05 then 88 + 11 * greatest(0e0, least(1e0, (0.10e0 - hi) / 0.10e0))
+    when lo >= 0.34 or (left_prob + right_prob) / 2 >= 0.28 or (hi >= 0.34 and lo >= 0.18) or hi >= 0.28 or (left_prob + right_prob) / 2 >= 0.16 then 86 + 12 * greatest(0e0, least(1e0, ((left_prob + right_prob) / 2 - 0.18e0) / 0.82e0)) else 74e0 end), 6) as confidence from tiered""")
+def eye_probability_state(spark, sf_dir):
+    s = detector.eye_state(F.col("left_prob"), F.col("right_prob"))
+    return labelled(spark, sf_dir).withColumn("s", s).select("photo_id", "face_index", "s.open", F.round("s.confidence", 6).alias("confidence"))
+
+
+@query("select album_id, greatest(count(*), 60) as total, case when sum(file_size) / 1073741824e0 < 1 then printf('%.2f GB', greatest(0.01e0, floor((sum(file_size) / 1073741824e0 * 1024 + 5) / 10) * 0.01e0)) else printf('%.1f GB', sum(file_size) / 1073741824e0) end as size from photos0 group by 1")
+def album_cards(spark, sf_dir):
+    t = stats.album_totals(photos(spark, sf_dir))
+    return t.select("album_id", display.card_total(F.col("photos"), F.lit(60)).alias("total"), display.storage_size(F.col("bytes") / 1024**3).alias("size"))
