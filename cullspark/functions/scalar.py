@@ -235,3 +235,24 @@ def grid_matches(selection: str | None = None, stars: tuple[int, ...] = (), keys
     chosen = {"selected": F.col("selected"), "unselected": ~F.col("selected"), None: F.lit(True)}[selection]
     rated = F.coalesce("star_rating", F.lit(0)).isin(*stars) if stars else F.lit(True)
     return chosen & rated & (reduce(lambda a, b: a | b, map(flag_matches, keys)) if keys else F.lit(True))
+
+
+def native_face(face: Column, photo_id: Column, index: Column) -> Column:
+    """A detector's face as the engine holds it: its own labels if they are valid, else ours, and defaults."""
+    eyes, sharp = face["eyesOpen"], F.coalesce(face["sharpness"], F.lit(0.0))
+    eye = F.when(face["eyeStatus"].isin("open", "closed", "partial"), face["eyeStatus"]).otherwise(eye_status(eyes["value"], eyes["confidence"], eyes["left"], eyes["right"]))
+    focus = F.when(face["focusLevel"].isin("good", "soft", "blurred"), face["focusLevel"]).otherwise(focus_level(sharp))
+    return F.struct(face["boundingBox"].alias("boundingBox"), eye.alias("eyeStatus"), F.coalesce(eyes["confidence"], F.lit(0.0)).alias("eyeConfidence"), focus.alias("focusLevel"), sharp.alias("sharpness"), F.coalesce(face["brightness"], F.lit(0.0)).alias("brightness"), F.concat_ws("-", photo_id, index).alias("clusterId"))
+
+
+def eye_label(eye: Column) -> Column:
+    return F.when(eye == "closed", "Closed Eyes").when(eye == "partial", "Partial Eyes").otherwise("Open Eyes")
+
+
+def focus_label(focus: Column) -> Column:
+    return F.when(focus == "blurred", "Blurred").when(focus == "soft", "Soft Focus").otherwise("Good Focus")
+
+
+def status_colour(status: Column) -> Column:
+    """good, warning or bad for an eye or focus status."""
+    return F.when(status.isin("closed", "blurred"), "bad").when(status.isin("partial", "soft"), "warning").otherwise("good")

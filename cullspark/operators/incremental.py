@@ -55,3 +55,54 @@ def toggle_star(photos: DataFrame, clicks: DataFrame) -> DataFrame:
     """New ratings after clicks (album_id, photo_id, star): the same star again clears it."""
     j = photos.join(clicks, ["album_id", "photo_id"])
     return j.select("album_id", "photo_id", F.when(F.coalesce("star_rating", F.lit(0)) == F.col("star"), 0).otherwise(F.col("star")).alias("star_rating"))
+
+
+def edited(photos: DataFrame, edits: DataFrame, albums: DataFrame) -> DataFrame:
+    """photos after edits (album_id, photo_id, new_selected, new_star; null leaves a field), refused where the album has uploads.
+
+    albums: album_id, has_uploads.
+    """
+    keys = ["album_id", "photo_id"]
+    allowed = edits.join(albums.where("has_uploads").select("album_id"), "album_id", "left_anti")
+    j = photos.join(allowed, keys, "left")
+    new = {"selected": F.coalesce("new_selected", "selected"), "star_rating": F.coalesce("new_star", "star_rating")}
+    return j.withColumns(new).select(photos.columns)
+
+
+def stats_after_edit(stats: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
+    """stats with my_selections moved by the selections that changed, never below 0."""
+    j = before.select("album_id", "photo_id", F.col("selected").alias("was")).join(after.select("album_id", "photo_id", "selected"), ["album_id", "photo_id"])
+    moved = j.where("was <> selected").groupBy("album_id").agg(F.sum(F.when(F.col("selected"), 1).otherwise(-1)).alias("_d"))
+    s = stats.join(moved, "album_id", "left")
+    return s.withColumn("my_selections", F.greatest(F.lit(0), F.col("my_selections") + F.coalesce("_d", F.lit(0)))).select(stats.columns)
+
+
+def with_crops(variants: DataFrame, crops: DataFrame) -> DataFrame:
+    """Key faces whose crop_uri is missing take that of their source face, if there is one.
+
+    variants: photo_id, face_index, crop_uri and others. crops: photo_id, face_index, crop_uri.
+    """
+    c = crops.where("crop_uri is not null").groupBy("photo_id", "face_index").agg(F.min("crop_uri").alias("_c"))
+    return variants.join(c, ["photo_id", "face_index"], "left").withColumn("crop_uri", F.coalesce("crop_uri", "_c")).select(variants.columns)
+
+
+def pruned(photos: DataFrame) -> DataFrame:
+    """What an album keeps when its import is cancelled: photos that had arrived."""
+    return photos.where("status = 'uploaded'")
+
+
+def started(albums: DataFrame, photos: DataFrame) -> DataFrame:
+    """album_id and started: completed before, or any photo past idle. albums: album_id, completed."""
+    any_ = photos.groupBy("album_id").agg(F.bool_or(F.coalesce(F.col("analysis_status") != "idle", F.lit(False))).alias("_any"))
+    return albums.join(any_, "album_id", "left").select("album_id", (F.coalesce("completed", F.lit(False)) | F.coalesce("_any", F.lit(False))).alias("started"))
+
+
+def after_delete(photos: DataFrame, stats: DataFrame, members: DataFrame, variants: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Photos, stats, duplicate groups and key faces after a deletion, each from its own former state."""
+    keys = ["album_id", "photo_id"]
+    out = photos.join(gone.select(*keys), keys, "left_semi")
+    left = groups_after_delete(members, photos.drop("duplicated"), gone)
+    kept = photos.join(gone.select(*keys), keys, "left_anti")
+    freed = kept.drop("duplicated").join(left.select(*keys, F.col("duplicated").alias("_d")), keys, "left")
+    freed = freed.withColumn("duplicated", F.coalesce("_d", F.lit(False))).select(photos.columns)
+    return freed, stats_after_delete(stats, out), left, key_faces_after_delete(variants, gone)
