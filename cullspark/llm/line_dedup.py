@@ -185,16 +185,19 @@ def _words(classes: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
 
 def _verified(pairs: DataFrame, found: DataFrame) -> DataFrame:
     """Pairs of classes whose first lines are similar enough."""
-    both = pairs.join(found.select(F.col("class").alias("a"), F.col("words").alias("x")), "a").join(found.select(F.col("class").alias("b"), F.col("words").alias("y")), "b")
+    # words joined by spaces take half the room of arrays on the way
+    side = lambda c, x: found.select(F.col("class").alias(c), F.array_join("words", " ").alias(x))
+    both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", F.split("x", " ").alias("x"), F.split("y", " ").alias("y"))
     shared = F.size(F.array_intersect("x", "y"))
     return cut(both.where(shared >= SIMILAR * (F.size("x") + F.size("y") - shared) - 1e-9).select("a", "b"), "links")
 
 
 def linked(reps: DataFrame, docs: DataFrame) -> DataFrame:
     """class, links and near (the first place of a linked line) of every class with links."""
-    posted = cut(reps.where(F.size("prefix") > 0).select("class", "n", F.posexplode("prefix").alias("at", "word")), "posted")
+    posted = reps.where(F.size("prefix") > 0).select("class", "n", F.posexplode("prefix").alias("at", "word"))
     hot_words = cut(posted.groupBy("word").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > FEW).select(F.col("word").alias("hot_word")), "hot")
-    flagged = cut(posted.join(hot_words, F.col("word") == F.col("hot_word"), "left").withColumn("hot", F.col("hot_word").isNotNull()).drop("hot_word"), "flagged")
+    few = hot_words.count() <= BROADCAST_ROWS
+    flagged = cut(posted.join(F.broadcast(hot_words) if few else hot_words, F.col("word") == F.col("hot_word"), "left").withColumn("hot", F.col("hot_word").isNotNull()).drop("hot_word"), "flagged")
     hots = cut(flagged.where("hot").groupBy("class").agg(F.count(F.lit(1)).cast("int").alias("hots")), "hots")
     cold = flagged.where("not hot").join(hots, "class", "left").withColumn("hots", F.coalesce("hots", F.lit(0)))
     pairs = cut(_candidates(cold), "pairs")
@@ -210,9 +213,8 @@ def linked(reps: DataFrame, docs: DataFrame) -> DataFrame:
 def similar_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """All lines with words; their classes with the first line of each; and the classes' links (class, links, near)."""
     every = cut(lines(docs, rarity(docs)), "lines")
-    first = every.groupBy("class").agg(F.min("doc_id").alias("doc_id"))
-    at = every.join(cut(first, "first"), ["class", "doc_id"]).groupBy("class", "doc_id").agg(F.min("line").alias("line"))
-    reps = cut(every.join(cut(at, "at"), ["class", "doc_id", "line"]).dropDuplicates(["class"]), "reps")
+    first = every.groupBy("class").agg(F.min(F.struct("doc_id", "line")).alias("at")).select("class", "at.doc_id", "at.line")
+    reps = cut(every.join(cut(first, "first"), ["doc_id", "line", "class"], "left_semi").dropDuplicates(["doc_id", "line", "class"]), "reps")
     return every.drop("prefix"), reps, linked(reps, docs)
 
 
