@@ -27,7 +27,7 @@ SIMILAR = 0.8
 BUCKETS = 1 << 18
 CHARS_AT_ONCE = 1 << 18
 #: A prefix word in more lines than this is compared in blocks of so many lines, and its links are counted, not listed.
-FEW, BLOCK = 100, 1024
+FEW, BLOCK = 500, 1024
 
 
 def _batches(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[list[str]]]]:
@@ -154,7 +154,7 @@ def _matrix(sets: list[list]) -> np.ndarray:
 
 def _count(group: pd.DataFrame) -> pd.DataFrame:
     group = group.sort_values(["doc_id", "line"]).reset_index(drop=True)
-    sets = _matrix([list(w) for w in group["words"]])
+    sets = _matrix([w.split(" ") for w in group["words"]])
     n = sets.sum(axis=1)
     shared = sets @ sets.T
     linked = shared >= SIMILAR * (n[:, None] + n[None, :] - shared) - 1e-4
@@ -173,20 +173,19 @@ def _count(group: pd.DataFrame) -> pd.DataFrame:
 
 
 def _words(classes: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
-    """class, doc_id, line and the words of its first line."""
+    """class, doc_id, line and the words of its first line, joined by spaces, which takes half the room of an array."""
     wanted = classes.select("class").distinct().join(reps.select("class", "doc_id", "line"), "class")
     wanted = cut(wanted.groupBy("doc_id").agg(F.collect_list(F.struct("class", "line")).alias("wanted")), "wanted")
     few = wanted.count() <= BROADCAST_ROWS // 10
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(wanted) if few else wanted, "doc_id")
     words = F.array_distinct(F.filter(F.split(F.lower(F.element_at(F.split("text", "\n"), F.col("w.line") + 1)), r"\s+"), lambda x: x != ""))
-    found = texts.select("doc_id", "text", F.explode("wanted").alias("w")).select(F.col("w.class").alias("class"), "doc_id", F.col("w.line").alias("line"), words.alias("words"))
+    found = texts.select("doc_id", "text", F.explode("wanted").alias("w")).select(F.col("w.class").alias("class"), "doc_id", F.col("w.line").alias("line"), F.array_join(words, " ").alias("words"))
     return cut(found.dropDuplicates(["class"]), "found")
 
 
 def _verified(pairs: DataFrame, found: DataFrame) -> DataFrame:
     """Pairs of classes whose first lines are similar enough."""
-    # words joined by spaces take half the room of arrays on the way
-    side = lambda c, x: found.select(F.col("class").alias(c), F.array_join("words", " ").alias(x))
+    side = lambda c, x: found.select(F.col("class").alias(c), F.col("words").alias(x))
     both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", F.split("x", " ").alias("x"), F.split("y", " ").alias("y"))
     shared = F.size(F.array_intersect("x", "y"))
     return cut(both.where(shared >= SIMILAR * (F.size("x") + F.size("y") - shared) - 1e-9).select("a", "b"), "links")
