@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,12 +35,15 @@ def match_faces(faces: list[tuple[list[float], float]], clusters: dict[str, tupl
     cluster once; a matched cluster blends towards the face, other faces found new clusters.
     """
     near = []
-    for i, (print_, size) in enumerate(faces):
-        for k, (known, area) in clusters.items():
-            big, small = max(size, area), min(size, area)
-            d = rms(print_, known)
-            if d < MATCH and (small > 0 and big / small <= MATCH_AREA):
-                near.append((d, i, k))
+    names = list(clusters)
+    for length in {len(p) for p, _ in clusters.values()}:
+        own = [k for k in names if len(clusters[k][0]) == length]
+        known, area = np.array([clusters[k][0] for k in own]), np.array([clusters[k][1] for k in own])
+        for i, (print_, size) in enumerate(faces):
+            if 0 < len(print_) <= length and size > 0:  # a shorter print is held against the beginning, a longer one matches nothing
+                d = np.sqrt(((np.array(print_) - known[:, : len(print_)]) ** 2).sum(axis=1) / len(print_))
+                fits = (d < MATCH) & (area > 0) & (np.maximum(area, size) <= MATCH_AREA * np.minimum(area, size))
+                near += [(d[k], i, own[k]) for k in np.flatnonzero(fits)]
     out: list[str | None] = [None] * len(faces)
     used: set[str] = set()
     for _, i, k in sorted(near, key=lambda x: x[0]):
