@@ -46,6 +46,13 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(*written: DataFrame) -> None:
+    """Deletes tables that cut() wrote and that nothing reads any more, such as what is returned later."""
+    for df in written:
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            _delete(df.sparkSession, folder)
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Whole texts go to Python in batches of so many rows, so that long ones don't add up in a worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)

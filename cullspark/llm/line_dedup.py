@@ -1,11 +1,13 @@
 """Line dedup by an exact set-similarity join of lines.
 
-Lines are sets of lower-cased words. Words are ordered by rarity (counts of the whole corpus in hashed
-buckets, so that the table has a fixed size; any order common to all lines gives exact results). Two
-sets of Jaccard similarity t share a word among the first n - ceil(t n) + 1 of either, so only these
-prefixes are joined, under the length filter and the positional filter; candidates are verified on the
-lines themselves. Lines with equal sets are one class throughout, and a line goes if its class, or one
-linked to it, has an earlier line.
+Lines are sets of lower-cased words, ordered by rarity (counts of the whole corpus in hashed buckets, so
+that the table has a fixed size; any order common to all lines gives exact results). Of two sets of
+Jaccard similarity t, the one of n words that is shorter and the longer one of m share a word among the
+first n - ceil(2t / (1 + t) n) + 1 of the former and the first m - ceil(t m) + 1 of the latter. Lines are
+dealt by these prefix words and sorted by length there, so that a line meets only those of fitting length
+behind it; the positional filter and a bound of the overlap from 64 parities follow, and what is left
+is verified on the lines themselves. Lines with equal sets are one class throughout, and a line goes if
+its class, or one linked to it, has an earlier line.
 """
 
 from __future__ import annotations
@@ -15,19 +17,23 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BROADCAST_ROWS, cut
-from .minhash import U, _mix, word_hashes
+from .common import BROADCAST_ROWS, cut, forget
+from .minhash import GOLD, U, _mix, word_hashes
 
 SIMILAR = 0.8
 #: Buckets of the rarity table, a number each.
 BUCKETS = 1 << 18
 CHARS_AT_ONCE = 1 << 18
-#: A prefix word in more lines than this is compared in blocks of so many lines, and its links are counted, not listed.
+#: Where a prefix word has more lines than this in two neighbouring grades of length, they are compared in blocks
+#: of so many lines, and their links are counted, not listed.
 FEW, BLOCK = 500, 1024
+PAIRS_AT_ONCE = 1 << 20
+#: Bits of the filter of places: 16 a place, up to so many; beyond, more lines pass it, which a join drops.
+FILTER_BITS = 1 << 26
 
 
 def _batches(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[list[str]]]]:
@@ -45,16 +51,24 @@ def _batches(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[list[s
         yield ids, texts
 
 
-def _sets(texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-    """Line number over all texts and word hash of each distinct word of each line, sorted by both."""
+def _sets(texts: list[list[str]], count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Line number over all texts and each distinct word of each line, sorted by both.
+
+    A word is a number: 8 bits of rarity above 56 of its hash, so that its order is that of rarity.
+    """
     words = [line.lower().split() for lines in texts for line in lines]
     line = np.repeat(np.arange(len(words)), [len(w) for w in words])
     hashed = word_hashes(" ".join([x for w in words for x in w]).encode("utf-8", "replace"))
-    order = np.lexsort((hashed, line))
-    line, hashed = line[order], hashed[order]
+    word = (_rarity_bits(count[_bucket(hashed)]) << U(56)) | (hashed >> U(8))
+    order = np.lexsort((word, line))
+    line, word = line[order], word[order]
     first = np.ones(len(line), bool)
-    first[1:] = (line[1:] != line[:-1]) | (hashed[1:] != hashed[:-1])
-    return line[first], hashed[first]
+    first[1:] = (line[1:] != line[:-1]) | (word[1:] != word[:-1])
+    return line[first], word[first]
+
+
+def _rarity_bits(count: np.ndarray) -> np.ndarray:
+    return np.minimum(8 * np.log2(count.astype(np.float32) + 1), 255).astype(np.uint64)
 
 
 def _bucket(hashed: np.ndarray) -> np.ndarray:
@@ -62,12 +76,12 @@ def _bucket(hashed: np.ndarray) -> np.ndarray:
 
 
 def rarity(docs: DataFrame) -> np.ndarray:
-    """How often words of each bucket occur in all lines."""
+    """How often words of each bucket occur in all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS, np.int64)
         for _, texts in _batches(batches):
-            words = " ".join(" ".join(line.lower().split()) for lines in texts for line in lines if line and not line.isspace())
+            words = " ".join(line for lines in texts for line in lines).lower()
             total += np.bincount(_bucket(word_hashes(words.encode("utf-8", "replace"))), minlength=BUCKETS)
         on = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(on), pa.array(total[on])], ["bucket", "n"])
@@ -78,109 +92,233 @@ def rarity(docs: DataFrame) -> np.ndarray:
     return out
 
 
-def least_shared(n):
-    """Words that the prefix filter leaves out, plus one: the overlap that a partner must reach at least."""
-    return np.ceil(np.round(SIMILAR * n, 6)).astype(np.int64)
+def least_shared(n, share: float = SIMILAR):
+    """The words that a set of n must share with a partner at least; the prefix filter leaves out one less."""
+    return np.ceil(np.round(share * n, 6)).astype(np.int64)
+
+
+def _indexed(n: np.ndarray) -> np.ndarray:
+    """Length of the prefix in which a set meets longer ones."""
+    return n - least_shared(n, 2 * SIMILAR / (1 + SIMILAR)) + 1
+
+
+def _starts(line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each line's words start, and how many it has."""
+    start = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
+    return start, np.diff(np.append(start, len(line)))
+
+
+def _classes(word: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    return _mix(np.add.reduceat(_mix(word), start) + n.astype(np.uint64)).view(np.int64)
 
 
 def lines(docs: DataFrame, counts: np.ndarray) -> DataFrame:
-    """Lines with words: doc_id, line, class (hash of the set), n words, and the prefix by rarity."""
-    shared = docs.sparkSession.sparkContext.broadcast(counts)
+    """Lines with words: doc_id, line, class (hash of the set), n words, parities, and the prefix by rarity.
+
+    Bit b of parities says whether the words that hash to b are odd in number, so that two sets differ in
+    as many words at least as their parities do in bits. calm: so many words of the prefix occur too
+    seldom in the corpus to be in many lines.
+    """
+    shared, few = docs.sparkSession.sparkContext.broadcast(counts), _rarity_bits(np.array([FEW]))[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = shared.value
         for ids, texts in _batches(batches):
-            line, hashed = _sets(texts)
+            line, word = _sets(texts, count)
             if not len(line):
                 continue
-            order = np.lexsort((hashed, count[_bucket(hashed)], line))
-            line, hashed = line[order], hashed[order]
-            start = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
-            n = np.diff(np.append(start, len(line)))
-            kind = _mix(np.add.reduceat(_mix(hashed), start) + n.astype(np.uint64)).view(np.int64)
+            start, n = _starts(line)
+            parities = np.bitwise_xor.reduceat(U(1) << (word & U(63)), start).view(np.int64)
             keep = np.where(n < 4, 0, n - least_shared(n) + 1)  # sets of up to three words match only themselves
-            place = np.arange(len(line)) - np.repeat(start, n)
-            chosen = hashed[place < np.repeat(keep, n)].view(np.int64)
+            inside = np.arange(len(line)) - np.repeat(start, n) < np.repeat(keep, n)
+            calm = np.add.reduceat((inside & (word >> U(56) <= few)).astype(np.int64), start)
             of = line[start]
             sizes = [len(x) for x in texts]
             doc = np.repeat(np.array(ids, np.int64), sizes)[of]
             number = (np.arange(sum(sizes)) - np.repeat(np.cumsum([0, *sizes[:-1]]), sizes))[of]
-            prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(keep)]).astype(np.int32)), pa.array(chosen))
-            yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(number.astype(np.int32)), pa.array(kind), pa.array(n.astype(np.int32)), prefix], ["doc_id", "line", "class", "n", "prefix"])
-
-    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, line int, class long, n int, prefix array<long>")
+            prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(keep)]).astype(np.int32)), pa.array(word[inside].view(np.int64)))
+            columns = {"doc_id": doc, "line": number.astype(np.int32), "class": _classes(word, start, n), "n": n.astype(np.int32), "parities": parities, "calm": calm.astype(np.int32)}
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns.values()), prefix], [*columns, "prefix"])
+
+    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, line int, class long, n int, parities long, calm int, prefix array<long>")
+
+
+def grade(n: Column) -> Column:
+    """Lengths by powers of 1 / SIMILAR: a line's partners that are shorter are in its own grade or the one below."""
+    return F.floor(F.log(n) / F.log(F.lit(1 / SIMILAR))).cast("int")
+
+
+def _ranges(length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each i, i repeated length[i] times, and 0 to length[i] - 1."""
+    return np.repeat(np.arange(len(length)), length), np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
+
+
+def _met(word, kind, n, at, parities, hots, hot) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of classes of whole words' rows that pass the filters."""
+    order = np.lexsort((kind, n, word))
+    word, kind, n, at, parities, hots, hot = (c[order] for c in (word, kind, n, at, parities, hots, hot))
+    _, of = np.unique(word, return_inverse=True)
+    wide = np.int64(n.max()) * 2 + 2
+    place = of * wide + n
+    most = np.floor(n / SIMILAR + 1e-9).astype(np.int64)
+    meets = np.searchsorted(place, of * wide + most, "right") - np.arange(len(n)) - 1
+    meets = np.where((at < _indexed(n)) & ~hot, meets, 0)
+    done = np.cumsum(meets)
+    cuts = np.unique(np.concatenate([[0], np.searchsorted(done, np.arange(PAIRS_AT_ONCE, done[-1], PAIRS_AT_ONCE)) + 1, [len(n)]]))
+    for low, high in zip(cuts[:-1], cuts[1:]):
+        y, step = _ranges(meets[low:high])
+        y += low
+        x = y + 1 + step
+        need = least_shared(n[y] + n[x], SIMILAR / (1 + SIMILAR))
+        # words shared before the first one that this join sees are of many lines: no more than hots
+        fits = (n[y] + n[x] - np.bitwise_count((parities[y] ^ parities[x]).view(np.uint64)).astype(np.int64) >= 2 * need) & (np.minimum(n[y] - at[y], n[x] - at[x]) + hots[y] >= need)
+        yield kind[y[fits]], kind[x[fits]]
+
+
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Candidates (a, b) from rows sorted by word; a word's rows may go on in the next batch."""
+    rest = None
+    names = ["word", "class", "n", "at", "parities", "hots", "hot"]
+
+    def pairs(rows):
+        for a, b in _met(*rows):
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
+        rows = [r.astype(np.int64) if c in ("n", "at", "hots") else r for c, r in zip(names, rows)]
+        rows = [np.concatenate(x) for x in zip(rest, rows)] if rest else rows
+        end = np.searchsorted(rows[0], rows[0][-1])
+        if end:
+            yield from pairs([r[:end] for r in rows])
+        rest = [r[end:] for r in rows]
+    if rest:
+        yield from pairs(rest)
 
 
 def _candidates(cold: DataFrame) -> DataFrame:
-    """Pairs of classes (a, b) that share a word of few lines and pass both filters.
+    """Pairs of classes (a, b) that meet in a word of few lines."""
+    dealt = cold.select("word", "class", "n", "at", "parities", "hots", "hot").repartition("word").sortWithinPartitions("word")
+    return dealt.mapInArrow(_listed, "a long, b long").distinct()
 
-    At the first such word that a pair shares, what it may share before are words of many lines: so many
-    at most as either has (hots).
-    """
-    one, two = (cold.select("word", *(F.col(c).alias(c + k) for c in ("class", "n", "at", "hots"))) for k in "12")
-    need = F.ceil(F.round(SIMILAR / (1 + SIMILAR) * (F.col("n1") + F.col("n2")), 6))
-    fits = F.least("n1", "n2") >= SIMILAR * F.greatest("n1", "n2") - 1e-9
-    left = F.least(F.col("n1") - F.col("at1"), F.col("n2") - F.col("at2")) + F.least("hots1", "hots2")
-    return one.join(two, "word").where((F.col("class1") < F.col("class2")) & fits & (left >= need)).select(F.col("class1").alias("a"), F.col("class2").alias("b")).distinct()
 
-
-def _hot_links(hot: DataFrame, every: DataFrame, words: DataFrame) -> DataFrame:
+def _hot_links(flagged: DataFrame, hot_words: DataFrame, words: DataFrame) -> DataFrame:
     """class, links and near (the first place of a linked line) from words of many lines.
 
-    hot: word, class, n, at. every: all prefix words (class, at, word, hot) of the classes in hot. words:
-    class, doc_id, line, words. A word's lines are dealt into blocks, each block meets each other once,
-    and a task counts a block's links instead of listing them. A pair belongs to the first word of many
-    lines that it shares, unless it shares one of few lines, where the join has it.
+    flagged: all prefix words (class, n, at, word, grade, hot: the word has many lines in this grade and
+    the next, below: in the grade below and this one) of lines with such words; words: class, doc_id, line,
+    words. Lines that meet longer ones, and those, are dealt into blocks; each block of the former meets
+    each of the latter once, and a task counts links instead of listing them. A pair belongs to the first
+    word of many lines in which it meets, unless it meets in one of few lines, where the join has it.
     """
-    prefix = every.groupBy("class").agg(F.array_sort(F.collect_list(F.struct("at", "word", "hot"))).alias("prefix"))
+    prefix = flagged.groupBy("class", "n").agg(F.array_sort(F.collect_list(F.struct("at", "word", "hot"))).alias("prefix"))
     full = cut(prefix.join(words, "class"), "full")
-    sizes = cut(hot.groupBy("word").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("blocks")), "sizes")
-    own = F.pmod(F.xxhash64("class"), F.col("blocks"))
-    meets = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("own")).alias("l"), F.greatest(o, F.col("own")).alias("r")))
-    dealt = hot.join(sizes, "word").withColumn("own", own).withColumn("m", F.explode(meets)).select("word", "m.l", "m.r", "own", "class", "n", "at").join(full, "class")
-    counted = dealt.groupBy("word", "l", "r").applyInPandas(_count, "class long, links long, doc_id long, line int")
+    own = flagged.where("hot").select("word", "grade", "class", "at", F.array(F.lit(True), F.lit(False)).alias("roles"))
+    next_ = flagged.where("below").select("word", (F.col("grade") - 1).alias("grade"), "class", "at", F.array(F.lit(False)).alias("roles"))
+    rows = own.unionByName(next_).join(hot_words, ["word", "grade"]).withColumn("shorter", F.explode("roles"))
+    blocks = F.ceil(F.col("c") / BLOCK).cast("long")
+    mine = F.pmod(F.xxhash64("class"), blocks)
+    others = F.sequence(F.lit(0).cast("long"), blocks - 1)
+    meets = F.transform(others, lambda o: F.struct(F.when(F.col("shorter"), mine).otherwise(o).alias("l"), F.when(F.col("shorter"), o).otherwise(mine).alias("r")))
+    dealt = rows.withColumn("m", F.explode(meets)).select("word", "grade", "m.l", "m.r", "shorter", "class", "at").join(full, "class")
+    counted = dealt.groupBy("word", "grade", "l", "r").applyInPandas(_count, "class long, links long, doc_id long, line int")
     return counted.select("class", "links", F.struct("doc_id", "line").alias("near"))
 
 
-def _matrix(sets: list[list]) -> np.ndarray:
-    """Rows of 0 and 1 over the members of all sets."""
-    number: dict = {}
-    rows = [[number.setdefault(x, len(number)) for x in s] for s in sets]
+def _matrix(sets: list[list], number: dict) -> np.ndarray:
+    """Rows of 0 and 1 over the members that number has."""
     out = np.zeros((len(sets), max(1, len(number))), np.float32)
-    for i, r in enumerate(rows):
-        out[i, r] = 1
+    for i, s in enumerate(sets):
+        out[i, [number[x] for x in s if x in number]] = 1
     return out
 
 
+def _numbers(sets: list[list]) -> dict:
+    number: dict = {}
+    for s in sets:
+        for x in s:
+            number.setdefault(x, len(number))
+    return number
+
+
 def _count(group: pd.DataFrame) -> pd.DataFrame:
-    group = group.sort_values(["doc_id", "line"]).reset_index(drop=True)
-    sets = _matrix([w.split(" ") for w in group["words"]])
-    n = sets.sum(axis=1)
-    shared = sets @ sets.T
-    linked = shared >= SIMILAR * (n[:, None] + n[None, :] - shared) - 1e-4
-    cold = _matrix([[p["word"] for p in ps if not p["hot"]] for ps in group["prefix"]])
-    before = _matrix([[p["word"] for p in ps if p["hot"] and p["at"] < at] for ps, at in zip(group["prefix"], group["at"])])
-    linked &= (cold @ cold.T == 0) & (before @ before.T == 0)
-    np.fill_diagonal(linked, False)
-    if group["l"].iloc[0] != group["r"].iloc[0]:  # pairs inside a block are counted in its own group
-        own = group["own"].to_numpy()
-        linked &= own[:, None] != own[None, :]
-    links = linked.sum(axis=1)
-    first = linked.argmax(axis=1)  # rows are in order of place
-    at = np.flatnonzero(links)
-    own, doc, line = (group[c].to_numpy() for c in ("class", "doc_id", "line"))
-    return pd.DataFrame({"class": own[at], "links": links[at].astype(np.int64), "doc_id": doc[first[at]], "line": line[first[at]]})
-
-
-def _words(classes: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
-    """class, doc_id, line and the words of its first line, joined by spaces, which takes half the room of an array."""
-    wanted = classes.select("class").distinct().join(reps.select("class", "doc_id", "line"), "class")
-    wanted = cut(wanted.groupBy("doc_id").agg(F.collect_list(F.struct("class", "line")).alias("wanted")), "wanted")
-    few = wanted.count() <= BROADCAST_ROWS // 10
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(wanted) if few else wanted, "doc_id")
-    words = F.array_distinct(F.filter(F.split(F.lower(F.element_at(F.split("text", "\n"), F.col("w.line") + 1)), r"\s+"), lambda x: x != ""))
-    found = texts.select("doc_id", "text", F.explode("wanted").alias("w")).select(F.col("w.class").alias("class"), "doc_id", F.col("w.line").alias("line"), F.array_join(words, " ").alias("words"))
-    return cut(found.dropDuplicates(["class"]), "found")
+    group = group.sort_values(["doc_id", "line"])
+    y, x = group[group["shorter"]], group[~group["shorter"]]
+    y = y[y["at"].to_numpy() < _indexed(y["n"].to_numpy(np.int64))]
+    sets = [[w.split(" ") for w in g["words"]] for g in (y, x)]
+    number = _numbers(sets[0])
+    size = [np.array([len(s) for s in side], np.float32) for side in sets]
+    shared = _matrix(sets[0], number) @ _matrix(sets[1], number).T
+    linked = shared >= SIMILAR * (size[0][:, None] + size[1][None, :] - shared) - 1e-4
+    kinds = [g["class"].to_numpy() for g in (y, x)]
+    ns = [g["n"].to_numpy() for g in (y, x)]
+    linked &= (ns[0][:, None] < ns[1][None, :]) | (ns[0][:, None] == ns[1][None, :]) & (kinds[0][:, None] < kinds[1][None, :])
+    longer = [[p["word"] for p in ps] for ps in x["prefix"]]
+    number = _numbers(longer)
+    index = [[p for p in ps if p["at"] < k] for ps, k in zip(y["prefix"], _indexed(y["n"].to_numpy(np.int64)))]
+    elsewhere = [[p["word"] for p in ps if not p["hot"] or p["at"] < at] for ps, at in zip(index, y["at"])]
+    linked &= _matrix(elsewhere, number) @ _matrix(longer, number).T == 0
+    out = []
+    for hits, one, two in ((linked, y, x), (linked.T, x, y)):
+        on = np.flatnonzero(hits.any(axis=1)) if hits.size else np.zeros(0, np.int64)
+        first = two.iloc[hits[on].argmax(axis=1)] if len(on) else two.iloc[:0]  # rows are in order of place
+        out.append(pd.DataFrame({"class": one["class"].to_numpy()[on], "links": hits[on].sum(axis=1).astype(np.int64) if len(on) else np.zeros(0, np.int64), "doc_id": first["doc_id"].to_numpy(), "line": first["line"].to_numpy()}))
+    return pd.concat(out)
+
+
+def _place(doc: np.ndarray, line: np.ndarray, bits: int) -> np.ndarray:
+    """Bit of the filter that stands for a place."""
+    return (_mix(doc.view(np.uint64) * GOLD + line.astype(np.uint64)) & U(bits - 1)).astype(np.int64)
+
+
+def _filter(wanted: DataFrame) -> np.ndarray:
+    """Bits of all places in wanted (doc_id, line); a fixed size at most reaches the driver."""
+    bits = 1 << 12
+    count = wanted.count()
+    while bits < min(16 * count, FILTER_BITS):
+        bits *= 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            on = np.unique(_place(b.column(0).to_numpy(), b.column(1).to_numpy(), bits))
+            yield pa.RecordBatch.from_arrays([pa.array(on >> 6), pa.array((U(1) << (on & 63).astype(np.uint64)).view(np.int64))], ["at", "bit"])
+
+    rows = wanted.select("doc_id", "line").mapInArrow(run, "at long, bit long").groupBy("at").agg(F.bit_or("bit").alias("bit")).toPandas()
+    out = np.zeros(bits // 64, np.uint64)
+    out[rows["at"].to_numpy(np.int64)] = rows["bit"].to_numpy(np.int64).view(np.uint64)
+    return out
+
+
+def _words(classes: DataFrame, reps: DataFrame, docs: DataFrame, counts: np.ndarray) -> DataFrame:
+    """class, doc_id, line and the words of its first line, joined by spaces, which takes half the room of an array.
+
+    Texts are read again and not shuffled: a filter of places says which lines to send on.
+    """
+    wanted = cut(classes.select("class").distinct().join(reps.select("class", "doc_id", "line"), "class"), "wanted")
+    shared = docs.sparkSession.sparkContext.broadcast((_filter(wanted), counts))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        on, count = shared.value
+        for ids, texts in _batches(batches):
+            sizes = np.array([len(x) for x in texts])
+            text, number = _ranges(sizes)
+            doc = np.array(ids, np.int64)[text]
+            bit = _place(doc, number, 64 * len(on))
+            hit = np.flatnonzero((on[bit >> 6] >> (bit & 63).astype(np.uint64)) & U(1))
+            found = [texts[t][k] for t, k in zip(text[hit], number[hit])]
+            line, word = _sets([found], count)
+            if not len(line):
+                continue
+            start, n = _starts(line)
+            of = line[start]
+            words = pa.array([" ".join(dict.fromkeys(found[k].lower().split())).encode("utf-8", "replace").decode() for k in of])
+            yield pa.RecordBatch.from_arrays([pa.array(_classes(word, start, n)), pa.array(doc[hit][of]), pa.array(number[hit][of].astype(np.int32)), words], ["class", "doc_id", "line", "words"])
+
+    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    found = texts.mapInArrow(run, "class long, doc_id long, line int, words string")
+    return cut(found.join(wanted, ["class", "doc_id", "line"], "left_semi").dropDuplicates(["class"]), "found")
 
 
 def _verified(pairs: DataFrame, found: DataFrame) -> DataFrame:
@@ -191,30 +329,45 @@ def _verified(pairs: DataFrame, found: DataFrame) -> DataFrame:
     return cut(both.where(shared >= SIMILAR * (F.size("x") + F.size("y") - shared) - 1e-9).select("a", "b"), "links")
 
 
-def linked(reps: DataFrame, docs: DataFrame) -> DataFrame:
+def linked(reps: DataFrame, docs: DataFrame, rare: np.ndarray) -> DataFrame:
     """class, links and near (the first place of a linked line) of every class with links."""
-    posted = reps.where(F.size("prefix") > 0).select("class", "n", F.posexplode("prefix").alias("at", "word"))
-    hot_words = cut(posted.groupBy("word").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > FEW).select(F.col("word").alias("hot_word")), "hot")
-    few = hot_words.count() <= BROADCAST_ROWS
-    flagged = cut(posted.join(F.broadcast(hot_words) if few else hot_words, F.col("word") == F.col("hot_word"), "left").withColumn("hot", F.col("hot_word").isNotNull()).drop("hot_word"), "flagged")
-    hots = cut(flagged.where("hot").groupBy("class").agg(F.count(F.lit(1)).cast("int").alias("hots")), "hots")
-    cold = flagged.where("not hot").join(hots, "class", "left").withColumn("hots", F.coalesce("hots", F.lit(0)))
+    posted = reps.where(F.size("prefix") > 0).select("class", "n", "parities", "calm", F.posexplode("prefix").alias("at", "word")).withColumn("grade", grade(F.col("n")))
+    # a word that is in few lines of the corpus is in few of any grade
+    counts = posted.where("at >= calm").groupBy("word", "grade").agg(F.count(F.lit(1)).alias("c"))
+    both = counts.select("word", F.explode(F.array(F.col("grade"), F.col("grade") - 1)).alias("grade"), "c")
+    hot_words = cut(both.groupBy("word", "grade").agg(F.sum("c").alias("c")).where(F.col("c") > FEW), "hot")
+    many = hot_words.count()
+    if many:
+        side = lambda down, name: (lambda h: F.broadcast(h) if many <= BROADCAST_ROWS else h)(hot_words.select("word", (F.col("grade") + down).alias("grade"), F.lit(True).alias(name)))
+        flagged = posted.join(side(0, "hot"), ["word", "grade"], "left").join(side(1, "below"), ["word", "grade"], "left").na.fill(False, ["hot", "below"])
+        hots = cut(flagged.where("hot or below").groupBy("class").agg(F.sum(F.col("hot").cast("int")).cast("int").alias("hots")), "hots")
+        cold = flagged.where("not (hot and below)").join(hots, "class", "left").withColumn("hots", F.coalesce("hots", F.lit(0)))
+    else:
+        cold = posted.withColumn("hot", F.lit(False)).withColumn("hots", F.lit(0))
     pairs = cut(_candidates(cold), "pairs")
-    found = _words(pairs.select(F.explode(F.array("a", "b")).alias("class")).unionByName(hots.select("class")), reps, docs)
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("class"))
+    found = _words(wanted.unionByName(hots.select("class")) if many else wanted, reps, docs, rare)
     links = _verified(pairs, found)
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     place = reps.select(F.col("class").alias("b"), F.struct("doc_id", "line").alias("near"))
     listed = both.join(place, "b").select(F.col("a").alias("class"), F.lit(1).cast("long").alias("links"), "near")
-    counted = _hot_links(flagged.where("hot").drop("hot"), flagged.join(hots, "class", "left_semi"), found)
-    return cut(listed.unionByName(counted).groupBy("class").agg(F.sum("links").alias("links"), F.min("near").alias("near")), "linked")
+    if many:
+        of_hot = cut(flagged.select("class", "n", "at", "word", "grade", "hot", "below").join(hots, "class", "left_semi"), "flagged")
+        listed = listed.unionByName(_hot_links(of_hot, hot_words, found))
+    out = cut(listed.groupBy("class").agg(F.sum("links").alias("links"), F.min("near").alias("near")), "linked")
+    forget(pairs, found, links, *([hots, of_hot] if many else []))
+    return out
 
 
 def similar_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """All lines with words; their classes with the first line of each; and the classes' links (class, links, near)."""
-    every = cut(lines(docs, rarity(docs)), "lines")
+    # shuffle files of a step go when it has been written, not when the driver collects its garbage
+    docs.sparkSession.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+    counts = rarity(docs)
+    every = cut(lines(docs, counts), "lines")
     first = every.groupBy("class").agg(F.min(F.struct("doc_id", "line")).alias("at")).select("class", "at.doc_id", "at.line")
     reps = cut(every.join(cut(first, "first"), ["doc_id", "line", "class"], "left_semi").dropDuplicates(["doc_id", "line", "class"]), "reps")
-    return every.drop("prefix"), reps, linked(reps, docs)
+    return every.select("doc_id", "line", "class", "n"), reps, linked(reps, docs, counts)
 
 
 @F.pandas_udf(T.StringType())
@@ -233,9 +386,12 @@ def without_similar_lines(docs: DataFrame) -> DataFrame:
     every, reps, links = similar_lines(docs)
     best = reps.select("class", F.struct("doc_id", "line").alias("own")).join(links, "class", "left")
     best = cut(best.select("class", F.least("own", F.coalesce("near", "own")).alias("best"), F.coalesce("links", F.lit(0).cast("long")).alias("links")), "best")
+    forget(reps)
     judged = every.distinct().join(best, "class").withColumn("gone", F.col("best") < F.struct("doc_id", "line"))
     by = judged.groupBy(F.col("doc_id").alias("by_id")).agg(F.count(F.lit(1)).alias("n_lines"), F.sum("links").alias("n_links"), F.collect_list(F.when(F.col("gone"), F.col("line"))).alias("gone"))
-    joined = docs.join(cut(by, "by"), F.col("doc_id").cast("long") == F.col("by_id"), "left")
+    by = cut(by, "by")
+    forget(every, best)
+    joined = docs.join(by, F.col("doc_id").cast("long") == F.col("by_id"), "left")
     zero = F.lit(0).cast("long")
     text = _keep(F.col("text").cast("string"), F.col("gone"))
     made = {"text": text, "n_lines": F.coalesce("n_lines", zero), "n_removed": F.greatest(F.coalesce(F.size("gone"), F.lit(0)), F.lit(0)).cast("long"), "n_links": F.coalesce("n_links", zero)}
