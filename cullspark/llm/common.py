@@ -47,7 +47,7 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
 
 
 def forget(*written: DataFrame) -> None:
-    """Deletes tables that cut() wrote and that nothing reads any more, such as what is returned later."""
+    """Deletes tables that cut() wrote; nothing that is still to run may read them."""
     for df in written:
         for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
             _delete(df.sparkSession, folder)

@@ -32,6 +32,8 @@ CHARS_AT_ONCE = 1 << 18
 #: of so many lines, and their links are counted, not listed.
 FEW, BLOCK = 500, 1024
 PAIRS_AT_ONCE = 1 << 20
+#: Lines of more words than this have 128 parities.
+LONG = 80
 #: Bits of the filter of places: 16 a place, up to so many; beyond, more lines pass it, which a join drops.
 FILTER_BITS = 1 << 26
 
@@ -117,7 +119,8 @@ def lines(docs: DataFrame, counts: np.ndarray) -> DataFrame:
 
     Bit b of parities says whether the words that hash to b are odd in number, so that two sets differ in
     as many words at least as their parities do in bits. calm: so many words of the prefix occur too
-    seldom in the corpus to be in many lines.
+    seldom in the corpus to be in many lines. more: in long lines, the parities of one half of the words,
+    so that two long lines have twice as many.
     """
     shared, few = docs.sparkSession.sparkContext.broadcast(counts), _rarity_bits(np.array([FEW]))[0]
 
@@ -129,6 +132,7 @@ def lines(docs: DataFrame, counts: np.ndarray) -> DataFrame:
                 continue
             start, n = _starts(line)
             parities = np.bitwise_xor.reduceat(U(1) << (word & U(63)), start).view(np.int64)
+            half = np.bitwise_xor.reduceat(((word >> U(6)) & U(1)) << (word & U(63)), start).view(np.int64)
             keep = np.where(n < 4, 0, n - least_shared(n) + 1)  # sets of up to three words match only themselves
             inside = np.arange(len(line)) - np.repeat(start, n) < np.repeat(keep, n)
             calm = np.add.reduceat((inside & (word >> U(56) <= few)).astype(np.int64), start)
@@ -137,10 +141,10 @@ def lines(docs: DataFrame, counts: np.ndarray) -> DataFrame:
             doc = np.repeat(np.array(ids, np.int64), sizes)[of]
             number = (np.arange(sum(sizes)) - np.repeat(np.cumsum([0, *sizes[:-1]]), sizes))[of]
             prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(keep)]).astype(np.int32)), pa.array(word[inside].view(np.int64)))
-            columns = {"doc_id": doc, "line": number.astype(np.int32), "class": _classes(word, start, n), "n": n.astype(np.int32), "parities": parities, "calm": calm.astype(np.int32)}
+            columns = {"doc_id": doc, "line": number.astype(np.int32), "class": _classes(word, start, n), "n": n.astype(np.int32), "parities": parities, "more": np.where(n > LONG, half, 0), "calm": calm.astype(np.int32)}
             yield pa.RecordBatch.from_arrays([*map(pa.array, columns.values()), prefix], [*columns, "prefix"])
 
-    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, line int, class long, n int, parities long, calm int, prefix array<long>")
+    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, line int, class long, n int, parities long, more long, calm int, prefix array<long>")
 
 
 def grade(n: Column) -> Column:
@@ -153,10 +157,14 @@ def _ranges(length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(length)), length), np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
 
 
-def _met(word, kind, n, at, parities, hots, hot) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _bits(x: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(x.view(np.uint64)).astype(np.int64)
+
+
+def _met(word, kind, n, at, parities, more, hots, hot) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of classes of whole words' rows that pass the filters."""
     order = np.lexsort((kind, n, word))
-    word, kind, n, at, parities, hots, hot = (c[order] for c in (word, kind, n, at, parities, hots, hot))
+    word, kind, n, at, parities, more, hots, hot = (c[order] for c in (word, kind, n, at, parities, more, hots, hot))
     _, of = np.unique(word, return_inverse=True)
     wide = np.int64(n.max()) * 2 + 2
     place = of * wide + n
@@ -171,14 +179,15 @@ def _met(word, kind, n, at, parities, hots, hot) -> Iterator[tuple[np.ndarray, n
         x = y + 1 + step
         need = least_shared(n[y] + n[x], SIMILAR / (1 + SIMILAR))
         # words shared before the first one that this join sees are of many lines: no more than hots
-        fits = (n[y] + n[x] - np.bitwise_count((parities[y] ^ parities[x]).view(np.uint64)).astype(np.int64) >= 2 * need) & (np.minimum(n[y] - at[y], n[x] - at[x]) + hots[y] >= need)
+        all_, half = parities[y] ^ parities[x], np.where(n[y] > LONG, more[y] ^ more[x], 0)
+        fits = (n[y] + n[x] - _bits(all_ ^ half) - _bits(half) >= 2 * need) & (np.minimum(n[y] - at[y], n[x] - at[x]) + hots[y] >= need)
         yield kind[y[fits]], kind[x[fits]]
 
 
 def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Candidates (a, b) from rows sorted by word; a word's rows may go on in the next batch."""
     rest = None
-    names = ["word", "class", "n", "at", "parities", "hots", "hot"]
+    names = ["word", "class", "n", "at", "parities", "more", "hots", "hot"]
 
     def pairs(rows):
         for a, b in _met(*rows):
@@ -200,7 +209,7 @@ def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _candidates(cold: DataFrame) -> DataFrame:
     """Pairs of classes (a, b) that meet in a word of few lines."""
-    dealt = cold.select("word", "class", "n", "at", "parities", "hots", "hot").repartition("word").sortWithinPartitions("word")
+    dealt = cold.select("word", "class", "n", "at", "parities", "more", "hots", "hot").repartition("word").sortWithinPartitions("word")
     return dealt.mapInArrow(_listed, "a long, b long").distinct()
 
 
@@ -321,17 +330,27 @@ def _words(classes: DataFrame, reps: DataFrame, docs: DataFrame, counts: np.ndar
     return cut(found.join(wanted, ["class", "doc_id", "line"], "left_semi").dropDuplicates(["class"]), "found")
 
 
+def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b) whose words x and y are similar enough; distinct words come joined by spaces."""
+    for batch in batches:
+        on = []
+        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            one, two = set(x.split(" ")), y.split(" ")
+            shared = len(one.intersection(two))
+            on.append(shared >= SIMILAR * (len(one) + len(two) - shared) - 1e-9)
+        yield batch.select(["a", "b"]).filter(pa.array(on, pa.bool_()))
+
+
 def _verified(pairs: DataFrame, found: DataFrame) -> DataFrame:
     """Pairs of classes whose first lines are similar enough."""
     side = lambda c, x: found.select(F.col("class").alias(c), F.col("words").alias(x))
-    both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", F.split("x", " ").alias("x"), F.split("y", " ").alias("y"))
-    shared = F.size(F.array_intersect("x", "y"))
-    return cut(both.where(shared >= SIMILAR * (F.size("x") + F.size("y") - shared) - 1e-9).select("a", "b"), "links")
+    both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y")
+    return cut(both.mapInArrow(_alike, "a long, b long"), "links")
 
 
 def linked(reps: DataFrame, docs: DataFrame, rare: np.ndarray) -> DataFrame:
     """class, links and near (the first place of a linked line) of every class with links."""
-    posted = reps.where(F.size("prefix") > 0).select("class", "n", "parities", "calm", F.posexplode("prefix").alias("at", "word")).withColumn("grade", grade(F.col("n")))
+    posted = reps.where(F.size("prefix") > 0).select("class", "n", "parities", "more", "calm", F.posexplode("prefix").alias("at", "word")).withColumn("grade", grade(F.col("n")))
     # a word that is in few lines of the corpus is in few of any grade
     counts = posted.where("at >= calm").groupBy("word", "grade").agg(F.count(F.lit(1)).alias("c"))
     both = counts.select("word", F.explode(F.array(F.col("grade"), F.col("grade") - 1)).alias("grade"), "c")
