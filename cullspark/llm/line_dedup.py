@@ -380,8 +380,6 @@ def linked(reps: DataFrame, docs: DataFrame, rare: np.ndarray) -> DataFrame:
 
 def similar_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """All lines with words; their classes with the first line of each; and the classes' links (class, links, near)."""
-    # shuffle files of a step go when it has been written, not when the driver collects its garbage
-    docs.sparkSession.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     counts = rarity(docs)
     every = cut(lines(docs, counts), "lines")
     first = every.groupBy("class").agg(F.min(F.struct("doc_id", "line")).alias("at")).select("class", "at.doc_id", "at.line")
@@ -402,6 +400,17 @@ def without_similar_lines(docs: DataFrame) -> DataFrame:
     Null texts stay null; rows without doc_id stay as they are; rows that repeat a doc_id with the same
     text lose the same lines. A text may become empty; no row is dropped. No rows in, no rows out.
     """
+    # shuffle files of a step go when it has been written, not when the driver collects its garbage
+    conf, clean = docs.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(clean)
+    conf.set(clean, "true")
+    try:
+        return _without(docs)
+    finally:
+        conf.set(clean, before)
+
+
+def _without(docs: DataFrame) -> DataFrame:
     every, reps, links = similar_lines(docs)
     best = reps.select("class", F.struct("doc_id", "line").alias("own")).join(links, "class", "left")
     best = cut(best.select("class", F.least("own", F.coalesce("near", "own")).alias("best"), F.coalesce("links", F.lit(0).cast("long")).alias("links")), "best")
