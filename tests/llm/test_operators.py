@@ -315,6 +315,8 @@ def test_similar_lines(docs, none, spark, monkeypatch, few, block):
     lines = [prose(31, 12), prose(31, 12) + " extra", prose(31, 11) + " other", prose(32, 30), "a b c d", "a b c d e", "a b c", "", "a b c d"]
     r = random.Random(4)
     lines += [" ".join(w if k != j else f"edit{j}" for k, w in enumerate(lines[3].split())) for j in range(20)]
+    long = [f"long{k}" for k in range(100)]
+    lines += [" ".join(f"edit{j}" if k % 10 == j and k < 9 * j else w for k, w in enumerate(long[: 100 - 3 * j])) for j in range(10)]
     data = [(d, "\n".join(r.choice(lines) for _ in range(r.randint(0, 6)))) for d in range(30)] + [(40, None), (None, lines[0])]
     got = {x.doc_id: x for x in line_dedup.without_similar_lines(spark.createDataFrame([(*d, 1) for d in data], "doc_id long, text string, n int")).collect()}
     occ = [(d, i, frozenset(s.lower().split())) for d, t in data if d is not None and t for i, s in enumerate(t.split("\n")) if s.split()]
