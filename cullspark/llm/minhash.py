@@ -122,7 +122,8 @@ def _points(seed, rate, low, width, weight, doc, until, signature) -> None:
         many = int(min(64, max(1, 16384 // len(seed))))
         x = _mix(seed[:, None] + np.arange(step + 1, step + many + 1, dtype=np.uint64) * GOLD)
         gap = -np.log(((x >> U(11)).astype(np.float64) + 0.5) * 2.0**-53) / rate[:, None]
-        time = at[:, None] + np.cumsum(gap, axis=1)
+        gap[:, 0] += at  # one gap at a time in one order, so that times don't depend on how many are made at once
+        time = np.cumsum(gap, axis=1)
         ok = time < until[doc][:, None]
         y = _mix(x + U(0x632BE59BD9B4E019))
         unit = low[:, None] + ((y >> U(32)) * width[:, None] >> U(32))

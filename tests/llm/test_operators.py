@@ -273,6 +273,15 @@ def test_signatures_are_unbiased():
     assert abs((s[::2] == s[1::2]).mean() - minhash.similarity(a, b)) < 0.02
 
 
+def test_a_signature_does_not_depend_on_its_batch():
+    r = np.random.default_rng(9)
+    bags = [minhash.shingles(" ".join(r.choice(["a", "b", "c", "d", "e", "f", "g"], n)).encode()) for n in [*range(1, 60), *range(60, 400, 20), 3000]]
+    whole = minhash.signatures(bags)
+    for size in (1, 2, 7, 30):
+        parts = [minhash.signatures(bags[k : k + size]) for k in range(0, len(bags), size)]
+        assert np.array_equal(np.concatenate(parts), whole)
+
+
 def test_components(spark):
     r = random.Random(2)
     links = [(r.randint(0, 300), r.randint(0, 300)) for _ in range(220)] + [(0, k) for k in range(400, 480)]
