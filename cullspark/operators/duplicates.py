@@ -6,6 +6,8 @@ before, so the join shuffles by album, name prefix and bucket and no album becom
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +18,8 @@ WINDOW = 300_000
 SAME, SAME_ADJACENT, SCENE, SCENE_ADJACENT = 4, 8, 24, 30
 GAP, ADJACENT = 10, 2
 KEEPER = 2
+# Milliseconds within which the older detector sorts photos.
+HOUR = 3_600_000
 
 
 def pairs(photos: DataFrame, window: int = WINDOW, same_prefix: bool = False) -> DataFrame:
@@ -109,25 +113,62 @@ def hash_blocks(photos: DataFrame, most: int = 4) -> DataFrame:
     return near.where(F.col("hamming") <= most).select("a", "b", "hamming").distinct()
 
 
+def _runs(timed: DataFrame, within: int) -> DataFrame:
+    """Adds run, the time at which an album's photos begin or go on after a gap of within: photos of two runs are never near.
+
+    Photos are sorted inside an hour; by album only the hours' first and last times are.
+    """
+    t, inside = F.col("t"), Window.partitionBy("album_id", "hour").orderBy("t")
+    rows = timed.withColumn("hour", F.floor(t / HOUR)).withColumn("begins", F.when(t - F.lag("t").over(inside) >= within, t))
+    album = Window.partitionBy("album_id").orderBy("hour")
+    hours = rows.groupBy("album_id", "hour").agg(F.min("t").alias("first"), F.max("t").alias("last"), F.max("begins").alias("begun"))
+    gap = F.col("first") - F.lag("last").over(album)
+    hours = hours.withColumn("head", F.when(gap.isNull() | (gap >= within), F.col("first")))
+    before = F.last(F.coalesce("begun", "head"), ignorenulls=True).over(album.rowsBetween(Window.unboundedPreceding, -1))
+    hours = hours.select("album_id", "hour", F.coalesce("head", before).alias("open"))
+    return rows.join(hours, ["album_id", "hour"]).withColumn("run", F.coalesce(F.max("begins").over(inside), "open")).drop("hour", "begins", "open")
+
+
 def greedy_duplicates(photos: DataFrame, most: int = 8, within: int = 5000) -> DataFrame:
-    """The older detector: in order of time each photo joins the first kept one that is near; the larger file stays."""
-
-    def run(pdf):
-        pdf = pdf.sort_values(["t", "photo_id"])
-        kept, of = [], {}
-        for r in pdf.itertuples():
-            for k in reversed(kept):
-                if r.t - k.t >= within:
-                    break
-                if bin(int(r.perceptual_hash, 16) ^ int(k.perceptual_hash, 16)).count("1") <= most:
-                    win, lose = (r, k) if r.file_size > k.file_size else (k, r)
-                    of[lose.photo_id] = win.photo_id
-                    kept[kept.index(k)] = win
-                    break
-            else:
-                kept.append(r)
-        pdf["keeper"] = [of.get(p, p) for p in pdf["photo_id"]]
-        return pdf[["album_id", "photo_id", "keeper"]]
-
-    timed = photos.where(S.valid_hash(F.col("perceptual_hash")).isNotNull()).select("album_id", "photo_id", "perceptual_hash", "file_size", F.coalesce("captured_at", F.lit(0)).alias("t"))
-    return timed.groupBy("album_id").applyInPandas(run, "album_id long, photo_id long, keeper long")
+    """The older detector: in order of time each photo meets the later ones that are near; the larger file stays, or at one size the earlier.
+
+    keeper is the photo that a duplicate lost to first, else its own id. A photo that has lost meets the rest
+    of its near ones, but begins no round. At one size and one time the one later in order of photo_id stays.
+    Photos are dealt by runs without a gap of within; a task holds one run and a batch at a time. The time is
+    captured_at, else uploaded_at if there is one, else 0.
+    """
+
+    def solved(pdf, starts):
+        t, size, ids = (pdf[c].to_numpy() for c in ("t", "file_size", "photo_id"))
+        hashes = np.array([int(h, 16) for h in pdf["perceptual_hash"]], np.uint64)
+        of = np.full(len(pdf), -1)
+        for a, b in zip(starts, [*starts[1:], len(pdf)]):
+            for i in range(a, b - 1):  # a run of one photo has no round
+                if of[i] >= 0:
+                    continue
+                e = a + np.searchsorted(t[a:b], t[i] + within)
+                for j in i + 1 + np.flatnonzero((np.bitwise_count(hashes[i + 1 : e] ^ hashes[i]) <= most) & (of[i + 1 : e] < 0)):
+                    win, lose = (i, j) if (size[i] > size[j] if size[i] != size[j] else t[i] < t[j]) else (j, i)
+                    of[lose] = win if of[lose] < 0 else of[lose]
+        return pdf.assign(keeper=np.where(of < 0, ids, ids[of]))[["album_id", "photo_id", "keeper"]]
+
+    def run(batches):
+        held = []
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            held.append(pdf)
+            if (held[0][["album_id", "run"]].iloc[0] == pdf[["album_id", "run"]].iloc[-1]).all():
+                continue
+            rows = pd.concat(held, ignore_index=True)
+            new = (rows["album_id"] != rows["album_id"].shift()) | (rows["run"] != rows["run"].shift())
+            starts = np.flatnonzero(new)
+            yield solved(rows.iloc[: starts[-1]], starts[:-1])
+            held = [rows.iloc[starts[-1] :]]
+        if held:
+            yield solved(pd.concat(held, ignore_index=True), [0])
+
+    time = F.coalesce(*(c for c in ("captured_at", "uploaded_at") if c in photos.columns), F.lit(0)).cast("long").alias("t")
+    timed = photos.where(S.valid_hash(F.col("perceptual_hash")).isNotNull()).select("album_id", "photo_id", "perceptual_hash", F.coalesce("file_size", F.lit(0)).cast("long").alias("file_size"), time)
+    runs = _runs(timed, within).repartition("album_id", "run").sortWithinPartitions("album_id", "run", "t", "photo_id")
+    return runs.mapInPandas(run, "album_id long, photo_id long, keeper long")

@@ -320,3 +320,36 @@ def test_queries_have_rows_and_sql_agrees(spark):
         key = sorted(got.columns)
         rows = lambda df: sorted(map(repr, ([str(v) for v in r] for r in df[key].values.tolist())))  # noqa: B023, E731
         assert rows(got) == rows(want), name
+
+
+def test_the_older_detector_equals_its_two_loops(spark):
+    r = random.Random(4)
+    base = [r.getrandbits(64) for _ in range(4)]
+
+    def change(h, bits):
+        for _ in range(bits):
+            h ^= 1 << r.randrange(64)
+        return h
+
+    rows = [(0, 1, 0, "0" * 16, 5), (0, 2, 10_000, "f" * 16, 5), (0, 3, 10_001, "f" * 16, 5)]
+    for album in range(1, 9):
+        t = 0
+        for k in range(120):
+            t += r.choice([0, 1, 900, 2500, 4999, 5000, 5001] + ([1_790_000, 9_000_000] if album % 2 else []))
+            rows.append((album, 1000 * album + r.randrange(10) * 100_000 + k, None if r.random() < 0.05 else t, f"{change(r.choice(base), r.randrange(7)):016x}", r.randrange(4)))
+    want = set()
+    for album in range(9):
+        mine = sorted((t or 0, p, h, s) for a, p, t, h, s in rows if a == album)
+        lost = set()
+        for i, a in enumerate(mine):
+            if a[1] in lost:
+                continue
+            for b in mine[i + 1 :]:
+                if b[1] not in lost and bin(int(a[2], 16) ^ int(b[2], 16)).count("1") <= 8 and b[0] - a[0] < 5000:
+                    keep = (a if a[3] > b[3] else b) if a[3] != b[3] else (a if a[0] < b[0] else b)
+                    lost.add(b[1] if keep is a else a[1])
+        want |= {(album, p) for p in lost}
+    photos = spark.createDataFrame(rows, "album_id long, photo_id long, captured_at long, perceptual_hash string, file_size long")
+    got = duplicates.greedy_duplicates(photos).collect()
+    assert (0, 3) in want and len(got) == len(rows)
+    assert {(x.album_id, x.photo_id) for x in got if x.keeper != x.photo_id} == want
