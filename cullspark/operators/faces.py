@@ -167,7 +167,7 @@ def dominant(sets: DataFrame, yaw=lambda f: F.lit(0.0)) -> DataFrame:
 
 
 def partial_budget(faces: DataFrame, budget: int = 5, micro: float = 0.001) -> DataFrame:
-    """Faces that count as partial in a crowd: forced ones, then the strongest tiny ones up to the budget."""
+    """The rule of the query's SQL, by labels; crowd_partial has the reference's."""
     from pyspark.sql import Window
 
     w = Window.partitionBy("photo_id")
@@ -183,3 +183,33 @@ def closed_once(faces: DataFrame, low: float = 0.01, high: float = 0.1) -> DataF
     sized = faces.where((F.col("eye") == "closed") & (S.area(F.col("box")) >= low) & (S.area(F.col("box")) < high))
     order = F.struct(F.greatest("left_prob", "right_prob").alias("open"), (-F.col("eye_conf")).alias("conf"), "face_index")
     return sized.groupBy("photo_id").agg(F.min_by("face_index", order).alias("face_index"), F.count(F.lit(1)).alias("closed_faces"))
+
+
+def crowd_partial(faces: DataFrame, budget: int = 5, micro: float = 0.001) -> DataFrame:
+    """All faces, those that count as partial in a crowd with eyes_open false, eye_conf 72 and crowd_partial true.
+
+    Two tests of probabilities force a face; then tiny ones follow, the least open and least sure first,
+    up to the budget. Faces with a missing or infinite signal are never taken.
+    """
+    from pyspark.sql import Window
+
+    conf, left, right = (F.col(c).cast("double") for c in ("eye_conf", "left_prob", "right_prob"))
+    high, low, value = F.greatest(left, right), F.least(left, right), F.coalesce("eyes_open", F.lit(False))
+    finite = F.lit(True)
+    for c in (conf, left, right):
+        finite = finite & c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    both = value & (conf <= 90) & high.between(0.14, 0.22) & (low >= 0.12) & (F.round(high - low, 9) <= 0.08)
+    one = (conf <= 90) & high.between(0.28, 0.42) & (low <= 0.05)
+    forced = F.coalesce(finite & (both | one), F.lit(False))
+    tiny = F.coalesce(finite & value & (S.area(F.col("box")) < micro) & (conf <= 74) & (high <= 0.06) & (low <= 0.05), F.lit(False))
+    f = faces.withColumn("_forced", forced).withColumn("_tiny", tiny & ~F.col("_forced"))
+    f = f.withColumn("_n", F.count_if("_forced").over(Window.partitionBy("photo_id")))
+    f = f.withColumn("_rank", F.row_number().over(Window.partitionBy("photo_id", "_tiny").orderBy(high, conf, "face_index")))
+    taken = F.lit(budget > 0) & (F.col("_forced") | (F.col("_tiny") & (F.col("_rank") <= budget - F.col("_n"))))
+    return _with_eyes(f.withColumn("crowd_partial", taken), faces, F.col("crowd_partial"), False).drop("_forced", "_tiny", "_n", "_rank")
+
+
+def _with_eyes(changed: DataFrame, faces: DataFrame, where: Column, value: bool) -> DataFrame:
+    """eyes_open becomes value and eye_conf 72 where the column says so."""
+    kind = faces.schema["eye_conf"].dataType
+    return changed.withColumn("eyes_open", F.when(where, value).otherwise(F.col("eyes_open"))).withColumn("eye_conf", F.when(where, F.lit(72).cast(kind)).otherwise(F.col("eye_conf")))

@@ -353,3 +353,20 @@ def test_the_older_detector_equals_its_two_loops(spark):
     got = duplicates.greedy_duplicates(photos).collect()
     assert (0, 3) in want and len(got) == len(rows)
     assert {(x.album_id, x.photo_id) for x in got if x.keeper != x.photo_id} == want
+
+
+def eye_rows(spark, rows):
+    """(photo_id, face_index, side of the box, eyes_open, eye_conf, left_prob, right_prob)."""
+    data = [(p, i, (0.1, 0.1, side, side), *rest) for p, i, side, *rest in rows]
+    return spark.createDataFrame(data, f"photo_id long, face_index int, box struct<{BOX}>, eyes_open boolean, eye_conf double, left_prob double, right_prob double")
+
+
+def test_crowd_partial(spark):
+    tiny = 0.02
+    rows = [(1, 0, 0.3, True, 90.0, 0.22, 0.14), (1, 1, 0.3, False, 90.0, 0.05, 0.28), (1, 2, 0.3, True, 91.0, 0.2, 0.15), (1, 3, tiny, True, 74.0, 0.06, 0.05), (1, 4, tiny, True, 70.0, 0.01, 0.01)]
+    rows += [(1, 5, tiny, True, 60.0, 0.03, 0.01), (1, 6, tiny, True, 61.0, 0.03, 0.01), (1, 7, 0.05, True, 60.0, 0.0, 0.0), (1, 8, tiny, False, 60.0, 0.0, 0.0), (1, 9, tiny, True, 75.0, 0.0, 0.0), (1, 10, tiny, True, 60.0, 0.9, 0.9), (1, 11, tiny, True, math.nan, 0.0, 0.0)]
+    rows += [(2, k, tiny, True, 50.0, 0.06 - k / 100, 0.0) for k in range(7)] + [(3, k, 0.3, False, 80.0, 0.3, 0.0) for k in range(6)] + [(3, 6, tiny, True, 50.0, 0.0, 0.0)]
+    got = faces.crowd_partial(eye_rows(spark, rows)).collect()
+    assert len(got) == len(rows)
+    assert {(r.photo_id, r.face_index) for r in got if r.crowd_partial} == {(1, k) for k in (0, 1, 4, 5, 6)} | {(2, k) for k in range(2, 7)} | {(3, k) for k in range(6)}
+    assert {(r.eyes_open, r.eye_conf) for r in got if r.crowd_partial} == {(False, 72.0)}
