@@ -179,7 +179,7 @@ def partial_budget(faces: DataFrame, budget: int = 5, micro: float = 0.001) -> D
 
 
 def closed_once(faces: DataFrame, low: float = 0.01, high: float = 0.1) -> DataFrame:
-    """Of a photo's closed faces in a size range the one most surely closed."""
+    """The rule of the query's SQL, by labels and without the effect; closed_eyes_once has the reference's."""
     sized = faces.where((F.col("eye") == "closed") & (S.area(F.col("box")) >= low) & (S.area(F.col("box")) < high))
     order = F.struct(F.greatest("left_prob", "right_prob").alias("open"), (-F.col("eye_conf")).alias("conf"), "face_index")
     return sized.groupBy("photo_id").agg(F.min_by("face_index", order).alias("face_index"), F.count(F.lit(1)).alias("closed_faces"))
@@ -209,6 +209,20 @@ def crowd_partial(faces: DataFrame, budget: int = 5, micro: float = 0.001) -> Da
     return _with_eyes(f.withColumn("crowd_partial", taken), faces, F.col("crowd_partial"), False).drop("_forced", "_tiny", "_n", "_rank")
 
 
+def closed_eyes_once(faces: DataFrame, low: float = 0.001, high: float = 0.0025) -> DataFrame:
+    """All faces; of a photo's faces of a size from low to below high whose eyes aren't open only the most surely closed stays so.
+
+    The others get eyes_open true and eye_conf 72, and reopened true. Ties go to the smaller face_index.
+    """
+    from pyspark.sql import Window
+
+    area = S.area(F.col("box"))
+    f = faces.withColumn("_closed", F.coalesce(~F.col("eyes_open") & (area >= low) & (area < high), F.lit(False)))
+    w = Window.partitionBy("photo_id", "_closed").orderBy(F.greatest("left_prob", "right_prob"), F.desc("eye_conf"), "face_index")
+    f = f.withColumn("_rank", F.row_number().over(w)).withColumn("reopened", F.col("_closed") & (F.col("_rank") > 1))
+    return _with_eyes(f, faces, F.col("reopened"), True).drop("_closed", "_rank")
+
+
 def _with_eyes(changed: DataFrame, faces: DataFrame, where: Column, value: bool) -> DataFrame:
     """eyes_open becomes value and eye_conf 72 where the column says so."""
     kind = faces.schema["eye_conf"].dataType

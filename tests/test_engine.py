@@ -370,3 +370,12 @@ def test_crowd_partial(spark):
     assert len(got) == len(rows)
     assert {(r.photo_id, r.face_index) for r in got if r.crowd_partial} == {(1, k) for k in (0, 1, 4, 5, 6)} | {(2, k) for k in range(2, 7)} | {(3, k) for k in range(6)}
     assert {(r.eyes_open, r.eye_conf) for r in got if r.crowd_partial} == {(False, 72.0)}
+
+
+def test_closed_eyes_once(spark):
+    small = 0.04
+    rows = [(1, 0, small, False, 80.0, 0.1, 0.2), (1, 1, small, False, 90.0, 0.1, 0.2), (1, 2, small, False, 95.0, 0.3, 0.0), (1, 3, small, True, 99.0, 0.0, 0.0), (1, 4, 0.0501, False, 99.0, 0.0, 0.0), (1, 5, 0.2, False, 99.0, 0.0, 0.0), (1, 6, 0.03, False, 99.0, 0.0, 0.0), (2, 0, small, False, 95.0, 0.0, 0.0), (2, 1, small, None, 95.0, 0.0, 0.0)]
+    got = faces.closed_eyes_once(eye_rows(spark, rows)).collect()
+    assert len(got) == len(rows)
+    assert {(r.photo_id, r.face_index): (r.eyes_open, r.eye_conf) for r in got if r.reopened} == {(1, 0): (True, 72.0), (1, 2): (True, 72.0)}
+    assert {(r.photo_id, r.face_index): (r.eyes_open, r.eye_conf) for r in got if not r.reopened} == {(p, i): (v, c) for p, i, _, v, c, *_ in rows if (p, i) not in {(1, 0), (1, 2)}}
