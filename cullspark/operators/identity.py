@@ -121,4 +121,4 @@ def merge_key_faces(variants: DataFrame, threshold: float = MERGE) -> DataFrame:
                 rows.append((r.album_id, r.variant, r.variant))
         return pd.DataFrame(rows, columns=["album_id", "variant", "merged_into"])
 
-    return variants.select("album_id", "variant", "eye", "focus", "print", "photo_ids", "first_order").groupBy("album_id").applyInPandas(run, "album_id long, variant string, merged_into string")
+    return variants.select("album_id", "variant", "eye", "focus", "print", "photo_ids", "first_order").groupBy("album_id", "eye", "focus").applyInPandas(run, "album_id long, variant string, merged_into string")

@@ -4,6 +4,7 @@ import collections
 import json
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -379,3 +380,12 @@ def test_closed_eyes_once(spark):
     assert len(got) == len(rows)
     assert {(r.photo_id, r.face_index): (r.eyes_open, r.eye_conf) for r in got if r.reopened} == {(1, 0): (True, 72.0), (1, 2): (True, 72.0)}
     assert {(r.photo_id, r.face_index): (r.eyes_open, r.eye_conf) for r in got if not r.reopened} == {(p, i): (v, c) for p, i, _, v, c, *_ in rows if (p, i) not in {(1, 0), (1, 2)}}
+
+
+def test_key_faces_are_grouped_by_what_can_merge(spark, capsys):
+    rows = [(1, f"{p}::{e}", e, "good", [x, 0.0], [p], p) for p, x in ((1, 0.1), (2, 0.11), (3, 0.9)) for e in ("open", "closed")]
+    variants = spark.createDataFrame(rows, "album_id long, variant string, eye string, focus string, print array<double>, photo_ids array<long>, first_order long")
+    merged = identity.merge_key_faces(variants)
+    assert {r.variant: r.merged_into for r in merged.collect()} == {f"{p}::{e}": f"{1 if p < 3 else 3}::{e}" for p in (1, 2, 3) for e in ("open", "closed")}
+    merged.explain()
+    assert re.search(r"FlatMapGroupsInPandas \[album_id#\d+L?, eye#\d+, focus#\d+\]", capsys.readouterr().out)
