@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only when it was counted and has at most so many rows of a few numbers.
@@ -14,10 +14,11 @@ BROADCAST_ROWS = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines see: spark.checkpoint.dir, or in tests one of our own."""
+    """The folder that all machines see: spark.checkpoint.dir; where that is unset, one in the warehouse, or on one machine a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='cut-')}"
+        alone = spark.sparkContext.master.startswith("local")
+        found = f"file://{tempfile.mkdtemp(prefix='cut-')}" if alone else f"{spark.conf.get('spark.sql.warehouse.dir')}/.checkpoints"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
@@ -54,8 +55,13 @@ def forget(*written: DataFrame) -> None:
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Whole texts go to Python in batches of so many rows, so that long ones don't add up in a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    """Whole texts go to Python in batches of so many rows, so that long ones don't add up in a worker.
+
+    The setting stays: a query's plan is made when its caller runs it. A smaller one is left as it is.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, rows)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,8 +69,47 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def drop_ids(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Rows of docs whose key isn't in ids. The ids are counted: few are broadcast, many are joined by shuffle."""
-    ids = cut(ids.select(key).where(F.col(key).isNotNull()).distinct(), "ids")
-    few = ids.count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(ids) if few else ids, key, "left_anti").select(docs.columns)
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash, text: together the first two tell rows apart, save those that repeat both id and text."""
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
+def is_row(docs: DataFrame, other: DataFrame) -> Column:
+    """Whether a row of docs is the one that other (doc_id, text_hash) names; null ids are equal."""
+    return docs["doc_id"].cast("long").eqNullSafe(other["doc_id"]) & (F.xxhash64(docs["text"].cast("string")) == other["text_hash"])
+
+
+def drop_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """Rows of docs that gone (doc_id, text_hash) doesn't name. They are counted: few are broadcast, many are joined by shuffle."""
+    gone = cut(gone.select("doc_id", "text_hash").distinct(), "gone")
+    few = gone.count() <= BROADCAST_ROWS
+    return docs.join(F.broadcast(gone) if few else gone, is_row(docs, gone), "left_anti")
+
+
+def numbered(rows: DataFrame, group: list[str], order: list[Column], name: str = "number") -> DataFrame:
+    """rows with their number within group, from 0, in the given order; group columns may be null.
+
+    Rows are dealt by ranges of group and order and written in that order, so a group with most rows is
+    many tasks'; what comes before a task's rows of a group is the sum of the earlier tasks' counts.
+    """
+    keys = [*(F.col(f"`{g}`").asc_nulls_first() for g in group), *order, F.asc("_tie")]  # rows that are alike are spread too
+    dealt = rows.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(*keys).sortWithinPartitions(*keys).drop("_tie")
+    dealt = cut(dealt.withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright("_at", 33).alias("_part")
+    counts = dealt.groupBy(*group, part).agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_low"))
+    before = F.sum("_n").over(Window.partitionBy(*group).orderBy("_part")) - F.col("_n")
+    counts = cut(counts.select(*(F.col(f"`{g}`").alias(f"_g{k}") for k, g in enumerate(group)), "_part", (before - F.col("_low")).alias("_shift")), "counts")
+    same = F.shiftright("_at", 33) == F.col("_part")
+    for k, g in enumerate(group):
+        same = same & F.col(f"`{g}`").eqNullSafe(F.col(f"_g{k}"))
+    few = counts.count() <= BROADCAST_ROWS
+    joined = dealt.join(F.broadcast(counts) if few else counts, same)
+    return joined.select(*(f"`{c}`" for c in rows.columns), (F.col("_at") + F.col("_shift")).alias(name))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, cut
+from .common import BROADCAST_ROWS, cut, keyed
 from .graph import components
 
 WORDS, SIMILAR = 5, 0.8
@@ -175,18 +175,19 @@ def band_keys(times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """doc_id, a digest of the normalised text, the number of shingles, band keys and signature bytes; not for empty texts."""
+    """doc_id, text_hash, a digest of the normalised text, the number of shingles, band keys and signature bytes; not for empty texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(held: list) -> pa.RecordBatch:
-            keys, marks = band_keys(signatures([b for _, _, b in held]))
-            return pa.RecordBatch.from_arrays([pa.array([d for d, _, _ in held], pa.int64()), pa.array([p for _, p, _ in held], pa.binary()), pa.array([int(b[1].sum()) for _, _, b in held], pa.int64()), pa.array(list(keys), pa.list_(pa.int64())), pa.array([x.tobytes() for x in marks], pa.binary())], ["doc_id", "print", "n", "bands", "marks"])
+            ids, hashes, prints, bags = zip(*held)
+            keys, marks = band_keys(signatures(bags))
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(prints, pa.binary()), pa.array([int(b[1].sum()) for b in bags], pa.int64()), pa.array(list(keys), pa.list_(pa.int64())), pa.array([x.tobytes() for x in marks], pa.binary())], ["doc_id", "text_hash", "print", "n", "bands", "marks"])
 
         for batch in batches:
             held, size = [], 0
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for doc, hashed, text in zip(*(c.to_pylist() for c in batch.columns)):
                 if data := normal(text):
-                    held.append((doc, hashlib.blake2b(data, digest_size=16).digest(), bag := shingles(data)))
+                    held.append((doc, hashed, hashlib.blake2b(data, digest_size=16).digest(), bag := shingles(data)))
                     size += len(bag[0])
                     if size >= SIGN_AT_ONCE:
                         yield flush(held)
@@ -194,20 +195,20 @@ def signed(docs: DataFrame) -> DataFrame:
             if held:
                 yield flush(held)
 
-    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, print binary, n long, bands array<long>, marks binary")
+    return keyed(docs).where("doc_id is not null").mapInArrow(run, "doc_id long, text_hash long, print binary, n long, bands array<long>, marks binary")
 
 
-def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """doc_id and text of the documents of ids."""
-    ids = cut(ids.distinct(), "ids")
+def _texts(docs: DataFrame, reps: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node and text of the representatives of nodes."""
+    ids = cut(nodes.distinct().join(reps.select("node", "doc_id", "text_hash"), "node"), "ids")
     few = ids.count() <= BROADCAST_ROWS
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
-    return cut(texts.dropDuplicates(["doc_id"]), "texts")
+    texts = keyed(docs).join(F.broadcast(ids) if few else ids, ["doc_id", "text_hash"])
+    return cut(texts.select("node", "text").dropDuplicates(["node"]), "texts")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
     """Of pairs (a, b) those whose texts are similar enough, on their shingles' counts."""
-    texts = _texts(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")))
+    texts = _texts(docs, reps, pairs.select(F.explode(F.array("a", "b")).alias("node")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, bag = None, None
@@ -220,64 +221,89 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
             out = [p for p in ok if p]
             yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    one = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a")
-    two = one.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("y")), "b")
+    one = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a")
+    two = one.join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
     return cut(two.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "links")
 
 
-def _close(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Verified links between components in each block.
+#: A row of a block: where it is dealt to, its side there, and what pairs are judged by.
+_ROW = "key long, l long, r long, side int, node long, comp long, n long, band int, marks binary, bands array<long>"
 
-    Rows come sorted by block; the last block of a batch waits for the next one.
-    """
-    held: list[np.ndarray] | None = None
-    for batch in rows:
-        now = [batch.column(k).to_numpy() for k in range(8)]
-        now += [np.frombuffer(b"".join(batch.column(8).to_pylist()), np.uint8).reshape(-1, M), batch.column(9).flatten().to_numpy().reshape(-1, BANDS)]
-        now.append(np.array(batch.column(10).to_pylist(), object))
-        held = now if held is None else [np.concatenate(x) for x in zip(held, now)]
-        starts = _starts(held[:3])
-        yield _pairs([x[: starts[-1]] for x in held], starts[:-1])
-        held = [x[starts[-1] :] for x in held]
-    if held is not None:
-        yield _pairs(held, np.zeros(1, np.int64))
 
+def _blocks(rows: Iterator[pa.RecordBatch], judge) -> Iterator[pa.RecordBatch]:
+    """What judge makes of whole blocks. Rows come sorted by block; the last block of a batch waits for the next one."""
+    held: pa.Table | None = None
+    for batch in rows:
+        now = pa.Table.from_batches([batch])
+        held = (now if held is None else pa.concat_tables([held, now])).combine_chunks()
+        starts = _starts([held.column(k).to_numpy() for k in range(3)])
+        if len(starts) > 1:
+            yield judge(held.slice(0, starts[-1]), starts[:-1])
+            held = held.slice(starts[-1])
+    if held is not None and held.num_rows:
+        yield judge(held, np.zeros(1, np.int64))
 
-def _starts(keys: list[np.ndarray]) -> np.ndarray:
-    new = np.ones(len(keys[0]), bool)
-    new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
-    return np.flatnonzero(new)
 
+def _likely_in(rows: pa.Table, starts: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """For each block and right row (start, row, components in the block, left rows it may be similar to).
 
-def _pairs(columns: list[np.ndarray], starts: np.ndarray) -> pa.RecordBatch:
-    """Links of whole blocks. A pair is looked at in the first band that it shares, and not once a link has joined its components."""
-    _, _, _, side, doc, comp, n, band, marks, bands, text = columns
-    found: list[tuple[int, int]] = []
-    for a, b in zip(starts, [*starts[1:], len(doc)]):
+    A pair is looked at in the first band that it shares. The components may be joined meanwhile.
+    """
+    side, comp, n, band = (rows.column(c).to_numpy() for c in ("side", "comp", "n", "band"))
+    marks = np.frombuffer(b"".join(rows.column("marks").to_pylist()), np.uint8).reshape(-1, M)
+    bands = rows.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+    for a, b in zip(starts, [*starts[1:], len(side)]):
         own = comp[a:b].copy()
         left, right = np.flatnonzero(side[a:b] != 1), np.flatnonzero(side[a:b] != 0)
-        bags: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for i in right:
             j = left[(own[left] != own[i]) & (np.minimum(n[a + left], n[a + i]) >= SIMILAR * np.maximum(n[a + left], n[a + i]))]
             j = j[(marks[a + j] == marks[a + i]).mean(axis=1) >= ESTIMATE] if len(j) else j
             j = j[(bands[a + j] == bands[a + i]).argmax(axis=1) == band[a + i]] if len(j) else j
-            for k in j:
-                if own[k] == own[i]:
-                    continue
-                for x in (i, k):
-                    if x not in bags:
-                        bags[x] = shingles(normal(text[a + x]))
-                if similarity(bags[i], bags[k]) >= SIMILAR:
-                    found.append((max(doc[a + i], doc[a + k]), min(doc[a + i], doc[a + k])))
-                    own[own == own[k]] = own[i]
+            if len(j):
+                yield a, i, own, j
+
+
+def _hopeful(rows: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+    """The rows that may be similar to one of another component."""
+    on = np.zeros(rows.num_rows, bool)
+    for a, i, _, j in _likely_in(rows, starts):
+        on[a + i] = on[a + j] = True
+    return rows.filter(pa.array(on)).combine_chunks().to_batches()[0] if on.any() else pa.RecordBatch.from_pylist([], rows.schema)
+
+
+def _close(rows: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+    """Verified links of rows with text; none once a link has joined the components."""
+    node, text = rows.column("node").to_numpy(), rows.column("text")
+    found: list[tuple[int, int]] = []
+    bags: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    block = -1
+    for a, i, own, j in _likely_in(rows, starts):
+        if a != block:
+            block, bags = a, {}
+        for k in j:
+            if own[k] == own[i]:
+                continue
+            for x in (i, k):
+                if x not in bags:
+                    bags[x] = shingles(normal(text[a + x].as_py()))
+            if similarity(bags[i], bags[k]) >= SIMILAR:
+                found.append((max(node[a + i], node[a + k]), min(node[a + i], node[a + k])))
+                own[own == own[k]] = own[i]
     return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
 
-def _across(rows: DataFrame) -> DataFrame:
-    """Verified links between components of the buckets of rows (key, band, doc_id, comp, n, marks, bands, text).
+def _starts(keys: list[np.ndarray]) -> np.ndarray:
+    new = np.ones(len(keys[0]), bool)
+    new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+    return np.flatnonzero(new)
+
+
+def _across(rows: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """Verified links between components of the buckets of rows (key, band, node, comp, n, marks, bands).
 
     In a bucket the largest component is one side, all others the other. Both are dealt into blocks and
-    every block of the others meets each block of the largest and each of the others, once.
+    every block of the others meets each block of the largest and each of the others, once. Signatures
+    are dealt first; only rows that have a likely partner are dealt again with their texts.
     """
     sizes = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
     buckets = sizes.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("all"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
@@ -285,41 +311,41 @@ def _across(rows: DataFrame) -> DataFrame:
     buckets = cut(buckets.select("key", F.col("top.comp").alias("main"), blocks(F.col("top.c")).alias("mains"), blocks(F.col("all") - F.col("top.c")).alias("others")), "buckets")
     rows = rows.join(buckets, "key")
     main = F.col("comp") == F.col("main")
-    at = F.pmod(F.xxhash64("doc_id"), F.when(main, F.col("mains")).otherwise(F.col("others")))
+    at = F.pmod(F.xxhash64("node"), F.when(main, F.col("mains")).otherwise(F.col("others")))
     meets = F.when(main, F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda o: F.struct(F.col("at").alias("l"), o.alias("r"), F.lit(0).alias("side"))))
     with_main = F.transform(F.sequence(F.lit(0), F.col("mains") - 1), lambda k: F.struct(k.alias("l"), F.col("at").alias("r"), F.lit(1).alias("side")))
     # among the others: blocks -1-i and j with i <= j; a row of both sides of its own block is on side 2
     among = F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda o: F.struct((-1 - F.least(o, F.col("at"))).alias("l"), F.greatest(o, F.col("at")).alias("r"), F.when(o == F.col("at"), 2).when(o > F.col("at"), 0).otherwise(1).alias("side")))
     dealt = rows.withColumn("at", at).withColumn("m", F.explode(meets.otherwise(F.concat(with_main, among))))
-    dealt = dealt.select("key", "m.l", "m.r", "m.side", "doc_id", "comp", "n", "band", "marks", "bands", "text")
-    return dealt.repartition("key", "l", "r").sortWithinPartitions("key", "l", "r").mapInArrow(_close, "a long, b long")
+    dealt = dealt.select("key", "m.l", "m.r", "m.side", "node", "comp", "n", "band", "marks", "bands")
+    in_blocks = lambda df: df.repartition("key", "l", "r").sortWithinPartitions("key", "l", "r")
+    hopeful = cut(in_blocks(dealt).mapInArrow(lambda b: _blocks(b, _hopeful), _ROW), "hopeful")
+    texts = _texts(docs, reps, hopeful.select("node"))
+    return in_blocks(hopeful.join(texts, "node").select(*hopeful.columns, "text")).mapInArrow(lambda b: _blocks(b, _close), "a long, b long")
 
 
 def near_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, rep) for every document with words, copies under their smallest id, and verified links (a, b) that join all representatives of a class."""
+    """(doc_id, text_hash, node) for every document with words, equal normalised texts being one node, and verified links (a, b) that join all nodes of a class."""
     sign = cut(signed(docs), "signed")
-    prints = sign.select("doc_id", "print").distinct()
-    groups = cut(prints.groupBy("print").agg(F.min("doc_id").alias("rep")), "groups")
-    member = cut(prints.join(groups, "print").select("doc_id", "rep").distinct(), "members")
-    reps = sign.join(groups.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    reps = cut(reps, "reps")
-    rows = reps.select("doc_id", F.posexplode("bands").alias("band", "key"))
-    buckets = rows.groupBy("key").agg(F.min("doc_id").alias("b"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
+    first = sign.groupBy("print").agg(F.min(F.struct("doc_id", "text_hash", "n", "bands", "marks")).alias("r"))
+    reps = cut(first.select(F.monotonically_increasing_id().alias("node"), "print", "r.*"), "reps")
+    member = sign.select("doc_id", "text_hash", "print").distinct().join(reps.select("print", "node"), "print")
+    member = cut(member.select("doc_id", "text_hash", "node"), "members")
+    rows = reps.select("node", F.posexplode("bands").alias("band", "key"))
+    buckets = rows.groupBy("key").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
     shared = cut(rows.join(buckets, "key"), "shared")
-    pairs = shared.where("doc_id <> b").select(F.col("doc_id").alias("a"), "b").distinct()
-    marks = reps.select("doc_id", "n", "marks")
-    pairs = pairs.join(marks.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("marks").alias("ma")), "a")
-    pairs = pairs.join(marks.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("marks").alias("mb")), "b")
+    pairs = shared.where("node <> b").select(F.col("node").alias("a"), "b").distinct()
+    marks = reps.select("node", "n", "marks")
+    pairs = pairs.join(marks.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("marks").alias("ma")), "a")
+    pairs = pairs.join(marks.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("marks").alias("mb")), "b")
     likely = cut(pairs.where(F.least("na", "nb") >= SIMILAR * F.greatest("na", "nb")).select("a", "b", "ma", "mb").mapInArrow(_likely, "a long, b long"), "likely")
-    links = _verified(likely, docs)
+    links = _verified(likely, docs, reps)
     comps = components(links)
-    known = shared.drop("b").join(comps.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
+    known = shared.drop("b").join(comps.withColumnRenamed("id", "node"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     known = cut(known, "known")
     mixed = known.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
-    open_rows = known.join(mixed, "key", "left_semi").join(reps.select("doc_id", "n", "marks", "bands"), "doc_id")
-    open_rows = cut(open_rows, "open")
-    texts = _texts(docs, open_rows.select("doc_id"))
-    return member, links.unionByName(cut(_across(open_rows.join(texts, "doc_id")), "across"))
+    open_rows = known.join(mixed, "key", "left_semi").join(reps.select("node", "n", "marks", "bands"), "node")
+    return member, links.unionByName(cut(_across(cut(open_rows, "open"), docs, reps), "across"))
 
 
 def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -331,20 +357,22 @@ def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def near_classes(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, class_id (the smallest doc_id of its class), class_size, kept.
+    """One row per document: doc_id, class_id (the smallest doc_id of its class), class_size, kept, text_hash.
 
     A class is a connected component under weighted Jaccard similarity of at least 0.8 of the counts of
     five-word shingles, words being lower-cased runs without white space. Texts of under five words are
     one shingle. Null and empty texts have none and are classes of their own, as are rows without
-    doc_id, whose class_id is null. doc_id is the key: repeated rows share a verdict. Other columns are
-    not read. No rows in, no rows out.
+    doc_id, whose class_id is null. Rows are told apart by doc_id and text: those that repeat both share
+    a verdict, and of different texts under one doc_id each has its own, the one of the smaller
+    text_hash (Spark's xxhash64 of the text) being the first. class_size counts rows that differ.
+    Other columns are not read. No rows in, no rows out.
     """
     member, links = near_links(docs)
     comps = components(links)
-    classes = member.join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", F.coalesce("comp", "rep").alias("class_id"))
+    classes = member.join(comps.withColumnRenamed("id", "node"), "node", "left").select("doc_id", "text_hash", F.coalesce("comp", "node").alias("comp"))
     classes = cut(classes, "classes")
-    sizes = cut(classes.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size")), "sizes")
-    classes = classes.join(sizes, "class_id")
-    every = docs.select(F.col("doc_id").cast("long").alias("doc_id")).join(classes, "doc_id", "left")
-    own = F.coalesce("class_id", "doc_id")
-    return every.select("doc_id", own.alias("class_id"), F.coalesce("class_size", F.lit(1).cast("long")).alias("class_size"), F.coalesce(own == F.col("doc_id"), F.lit(True)).alias("kept"))
+    sizes = cut(classes.groupBy("comp").agg(F.count(F.lit(1)).alias("class_size"), F.min(F.struct("doc_id", "text_hash")).alias("first")), "sizes")
+    classes = classes.join(sizes, "comp").drop("comp")
+    every = keyed(docs).drop("text").join(classes, ["doc_id", "text_hash"], "left")
+    kept = F.coalesce(F.struct("doc_id", "text_hash") == F.col("first"), F.lit(True))
+    return every.select("doc_id", F.coalesce("first.doc_id", "doc_id").alias("class_id"), F.coalesce("class_size", F.lit(1).cast("long")).alias("class_size"), kept.alias("kept"), "text_hash")
