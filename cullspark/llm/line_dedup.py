@@ -21,10 +21,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BROADCAST_ROWS, cut, forget
+from .common import BROADCAST_ROWS, cut, forget, is_row, keyed
 from .minhash import GOLD, U, _mix, word_hashes
 
 SIMILAR = 0.8
+#: Columns that say where a line stands, in order.
+PLACE = ["doc_id", "text_hash", "line"]
 #: Buckets of the rarity table, a number each.
 BUCKETS = 1 << 18
 CHARS_AT_ONCE = 1 << 18
@@ -38,37 +40,49 @@ LONG = 80
 FILTER_BITS = 1 << 26
 
 
-def _batches(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[list[str]]]]:
-    """Ids and texts' lines in groups of about CHARS_AT_ONCE."""
-    ids, texts, size = [], [], 0
+def _batches(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list, list[list[str]]]]:
+    """Ids, text hashes and texts' lines in groups of about CHARS_AT_ONCE."""
+    ids, hashes, texts, size = [], [], [], 0
     for batch in rows:
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for doc, hashed, text in zip(*(c.to_pylist() for c in batch.columns)):
             ids.append(doc)
+            hashes.append(hashed)
             texts.append((text or "").split("\n"))
             size += len(text or "")
             if size >= CHARS_AT_ONCE:
-                yield ids, texts
-                ids, texts, size = [], [], 0
+                yield ids, hashes, texts
+                ids, hashes, texts, size = [], [], [], 0
     if ids:
-        yield ids, texts
+        yield ids, hashes, texts
 
 
-def _sets(texts: list[list[str]], count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Line number over all texts and each distinct word of each line, sorted by both.
+def _sets(lines_: list[str], count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Line number and each distinct word of each line, sorted by both.
 
     A word is a number: 8 bits of rarity above 56 of its hash, so that its order is that of rarity.
     """
-    words = [line.lower().split() for lines in texts for line in lines]
-    line = np.repeat(np.arange(len(words)), [len(w) for w in words])
-    hashed = word_hashes(" ".join([x for w in words for x in w]).encode("utf-8", "replace"))
-    word = (_rarity_bits(count[_bucket(hashed)]) << U(56)) | (hashed >> U(8))
-    order = np.lexsort((word, line))
+    plain = [" ".join(line.split()) for line in "\n".join(lines_).lower().split("\n")]
+    line = np.repeat(np.arange(len(plain)), [x.count(" ") + 1 if x else 0 for x in plain])
+    hashed = word_hashes(" ".join([x for x in plain if x]).encode("utf-8", "replace"))
+    word = (_rarity_bits(count)[_bucket(hashed)] << U(56)) | (hashed >> U(8))
+    order = _order(line, word)
     line, word = line[order], word[order]
     first = np.ones(len(line), bool)
     first[1:] = (line[1:] != line[:-1]) | (word[1:] != word[:-1])
     return line[first], word[first]
 
 
+def _order(line: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Order by line, then word: one sort of 64-bit keys, unless a word's first bits don't tell it from another."""
+    if len(line) and line[-1] < 1 << 20:
+        key = (line.astype(np.uint64) << U(44)) | (word >> U(20))
+        order = np.argsort(key)
+        key, sorted_ = key[order], word[order]
+        if not ((key[1:] == key[:-1]) & (sorted_[1:] != sorted_[:-1])).any():
+            return order
+    return np.lexsort((word, line))
+
+
 def _rarity_bits(count: np.ndarray) -> np.ndarray:
     return np.minimum(8 * np.log2(count.astype(np.float32) + 1), 255).astype(np.uint64)
 
@@ -82,13 +96,20 @@ def rarity(docs: DataFrame) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS, np.int64)
-        for _, texts in _batches(batches):
-            words = " ".join(line for lines in texts for line in lines).lower()
-            total += np.bincount(_bucket(word_hashes(words.encode("utf-8", "replace"))), minlength=BUCKETS)
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            while texts:
+                size = part = 0
+                while part < len(texts) and size < CHARS_AT_ONCE:
+                    size += len(texts[part] or "")
+                    part += 1
+                words = " ".join([t for t in texts[:part] if t]).lower().replace("\n", " ")
+                total += np.bincount(_bucket(word_hashes(words.encode("utf-8", "replace"))), minlength=BUCKETS)
+                texts = texts[part:]
         on = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(on), pa.array(total[on])], ["bucket", "n"])
 
-    rows = docs.select("doc_id", "text").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    rows = docs.select("text").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(BUCKETS, np.int64)
     out[rows["bucket"]] = rows["n"]
     return out
@@ -115,19 +136,19 @@ def _classes(word: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def lines(docs: DataFrame, counts: np.ndarray) -> DataFrame:
-    """Lines with words: doc_id, line, class (hash of the set), n words, parities, and the prefix by rarity.
+    """Lines with words: doc_id, text_hash, line, of (such lines of the text), class (hash of the set), n words, parities, and the prefix by rarity.
 
     Bit b of parities says whether the words that hash to b are odd in number, so that two sets differ in
-    as many words at least as their parities do in bits. calm: so many words of the prefix occur too
-    seldom in the corpus to be in many lines. more: in long lines, the parities of one half of the words,
-    so that two long lines have twice as many.
+    as many words at least as their parities do in bits. calm: so many words of the prefix, its first ones,
+    occur too seldom in the corpus to be in many lines. more: in long lines, the parities of one half of
+    the words, so that two long lines have twice as many.
     """
     shared, few = docs.sparkSession.sparkContext.broadcast(counts), _rarity_bits(np.array([FEW]))[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = shared.value
-        for ids, texts in _batches(batches):
-            line, word = _sets(texts, count)
+        for ids, hashes, texts in _batches(batches):
+            line, word = _sets([x for t in texts for x in t], count)
             if not len(line):
                 continue
             start, n = _starts(line)
@@ -136,15 +157,13 @@ def lines(docs: DataFrame, counts: np.ndarray) -> DataFrame:
             keep = np.where(n < 4, 0, n - least_shared(n) + 1)  # sets of up to three words match only themselves
             inside = np.arange(len(line)) - np.repeat(start, n) < np.repeat(keep, n)
             calm = np.add.reduceat((inside & (word >> U(56) <= few)).astype(np.int64), start)
-            of = line[start]
-            sizes = [len(x) for x in texts]
-            doc = np.repeat(np.array(ids, np.int64), sizes)[of]
-            number = (np.arange(sum(sizes)) - np.repeat(np.cumsum([0, *sizes[:-1]]), sizes))[of]
+            text, number = _ranges(np.array([len(x) for x in texts]))
+            text, number = text[line[start]], number[line[start]]
             prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(keep)]).astype(np.int32)), pa.array(word[inside].view(np.int64)))
-            columns = {"doc_id": doc, "line": number.astype(np.int32), "class": _classes(word, start, n), "n": n.astype(np.int32), "parities": parities, "more": np.where(n > LONG, half, 0), "calm": calm.astype(np.int32)}
+            columns = {"doc_id": np.array(ids, np.int64)[text], "text_hash": np.array(hashes, np.int64)[text], "line": number.astype(np.int32), "of": np.bincount(text, minlength=len(texts))[text].astype(np.int32), "class": _classes(word, start, n), "n": n.astype(np.int32), "parities": parities, "more": np.where(n > LONG, half, 0), "calm": calm.astype(np.int32)}
             yield pa.RecordBatch.from_arrays([*map(pa.array, columns.values()), prefix], [*columns, "prefix"])
 
-    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, line int, class long, n int, parities long, more long, calm int, prefix array<long>")
+    return keyed(docs).where("doc_id is not null").mapInArrow(run, "doc_id long, text_hash long, line int, of int, class long, n int, parities long, more long, calm int, prefix array<long>")
 
 
 def grade(n: Column) -> Column:
@@ -217,7 +236,7 @@ def _hot_links(flagged: DataFrame, hot_words: DataFrame, words: DataFrame) -> Da
     """class, links and near (the first place of a linked line) from words of many lines.
 
     flagged: all prefix words (class, n, at, word, grade, hot: the word has many lines in this grade and
-    the next, below: in the grade below and this one) of lines with such words; words: class, doc_id, line,
+    the next, below: in the grade below and this one) of lines with such words; words: class, place,
     words. Lines that meet longer ones, and those, are dealt into blocks; each block of the former meets
     each of the latter once, and a task counts links instead of listing them. A pair belongs to the first
     word of many lines in which it meets, unless it meets in one of few lines, where the join has it.
@@ -232,8 +251,8 @@ def _hot_links(flagged: DataFrame, hot_words: DataFrame, words: DataFrame) -> Da
     others = F.sequence(F.lit(0).cast("long"), blocks - 1)
     meets = F.transform(others, lambda o: F.struct(F.when(F.col("shorter"), mine).otherwise(o).alias("l"), F.when(F.col("shorter"), o).otherwise(mine).alias("r")))
     dealt = rows.withColumn("m", F.explode(meets)).select("word", "grade", "m.l", "m.r", "shorter", "class", "at").join(full, "class")
-    counted = dealt.groupBy("word", "grade", "l", "r").applyInPandas(_count, "class long, links long, doc_id long, line int")
-    return counted.select("class", "links", F.struct("doc_id", "line").alias("near"))
+    counted = dealt.groupBy("word", "grade", "l", "r").applyInPandas(_count, "class long, links long, doc_id long, text_hash long, line int")
+    return counted.select("class", "links", F.struct(*PLACE).alias("near"))
 
 
 def _matrix(sets: list[list], number: dict) -> np.ndarray:
@@ -253,7 +272,7 @@ def _numbers(sets: list[list]) -> dict:
 
 
 def _count(group: pd.DataFrame) -> pd.DataFrame:
-    group = group.sort_values(["doc_id", "line"])
+    group = group.sort_values(PLACE)
     y, x = group[group["shorter"]], group[~group["shorter"]]
     y = y[y["at"].to_numpy() < _indexed(y["n"].to_numpy(np.int64))]
     sets = [[w.split(" ") for w in g["words"]] for g in (y, x)]
@@ -273,17 +292,17 @@ def _count(group: pd.DataFrame) -> pd.DataFrame:
     for hits, one, two in ((linked, y, x), (linked.T, x, y)):
         on = np.flatnonzero(hits.any(axis=1)) if hits.size else np.zeros(0, np.int64)
         first = two.iloc[hits[on].argmax(axis=1)] if len(on) else two.iloc[:0]  # rows are in order of place
-        out.append(pd.DataFrame({"class": one["class"].to_numpy()[on], "links": hits[on].sum(axis=1).astype(np.int64) if len(on) else np.zeros(0, np.int64), "doc_id": first["doc_id"].to_numpy(), "line": first["line"].to_numpy()}))
+        out.append(pd.DataFrame({"class": one["class"].to_numpy()[on], "links": hits[on].sum(axis=1).astype(np.int64) if len(on) else np.zeros(0, np.int64), **{c: first[c].to_numpy() for c in PLACE}}))
     return pd.concat(out)
 
 
-def _place(doc: np.ndarray, line: np.ndarray, bits: int) -> np.ndarray:
+def _place(doc: np.ndarray, hashed: np.ndarray, line: np.ndarray, bits: int) -> np.ndarray:
     """Bit of the filter that stands for a place."""
-    return (_mix(doc.view(np.uint64) * GOLD + line.astype(np.uint64)) & U(bits - 1)).astype(np.int64)
+    return (_mix(doc.view(np.uint64) * GOLD + hashed.view(np.uint64) + line.astype(np.uint64)) & U(bits - 1)).astype(np.int64)
 
 
 def _filter(wanted: DataFrame) -> np.ndarray:
-    """Bits of all places in wanted (doc_id, line); a fixed size at most reaches the driver."""
+    """Bits of all places in wanted; a fixed size at most reaches the driver."""
     bits = 1 << 12
     count = wanted.count()
     while bits < min(16 * count, FILTER_BITS):
@@ -291,43 +310,42 @@ def _filter(wanted: DataFrame) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            on = np.unique(_place(b.column(0).to_numpy(), b.column(1).to_numpy(), bits))
+            on = np.unique(_place(*(c.to_numpy() for c in b.columns), bits))
             yield pa.RecordBatch.from_arrays([pa.array(on >> 6), pa.array((U(1) << (on & 63).astype(np.uint64)).view(np.int64))], ["at", "bit"])
 
-    rows = wanted.select("doc_id", "line").mapInArrow(run, "at long, bit long").groupBy("at").agg(F.bit_or("bit").alias("bit")).toPandas()
+    rows = wanted.select(*PLACE).mapInArrow(run, "at long, bit long").groupBy("at").agg(F.bit_or("bit").alias("bit")).toPandas()
     out = np.zeros(bits // 64, np.uint64)
     out[rows["at"].to_numpy(np.int64)] = rows["bit"].to_numpy(np.int64).view(np.uint64)
     return out
 
 
 def _words(classes: DataFrame, reps: DataFrame, docs: DataFrame, counts: np.ndarray) -> DataFrame:
-    """class, doc_id, line and the words of its first line, joined by spaces, which takes half the room of an array.
+    """class, place and the words of its first line, joined by spaces, which takes half the room of an array.
 
     Texts are read again and not shuffled: a filter of places says which lines to send on.
     """
-    wanted = cut(classes.select("class").distinct().join(reps.select("class", "doc_id", "line"), "class"), "wanted")
+    wanted = cut(classes.select("class").distinct().join(reps.select("class", *PLACE), "class"), "wanted")
     shared = docs.sparkSession.sparkContext.broadcast((_filter(wanted), counts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         on, count = shared.value
-        for ids, texts in _batches(batches):
-            sizes = np.array([len(x) for x in texts])
-            text, number = _ranges(sizes)
-            doc = np.array(ids, np.int64)[text]
-            bit = _place(doc, number, 64 * len(on))
+        for ids, hashes, texts in _batches(batches):
+            text, number = _ranges(np.array([len(x) for x in texts]))
+            doc, hashed = np.array(ids, np.int64)[text], np.array(hashes, np.int64)[text]
+            bit = _place(doc, hashed, number, 64 * len(on))
             hit = np.flatnonzero((on[bit >> 6] >> (bit & 63).astype(np.uint64)) & U(1))
             found = [texts[t][k] for t, k in zip(text[hit], number[hit])]
-            line, word = _sets([found], count)
+            line, word = _sets(found, count)
             if not len(line):
                 continue
             start, n = _starts(line)
             of = line[start]
             words = pa.array([" ".join(dict.fromkeys(found[k].lower().split())).encode("utf-8", "replace").decode() for k in of])
-            yield pa.RecordBatch.from_arrays([pa.array(_classes(word, start, n)), pa.array(doc[hit][of]), pa.array(number[hit][of].astype(np.int32)), words], ["class", "doc_id", "line", "words"])
+            places = (doc[hit][of], hashed[hit][of], number[hit][of].astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(_classes(word, start, n)), *map(pa.array, places), words], ["class", *PLACE, "words"])
 
-    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = texts.mapInArrow(run, "class long, doc_id long, line int, words string")
-    return cut(found.join(wanted, ["class", "doc_id", "line"], "left_semi").dropDuplicates(["class"]), "found")
+    found = keyed(docs).where("doc_id is not null").mapInArrow(run, "class long, doc_id long, text_hash long, line int, words string")
+    return cut(found.join(wanted, ["class", *PLACE], "left_semi").dropDuplicates(["class"]), "found")
 
 
 def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -356,25 +374,21 @@ def linked(reps: DataFrame, docs: DataFrame, rare: np.ndarray) -> DataFrame:
     both = counts.select("word", F.explode(F.array(F.col("grade"), F.col("grade") - 1)).alias("grade"), "c")
     hot_words = cut(both.groupBy("word", "grade").agg(F.sum("c").alias("c")).where(F.col("c") > FEW), "hot")
     many = hot_words.count()
-    if many:
-        side = lambda down, name: (lambda h: F.broadcast(h) if many <= BROADCAST_ROWS else h)(hot_words.select("word", (F.col("grade") + down).alias("grade"), F.lit(True).alias(name)))
-        flagged = posted.join(side(0, "hot"), ["word", "grade"], "left").join(side(1, "below"), ["word", "grade"], "left").na.fill(False, ["hot", "below"])
-        hots = cut(flagged.where("hot or below").groupBy("class").agg(F.sum(F.col("hot").cast("int")).cast("int").alias("hots")), "hots")
-        cold = flagged.where("not (hot and below)").join(hots, "class", "left").withColumn("hots", F.coalesce("hots", F.lit(0)))
-    else:
-        cold = posted.withColumn("hot", F.lit(False)).withColumn("hots", F.lit(0))
+    side = lambda down, name: (lambda h: F.broadcast(h) if many <= BROADCAST_ROWS else h)(hot_words.select("word", (F.col("grade") + down).alias("grade"), F.lit(True).alias(name)))
+    flagged = posted.join(side(0, "hot"), ["word", "grade"], "left").join(side(1, "below"), ["word", "grade"], "left").na.fill(False, ["hot", "below"])
+    # words of many lines come after the calm ones: of those shared before a meeting, hots at most are of that kind
+    cold = flagged.where("not (hot and below)").withColumn("hots", F.greatest(F.lit(0), F.col("at") - F.col("calm")))
     pairs = cut(_candidates(cold), "pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("class"))
-    found = _words(wanted.unionByName(hots.select("class")) if many else wanted, reps, docs, rare)
+    hot_classes = cut(flagged.where("hot or below").select("class").distinct(), "hot_classes")
+    found = _words(pairs.select(F.explode(F.array("a", "b")).alias("class")).unionByName(hot_classes), reps, docs, rare)
     links = _verified(pairs, found)
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    place = reps.select(F.col("class").alias("b"), F.struct("doc_id", "line").alias("near"))
+    place = reps.select(F.col("class").alias("b"), F.struct(*PLACE).alias("near"))
     listed = both.join(place, "b").select(F.col("a").alias("class"), F.lit(1).cast("long").alias("links"), "near")
-    if many:
-        of_hot = cut(flagged.select("class", "n", "at", "word", "grade", "hot", "below").join(hots, "class", "left_semi"), "flagged")
-        listed = listed.unionByName(_hot_links(of_hot, hot_words, found))
-    out = cut(listed.groupBy("class").agg(F.sum("links").alias("links"), F.min("near").alias("near")), "linked")
-    forget(pairs, found, links, *([hots, of_hot] if many else []))
+    of_hot = cut(flagged.select("class", "n", "at", "word", "grade", "hot", "below").join(hot_classes, "class", "left_semi"), "flagged")
+    every = listed.unionByName(_hot_links(of_hot, hot_words, found))
+    out = cut(every.groupBy("class").agg(F.sum("links").alias("links"), F.min("near").alias("near")), "linked")
+    forget(pairs, found, links, hot_classes, of_hot)
     return out
 
 
@@ -382,9 +396,9 @@ def similar_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """All lines with words; their classes with the first line of each; and the classes' links (class, links, near)."""
     counts = rarity(docs)
     every = cut(lines(docs, counts), "lines")
-    first = every.groupBy("class").agg(F.min(F.struct("doc_id", "line")).alias("at")).select("class", "at.doc_id", "at.line")
-    reps = cut(every.join(cut(first, "first"), ["doc_id", "line", "class"], "left_semi").dropDuplicates(["doc_id", "line", "class"]), "reps")
-    return every.select("doc_id", "line", "class", "n"), reps, linked(reps, docs, counts)
+    first = every.groupBy("class").agg(F.min(F.struct(*PLACE, "n", "parities", "more", "calm", "prefix")).alias("r"))
+    reps = cut(first.select("class", "r.*"), "reps")
+    return every.select(*PLACE, "of", "class", "n"), reps, linked(reps, docs, counts)
 
 
 @F.pandas_udf(T.StringType())
@@ -395,12 +409,15 @@ def _keep(text, gone):
 def without_similar_lines(docs: DataFrame) -> DataFrame:
     """docs with later lines taken out of text; n_lines with words, n_removed, and n_links of their classes.
 
-    Order is by doc_id, then line; a line goes if an earlier one has Jaccard similarity of at least 0.8
+    Order is by doc_id, then text_hash (Spark's xxhash64 of the text, which tells texts under one doc_id
+    apart), then line; a line goes if an earlier one has Jaccard similarity of at least 0.8
     to it as a set of words, whether that one stays or not. Lines without words stay and have no links.
-    Null texts stay null; rows without doc_id stay as they are; rows that repeat a doc_id with the same
-    text lose the same lines. A text may become empty; no row is dropped. No rows in, no rows out.
+    Null texts stay null; rows without doc_id stay as they are; rows that repeat a doc_id and its text are
+    one text and lose the same lines. A text may become empty; no row is dropped. Extra columns pass
+    through, save those named like the three made here. No rows in, no rows out.
     """
-    # shuffle files of a step go when it has been written, not when the driver collects its garbage
+    # shuffle files of a step go when it has been written, not when the driver collects its garbage; a lost
+    # executor then costs the step that runs, whose inputs are written tables
     conf, clean = docs.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = conf.get(clean)
     conf.set(clean, "true")
@@ -412,15 +429,17 @@ def without_similar_lines(docs: DataFrame) -> DataFrame:
 
 def _without(docs: DataFrame) -> DataFrame:
     every, reps, links = similar_lines(docs)
-    best = reps.select("class", F.struct("doc_id", "line").alias("own")).join(links, "class", "left")
+    best = reps.select("class", F.struct(*PLACE).alias("own")).join(links, "class", "left")
     best = cut(best.select("class", F.least("own", F.coalesce("near", "own")).alias("best"), F.coalesce("links", F.lit(0).cast("long")).alias("links")), "best")
     forget(reps)
-    judged = every.distinct().join(best, "class").withColumn("gone", F.col("best") < F.struct("doc_id", "line"))
-    by = judged.groupBy(F.col("doc_id").alias("by_id")).agg(F.count(F.lit(1)).alias("n_lines"), F.sum("links").alias("n_links"), F.collect_list(F.when(F.col("gone"), F.col("line"))).alias("gone"))
+    judged = every.join(best, "class").withColumn("gone", F.col("best") < F.struct(*PLACE))
+    # a row that comes so many times has each of its lines as often
+    times = F.count(F.lit(1)) / F.max("of")
+    by = judged.groupBy("doc_id", "text_hash").agg(F.max("of").cast("long").alias("n_lines"), F.round(F.sum("links") / times).cast("long").alias("n_links"), F.collect_set(F.when(F.col("gone"), F.col("line"))).alias("gone"))
     by = cut(by, "by")
     forget(every, best)
-    joined = docs.join(by, F.col("doc_id").cast("long") == F.col("by_id"), "left")
+    joined = docs.join(by, is_row(docs, by), "left")
     zero = F.lit(0).cast("long")
-    text = _keep(F.col("text").cast("string"), F.col("gone"))
-    made = {"text": text, "n_lines": F.coalesce("n_lines", zero), "n_removed": F.greatest(F.coalesce(F.size("gone"), F.lit(0)), F.lit(0)).cast("long"), "n_links": F.coalesce("n_links", zero)}
-    return joined.select(*(F.col(f"`{c}`") for c in docs.columns if c not in made), *(v.alias(k) for k, v in made.items()))
+    text = _keep(docs["text"].cast("string"), by["gone"])
+    made = {"text": text, "n_lines": F.coalesce(by["n_lines"], zero), "n_removed": F.greatest(F.coalesce(F.size(by["gone"]), F.lit(0)), F.lit(0)).cast("long"), "n_links": F.coalesce(by["n_links"], zero)}
+    return joined.select(*(docs[f"`{c}`"] for c in docs.columns if c not in made), *(v.alias(k) for k, v in made.items()))
