@@ -168,7 +168,7 @@ def burst_prefix(name: Column) -> Column:
 
 
 def burst_index(name: Column) -> Column:
-    return F.when(_stem(name).rlike(r"\d$"), F.regexp_extract(_stem(name), r"(\d+)$", 1).cast("decimal(38,0)"))
+    return F.when(_stem(name).rlike(r"\d$"), F.regexp_extract(_stem(name), r"(\d+)$", 1).try_cast("decimal(38,0)"))
 
 
 def _stem(name: Column) -> Column:
@@ -176,10 +176,17 @@ def _stem(name: Column) -> Column:
 
 
 def natural_key(name: Column) -> Column:
-    """Sorts without regard to case and with runs of digits as numbers: digits padded to 20 places."""
+    """Sorts without regard to case and with runs of digits as numbers of any length: a run is led by how many digits it has.
+
+    The length has four places, and a zero before it keeps runs in the place of digits among other signs.
+    """
     parts = F.regexp_extract_all(F.lower(F.coalesce(name, F.lit(""))), F.lit(r"(\d+|\D+)"), 1)
-    pad = lambda x: F.when(x.rlike(r"^\d"), F.lpad(F.regexp_replace(x, r"^0+(?=\d)", ""), 20, "0")).otherwise(x)
-    return F.array_join(F.transform(parts, pad), "")
+
+    def number(x: Column) -> Column:
+        plain = F.regexp_replace(x, r"^0+(?=\d)", "")
+        return F.concat(F.lit("0"), F.lpad(F.length(plain).cast("string"), 4, "0"), plain)
+
+    return F.array_join(F.transform(parts, lambda x: F.when(x.rlike(r"^\d"), number(x)).otherwise(x)), "")
 
 
 def exif_millis(text: Column) -> Column:
@@ -193,6 +200,31 @@ def exif_millis(text: Column) -> Column:
     return F.when(fine, (days * 86400 + hour * 3600 + minute * 60 + second) * 1000)
 
 
+def iso_millis(text: Column) -> Column:
+    """Milliseconds of an ISO time, UTC where it names no zone, or null."""
+    zoned = text.rlike(r"(?i)(z|[+-]\d{2}:?\d{2})$")
+    full = F.when(zoned | ~text.contains("T"), text).otherwise(F.concat(text, F.lit("Z")))
+    return F.unix_millis(F.try_to_timestamp(full))
+
+
+def exif_date(original: Column, digitized: Column, date: Column, tiff: Column) -> Column:
+    """Milliseconds of the first of four tags that isn't empty; a tag that is no time gives null, and the next isn't asked."""
+    first = F.coalesce(*(F.nullif(c, F.lit("")) for c in (original, digitized, date, tiff)))
+    return exif_millis(first)
+
+
+def capture_time(known: Column, picker: Column, exif: Column) -> Column:
+    """What is known stays, else the picker's ISO time, else the image's."""
+    return F.coalesce(known, iso_millis(picker), exif)
+
+
+def hash_distance(a: Column, b: Column) -> Column:
+    """Differing bits of two hashes in hex of any one length; hashes of unequal lengths are 2 ** 53 - 1 apart."""
+    digits = lambda h: F.transform(F.split(F.lower(h), ""), lambda c: F.instr(F.lit("0123456789abcdef"), c) - 1)
+    bits = F.zip_with(digits(a), digits(b), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    return F.when(F.length(a) != F.length(b), F.lit((1 << 53) - 1)).otherwise(F.aggregate(bits, F.lit(0), lambda s, x: s + x).cast("long"))
+
+
 def supported_format(name: Column, kind: Column) -> Column:
     """Not WebP, by extension or type."""
     return (F.lower(F.substring_index(name, ".", -1)) != "webp") & ~F.coalesce(F.lower(F.trim(kind)).isin("image/webp", "public.webp"), F.lit(False))

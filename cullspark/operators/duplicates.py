@@ -1,7 +1,8 @@
 """Near-duplicate photos: a range join over time, a predicate over names, hashes and faces, and groups.
 
 The five-minute range becomes an equality of time buckets, each photo meeting its own bucket and the one
-before, so the join shuffles by album, name prefix and bucket and no album becomes a product.
+before; where names count too, of buckets of their numbers. Either join shuffles by album and bucket, so
+no album becomes a product.
 """
 
 from __future__ import annotations
@@ -22,12 +23,11 @@ KEEPER = 2
 HOUR = 3_600_000
 
 
-def pairs(photos: DataFrame, window: int = WINDOW, same_prefix: bool = False) -> DataFrame:
+def pairs(photos: DataFrame, window: int = WINDOW) -> DataFrame:
     """Pairs (a later, b earlier) of one album within window; missing times count as 0, ties are by photo_id."""
     t = F.coalesce("captured_at", F.lit(0)).cast("long")
-    base = photos.withColumn("t", t).withColumn("prefix", S.burst_prefix(F.col("file_name"))).withColumn("idx", S.burst_index(F.col("file_name"))).withColumn("bucket", F.floor(F.col("t") / window))
-    base = base.where(F.col("prefix").isNotNull()) if same_prefix else base
-    keys = ["album_id", "bucket", *(["prefix"] if same_prefix else [])]
+    base = photos.withColumn("t", t).withColumn("bucket", F.floor(F.col("t") / window))
+    keys = ["album_id", "bucket"]
     held = [c for c in base.columns if c not in keys]
     late = base.select(*keys, *(F.col(c).alias(f"a_{c}") for c in held))
     early = base.withColumn("bucket", F.explode(F.array("bucket", F.col("bucket") + 1))).select(*keys, *(F.col(c).alias(f"b_{c}") for c in held))
@@ -43,16 +43,41 @@ def near_duplicate(gap: Column, apart: Column, both_hashes: Column, framing: Col
     return F.when(gap.isNull() | (gap > GAP), False).when(near <= SAME, True).when(adjacent & (near <= SAME_ADJACENT), True).when(far, False).when(adjacent & both_hashes & framing, True).otherwise(faces & framing)
 
 
+def _near_numbers(photos: DataFrame) -> DataFrame:
+    """Pairs (a later, b earlier) of one album and name prefix within WINDOW whose numbers are GAP apart at most.
+
+    Numbers are dealt in tens and meet their own ten and its neighbours, so photos of one time, or of none,
+    make no bucket of their own. Only ids, times, numbers and hashes are shuffled.
+    """
+    n = F.col("file_name")
+    rows = photos.select("album_id", "photo_id", F.coalesce("captured_at", F.lit(0)).cast("long").alias("t"), S.burst_prefix(n).alias("prefix"), S.burst_index(n).alias("idx"), "perceptual_hash").where("prefix is not null and idx is not null")
+    ten = F.col("idx") - F.col("idx") % GAP
+    keys, held = ["album_id", "prefix", "ten"], ["photo_id", "t", "idx", "perceptual_hash"]
+    late = rows.withColumn("ten", ten).select(*keys, *(F.col(c).alias(f"a_{c}") for c in held))
+    early = rows.withColumn("ten", F.explode(F.array(ten - GAP, ten, ten + GAP))).select(*keys, *(F.col(c).alias(f"b_{c}") for c in held))
+    order = (F.col("b_t") < F.col("a_t")) | ((F.col("b_t") == F.col("a_t")) & (F.col("b_photo_id") < F.col("a_photo_id")))
+    p = late.join(early, keys).where(order & (F.col("a_t") - F.col("b_t") <= WINDOW))
+    return p.withColumn("gap", F.abs(F.col("a_idx") - F.col("b_idx"))).where(F.col("gap") <= GAP)
+
+
 def duplicate_pairs(photos: DataFrame) -> DataFrame:
-    """Near-duplicate pairs of photos with boxes (array of box) and prints (array of fingerprint)."""
-    p = pairs(photos, same_prefix=True)
-    p = p.withColumn("gap", F.abs(F.col("a_idx") - F.col("b_idx"))).where(F.col("gap") <= GAP)
+    """Near-duplicate pairs (album_id, a, b, gap, hamming) of photos with boxes (array of box) and prints (array of fingerprint).
+
+    Numbers and hashes decide most pairs; faces are fetched for the others alone.
+    """
+    p = _near_numbers(photos)
     hashes = (F.coalesce("a_perceptual_hash", F.lit("")) != "") & (F.coalesce("b_perceptual_hash", F.lit("")) != "")
     p = p.withColumn("both_hashes", hashes).withColumn("hamming", F.when(hashes, S.hamming(F.col("a_perceptual_hash"), F.col("b_perceptual_hash"))))
+    judge = lambda framing, faces: near_duplicate(F.col("gap"), F.col("hamming"), F.col("both_hashes"), framing, faces)
+    p = p.select("album_id", F.col("a_photo_id").alias("a"), F.col("b_photo_id").alias("b"), "gap", "hamming", "both_hashes")
+    p = p.withColumn("sure", judge(F.lit(False), F.lit(False))).withColumn("may", judge(F.lit(True), F.lit(True)))
     some = lambda c: F.coalesce(c, F.array())
-    framing = S.framings_similar(some("a_boxes"), some("b_boxes"))
-    faces = S.faces_similar(some("a_prints"), some("b_prints"))
-    return p.where(near_duplicate(F.col("gap"), F.col("hamming"), F.col("both_hashes"), framing, faces))
+    for k in "ab":
+        face = photos.select(F.col("album_id").alias("_album"), F.col("photo_id").alias("_photo"), F.col("boxes").alias(f"{k}_boxes"), F.col("prints").alias(f"{k}_prints"))
+        p = p.where("may").join(face, ~F.col("sure") & (F.col("album_id") == F.col("_album")) & (F.col(k) == F.col("_photo")), "left").drop("_album", "_photo")
+    framing = S.framings_similar(some(F.col("a_boxes")), some(F.col("b_boxes")))
+    faces = S.faces_similar(some(F.col("a_prints")), some(F.col("b_prints")))
+    return p.where(F.col("sure") | judge(framing, faces)).select("album_id", "a", "b", "gap", "hamming")
 
 
 def groups(photos: DataFrame, links: DataFrame) -> DataFrame:
@@ -76,11 +101,12 @@ def groups(photos: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def ensure_checkpoints(spark) -> None:
-    """Checkpoints go to the cluster's shared folder; only without one, as in tests, to a new local one."""
+    """Checkpoints go to the cluster's shared folder; without one to the warehouse, on one machine to a new temporary folder."""
     if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
         import tempfile
 
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
+        alone = spark.sparkContext.master.startswith("local")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-") if alone else f"{spark.conf.get('spark.sql.warehouse.dir')}/.checkpoints")
 
 
 def tier(blurred: Column, closed: Column) -> Column:
@@ -103,14 +129,22 @@ def best_of_groups(photos: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def hash_blocks(photos: DataFrame, most: int = 4) -> DataFrame:
-    """Pairs (a < b) within a Hamming distance: of most + 1 blocks of the hash one must be equal."""
-    bits = F.concat(*(F.lpad(F.conv(F.substring("perceptual_hash", k, 8), 16, 2), 32, "0") for k in (1, 9)))
+    """Pairs (a < b) of an album within a Hamming distance: of most + 1 blocks of the hash one must be equal.
+
+    A pair is kept in the first block that it shares, so each comes once.
+    """
+    half = lambda k: F.conv(F.substring("perceptual_hash", k, 8), 16, 10).cast("long")
     size = -(-64 // (most + 1))
-    block = F.explode(F.array(*(F.concat_ws(":", F.lit(k), F.substring(bits, k * size + 1, size)) for k in range(most + 1)))).alias("block")
-    b = photos.where(S.valid_hash(F.col("perceptual_hash")).isNotNull()).select("photo_id", "perceptual_hash", block)
-    one, two = (b.select("block", F.col("photo_id").alias(x), F.col("perceptual_hash").alias("h" + x)) for x in "ab")
-    near = one.join(two, "block").where(F.col("a") < F.col("b")).withColumn("hamming", S.hamming(F.col("ha"), F.col("hb")))
-    return near.where(F.col("hamming") <= most).select("a", "b", "hamming").distinct()
+    masks = [((1 << min(64, (k + 1) * size)) - (1 << k * size)) for k in range(most + 1)]
+    masks = [F.lit(m - (1 << 64) if m >= 1 << 63 else m).cast("long") for m in masks]
+    rows = photos.where(S.valid_hash(F.col("perceptual_hash")).isNotNull()).select("album_id", "photo_id", F.shiftleft(half(1), 32).bitwiseOR(half(9)).alias("h"))
+    rows = rows.select("album_id", "photo_id", "h", F.posexplode(F.array(*(F.col("h").bitwiseAND(m) for m in masks))).alias("k", "block"))
+    one, two = (rows.select("album_id", "k", "block", F.col("photo_id").alias(x), F.col("h").alias("h" + x)) for x in "ab")
+    near = one.join(two, ["album_id", "k", "block"]).where(F.col("a") < F.col("b")).withColumn("x", F.col("ha").bitwiseXOR(F.col("hb")))
+    first = F.lit(True)
+    for k, m in enumerate(masks):
+        first = first & ((F.col("k") <= k) | (F.col("x").bitwiseAND(m) != 0))
+    return near.where(first & (F.bit_count("x") <= most)).select("album_id", "a", "b", F.bit_count("x").alias("hamming"))
 
 
 def _runs(timed: DataFrame, within: int) -> DataFrame:

@@ -166,25 +166,6 @@ def dominant(sets: DataFrame, yaw=lambda f: F.lit(0.0)) -> DataFrame:
     return df.withColumn("_kept", F.when(F.size("faces") <= 1, F.col("faces")).otherwise(kept)).select(*(F.col("_kept").alias(c) if c == "faces" else c for c in sets.columns))
 
 
-def partial_budget(faces: DataFrame, budget: int = 5, micro: float = 0.001) -> DataFrame:
-    """The rule of the query's SQL, by labels; crowd_partial has the reference's."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("photo_id")
-    forced = (F.col("eye") == "partial") & (F.col("focus") == "soft")
-    tiny = ~forced & (S.area(F.col("box")) < micro * 10)
-    f = faces.withColumn("forced", forced).withColumn("tiny", tiny).withColumn("n_forced", F.count_if("forced").over(w))
-    rank = F.row_number().over(Window.partitionBy("photo_id", "tiny").orderBy(F.desc(F.greatest("left_prob", "right_prob")), F.desc("eye_conf"), "face_index"))
-    return f.withColumn("rank", rank).where("forced or (tiny and rank <= greatest(0, {0} - n_forced))".format(budget)).select("photo_id", "face_index", "forced")
-
-
-def closed_once(faces: DataFrame, low: float = 0.01, high: float = 0.1) -> DataFrame:
-    """The rule of the query's SQL, by labels and without the effect; closed_eyes_once has the reference's."""
-    sized = faces.where((F.col("eye") == "closed") & (S.area(F.col("box")) >= low) & (S.area(F.col("box")) < high))
-    order = F.struct(F.greatest("left_prob", "right_prob").alias("open"), (-F.col("eye_conf")).alias("conf"), "face_index")
-    return sized.groupBy("photo_id").agg(F.min_by("face_index", order).alias("face_index"), F.count(F.lit(1)).alias("closed_faces"))
-
-
 def crowd_partial(faces: DataFrame, budget: int = 5, micro: float = 0.001) -> DataFrame:
     """All faces, those that count as partial in a crowd with eyes_open false, eye_conf 72 and crowd_partial true.
 

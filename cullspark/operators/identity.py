@@ -97,28 +97,72 @@ def key_faces(faces: DataFrame) -> DataFrame:
     f = faces.withColumn("score", score).withColumn("variant", S.variant_id(F.col("cluster"), F.col("eye"), F.col("focus")))
     ordered = F.array_sort(F.collect_set(F.struct("photo_order", "photo_id")))
     rank = F.struct("score", (-F.col("photo_order")).alias("o"), (-F.col("face_index")).alias("i"))
-    return f.groupBy("album_id", "variant").agg(F.count(F.lit(1)).alias("occurrences"), F.transform(ordered, lambda x: x["photo_id"]).alias("photo_ids"), F.max_by(F.struct("photo_id", "face_index"), rank).alias("best"), F.min("photo_order").alias("first_order"))
+    return f.groupBy("album_id", "variant").agg(F.count(F.lit(1)).alias("occurrences"), F.transform(ordered, lambda x: x["photo_id"]).alias("photo_ids"), F.max_by(F.struct("photo_id", "face_index", "score"), rank).alias("best"), F.min(F.struct("photo_order", "face_index")).alias("first")).select("*", F.col("first.photo_order").alias("first_order"), F.col("first.face_index").alias("first_face")).drop("first")
 
 
-def merge_key_faces(variants: DataFrame, threshold: float = MERGE) -> DataFrame:
-    """Merges an album's variants of one eye and focus whose prints are near and that share no photo; greedy in first-seen order.
+def merge_key_faces(variants: DataFrame, threshold: float = MERGE, same_scene: float = MERGE_SAME_SCENE) -> DataFrame:
+    """Merges an album's variants of one eye and focus that show one person; greedy in first-seen order.
 
-    variants: album_id, variant, eye, focus, print, photo_ids, first_order. Gives variant and merged_into.
+    variants: album_id, variant, eye, focus, print, area, box, score, photo_ids, first_order, first_face and, if known,
+    crop_uri and scenes (duplicate groups of its photos). Two merge if they share no photo, and have one crop,
+    or prints nearer than threshold, or nearer than same_scene with a scene in common and boxes alike in size,
+    shape and place. A better-scored member gives its print, area and box; another only blends in. Gives variant
+    and merged_into. A task holds the variants of one eye and focus of an album, people times three at most.
     """
+    for name, kind in (("crop_uri", "string"), ("scenes", "array<string>")):
+        variants = variants if name in variants.columns else variants.withColumn(name, F.lit(None).cast(kind))
+
+    def framed(a: dict, b: dict) -> bool:
+        x, y = a["box"], b["box"]
+        aspect = lambda box: box["width"] / max(box["height"], 1e-8)
+        for one, two, most in ((a["area"], b["area"], 1.85), (aspect(x), aspect(y), 1.35)):
+            if min(one, two) <= 1e-8 or max(one, two) / min(one, two) > most:
+                return False
+        apart = math.hypot(x["left"] + x["width"] * 0.5 - y["left"] - y["width"] * 0.5, x["top"] + x["height"] * 0.5 - y["top"] - y["height"] * 0.5)
+        return apart < (math.hypot(x["width"], x["height"]) + math.hypot(y["width"], y["height"])) / 2 * 0.55
+
+    def one_person(k: dict, r: dict) -> bool:
+        if k["photos"] & r["photos"]:
+            return False
+        if k["crop"] and k["crop"] == r["crop"]:
+            return True
+        if not k["print"] or len(k["print"]) != len(r["print"]):
+            return False
+        d = rms(k["print"], r["print"])
+        return d < threshold or (d < same_scene and bool(k["scenes"] & r["scenes"]) and framed(k, r))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         kept: list[dict] = []
         rows = []
-        for r in pdf.sort_values(["first_order", "variant"]).itertuples():
-            for k in kept:
-                if k["eye"] == r.eye and k["focus"] == r.focus and not k["photos"] & set(r.photo_ids) and rms(k["print"], list(r.print)) < threshold:
-                    k["photos"] |= set(r.photo_ids)
-                    k["print"] = [o * OLD_SHARE + n * NEW_SHARE for o, n in zip(k["print"], r.print)]
-                    rows.append((r.album_id, r.variant, k["variant"]))
-                    break
+        for v in pdf.sort_values(["first_order", "first_face", "variant"]).itertuples():
+            scenes = set() if v.scenes is None else set(v.scenes)
+            box_area = max(0.0, v.box["width"]) * max(0.0, v.box["height"])
+            r = {"variant": v.variant, "photos": set(v.photo_ids), "scenes": scenes, "print": list(v.print), "area": box_area, "blended": v.area, "box": v.box, "score": v.score, "crop": v.crop_uri}
+            k = next((k for k in kept if one_person(k, r)), None)
+            if k is None:
+                kept.append(r)
             else:
-                kept.append({"variant": r.variant, "eye": r.eye, "focus": r.focus, "photos": set(r.photo_ids), "print": list(r.print)})
-                rows.append((r.album_id, r.variant, r.variant))
+                if r["score"] > k["score"]:
+                    k.update({x: r[x] for x in ("print", "area", "blended", "box", "score", "crop")})
+                elif len(k["print"]) == len(r["print"]) and k["print"]:
+                    k["print"] = [o * OLD_SHARE + n * NEW_SHARE for o, n in zip(k["print"], r["print"])]
+                    k["blended"] = k["blended"] * OLD_SHARE + r["blended"] * NEW_SHARE
+                k["photos"] |= r["photos"]
+                k["scenes"] |= r["scenes"]
+            rows.append((v.album_id, v.variant, (k or r)["variant"]))
         return pd.DataFrame(rows, columns=["album_id", "variant", "merged_into"])
 
-    return variants.select("album_id", "variant", "eye", "focus", "print", "photo_ids", "first_order").groupBy("album_id", "eye", "focus").applyInPandas(run, "album_id long, variant string, merged_into string")
+    chosen = variants.select("album_id", "variant", "eye", "focus", "print", "area", "box", "score", "photo_ids", "first_order", "first_face", "crop_uri", "scenes")
+    return chosen.groupBy("album_id", "eye", "focus").applyInPandas(run, "album_id long, variant string, merged_into string")
+
+
+def scenes_of(variants: DataFrame, members: DataFrame) -> DataFrame:
+    """variants (album_id, variant, photo_ids, ...) with scenes: the duplicate groups (album_id, photo_id, group_id) of their photos."""
+    own = variants.select("album_id", "variant", F.explode("photo_ids").alias("photo_id")).join(members.select("album_id", "photo_id", "group_id"), ["album_id", "photo_id"])
+    own = own.groupBy("album_id", "variant").agg(F.array_sort(F.collect_set("group_id")).alias("scenes"))
+    return variants.join(own, ["album_id", "variant"], "left")
+
+
+def share_scene(a, b):
+    """Whether two sets of photos or of duplicate groups meet; null or empty ones never do."""
+    return F.coalesce(F.arrays_overlap(a, b), F.lit(False))

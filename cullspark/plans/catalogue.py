@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import detector, display
 from ..functions import scalar as S
-from ..operators import duplicates, faces, identity, incremental, merge, stats
+from ..operators import albums, duplicates, faces, identity, incremental, merge, stats
 from ..sources.fixtures import DUCK, labelled, photos
 
 QUERIES: dict = {}
@@ -155,20 +155,24 @@ def hash_hamming(spark, sf_dir):
 
 # --- duplicates
 
-_PAIRS = """, pairs as materialized (select a.album_id, a.photo_id as a, b.photo_id as b, a.captured_at - b.captured_at as dt,
+#: Distance of two prints, null where the second is shorter.
+_APART = "case when len({b}) >= len({a}) then sqrt(list_sum(list_transform(list_zip({a}, {b}[1:len({a})]), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) / len({a})) end"
+
+_PAIRS = """, pairs as materialized (select a.album_id, a.photo_id as a, b.photo_id as b, coalesce(a.captured_at, 0) - coalesce(b.captured_at, 0) as dt,
     abs(cast(regexp_extract(a.file_name, '(\\d+)\\.', 1) as bigint) - cast(regexp_extract(b.file_name, '(\\d+)\\.', 1) as bigint)) as gap,
     bit_count(xor(('0x' || substr(a.perceptual_hash, 1, 8))::bigint, ('0x' || substr(b.perceptual_hash, 1, 8))::bigint)) + bit_count(xor(('0x' || substr(a.perceptual_hash, 9, 8))::bigint, ('0x' || substr(b.perceptual_hash, 9, 8))::bigint)) as ham
-  from photos0 a join photos0 b on a.album_id = b.album_id and (b.captured_at < a.captured_at or (b.captured_at = a.captured_at and b.photo_id < a.photo_id)) and a.captured_at - b.captured_at <= 300000),
-ranked as materialized (select photo_id, area, box_width / greatest(box_height, 1e-8) as asp, row_number() over (partition by photo_id order by area desc, face_index) as k, count(*) over (partition by photo_id) as n from tiered),
-px as materialized (select p.a, p.b, x.* from pairs p join ranked x on x.photo_id = p.a),
+  from photos0 a join photos0 b on a.album_id = b.album_id and (coalesce(b.captured_at, 0) < coalesce(a.captured_at, 0) or (coalesce(b.captured_at, 0) = coalesce(a.captured_at, 0) and b.photo_id < a.photo_id)) and coalesce(a.captured_at, 0) - coalesce(b.captured_at, 0) <= 300000),
+close as materialized (select * from pairs where gap <= 10),
+ranked as materialized (select photo_id, area, aspect as asp, row_number() over (partition by photo_id order by area desc, face_index) as k, count(*) over (partition by photo_id) as n from tiered),
+px as materialized (select p.a, p.b, x.* from close p join ranked x on x.photo_id = p.a),
 framed as (select x.a, x.b, bool_and(greatest(x.area, y.area) / least(x.area, y.area) <= 1.85 and greatest(x.asp, y.asp) / least(x.asp, y.asp) <= 1.35) as ok
   from px x join ranked y on y.photo_id = x.b where x.k = y.k and x.n = y.n group by 1, 2),
-prints as materialized (select photo_id, face_index, box_width / greatest(box_height, 1e-8) as p1, box_left as p2, box_top as p3, count(*) over (partition by photo_id) as n from tiered),
-pq as materialized (select p.a, p.b, x.* from pairs p join prints x on x.photo_id = p.a),
-nearest as (select x.a, x.b, x.face_index, min(sqrt(((x.p1 - y.p1)**2 + (x.p2 - y.p2)**2 + (x.p3 - y.p3)**2) / 5)) as d
+prints as materialized (select photo_id, face_index, print, count(*) over (partition by photo_id) as n from tiered),
+pq as materialized (select p.a, p.b, x.* from close p join prints x on x.photo_id = p.a),
+nearest as (select x.a, x.b, x.face_index, min(""" + _APART.format(a="x.print", b="y.print") + """) as d
   from pq x join prints y on y.photo_id = x.b where x.n = y.n group by 1, 2, 3),
-alike as (select a, b, avg(d) < 0.06 as ok from nearest group by 1, 2),
-links as materialized (select p.* from pairs p left join framed f on f.a = p.a and f.b = p.b left join alike l on l.a = p.a and l.b = p.b where gap <= 10 and
+alike as (select a, b, avg(d) < 0.06 and count(d) = count(*) as ok from nearest group by 1, 2),
+links as materialized (select p.* from close p left join framed f on f.a = p.a and f.b = p.b left join alike l on l.a = p.a and l.b = p.b where
   case when ham <= 4 then true when gap <= 2 and ham <= 8 then true when ham > case when gap <= 2 then 30 else 24 end then false when gap <= 2 and coalesce(f.ok, false) then true else coalesce(l.ok, false) and coalesce(f.ok, false) end)"""
 
 _GROUPS = _PAIRS + """, edges as (select a, b from links union select b, a from links), reach as (select a as id, a as m from edges union select r.id, e.b from reach r join edges e on e.a = r.m),
@@ -179,13 +183,11 @@ _BEST = _GROUPS + """, ranks as (select c.photo_id, c.component, f.album_id, cou
 
 
 def with_faces(spark, sf_dir) -> DataFrame:
-    """Photos with flags, boxes and fingerprints of their faces, in order of face_index."""
-    f = labelled(spark, sf_dir)
-    face = F.struct(F.col("box").alias("boundingBox"), F.array().cast("array<struct<type:string,x:double,y:double>>").alias("landmarks"), F.struct(*(F.lit(0.0).alias(k) for k in ("pitch", "roll", "yaw"))).alias("pose"))
-    f = f.withColumn("print", S.fingerprint(face))
+    """Photos with boxes and fingerprints of their faces, in order of face_index."""
+    f = labelled(spark, sf_dir).withColumn("print", S.fingerprint(F.col("face")))
     by = f.groupBy("photo_id").agg(F.array_sort(F.collect_list(F.struct("face_index", "box", "print"))).alias("_f"))
     by = by.select("photo_id", F.transform("_f", lambda x: x["box"]).alias("boxes"), F.transform("_f", lambda x: x["print"]).alias("prints"))
-    return flagged(spark, sf_dir).join(by, "photo_id", "left")
+    return photos(spark, sf_dir).join(by, "photo_id", "left")
 
 
 @query(_PAIRS + "select album_id, a, b, dt from pairs")
@@ -194,7 +196,7 @@ def temporal_pairs(spark, sf_dir):
 
 
 def _links(spark, sf_dir):
-    return duplicates.duplicate_pairs(with_faces(spark, sf_dir)).select("album_id", F.col("a_photo_id").alias("a"), F.col("b_photo_id").alias("b"), "gap", "hamming")
+    return duplicates.duplicate_pairs(with_faces(spark, sf_dir))
 
 
 @query(_PAIRS + "select album_id, a, b, gap, ham as hamming from links")
@@ -269,7 +271,11 @@ def spatial_redundant_pairs(spark, sf_dir):
 
 
 def _sets(spark, sf_dir):
-    return faces.gather(labelled(spark, sf_dir), "eye", "focus", "sharpness", "eye_conf")
+    return faces.gather(labelled(spark, sf_dir), "eye", "focus", "sharpness", "eye_conf", "yaw", "marks")
+
+
+def _yaw(face: Column) -> Column:
+    return face["yaw"]
 
 
 def _flat(sets: DataFrame, kept: Column) -> DataFrame:
@@ -289,16 +295,17 @@ def nonface_filter(spark, sf_dir):
     return _flat(sets, faces.without_artifacts(F.col("faces")))
 
 
-@query(""", fc as materialized (select *, box_left + box_width / 2 as x, box_top + box_height / 2 as y, count(*) over (partition by photo_id) as n, (sharpness < 48 or focus = 'blurred') as sm from tiered),
+@query(""", fc as materialized (select *, box_left + box_width / 2 as x, box_top + box_height / 2 as y, count(*) over (partition by photo_id) as n, (sharpness < 48 or focus = 'blurred') as sm, case when abs(yaw) > pi() + 0.01 then radians(abs(yaw)) else abs(yaw) end as turn from tiered),
   judged as (select p.photo_id, p.face_index, bool_or(
     (p.area between 0.0035 and 0.16 and (p.sm or p.area >= 0.012) and o.area >= 0.0004 and o.area < p.area and o.y > p.y + 0.04 and p.area / o.area >= 3)
     or (p.sm and p.n <= 6 and (p.x <= 0.32 or p.x >= 0.68) and p.area between 0.0035 and 0.16 and o.area >= 0.00175 and p.area / o.area between 0.4 and 2.5 and abs(p.x - 0.5) >= abs(o.x - 0.5) + 0.2 and p.y <= o.y + 0.06)
+    or (p.sm and (p.x <= 0.38 or p.x >= 0.62) and p.turn >= 0.4 and o.turn <= 0.35 and o.area >= 0.0004)
     or (p.sm and p.area >= 0.015 and (p.x <= 0.38 or p.x >= 0.62) and o.area >= 0.0008 and o.area < 0.85 * p.area and abs(o.x - 0.5) < abs(p.x - 0.5))) as bad
     from fc p left join fc o on o.photo_id = p.photo_id and o.face_index <> p.face_index group by 1, 2)
   select photo_id, face_index from judged where not coalesce(bad, false)""")
 def media_filter(spark, sf_dir):
     sets = _sets(spark, sf_dir)
-    return _flat(sets, faces.without_displayed_media(F.col("faces")))
+    return _flat(sets, faces.without_displayed_media(F.col("faces"), yaw=_yaw))
 
 
 @query(""", b as (select *, box_top + box_height / 2 as y from tiered), s as (select photo_id, bool_or(y between 0.45 and 0.88) as stage, count(*) filter (not (area >= 0.012 and y < 0.40)) as keep from b group by 1)
@@ -312,44 +319,73 @@ def open_blurred_filter(spark, sf_dir):
     return labelled(spark, sf_dir).where("not (eye = 'open' and focus = 'blurred')").select("photo_id", "face_index")
 
 
-@query()
+def _suppression(score: str, clash: str, name: str, source: str = "tiered", most: int | None = None) -> str:
+    """CTEs for greedy suppression: faces in order of score, each kept if none kept before clashes with it. clash is on boxes b (kept) and r (next)."""
+    order = f"row_number() over (partition by photo_id order by round({score}, 9) desc, face_index)"
+    limit = f" where k <= {most}" if most else ""
+    box = "{'i': face_index, 'l': box_left, 't': box_top, 'w': box_width, 'h': box_height}"
+    return f""", {name}_r as materialized (select * from (select photo_id, {order} as k, {box} as r from {source}){limit}),
+  {name}_s as (select photo_id, k, [r] as kept from {name}_r where k = 1
+    union all select s.photo_id, n.k, case when len(list_filter(s.kept, lambda b: {clash.replace("r.", "n.r.")})) > 0 then s.kept else list_append(s.kept, n.r) end as kept from {name}_s s join {name}_r n on n.photo_id = s.photo_id and n.k = s.k + 1),
+  {name} as materialized (select photo_id, unnest(kept).i as face_index from (select photo_id, arg_max(kept, k) as kept from {name}_s group by 1))"""
+
+
+_BOTH = "greatest(0, least(b.l + b.w, r.l + r.w) - greatest(b.l, r.l)) * greatest(0, least(b.t + b.h, r.t + r.h) - greatest(b.t, r.t))"
+_OVER = f"{_BOTH} / (b.w * b.h + r.w * r.h - {_BOTH})"
+_UNEVEN = "greatest(b.w * b.h, r.w * r.h) / least(b.w * b.h, r.w * r.h)"
+_CENTRES = "sqrt((b.l + b.w / 2 - r.l - r.w / 2)**2 + (b.t + b.h / 2 - r.t - r.h / 2)**2)"
+_DIAGONAL = "least(sqrt(b.w**2 + b.h**2), sqrt(r.w**2 + r.h**2))"
+
+
+def _clash(same: float, ratio: float, share: float, loose: float, near: float) -> str:
+    return f"{_BOTH} > 0 and ({_OVER} >= {same} or ({_UNEVEN} >= {ratio} and {_BOTH} / least(b.w * b.h, r.w * r.h) >= {share}) or ({_UNEVEN} >= {ratio} and {_OVER} >= {loose} and {_CENTRES} < {near} * {_DIAGONAL}))"
+
+
+_SAME_FACE = _clash(0.42, 1.8, 0.50, 0.18, 0.48)
+
+
+@query(_suppression("marks * 1e6 + area * 1e3 + eye_conf", _SAME_FACE, "kept") + " select photo_id, face_index from kept")
 def face_nms(spark, sf_dir):
-    return _flat(_sets(spark, sf_dir), faces.suppressed(F.col("faces")))
+    return _flat(_sets(spark, sf_dir), faces.suppressed(F.col("faces"), score=lambda f: faces.keep_score(f, f["marks"])))
 
 
-@query()
+@query(_suppression("sharpness", f"{_OVER} >= 0.4", "kept", most=5000) + " select photo_id, face_index from kept")
 def detector_nms(spark, sf_dir):
     return _flat(_sets(spark, sf_dir), faces.suppressed(F.col("faces"), score=lambda f: f["sharpness"] * 1.0, overlap=0.4, most=5000))
 
 
-@query()
+@query(_suppression("sharpness * 1e3 + area", _clash(0.55, 2.4, 0.70, 0.32, 0.35), "kept") + " select photo_id, face_index from kept")
 def detector_dedupe(spark, sf_dir):
     return _flat(_sets(spark, sf_dir), faces.suppressed(F.col("faces"), score=lambda f: f["sharpness"] * 1e3 + S.area(f["box"]), values=S.DETECTOR))
 
 
 @query()
 def dominant_cluster(spark, sf_dir):
-    return _flat(faces.dominant(_sets(spark, sf_dir)), F.col("faces"))
+    return _flat(faces.dominant(_sets(spark, sf_dir), _yaw), F.col("faces"))
 
 
 @query()
 def clean_faces(spark, sf_dir):
     """Artifacts, displayed media and redundant boxes out, then the dominant group."""
     sets = _sets(spark, sf_dir)
-    for step in (faces.without_artifacts, faces.without_displayed_media, faces.suppressed):
+    for step in (faces.without_artifacts, lambda f: faces.without_displayed_media(f, yaw=_yaw), lambda f: faces.suppressed(f, score=lambda x: faces.keep_score(x, x["marks"]))):
         sets = sets.withColumn("faces", step(F.col("faces")))
-    return _flat(faces.dominant(sets), F.col("faces"))
+    return _flat(faces.dominant(sets, _yaw), F.col("faces"))
 
 
-@query(""", z as (select photo_id, arg_min(face_index, (hi, -eye_conf, face_index)) as face_index, count(*) as closed_faces from tiered where eye = 'closed' and area >= 0.01 and area < 0.1 group by 1) select * from z""")
+@query(""", z as (select *, not eyes_open and area >= 0.001 and area < 0.0025 as shut from tiered),
+  y as (select *, row_number() over (partition by photo_id, shut order by hi, eye_conf desc, face_index) as r from z)
+  select photo_id, face_index, eyes_open or (shut and r > 1) as eyes_open, case when shut and r > 1 then 72 else eye_conf end as eye_conf, shut and r > 1 as reopened from y""")
 def closed_eye_dedupe(spark, sf_dir):
-    return faces.closed_once(labelled(spark, sf_dir))
+    return faces.closed_eyes_once(labelled(spark, sf_dir)).select("photo_id", "face_index", "eyes_open", "eye_conf", "reopened")
 
 
-@query(""", g as (select *, (eye = 'partial' and focus = 'soft') as forced from tiered), h as (select *, not forced and area < 0.01 as tiny, count(*) filter (forced) over (partition by photo_id) as nf from g),
-  k as (select *, row_number() over (partition by photo_id, tiny order by hi desc, eye_conf desc, face_index) as r from h) select photo_id, face_index, forced from k where forced or (tiny and r <= greatest(0, 5 - nf))""")
+@query(""", g as (select *, eye_conf <= 90 and ((eyes_open and hi between 0.14 and 0.22 and lo >= 0.12 and round(hi - lo, 9) <= 0.08) or (hi between 0.28 and 0.42 and lo <= 0.05)) as forced from tiered),
+  h as (select *, not forced and eyes_open and area < 0.001 and eye_conf <= 74 and hi <= 0.06 and lo <= 0.05 as tiny, count(*) filter (forced) over (partition by photo_id) as nf from g),
+  k as (select *, forced or (tiny and row_number() over (partition by photo_id, tiny order by hi, eye_conf, face_index) <= 5 - nf) as taken from h)
+  select photo_id, face_index, eyes_open and not taken as eyes_open, case when taken then 72 else eye_conf end as eye_conf, taken as crowd_partial from k""")
 def crowd_partial_budget(spark, sf_dir):
-    return faces.partial_budget(labelled(spark, sf_dir))
+    return faces.crowd_partial(labelled(spark, sf_dir)).select("photo_id", "face_index", "eyes_open", "eye_conf", "crowd_partial")
 
 
 @query("""select photo_id, face_index, cast(round(greatest(0e0, box_left - 0.3 * box_width) * 4000) as int) as x, cast(round(greatest(0e0, box_top - 0.3 * box_height) * 3000) as int) as y,
@@ -359,41 +395,38 @@ def face_crops(spark, sf_dir):
 
 
 def _printed(spark, sf_dir):
-    f = labelled(spark, sf_dir)
-    face = F.struct(F.col("box").alias("boundingBox"), F.array().cast("array<struct<type:string,x:double,y:double>>").alias("landmarks"), F.struct(*(F.lit(0.0).alias(k) for k in ("pitch", "roll", "yaw"))).alias("pose"))
-    return f.withColumn("print", S.fingerprint(face)).withColumn("area", S.area(F.col("box")))
+    return labelled(spark, sf_dir).withColumn("print", S.fingerprint(F.col("face"))).withColumn("area", S.area(F.col("box")))
 
 
-@query("select photo_id, face_index, round(box_width / box_height, 9) as p0, box_left as p1, box_top as p2 from tiered")
+@query("select photo_id, face_index, list_transform(print, lambda x: round(x, 7)) as print, len(print) as n from tiered")
 def face_fingerprint(spark, sf_dir):
-    p = F.col("print")
-    return _printed(spark, sf_dir).select("photo_id", "face_index", r9(p[0]).alias("p0"), p[1].alias("p1"), p[2].alias("p2"))
+    return _printed(spark, sf_dir).select("photo_id", "face_index", F.transform("print", lambda x: F.round(x, 7)).alias("print"), F.size("print").cast("long").alias("n"))
 
 
-@query("select a.photo_id, a.face_index as a, b.face_index as b, round(sqrt(((a.box_width / a.box_height - b.box_width / b.box_height)**2 + (a.box_left - b.box_left)**2 + (a.box_top - b.box_top)**2) / 5), 8) as distance from tiered a join tiered b on a.photo_id = b.photo_id and a.face_index < b.face_index")
+@query("select a.photo_id, a.face_index as a, b.face_index as b, round(" + _APART.format(a="a.print", b="b.print") + ", 7) as distance from tiered a join tiered b on a.photo_id = b.photo_id and a.face_index < b.face_index")
 def fingerprint_distance(spark, sf_dir):
     f = _printed(spark, sf_dir).select("photo_id", "face_index", "print")
     b = f.select("photo_id", F.col("face_index").alias("b"), F.col("print").alias("q"))
-    return f.join(b, "photo_id").where("face_index < b").select("photo_id", F.col("face_index").alias("a"), "b", F.round(S.distance(F.col("print"), F.col("q")), 8).alias("distance"))
+    return f.join(b, "photo_id").where("face_index < b").select("photo_id", F.col("face_index").alias("a"), "b", F.round(S.distance(F.col("print"), F.col("q")), 7).alias("distance"))
 
 
 def _album_faces(spark, sf_dir):
     p = photos(spark, sf_dir)
     w = Window.partitionBy("album_id").orderBy("captured_at", "photo_id")
     p = p.withColumn("photo_order", F.row_number().over(w)).select("album_id", "photo_id", "captured_at", "photo_order")
-    return _printed(spark, sf_dir).join(p, "photo_id").withColumn("cluster", F.concat(F.lit("person-"), F.col("sharpness") % 9)).withColumns({"yaw": F.lit(0.0), "pitch": F.lit(0.0)})
+    return _printed(spark, sf_dir).join(p, "photo_id").withColumn("cluster", F.concat(F.lit("person-"), F.col("sharpness") % 9))
 
 
-@query(""", o as (select photo_id, album_id, row_number() over (partition by album_id order by captured_at, photo_id) as photo_order from photos0),
+@query(""", o as (select photo_id, album_id, row_number() over (partition by album_id order by captured_at nulls first, photo_id) as photo_order from photos0),
   s as (select t.*, album_id, photo_order, 'person-' || (sharpness % 9) || '::' || eye || '::' || focus as variant,
-    case eye when 'open' then 400 when 'partial' then 200 else 0 end + case focus when 'good' then 300 when 'soft' then 150 else 0 end + least(sharpness, 100) + 100 + box_width * box_height * 500 - photo_order * 10 as score from tiered t join o using (photo_id))
+    case eye when 'open' then 400 when 'partial' then 200 else 0 end + case focus when 'good' then 300 when 'soft' then 150 else 0 end + least(sharpness, 100) + greatest(0, 100 - abs(yaw) - abs(pitch)) + box_width * box_height * 500 - photo_order * 10 as score from tiered t join o using (photo_id))
   select album_id, variant, count(*) as occurrences, count(distinct photo_id) as photos, arg_max(photo_id, (score, -photo_order, -face_index)) as best_photo_id, min(photo_order) as first_order from s group by 1, 2""")
 def key_face_groups(spark, sf_dir):
     k = identity.key_faces(_album_faces(spark, sf_dir))
     return k.select("album_id", "variant", "occurrences", F.size("photo_ids").cast("long").alias("photos"), F.col("best.photo_id").alias("best_photo_id"), F.col("first_order").cast("long").alias("first_order"))
 
 
-@query(""", o as (select photo_id, album_id, row_number() over (partition by album_id order by captured_at, photo_id) as photo_order from photos0),
+@query(""", o as (select photo_id, album_id, row_number() over (partition by album_id order by captured_at nulls first, photo_id) as photo_order from photos0),
   s as (select t.photo_id, album_id, photo_order, 'person-' || (sharpness % 9) || '::' || eye || '::' || focus as variant from tiered t join o using (photo_id)),
   v as (select album_id, variant, count(*) as n, count(distinct photo_id) as np, count(distinct photo_id) filter (photo_id % 5 <> 0) as nl, arg_min(photo_id, photo_order) filter (photo_id % 5 <> 0) as src from s group by 1, 2)
   select album_id, variant, greatest(1, n - (np - nl)) as occurrences, src as source_photo_id from v where nl > 0""")
@@ -411,8 +444,9 @@ def face_clusters(spark, sf_dir):
 def key_face_merge(spark, sf_dir):
     f = _album_faces(spark, sf_dir)
     k = identity.key_faces(f)
-    best = k.select("album_id", "variant", "photo_ids", "first_order", F.col("best.photo_id").alias("photo_id"), F.col("best.face_index").alias("face_index"))
-    return identity.merge_key_faces(best.join(f.select("photo_id", "face_index", "eye", "focus", "print"), ["photo_id", "face_index"]))
+    best = k.select("album_id", "variant", "photo_ids", "first_order", "first_face", F.col("best.photo_id").alias("photo_id"), F.col("best.face_index").alias("face_index"), F.col("best.score").alias("score"))
+    best = identity.scenes_of(best, _members(spark, sf_dir))
+    return identity.merge_key_faces(best.join(f.select("photo_id", "face_index", "eye", "focus", "print", "area", "box"), ["photo_id", "face_index"]))
 
 
 # --- merging and storing
@@ -476,9 +510,7 @@ def exif_to_millis(spark, sf_dir):
 
 @query("select a.photo_id as a, b.photo_id as b, bit_count(xor(('0x' || substr(a.perceptual_hash, 1, 8))::bigint, ('0x' || substr(b.perceptual_hash, 1, 8))::bigint)) + bit_count(xor(('0x' || substr(a.perceptual_hash, 9, 8))::bigint, ('0x' || substr(b.perceptual_hash, 9, 8))::bigint)) as hamming from photos0 a join photos0 b on a.photo_id < b.photo_id and a.album_id = b.album_id where hamming <= 4")
 def hash_neighbours(spark, sf_dir):
-    p = photos(spark, sf_dir)
-    album = p.select(F.col("photo_id").alias("a"), F.col("album_id").alias("x")), p.select(F.col("photo_id").alias("b"), F.col("album_id").alias("y"))
-    return duplicates.hash_blocks(p).join(album[0], "a").join(album[1], "b").where("x = y").select("a", "b", F.col("hamming").cast("int").alias("hamming"))
+    return duplicates.hash_blocks(photos(spark, sf_dir)).select("a", "b", F.col("hamming").cast("int").alias("hamming"))
 
 
 @query()
@@ -486,6 +518,139 @@ def legacy_duplicates(spark, sf_dir):
     return duplicates.greedy_duplicates(photos(spark, sf_dir))
 
 
+# --- albums
+
+_ALBUM = """select album_id, case when album_id % 3 = 0 then null else concat('Album ', cast(album_id as {S})) end as name,
+  concat('20', cast(10 + album_id % 15 as {S}), '-0', cast(1 + album_id % 9 as {S}), '-11T10:00:00.000Z') as created_at,
+  case when album_id % 4 = 0 then null else 'x' end as link, case when album_id % 5 = 0 then null else album_id % 2 = 0 end as completed,
+  case when album_id % 7 = 0 then null else album_id % 3 = 1 end as has_uploads, cast(7 as bigint) as total_photos, cast(null as bigint) as total_storage, album_id % 6 as updated_at
+  from (select distinct user_id as album_id from {T} union all select -1 - {N} from (select distinct user_id % 3 as {N} from {T}) z) a"""
+_ALBUMS = ", albums as materialized (" + _ALBUM.format(S="varchar", T="events", N="n") + ")"
+
+
+def _albums(spark, sf_dir) -> DataFrame:
+    return spark.sql(_ALBUM.format(S="string", T="{events}", N="n"), events=spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+def _states(spark, sf_dir) -> DataFrame:
+    """Photos with flags, position by name and all three statuses."""
+    p = flagged(spark, sf_dir).withColumn("position", F.row_number().over(Window.partitionBy("album_id").orderBy(S.natural_key(F.col("file_name")), "photo_id")))
+    state = {"status": _STATE, "analysis_status": "case photo_id % 5 when 0 then 'idle' when 1 then 'pending' when 2 then 'analyzing' else 'analyzed' end", "server_upload_status": "case photo_id % 4 when 0 then 'uploading' when 1 then null when 2 then 'pending' else 'uploaded' end"}
+    return p.withColumns({k: F.expr(v) for k, v in state.items()})
+
+
+_STATES = f""", states as materialized (select *, row_number() over (partition by album_id order by file_name, photo_id) as position, {_STATE} as status,
+  case photo_id % 5 when 0 then 'idle' when 1 then 'pending' when 2 then 'analyzing' else 'analyzed' end as analysis_status,
+  case photo_id % 4 when 0 then 'uploading' when 1 then null when 2 then 'pending' else 'uploaded' end as server_upload_status from flagged)"""
+
+
+def _placed(rows: DataFrame, name: str) -> DataFrame:
+    """Sorted rows with their place, to hold the order against SQL; a list of albums is short."""
+    return rows.withColumn("k", F.monotonically_increasing_id()).withColumn(name, F.row_number().over(Window.orderBy("k"))).drop("k")
+
+
+@query(_ALBUMS + "select album_id, row_number() over (order by updated_at desc, album_id) as place from albums")
+def album_ids(spark, sf_dir):
+    return _placed(albums.album_ids(_albums(spark, sf_dir)), "place")
+
+
+@query(_ALBUMS + "select album_id, created_at, row_number() over (order by created_at desc, album_id) as position from albums")
+def albums_newest_first(spark, sf_dir):
+    return _placed(albums.newest_first(_albums(spark, sf_dir)), "position")
+
+
+@query(_ALBUMS + "select album_id, case when album_id % 2 = 0 then 'new' else name end as name from albums")
+def album_upsert(spark, sf_dir):
+    a = _albums(spark, sf_dir)
+    new = a.where("album_id % 2 = 0").withColumns({"name": F.lit("new"), "updated_at": F.col("updated_at") + 1})
+    return albums.put(a, new.unionByName(a.where("album_id % 3 = 0").withColumns({"name": F.lit("old"), "updated_at": F.col("updated_at") - 1}))).select("album_id", "name")
+
+
+@query(_ALBUMS + """, t as (select album_id, count(*) as n, sum(file_size) as bytes from photos0 group by 1)
+  select album_id, coalesce(name, 'Untitled') as name, created_at, coalesce(link, '') as link, coalesce(completed, false) as completed, coalesce(has_uploads, false) as has_uploads, coalesce(n, total_photos) as total_photos, cast(coalesce(bytes, 0) as bigint) as total_storage
+  from albums left join t using (album_id)""")
+def album_normalised(spark, sf_dir):
+    p = _states(spark, sf_dir).withColumn("uploaded_at", F.lit(None).cast("long"))
+    return albums.normalised(_albums(spark, sf_dir), p)[0].drop("updated_at")
+
+
+@query(_STATES + """select album_id, photo_id, position, cast(0 as bigint) as uploaded_at, case when status = 'uploading' then 'pending' else coalesce(status, 'pending') end as status,
+  case when analysis_status in ('pending', 'analyzing') then case when n_faces > 0 then 'analyzed' else 'idle' end else analysis_status end as analysis_status,
+  case when server_upload_status = 'uploading' then 'pending' else coalesce(server_upload_status, 'idle') end as server_upload_status from states""")
+def photos_normalised(spark, sf_dir):
+    p = _states(spark, sf_dir).drop("position").withColumn("uploaded_at", F.lit(None).cast("long"))
+    return albums.normalised(_albums(spark, sf_dir), p)[1].select("album_id", "photo_id", "position", "uploaded_at", "status", "analysis_status", "server_upload_status")
+
+
+@query(_STATES + "select album_id, photo_id, coalesce(status in ('pending', 'uploading'), false) as uploading, analysis_status in ('pending', 'analyzing') as analyzing, coalesce(server_upload_status in ('pending', 'uploading'), false) as sending from states")
+def photos_in_flight(spark, sf_dir):
+    return albums.in_flight(_states(spark, sf_dir)).select("album_id", "photo_id", "uploading", "analyzing", "sending")
+
+
+@query(_ALBUMS + "select p.album_id, photo_id, coalesce(has_uploads, false) as disabled from photos0 p left join albums a on a.album_id = p.album_id")
+def photos_disabled(spark, sf_dir):
+    return albums.disabled(photos(spark, sf_dir), _albums(spark, sf_dir)).select("album_id", "photo_id", "disabled")
+
+
+@query(_STATES + "select album_id, photo_id, position from states where analysis_status = 'analyzed' and selected")
+def selected_photo_ids(spark, sf_dir):
+    return albums.selected_ids(_states(spark, sf_dir))
+
+
+@query("select album_id, photo_id, file_name, selected, ai_selected, maybe, blurred, closed_eyes, false as duplicated, star_rating from flagged")
+def culling_photos(spark, sf_dir):
+    return albums.culling_photos(flagged(spark, sf_dir))
+
+
+@query("""select p.album_id, p.photo_id, case when live then star_rating + 10 else star_rating end as star_rating, case when live then cast(photo_id as int) end as position, case when live then 'state' else 'stored' end as source
+  from (select *, album_id % 3 <> 0 and photo_id % 4 <> 0 and photo_id % 5 <> 0 as live from photos0) p""")
+def stale_state_overlay(spark, sf_dir):
+    p = photos(spark, sf_dir).select("album_id", "photo_id", "star_rating")
+    state = p.where("photo_id % 4 <> 0").withColumn("star_rating", F.col("star_rating") + 10)
+    order = p.where("album_id % 3 <> 0 and photo_id % 5 <> 0").select("album_id", "photo_id", F.col("photo_id").cast("int").alias("position"))
+    return albums.overlaid(state, p, order)
+
+
+_CROPPED = """, o as (select photo_id, album_id, row_number() over (partition by album_id order by captured_at nulls first, photo_id) as photo_order from photos0),
+  v as (select album_id, 'person-' || (sharpness % 9) || '::' || eye || '::' || focus as variant, min(photo_order) as first_order from tiered t join o using (photo_id) group by 1, 2)"""
+
+
+@query(_CROPPED + ", r as (select *, row_number() over (partition by album_id order by first_order, variant) as place from v where first_order % 3 <> 0) select album_id, variant, place from r where place <= 9")
+def shown_key_faces(spark, sf_dir):
+    k = identity.key_faces(_album_faces(spark, sf_dir)).withColumn("crop_uri", F.when(F.col("first_order") % 3 != 0, "file:///crop"))
+    return albums.shown_key_faces(k).select("album_id", "variant", "place")
+
+
+@query(""", o as (select photo_id, album_id, row_number() over (partition by album_id order by captured_at nulls first, photo_id) as photo_order from photos0),
+  f as (select t.*, album_id, photo_order, case when sharpness % 9 > 0 then 'person-' || (sharpness % 9) end as cluster_id from tiered t join o using (photo_id) where photo_id % 4 <> 0 and album_id % 5 <> 0),
+  g as (select *, row_number() over (partition by album_id, cluster_id order by photo_order, face_index) as r from f where cluster_id is not null)
+  select album_id, cluster_id, list_transform(print, lambda x: round(x, 7)) as print, round(area, 9) as area from g where r = 1""")
+def seeded_clusters(spark, sf_dir):
+    f = _album_faces(spark, sf_dir).withColumns({"cluster_id": F.when(F.col("sharpness") % 9 > 0, F.col("cluster")), "analysis_status": F.when(F.col("photo_id") % 4 == 0, "idle").otherwise("analyzed")})
+    known = photos(spark, sf_dir).where("album_id % 5 = 0").select("album_id")
+    return albums.seeded_clusters(f, known).select("album_id", "cluster_id", F.transform("print", lambda x: F.round(x, 7)).alias("print"), r9(F.col("area")).alias("area"))
+
+
+@query("""select event_id, case event_id % 6 when 0 then cast(5 as bigint) when 1 then epoch_us(date_trunc('second', ts)) // 1000 when 2 then epoch_us(date_trunc('second', ts)) // 1000 when 3 then null
+  else epoch_us(date_trunc('second', ts)) // 1000 end as captured_at from events""")
+def capture_times(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("k", F.col("event_id") % 6)
+    exif = F.date_format("ts", "yyyy:MM:dd HH:mm:ss")
+    picker = F.when(F.col("k") == 1, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")).when(F.col("k") == 2, F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit(".000+00:00"))).when(F.col("k") == 3, "no time")
+    tag = lambda k: F.when(F.col("k") == k, exif)
+    from_image = S.exif_date(F.when(F.col("k") == 3, "0000:00:00").otherwise(tag(4)), F.lit(""), F.lit(None).cast("string"), exif)
+    return e.select("event_id", S.capture_time(F.when(F.col("k") == 0, F.lit(5).cast("long")), picker, from_image).alias("captured_at"))
+
+
+@query("""select p.photo_id, q.photo_id as other_id, case when q.photo_id % 3 = 0 then 9007199254740991 else bit_count(xor(('0x' || substr(p.perceptual_hash, 1, 8))::bigint, ('0x' || substr(q.perceptual_hash, 1, 8))::bigint)) + bit_count(xor(('0x' || substr(p.perceptual_hash, 9, 8))::bigint, ('0x' || substr(q.perceptual_hash, 9, 8))::bigint)) end as distance
+  from photos0 p join photos0 q on q.photo_id = p.photo_id + 1""")
+def hash_distance(spark, sf_dir):
+    p = photos(spark, sf_dir).select("photo_id", "perceptual_hash")
+    short = F.when(F.col("photo_id") % 3 == 0, F.substring("perceptual_hash", 1, 12)).otherwise(F.upper("perceptual_hash"))
+    q = p.select((F.col("photo_id") - 1).alias("photo_id"), F.col("photo_id").alias("other_id"), short.alias("h"))
+    return p.join(q, "photo_id").select("photo_id", "other_id", S.hash_distance(F.col("perceptual_hash"), F.col("h")).alias("distance"))
+
+
 # --- detector output and display
 
 @query(_REF + """, d as (select t.*, ref, n, sharpness / 100e0 as score, box_left + box_width / 2 as x, box_top + box_height / 2 as y, box_width / box_height as shape from tiered t join ref using (photo_id) join cnt using (photo_id)),

@@ -67,7 +67,7 @@ def clustered(faces: DataFrame) -> DataFrame:
         if state.exists:
             text, number = state.get
             clusters = {k: (p, a) for k, (p, a) in json.loads(text).items()}
-        rows = pd.concat(list(parts)).sort_values(["captured_at", "photo_id"])
+        rows = pd.concat(list(parts)).sort_values(["captured_at", "photo_id"], na_position="first")
         out = []
         for r in rows.itertuples():
             ids, number = match_faces([(list(f["print"]), f["area"]) for f in r.faces], clusters, number)

@@ -41,6 +41,8 @@ def test_hashes_and_names(spark):
     got = df.select(S.hamming(F.col("a"), F.col("b")), S.burst_prefix(F.col("n")), S.burst_index(F.col("n")).cast("long")).collect()
     assert [tuple(r) for r in got] == [(6, "img_", 3811), (64, None, None), (1, None, None)]
     assert [r[0] for r in spark.createDataFrame([("IMG_10",), ("img_9",), ("IMG_2",)], "n string").orderBy(S.natural_key(F.col("n"))).collect()] == ["IMG_2", "img_9", "IMG_10"]
+    long = ["x" + "9" * 30, "x1" + "0" * 30, "x1" + "0" * 29 + "1", "x" + "0" * 50 + "2" + "0" * 30]
+    assert [r[0] for r in spark.createDataFrame([(x,) for x in long[::-1]], "n string").orderBy(S.natural_key(F.col("n"))).collect()] == long
 
 
 def test_exif(spark):
@@ -70,7 +72,7 @@ def photo_rows(spark, rows):
 
 def found(spark, rows):
     p = photo_rows(spark, rows)
-    links = duplicates.duplicate_pairs(p).select("album_id", F.col("a_photo_id").alias("a"), F.col("b_photo_id").alias("b"))
+    links = duplicates.duplicate_pairs(p)
     return p, duplicates.best_of_groups(p, duplicates.groups(p, links))
 
 
@@ -203,9 +205,9 @@ def test_face_clusters(spark):
         albums[r.album_id].append(r)
     for album, rs in albums.items():
         known, n = [], 1
-        for photo in sorted({(r.captured_at, r.photo_id) for r in rs}):
+        for photo in sorted({(r.captured_at, r.photo_id) for r in rs}, key=lambda x: (x[0] is not None, x)):
             mine = sorted((r for r in rs if r.photo_id == photo[1]), key=lambda r: r.face_index)
-            near = sorted((math.sqrt(sum((x - y) ** 2 for x, y in zip(f.print, c[1])) / len(f.print)), i, k) for i, f in enumerate(mine) for k, c in enumerate(known) if max(f.area, c[2]) / min(f.area, c[2]) <= 3)
+            near = sorted((math.sqrt(sum((x - y) ** 2 for x, y in zip(f.print, c[1])) / len(f.print)), i, k) for i, f in enumerate(mine) for k, c in enumerate(known) if len(f.print) <= len(c[1]) and max(f.area, c[2]) / min(f.area, c[2]) <= 3)
             taken = {}
             for d, i, k in near:
                 if d < 0.05 and i not in taken and k not in taken.values():
@@ -222,9 +224,27 @@ def test_face_clusters(spark):
     assert {(r.photo_id, r.face_index): r.cluster_id for r in got} == want
 
 
+def seen():
+    return {"first_face": F.lit(0), "score": F.lit(1.0), "area": F.lit(0.1), "box": F.struct(F.lit(0.3).alias("left"), F.lit(0.2).alias("top"), F.lit(0.25).alias("width"), F.lit(0.3).alias("height"))}
+
+
+def test_better_faces_and_common_scenes_merge(spark):
+    box, aside, small = (0.3, 0.2, 0.25, 0.3), (0.7, 0.2, 0.25, 0.3), (0.3, 0.2, 0.1, 0.1)
+    # album 1: b replaces a's print, so c is near it; album 2: only blends, so c stays; 3: scenes; 4: one crop, whatever the prints
+    rows = [(1, "a", [0.10, 0.0], 1.0, box, None, None), (1, "b", [0.20, 0.0], 2.0, box, None, None), (1, "c", [0.30, 0.0], 1.0, box, None, None)]
+    rows += [(2, "a", [0.10, 0.0], 2.0, box, None, None), (2, "b", [0.20, 0.0], 1.0, box, None, None), (2, "c", [0.30, 0.0], 1.0, box, None, None)]
+    rows += [(3, "a", [0.0, 0.0], 1.0, box, ["g"], None), (3, "b", [0.2, 0.0], 1.0, box, ["g", "h"], None), (3, "c", [0.4, 0.0], 1.0, aside, ["h"], None), (3, "d", [0.2, 0.2], 1.0, small, ["h"], None), (3, "e", [0.6, 0.6], 1.0, box, ["z"], None)]
+    rows += [(4, "a", [0.0, 0.0], 1.0, box, None, "crop"), (4, "b", [9.0], 1.0, box, None, "crop"), (4, "c", [], 1.0, box, None, ""), (4, "d", [], 1.0, box, None, "")]
+    data = [(a, v, "open", "good", p, 0.1, b, s, [k], k, 0, c, g) for k, (a, v, p, s, b, g, c) in enumerate(rows)]
+    df = spark.createDataFrame(data, "album_id long, variant string, eye string, focus string, print array<double>, area double, box struct<left:double,top:double,width:double,height:double>, score double, photo_ids array<long>, first_order int, first_face int, crop_uri string, scenes array<string>")
+    got = {(r.album_id, r.variant): r.merged_into for r in identity.merge_key_faces(df).collect()}
+    assert {v for (a, v), m in got.items() if v != m and a == 1} == {"b", "c"} and {v for (a, v), m in got.items() if v != m and a == 2} == {"b"}
+    assert {v for (a, v), m in got.items() if v != m and a == 3} == {"b"} and {v for (a, v), m in got.items() if v != m and a == 4} == {"b"}
+
+
 def test_merge_of_key_faces(spark):
     rows = [(1, "a", "open", "good", [0.1, 0.2], [1], 1), (1, "b", "open", "good", [0.12, 0.2], [2], 2), (1, "c", "open", "soft", [0.1, 0.2], [3], 3), (1, "d", "open", "good", [0.11, 0.2], [2, 4], 4), (2, "a", "open", "good", [0.1, 0.2], [9], 1)]
-    df = spark.createDataFrame(rows, "album_id long, variant string, eye string, focus string, print array<double>, photo_ids array<long>, first_order int")
+    df = spark.createDataFrame(rows, "album_id long, variant string, eye string, focus string, print array<double>, photo_ids array<long>, first_order int").withColumns(seen())
     assert {(r.album_id, r.variant): r.merged_into for r in identity.merge_key_faces(df).collect()} == {(1, "a"): "a", (1, "b"): "a", (1, "c"): "c", (1, "d"): "d", (2, "a"): "a"}
 
 
@@ -384,7 +404,7 @@ def test_closed_eyes_once(spark):
 
 def test_key_faces_are_grouped_by_what_can_merge(spark, capsys):
     rows = [(1, f"{p}::{e}", e, "good", [x, 0.0], [p], p) for p, x in ((1, 0.1), (2, 0.11), (3, 0.9)) for e in ("open", "closed")]
-    variants = spark.createDataFrame(rows, "album_id long, variant string, eye string, focus string, print array<double>, photo_ids array<long>, first_order long")
+    variants = spark.createDataFrame(rows, "album_id long, variant string, eye string, focus string, print array<double>, photo_ids array<long>, first_order long").withColumns(seen())
     merged = identity.merge_key_faces(variants)
     assert {r.variant: r.merged_into for r in merged.collect()} == {f"{p}::{e}": f"{1 if p < 3 else 3}::{e}" for p in (1, 2, 3) for e in ("open", "closed")}
     merged.explain()
