@@ -1,24 +1,30 @@
 """Exact dedup with a cuckoo-filter index over digests of normalised texts.
 
 The index is sharded by digest. A shard holds a cuckoo filter and its bucketed content: the live
-digests with the id to keep and the number of copies. A filter hit is only a hint and is verified
-against the content; an insertion that overflows the filter rebuilds it at twice the size from the
-shard's stored keys. Copies are aggregated before anything is shuffled by digest, so a group with a
-third of all rows is one row by the time it reaches a shard.
+digests with the id to keep and the number of copies. Copies find each other by the filter: a digest
+that it doesn't hold is new, a hit is verified against the content and adds to the digest found there.
+An insertion that overflows the filter rebuilds it at twice the size from the shard's stored keys, and
+shards that have grown too large are dealt anew from theirs. Each task adds up its own batches' copies
+before anything is shuffled, so a group with a third of all rows is a row for each batch.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Live digests that a shard is laid out for; the number of shards follows the number of digests.
+#: Digests that a shard is laid out for; the number of shards follows the number of rows to insert, and of those inserted.
 SHARD_KEYS = 4096
+#: Rows that a task adds up before it sends them on, at most twice as many.
+PARTIAL_ROWS = 100_000
 SLOTS, KICKS = 4, 200
 _STATE = "shard int, kind int, digest string, keep_id long, group_size long, slots binary"
 KEY, INSERT, REPLACE, FILTER = 0, 1, 2, 3
@@ -126,56 +132,83 @@ def _probe(shard: pd.DataFrame) -> pd.DataFrame:
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """doc_id and the digest of the text with A-Z lower-cased; a null text counts as empty."""
-    text = F.translate(F.coalesce(F.col("text"), F.lit("")), UPPER, LOWER)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2(text, 256).alias("digest"))
+    """doc_id, text_hash (of the text as it is) and the digest of the text with A-Z lower-cased; a null text counts as empty."""
+    raw = F.col("text").cast("string")
+    text = F.translate(F.coalesce(raw, F.lit("")), UPPER, LOWER)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(raw).alias("text_hash"), F.sha2(text, 256).alias("digest"))
 
 
 class CuckooIndex:
-    """members: doc_id, digest of every live document. state: the shards' filters and content.
+    """members: doc_id, text_hash, digest of every live document. state: the shards' filters and content.
 
     Each method returns a new index or a result and leaves this one as it is, so a job that is run
     again after a loss gives the same index.
     """
 
-    def __init__(self, members: DataFrame, state: DataFrame, shards: int):
+    def __init__(self, members: DataFrame, state: DataFrame | None, shards: int):
         self.members, self.state, self.shards = members, state, shards
 
     @classmethod
     def build(cls, docs: DataFrame) -> CuckooIndex:
         members = cut(digests(docs), "members")
-        batch = cut(_totals(members), "batch")
-        shards = max(1, -(-batch.count() // SHARD_KEYS))
-        return cls(members, cut(_apply(batch, INSERT, None, shards), "shards"), shards)
+        return cls(members, None, 0)._inserted(members)
 
     @property
     def content(self) -> DataFrame:
         """One row per live digest: digest, keep_id, group_size."""
         return self.state.where(F.col("kind") == KEY).select("digest", "keep_id", "group_size")
 
+    def _inserted(self, new: DataFrame) -> CuckooIndex:
+        """With the partial sums of new inserted; where shards get too large, there are more, filled from the stored keys."""
+        batch = cut(_partial(new), "batch")
+        old = 0 if self.state is None else self.state.where(F.col("kind") == KEY).count()
+        shards = max(1, -(-(batch.count() + old) // SHARD_KEYS))
+        if self.state is None or shards > self.shards:
+            kept = None if self.state is None else _tagged(self.content, KEY, shards)
+        else:
+            shards, kept = self.shards, self.state
+        members = self.members if new is self.members else self.members.unionByName(new)
+        return CuckooIndex(members, cut(_apply(batch, INSERT, kept, shards), "shards"), shards)
+
     def insert(self, docs: DataFrame) -> CuckooIndex:
-        new = cut(digests(docs), "members")
-        return CuckooIndex(self.members.unionByName(new), cut(_apply(_totals(new), INSERT, self.state, self.shards), "shards"), self.shards)
+        return self._inserted(cut(digests(docs), "members"))
 
     def delete(self, ids: DataFrame) -> CuckooIndex:
         """Deletes the documents of ids (doc_id); a digest without live documents leaves filter and content."""
         gone = self.members.join(ids.select("doc_id").distinct(), "doc_id", "left_semi").select("digest").distinct()
         left = cut(self.members.join(ids.select("doc_id").distinct(), "doc_id", "left_anti"), "members")
-        totals = left.join(gone, "digest", "left_semi").transform(_totals)
+        totals = left.join(gone, "digest", "left_semi").groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
         changed = gone.join(totals, "digest", "left").fillna(0, ["group_size"])
         return CuckooIndex(left, cut(_apply(changed, REPLACE, self.state, self.shards), "shards"), self.shards)
 
     def lookup(self, docs: DataFrame) -> DataFrame:
         """doc_id, digest, keep_id and group_size of the documents whose text is live in the index."""
-        asked = cut(digests(docs), "asked")
+        asked = cut(digests(docs).drop("text_hash"), "asked")
         rows = _tagged(asked.select("digest").distinct().withColumns({"keep_id": F.lit(None).cast("long"), "group_size": F.lit(1).cast("long")}), INSERT, self.shards)
         filters = self.state.where(F.col("kind") == FILTER)
         hits = rows.unionByName(filters).groupBy("shard").applyInPandas(_probe, "digest string")
         return asked.join(hits.join(self.content, "digest"), "digest")
 
 
-def _totals(members: DataFrame) -> DataFrame:
-    return members.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+def _partial(members: DataFrame) -> DataFrame:
+    """digest, keep_id and group_size, added up for each PARTIAL_ROWS rows of a task, not yet over all."""
+
+    def added(tables: list[pa.Table]) -> pa.Table:
+        found = pa.concat_tables(tables).group_by("digest").aggregate([("keep_id", "max"), ("group_size", "sum")])
+        return pa.table({"digest": found["digest"], "keep_id": found["keep_id_max"], "group_size": found["group_size_sum"]})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        for batch in batches:
+            held.append(pa.table({"digest": batch.column(0).cast(pa.string()), "keep_id": batch.column(1), "group_size": pa.array(np.ones(batch.num_rows, np.int64))}))
+            if sum(t.num_rows for t in held) >= 2 * PARTIAL_ROWS:
+                held = [added(held)]
+                if held[0].num_rows >= PARTIAL_ROWS:
+                    yield from held.pop().to_batches()
+        if held:
+            yield from added(held).to_batches()
+
+    return members.select("digest", "doc_id").mapInArrow(run, "digest string, keep_id long, group_size long")
 
 
 def _tagged(batch: DataFrame, kind: int, shards: int) -> DataFrame:
@@ -189,7 +222,7 @@ def _apply(batch: DataFrame, kind: int, state: DataFrame | None, shards: int) ->
 
 
 def exact_groups(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
+    """One row per document: doc_id, keep_id, group_size, kept, text_sha256, text_hash (Spark's xxhash64 of the text as it is).
 
     Texts are equal when they are so after lower-casing A-Z; the largest doc_id of a group stays.
     Null texts count as empty, so empty and null texts form one group. Rows without doc_id count in
@@ -198,4 +231,4 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     """
     index = CuckooIndex.build(docs)
     joined = index.members.join(index.content, "digest")
-    return joined.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256"))
+    return joined.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256"), "text_hash")
