@@ -1,11 +1,14 @@
 """Approximate nearest neighbours by inner product over balanced posting lists.
 
-Vectors get one more coordinate, so that the largest inner product is the smallest distance. A bounded
-sample is halved again and again at the median along its main direction; the means of the parts are the
-centroids, as many as the vectors need for lists of one size. Centroids form a neighbour graph in memory
-that a beam search walks. A vector goes to its nearest list and to others almost as near, unless a
-chosen centroid is nearer to that centroid than the vector is. A query reads the lists within a ratio of
-its nearest one's distance. Lists are dealt in blocks, so a list of many equal vectors is many groups.
+Vectors get one more coordinate that gives all one length, so that the largest inner product is the
+smallest distance on a sphere. A bounded sample is halved again and again at the median along its main
+direction; the parts' means, moved out to the sphere, are the centroids, as many as the vectors need for
+lists of one size. Centroids form a neighbour graph in memory that a beam search walks. A vector near
+the boundary of its nearest list goes to all lists almost as near. A query reads the lists within a ratio
+of its nearest one's distance, however many those are: few where vectors are clustered, a larger share
+where they point evenly in all directions. Neighbouring lists are searched together, so that a vector is
+sent to them once and a query brings one result back from them; they are dealt in blocks, so a list of
+many equal vectors is many tasks'. One rule holds at every size.
 """
 
 from __future__ import annotations
@@ -21,41 +24,47 @@ from pyspark.sql import functions as F
 from .common import cut
 
 K, EVERY = 20, 20
-#: Vectors in a list, and the most centroids; with more vectors lists grow, in blocks.
-LIST, CENTROIDS = 512, 16_384
-#: Vectors of the sample for each centroid; the sample is at most CENTROIDS times that.
-SAMPLE = 32
-DEGREE, BEAM = 24, 48
-#: Beam for placing vectors, of which only the nearest few centroids matter.
-PLACE_BEAM = 12
-#: A vector's copies in lists, at most, and how much farther than its nearest they may be (distances).
-COPIES, NEAR = 4, 1.15
-#: Lists that a query reads: at least LISTS, and all of the beam within RATIO times the nearest's distance.
-LISTS, RATIO = 12, 1.35
-BLOCK = 2048
+#: Vectors of a list, before copies; and how much memory the centroids may take, beyond which lists grow, in blocks.
+LIST, CENTROID_BYTES = 64, 32 << 20
+#: Vectors of the sample for each centroid, and how much memory they may take.
+SAMPLE, SAMPLE_BYTES = 16, 256 << 20
+DEGREE, BEAM = 24, 32
+#: Rows times centroids that a search keeps a mark for.
+MARKS = 32 << 20
+#: Lists that a vector goes to, at most, and how much farther than its nearest they may be (distances).
+COPIES, NEAR = 8, 1.25
+#: A query reads the lists within so many times the nearest one's distance.
+RATIO = 1.23
+#: Groups of neighbouring lists that are searched together, and vectors or queries of a block of one.
+GROUPS, BLOCK = 64, 8192
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id and vector (double) of the rows that take part."""
+    """vec_id and vector of the rows that take part; of vectors under one vec_id the smallest, number by number."""
     v = F.col("embedding")
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    return vectors.where(F.col("vec_id").isNotNull() & v.isNotNull() & fine).select(F.col("vec_id").cast("long").alias("vec_id"), v.cast("array<double>").alias("vector"))
+    kind = vectors.schema["embedding"].dataType.elementType.typeName()
+    rows = vectors.where(F.col("vec_id").isNotNull() & v.isNotNull() & fine).select(F.col("vec_id").cast("long").alias("vec_id"), v.cast("array<float>" if kind == "float" else "array<double>").alias("vector"))
+    return rows.groupBy("vec_id").agg(F.min("vector").alias("vector"))
 
 
-def centroids(sample: np.ndarray, parts: int) -> np.ndarray:
-    """Means of the parts of sample halved at the median of its main direction until there are enough."""
-    heap = [sample]
-    while len(heap) < parts and max(map(len, heap)) > 1:
-        heap.sort(key=len)
-        part = heap.pop()
-        off = part - part.mean(axis=0)
-        axis = np.ones(part.shape[1])
-        for _ in range(8):
-            axis = off.T @ (off @ axis)
-            axis /= np.linalg.norm(axis) or 1.0
-        order = np.argsort(off @ axis, kind="stable")
-        heap += [part[order[: len(part) // 2]], part[order[len(part) // 2 :]]]
-    return np.array([p.mean(axis=0) for p in heap if len(p)])
+def centroids(sample: np.ndarray, parts: int, radius: float) -> np.ndarray:
+    """Means of the parts of sample, all halved at the median of their main direction until there are enough, moved out to the radius."""
+    whole = [sample]
+    while len(whole) < parts and len(whole[0]) > 1:
+        halves = []
+        for part in whole:
+            off = part - part.mean(axis=0)
+            axis = np.ones(part.shape[1], part.dtype)
+            for _ in range(8):
+                axis = off.T @ (off @ axis)
+                axis /= np.linalg.norm(axis) or 1.0
+            order = np.argsort(off @ axis, kind="stable")
+            halves += [part[order[: len(part) // 2]], part[order[len(part) // 2 :]]]
+        whole = halves
+    means = np.array([p.mean(axis=0, dtype=np.float64) for p in whole if len(p)])
+    size = np.linalg.norm(means, axis=1, keepdims=True)
+    return (means * np.where(size > 0, radius / np.where(size > 0, size, 1), 1)).astype(np.float32)
 
 
 class Graph:
@@ -70,133 +79,186 @@ class Graph:
         for a in range(0, n, 1024):
             d = self.size - 2 * points[a : a + 1024] @ points.T
             d[np.arange(len(d)), np.arange(a, a + len(d))] = np.inf
-            near[a : a + 1024] = np.argsort(d, axis=1, kind="stable")[:, :k]
+            near[a : a + 1024] = np.argpartition(d, k - 1, axis=1)[:, :k] if k else 0
         # long edges keep the graph in one piece
         far = (np.arange(n)[:, None] + np.unique(np.geomspace(1, max(1, n - 1), 8).astype(int))[None, :]) % n
-        self.edges = np.hstack([near, far])
+        self.edges = np.hstack([near, far]).astype(np.int32)
         self.start = np.unique(np.linspace(0, n - 1, min(n, 16)).astype(int))
 
     def search(self, x: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
-        """For each row of x the centroids found, nearest first, and their squared distances."""
+        """For each row of x the beam's centroids, nearest first, and their distances."""
         beam = min(beam, len(self.points))
         rows = np.arange(len(x))[:, None]
         square = (x**2).sum(axis=1)[:, None]
         dist = lambda ids: square + self.size[ids] - 2 * np.einsum("bd,bkd->bk", x, self.points[ids])
         ids = np.broadcast_to(self.start, (len(x), len(self.start))).copy()
         far, done = dist(ids), np.zeros(ids.shape, bool)
+        seen = np.zeros((len(x), len(self.points)), bool)
+        seen[rows, ids] = True
         while True:
             order = np.argsort(far, axis=1, kind="stable")[:, :beam]
             ids, far, done = ids[rows, order], far[rows, order], done[rows, order]
-            open_ = ~done & np.isfinite(far)
-            if not open_.any():
-                return ids, far
-            at = open_.argmax(axis=1)[:, None]
-            live = open_.any(axis=1)
-            done[rows, at] = True
-            new = self.edges[ids[rows, at][:, 0]]
-            d = dist(new)
-            d[(new[:, :, None] == ids[:, None, :]).any(axis=2) | ~live[:, None]] = np.inf
-            same = np.sort(new, axis=1)
-            if (same[:, 1:] == same[:, :-1]).any():  # an edge may be both near and long
-                twice = (new[:, :, None] == new[:, None, :]) & np.tri(new.shape[1], k=-1, dtype=bool)
-                d[twice.any(axis=2)] = np.inf
-            ids, far, done = np.hstack([ids, new]), np.hstack([far, d]), np.hstack([done, np.zeros(new.shape, bool)])
-
-
-def _lists(graph: Graph, x: np.ndarray) -> list[np.ndarray]:
-    """The lists a vector goes to."""
-    ids, far = graph.search(x, PLACE_BEAM)
-    far = np.sqrt(np.maximum(far, 0))
-    out = []
-    for i, d in zip(ids, far):
-        chosen = [i[0]]
-        for c, e in zip(i[1:], d[1:]):
-            if len(chosen) == COPIES or e > NEAR * d[0]:
-                break
-            if (np.linalg.norm(graph.points[chosen] - graph.points[c], axis=1) >= e).all():
-                chosen.append(c)
-        out.append(np.array(chosen))
-    return out
-
-
-def _asked(graph: Graph, x: np.ndarray) -> list[np.ndarray]:
-    """The lists a query reads."""
-    ids, far = graph.search(x)
-    far = np.sqrt(np.maximum(far, 0))
-    return [i[(d <= RATIO * d[0]) | (np.arange(len(i)) < LISTS)] for i, d in zip(ids, far)]
+            live = np.flatnonzero(~(done | np.isinf(far)).all(axis=1))
+            if not len(live):
+                return ids, np.sqrt(np.maximum(far, 0))
+            # each row that isn't done opens its nearest few
+            at = np.argsort(done[live] | np.isinf(far[live]), axis=1, kind="stable")[:, : max(4, beam // 8)]
+            done[live[:, None], at] = True
+            new = np.sort(self.edges[ids[live[:, None], at]].reshape(len(live), -1), axis=1)
+            again = seen[live[:, None], new]
+            again[:, 1:] |= new[:, 1:] == new[:, :-1]
+            seen[live[:, None], new] = True
+            d = square[live] + self.size[new] - 2 * np.einsum("bd,bkd->bk", x[live], self.points[new])
+            d[again] = np.inf
+            short = np.argsort(d, axis=1, kind="stable")[:, :beam]
+            wide = np.zeros((len(x), short.shape[1]), ids.dtype)
+            wide[live] = np.take_along_axis(new, short, 1)
+            off = np.full(wide.shape, np.inf)
+            off[live] = np.take_along_axis(d, short, 1)
+            ids, far, done = np.hstack([ids, wide]), np.hstack([far, off]), np.hstack([done, np.zeros(wide.shape, bool)])
+
+    def within(self, x: np.ndarray, ratio: float, most: int | None = None) -> list[np.ndarray]:
+        """For each row the centroids found within ratio times the nearest one's distance, nearest first, most of them at most.
+
+        Where all of the beam is that near, a wider one goes out.
+        """
+        out: list = [None] * len(x)
+        step = max(16, MARKS // len(self.points))
+        for a in range(0, len(x), step):
+            todo, beam = np.arange(a, min(a + step, len(x))), BEAM
+            while len(todo):
+                ids, far = self.search(x[todo], beam)
+                limit = far[:, :1] * ratio + 1e-6
+                short = (far[:, -1:] > limit)[:, 0] | (beam >= len(self.points)) | (most is not None and beam >= 2 * most)
+                for i, found, d, m in zip(todo[short], ids[short], far[short], limit[short]):
+                    out[i] = found[d <= m][:most]
+                todo, beam = todo[~short], beam * 4
+        return out
+
+
+def _reading(lists_: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """Lists and the rows that have them, sorted by list."""
+    size = np.array([len(x) for x in lists_])
+    flat = np.concatenate(lists_.to_list())
+    order = np.argsort(flat, kind="stable")
+    return flat[order], np.repeat(np.arange(len(size)), size)[order]
+
+
+def _nearest(asked, q, ids, v) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of q, of v and the scores of the K nearest of each query, and of those that tie with the last."""
+    s = q @ v.T
+    s[asked[:, None] == ids] = -np.inf
+    k = min(K, len(ids))
+    least = np.partition(s, -k, axis=1)[:, -k:].min(axis=1, keepdims=True)
+    row, col = np.nonzero((s >= least - 1e-9) & np.isfinite(s))
+    # one order of additions, so that equal vectors tie
+    return row, col, np.add.accumulate(v[col] * q[row], axis=1)[:, -1] if len(row) else np.zeros(0)
+
+
+def _first(row: np.ndarray, ids: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The K largest scores of each row, ties to the smaller id; an id counts once."""
+    order = np.lexsort((ids, -score, row))
+    row, ids, score = row[order], ids[order], score[order]
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (ids[1:] != ids[:-1])
+    row, ids, score = row[new], ids[new], score[new]
+    on = np.arange(len(row)) - np.searchsorted(row, row) < K
+    return row[on], ids[on], score[on]
 
 
 def _best(queries: pd.DataFrame, vectors: pd.DataFrame) -> pd.DataFrame:
-    """The K nearest vectors of one block for each query, ties to the smaller vec_id."""
-    out = []
-    if len(queries) and len(vectors):
-        vectors = vectors.drop_duplicates("vec_id").sort_values("vec_id")
-        ids, v = vectors["vec_id"].to_numpy(), np.stack(vectors["vector"])
-        for a in range(0, len(queries), 512):
-            part = queries.iloc[a : a + 512]
-            q = np.stack(part["vector"])
-            s = q @ v.T
-            s[part["vec_id"].to_numpy()[:, None] == ids] = -np.inf
-            k = min(K, len(ids))
-            least = np.partition(s, -k, axis=1)[:, -k]
-            for i, query in enumerate(part["vec_id"]):
-                c = np.flatnonzero((s[i] >= least[i] - 1e-9) & np.isfinite(s[i]))
-                score = np.add.accumulate(v[c] * q[i], axis=1)[:, -1]  # one order of additions, so equal vectors tie
-                first = np.lexsort((ids[c], -score))[:K]
-                out.append(pd.DataFrame({"query_id": query, "vec_id": ids[c][first], "score": score[first]}))
-    return pd.concat(out) if out else pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
+    """The K nearest vectors for each query among those of one block that are in the lists it reads."""
+    if not len(queries) or not len(vectors):
+        return pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
+    vectors = vectors.sort_values("vec_id")
+    ids, v = vectors["vec_id"].to_numpy(), np.stack(vectors["vector"]).astype(np.float64)
+    asked, q = queries["vec_id"].to_numpy(), np.stack(queries["vector"]).astype(np.float64)
+    (wanted, reader), (list_, member) = _reading(queries["lists"]), _reading(vectors["lists"])
+    best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    held: list[tuple] = []
+    for number in np.unique(list_):
+        readers = reader[slice(*np.searchsorted(wanted, [number, number + 1]))]
+        members = member[slice(*np.searchsorted(list_, [number, number + 1]))]
+        for a in range(0, len(readers), 64):
+            rows = readers[a : a + 64]
+            row, col, score = _nearest(asked[rows], q[rows], ids[members], v[members])
+            held.append(_first(rows[row], ids[members[col]], score))
+        if sum(len(h[0]) for h in held) > 200_000:
+            best = _first(*(np.concatenate(x) for x in zip(best, *held)))
+            held = []
+    row, vec, score = _first(*(np.concatenate(x) for x in zip(best, *held)))
+    return pd.DataFrame({"query_id": asked[row], "vec_id": vec, "score": score})
+
+
+def index(rows: DataFrame) -> tuple[Graph | None, float]:
+    """The graph of centroids for rows (vec_id, vector), and the square of the largest length."""
+    norm = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    total = rows.agg(F.count(F.lit(1)).alias("n"), F.max(norm).alias("top"), F.max(F.size("vector")).alias("width")).first()
+    if not total["n"]:
+        return None, 0.0
+    wide = 4 * (total["width"] + 1)
+    parts = max(1, min(-(-total["n"] // LIST), CENTROID_BYTES // wide))
+    size = min(parts * SAMPLE, SAMPLE_BYTES // wide)
+    chosen = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < min(1.0, size / total["n"]) * (1 << 30))
+    flat = chosen.select("vector").toArrow().column(0).combine_chunks()
+    sample = flat.flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, total["width"])
+    if not len(sample):  # so few rows that none was chosen
+        sample = np.array([rows.first()["vector"]], np.float32)
+    return Graph(centroids(lifted(sample, total["top"]), parts, total["top"] ** 0.5)), total["top"]
+
+
+def lifted(x: np.ndarray, top: float) -> np.ndarray:
+    return np.hstack([x, np.sqrt(np.maximum(top - (x.astype(np.float64) ** 2).sum(axis=1), 0))[:, None]]).astype(np.float32)
+
+
+def aimed(x: np.ndarray, top: float) -> np.ndarray:
+    """Queries on the same sphere: they have no part of their own in the added coordinate, and their length changes no order."""
+    x = x.astype(np.float64)
+    x *= top**0.5 / np.linalg.norm(x, axis=1, keepdims=True)
+    return np.hstack([x, np.zeros((len(x), 1))]).astype(np.float32)
+
+
+def lists(rows: DataFrame, graph: Graph, top: float, asked: bool) -> DataFrame:
+    """group, vec_id and lists: where vectors go to, or what queries read, for each group of neighbouring lists."""
+    shared, wide = rows.sparkSession.sparkContext.broadcast(graph), -(-len(graph.points) // GROUPS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g = shared.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = np.stack(batch.column(1).to_numpy(zero_copy_only=False)).astype(np.float32)
+            found = [np.sort(f) for f in (g.within(aimed(x, top), RATIO) if asked else g.within(lifted(x, top), NEAR, COPIES))]
+            of, number = np.repeat(np.arange(len(x)), [len(f) for f in found]), np.concatenate(found).astype(np.int32)
+            group = number // wide
+            start = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (group[1:] != group[:-1])]))
+            parts = pa.ListArray.from_arrays(pa.array(np.append(start, len(of)).astype(np.int32)), pa.array(number))
+            yield pa.RecordBatch.from_arrays([pa.array(group[start].astype(np.int32)), batch.column(0).take(pa.array(of[start])), parts], ["group", "vec_id", "lists"])
+
+    return rows.select("vec_id", "vector").mapInArrow(run, "group int, vec_id long, lists array<int>")
 
 
 def nearest(vectors: DataFrame, every: int = EVERY, k: int = K) -> DataFrame:
     """query_id, rank, vec_id, score: for vec_ids divisible by every their k nearest others found, by inner product.
 
     Vectors that are null, zero or hold nulls, NaN or infinities take no part, nor do rows without
-    vec_id; vec_id is the key and repeated rows count once. All vectors have one length. Ties go to the
-    smaller vec_id. Up to LIST times 8 vectors are one list, and the result exact. No rows in, no rows out.
+    vec_id; vec_id is the key: of several vectors under one the smallest in order of its numbers counts.
+    All vectors have one length. Ties go to the smaller vec_id. Other columns are not read. No rows in,
+    no rows out.
     """
-    spark = vectors.sparkSession
     rows = cut(usable(vectors), "vectors")
-    norm = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)
-    total = rows.agg(F.count(F.lit(1)).alias("n"), F.max(norm).alias("top")).first()
-    parts = 1 if total["n"] <= 8 * LIST else min(CENTROIDS, -(-total["n"] // LIST))
-    rate = min(1.0, parts * SAMPLE / max(1, total["n"]))
-    sample = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < rate * (1 << 30)).toPandas() if parts > 1 else None
-    top = total["top"] or 0.0
-
-    def lift(x: np.ndarray) -> np.ndarray:
-        return np.hstack([x, np.sqrt(np.maximum(top - (x**2).sum(axis=1), 0))[:, None]])
-
-    graph = Graph(centroids(lift(np.stack(sample["vector"])), parts)) if sample is not None and len(sample) > 1 else None
-    shared = spark.sparkContext.broadcast(graph)
-
-    def dealt(asked: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            g = shared.value
-            for whole in batches:
-                for a in range(0, whole.num_rows, 1000):
-                    batch = whole.slice(a, 1000)
-                    if g is None:
-                        of, lists = np.arange(batch.num_rows), np.zeros(batch.num_rows, np.int64)
-                    else:
-                        x = np.stack(batch.column(1).to_numpy(zero_copy_only=False))
-                        # a query has no part of its own in the added coordinate
-                        found = _asked(g, np.hstack([x, np.zeros((len(x), 1))])) if asked else _lists(g, lift(x))
-                        of, lists = np.repeat(np.arange(len(x)), [len(f) for f in found]), np.concatenate(found).astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(lists), *(c.take(pa.array(of)) for c in batch.columns)], ["list", "vec_id", "vector"])
-
-        return run
-
-    schema = "list long, vec_id long, vector array<double>"
-    posted = cut(rows.mapInArrow(dealt(False), schema), "posted")
-    asked = cut(rows.where(F.col("vec_id") % every == 0).mapInArrow(dealt(True), schema), "asked")
-    blocks = lambda df, name: df.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias(name))
-    sizes = cut(blocks(posted, "vs").join(blocks(asked, "qs"), "list"), "sizes")
+    graph, top = index(rows)
+    if graph is None:
+        return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    posted = cut(lists(rows, graph, top, False), "posted")
+    asked = cut(lists(rows.where(F.col("vec_id") % every == 0), graph, top, True), "asked")
+    blocks = lambda df, name: df.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias(name))
+    sizes = F.broadcast(cut(blocks(posted, "vs").join(blocks(asked, "qs"), "group"), "sizes"))  # GROUPS rows at most
     other = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     own = lambda n: F.pmod(F.xxhash64("vec_id"), F.col(n))
-    # the sizes have a row for each list: CENTROIDS at most
-    v = posted.join(F.broadcast(sizes), "list").withColumn("vb", own("vs")).withColumn("qb", other("qs"))
-    q = asked.join(F.broadcast(sizes), "list").withColumn("qb", own("qs")).withColumn("vb", other("vs"))
-    keys = ["list", "vb", "qb"]
-    found = q.select(*keys, "vec_id", "vector").groupBy(*keys).cogroup(v.select(*keys, "vec_id", "vector").groupBy(*keys)).applyInPandas(_best, "query_id long, vec_id long, score double")
+    v = posted.join(sizes, "group").withColumn("vb", own("vs")).withColumn("qb", other("qs")).join(rows, "vec_id")
+    q = asked.join(sizes, "group").withColumn("qb", own("qs")).withColumn("vb", other("vs")).join(rows.select("vec_id", F.col("vector").alias("vector")), "vec_id")
+    keys, held = ["group", "vb", "qb"], ["vec_id", "lists", "vector"]
+    found = q.select(*keys, *held).groupBy(*keys).cogroup(v.select(*keys, *held).groupBy(*keys)).applyInPandas(_best, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.distinct().withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -21,7 +21,7 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def language_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same operator where all four kinds of evidence are at hand; its models come from documents."""
     model = langid.train(table(spark, sf_dir, "documents"))
-    return langid.identify(langid.of_pages(table(spark, sf_dir, "pages")), model).withColumnRenamed("id", "page_id")
+    return langid.identify(langid.of_pages(table(spark, sf_dir, "pages")), model).withColumnRenamed("id", "page_id").drop("text_hash")
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +41,7 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
+    return exact_dedup.exact_groups(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,8 +76,8 @@ ORACLES = {
         g as (select text_sha256, max(doc_id) as keep_id, count(*) as group_size from d group by 1)
         select doc_id, keep_id, group_size, doc_id = keep_id as kept, d.text_sha256 from d join g using (text_sha256)""",
     "op9_ann": """
-        with v as (select vec_id, cast(embedding as double[]) as e from embeddings
-          where vec_id is not null and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        with v as (select vec_id, min(cast(embedding as double[])) as e from embeddings
+          where vec_id is not null and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0 group by 1),
         s as (select q.vec_id as query_id, v.vec_id, list_sum(list_transform(list_zip(q.e, v.e), lambda p: p[1] * p[2])) as score
           from v q join v on q.vec_id <> v.vec_id where q.vec_id % 20 = 0),
         r as (select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank, vec_id, score from s)
@@ -87,7 +87,7 @@ ORACLES = {
         c as (select * from m where role = 'user'), r as (select * from m where role = 'assistant'),
         e as (
           select c.conv_id, c.turn, 'call' as kind, c.conv_id || ':' || c.turn as call_id, r.turn is not null as linked,
-            case when c.turn >= 2 and p.turn is null then 'after ' || c.conv_id || ':' || (c.turn - 2) || ' is no earlier call' else '' end as errors,
+            case when c.turn >= 2 and p.turn is null then 'after ' || c.conv_id || ':' || (c.turn - 2) || ' is no call' else '' end as errors,
             '{"arguments":{"prompt":' || to_json(c.text) || ',"turn":' || c.turn || '},"id":"' || c.conv_id || ':' || c.turn || '","name":"reply","result":' || coalesce(cast(to_json(r.text) as varchar), 'null') || '}' as json
           from c left join r on c.conv_id = r.conv_id and r.turn = c.turn + 1 left join c p on p.conv_id = c.conv_id and p.turn = c.turn - 2
           union all
