@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import scalar as S
@@ -82,3 +82,94 @@ def without_weak(faces: Column, reference: Column) -> Column:
 
     kept = F.filter(faces, keep)
     return F.when((n <= 1) | (F.size(kept) == 0), faces).otherwise(kept)
+
+
+# --- platform profiles
+
+#: Fixed values by platform: least box side in pixels and share of the image, overlap of one face's boxes alone or all five tests,
+#: and tiles of a second pass: their overlap, least pixels of an image, and faces from which it isn't needed.
+PROFILES = {
+    "desktop": {"pixels": 12, "share": 0.00028, "overlap": None, "tiles": (0.35, 400_000, 3)},
+    "ios": {"pixels": 12, "share": 0.00028, "overlap": 0.50, "tiles": (0.25, 2_000_000, 8)},
+    "android": {"pixels": 30, "share": 0.0003, "overlap": 0.50, "tiles": (0.25, 2_000_000, 8)},
+}
+#: Fixed values of the eye rule on phones without a classifier of their own.
+PHONE_OPEN, PHONE_OPEN_LEAST, PHONE_CLOSED, PHONE_CLOSED_MEAN = 0.65, 0.55, 0.40, 0.35
+
+
+def phone_eye_state(left: Column, right: Column) -> Column:
+    """open and confidence from one or two open probabilities; without any, closed with 50."""
+    low, high = F.least(left, right), F.greatest(left, right)
+    mean = (F.coalesce(left, right) + F.coalesce(right, left)) / 2
+    is_open = (mean >= PHONE_OPEN) & (low >= PHONE_OPEN_LEAST)
+    shut = (high <= PHONE_CLOSED) | (mean <= PHONE_CLOSED_MEAN)
+    sure = F.when(high.isNull(), 50.0).when(is_open, F.least(F.lit(98.0), 86 + (mean - PHONE_OPEN) * 200)).when(shut, F.least(F.lit(98.0), 86 + (PHONE_CLOSED - high) * 400)).otherwise(72.0)
+    return F.struct(F.coalesce(is_open, F.lit(False)).alias("open"), sure.alias("confidence"))
+
+
+def tiled(pixels: Column, faces: Column, profile: str = "desktop") -> Column:
+    """Whether an image is looked at a second time in tiles."""
+    _, least, enough = PROFILES[profile]["tiles"]
+    return (pixels >= least) & (faces < enough)
+
+
+def tiles(width: Column, height: Column, side: int, profile: str = "desktop") -> Column:
+    """side x side overlapping tiles of an image in pixels, row by row: structs of left, top, width, height."""
+    share = 1 - PROFILES[profile]["tiles"][0]
+
+    def spans(length: Column) -> Column:
+        tile = length / (1 + (side - 1) * share)
+        return F.transform(F.sequence(F.lit(0), F.lit(side - 1)), lambda k: F.struct(F.floor(k * tile * share).cast("int").alias("at"), F.ceil(tile).cast("int").alias("size")))
+
+    return F.flatten(F.transform(spans(height), lambda y: F.transform(spans(width), lambda x: F.struct(x["at"].alias("left"), y["at"].alias("top"), F.least(x["size"], width - x["at"]).cast("int").alias("width"), F.least(y["size"], height - y["at"]).cast("int").alias("height")))))
+
+
+# --- acceptance of detections by their five points
+
+# Shapes, and where points of a face may lie in units of its box.
+FRONTAL_SHAPE, PROFILE_SHAPE, PLAIN_SCORE = (0.55, 1.8), (0.35, 1.8), 0.78
+MARGIN, EYES_APART, EYES_LEVEL, NOSE_OFF = 0.15, (0.15, 0.65), 0.12, 0.45
+
+
+def _both(a: Column, b: Column) -> Column:
+    """The mean of two numbers, or the one that isn't null."""
+    return (F.coalesce(a, b) + F.coalesce(b, a)) / 2
+
+
+POINTS = ("left_eye", "right_eye", "nose", "left_mouth", "right_mouth")
+
+
+def _let(value: Column, use) -> Column:
+    """use(value), with value worked out once."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def accepted_faces(detections: DataFrame, least_score: float = 0.3, layout: bool = True, profile: str = "desktop") -> DataFrame:
+    """The detections that are faces, seen from the front or the side.
+
+    detections: score, box (struct of left, top, width, height in pixels), image_width, image_height and the
+    five POINTS as structs of x and y in pixels; null ones, and those off the box by more than MARGIN of it,
+    count as unseen. With layout, eyes, nose and mouth must lie as in a face, unless the score is high.
+    """
+    limits = PROFILES[profile]
+    box, score = F.col("box"), F.col("score")
+    w, h = box["width"], box["height"]
+    base = (score >= least_score) & (w >= limits["pixels"]) & (h >= limits["pixels"]) & (w * h / (F.col("image_width") * F.col("image_height")) >= limits["share"])
+    inside = lambda v: v.between(-MARGIN, 1 + MARGIN)
+    local = lambda n: _let(F.struct(((F.col(n)["x"] - box["left"]) / w).alias("x"), ((F.col(n)["y"] - box["top"]) / h).alias("y")), lambda p: F.when(inside(p["x"]) & inside(p["y"]), p))
+
+    def measured(p: Column) -> Column:
+        one, two = p["left_eye"], p["right_eye"]
+        return F.struct(F.abs(one["x"] - two["x"]).alias("apart"), F.abs(one["y"] - two["y"]).alias("tilt"), F.abs(p["nose"]["x"] - (one["x"] + two["x"]) / 2).alias("off"), _both(one["y"], two["y"]).alias("eyes"), p["nose"]["y"].alias("nose"), _both(p["left_mouth"]["y"], p["right_mouth"]["y"]).alias("mouth"))
+
+    def judged(m: Column) -> Column:
+        eyes, nose, mouth, apart = m["eyes"], m["nose"], m["mouth"], m["apart"]
+        down = F.when(mouth.isNotNull(), (eyes + 0.02 <= nose) & (nose + 0.02 <= mouth) & (mouth >= 0.32) & F.abs(nose - mouth).between(0.05, 0.40) & F.abs(eyes - mouth).between(apart * 0.55, apart * 2.20)).otherwise(eyes + 0.10 <= nose)
+        front = apart.between(*EYES_APART) & (m["tilt"] <= EYES_LEVEL) & (m["off"] <= apart * NOSE_OFF) & down & (eyes <= 0.64) & F.abs(eyes - nose).between(0.08, 0.50)
+        side = (eyes + 0.10 <= nose) & (nose + 0.10 <= mouth) & F.abs(eyes - mouth).between(0.12, 0.70)
+        plain, shape = F.lit(not layout) | (score >= PLAIN_SCORE), w / F.greatest(F.lit(1.0), h)
+        frontal = shape.between(*FRONTAL_SHAPE) & apart.isNotNull() & nose.isNotNull() & (plain | F.coalesce(front, F.lit(False))) & (score >= 0.12)
+        return frontal | (shape.between(*PROFILE_SHAPE) & (plain | F.coalesce(side, F.lit(False))) & (score >= 0.10))
+
+    places = F.struct(*(local(n).alias(n) for n in POINTS))
+    return detections.where(base & _let(places, lambda p: _let(measured(p), judged)))

@@ -189,15 +189,16 @@ def natural_key(name: Column) -> Column:
     return F.array_join(F.transform(parts, lambda x: F.when(x.rlike(r"^\d"), number(x)).otherwise(x)), "")
 
 
-def exif_millis(text: Column) -> Column:
-    """Milliseconds of "yyyy:MM:dd HH:mm:ss" as UTC, or null; days beyond a month's end roll over."""
+def exif_millis(text: Column, zone: str = "UTC") -> Column:
+    """Milliseconds of "yyyy:MM:dd HH:mm:ss", or null; days beyond a month's end roll over. Desktops read it as UTC, phones in their zone."""
     pattern = r"^(\d{4}):(\d{2}):(\d{2}) (\d{2}):(\d{2}):(\d{2})"
     part = [F.regexp_extract(text, pattern, k).try_cast("int") for k in range(1, 7)]
     year, month, day, hour, minute, second = part
     fine = text.rlike(pattern) & (year >= 1970) & month.between(1, 12) & day.between(1, 31) & (hour <= 23) & (minute <= 59) & (second <= 60)
     date = F.date_add(F.make_date(year, F.when(month.between(1, 12), month), F.lit(1)), day - 1)
     days = F.datediff(date, F.lit("1970-01-01").cast("date")).cast("long")
-    return F.when(fine, (days * 86400 + hour * 3600 + minute * 60 + second) * 1000)
+    seconds = days * 86400 + hour * 3600 + minute * 60 + second
+    return F.when(fine, (seconds if zone == "UTC" else F.unix_seconds(F.to_utc_timestamp(F.timestamp_seconds(seconds), zone))) * 1000)
 
 
 def iso_millis(text: Column) -> Column:

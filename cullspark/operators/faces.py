@@ -73,6 +73,17 @@ def without_backdrop(faces: Column) -> Column:
     return F.when(stage & (F.size(kept) > 0), kept).otherwise(faces)
 
 
+def post_processed(sets: DataFrame, yaw=None) -> DataFrame:
+    """sets (photo_id, faces) without artifacts, displayed media by sharpness alone, and backdrops; face_index is the place in order.
+
+    A step of its own that the usual course leaves out.
+    """
+    steps = (without_artifacts, lambda f: without_displayed_media(f, soft_by_label=False, peer_floor=TINY, yaw=yaw), without_backdrop, lambda f: F.transform(f, lambda x, k: x.withField("face_index", k.cast("int"))))
+    for step in steps:
+        sets = sets.withColumn("faces", step(F.col("faces")))
+    return sets
+
+
 def keep_score(f: Column, marks: Column | None = None) -> Column:
     """Landmark kinds, then area, then eye confidence."""
     kinds = F.lit(0) if marks is None else F.size(F.array_distinct(marks))

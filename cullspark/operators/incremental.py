@@ -34,14 +34,27 @@ def groups_after_delete(members: DataFrame, photos: DataFrame, gone: DataFrame)
     return left.select(*keys, F.when(stays, F.col("group_id")).alias("group_id"), F.when(stays, F.col("best")).alias("best_photo_id"), F.when(stays, F.col("photo_id") != F.col("best")).otherwise(False).alias("duplicated"))
 
 
-def key_faces_after_delete(variants: DataFrame, gone: DataFrame) -> DataFrame:
-    """Key faces without the deleted photos: empty ones go, counts drop to 1 at least, the source moves to the first photo left."""
-    ids = gone.groupBy("album_id").agg(F.collect_set("photo_id").alias("gone_ids"))
-    v = variants.join(ids, "album_id", "left").withColumn("gone_ids", F.coalesce("gone_ids", F.array().cast("array<long>")))
-    v = v.withColumn("left", F.array_except("photo_ids", "gone_ids")).where(F.size("left") > 0)
+def key_faces_after_delete(variants: DataFrame, gone: DataFrame, faces: DataFrame | None = None) -> DataFrame:
+    """Key faces without the deleted photos: empty ones go, counts drop to 1 at least, the source moves to the first photo left.
+
+    With faces (album_id, photo_id, face_index, variant, cluster) source_face_index is the source photo's first face of
+    the same variant, else of the same cluster, else the one of the former best face's number, else 0.
+    """
+    keys = ["album_id", "variant"]
+    own = variants.select(*keys, F.posexplode("photo_ids").alias("at", "photo_id")).join(gone.select("album_id", "photo_id"), ["album_id", "photo_id"], "left_anti")
+    left = own.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "photo_id"))), lambda x: x["photo_id"]).alias("left"))
+    v = variants.join(left, keys)
     hit = F.size("left") < F.size("photo_ids")
     count = F.when(hit, F.greatest(F.lit(1), F.col("occurrences") - (F.size("photo_ids") - F.size("left")))).otherwise(F.col("occurrences"))
-    return v.select("album_id", "variant", count.cast("long").alias("occurrences"), F.col("left").alias("photo_ids"), F.element_at("left", 1).alias("source_photo_id"))
+    source = F.element_at("left", 1)
+    out = v.select(*keys, count.cast("long").alias("occurrences"), F.col("left").alias("photo_ids"), source.alias("source_photo_id"), *([F.col("best.face_index").alias("_was")] if faces is not None else []))
+    if faces is None:
+        return out
+    f = faces.select("album_id", F.col("photo_id").alias("source_photo_id"), "face_index", F.col("variant").alias("_variant"), F.col("cluster").alias("_cluster"))
+    rank = F.when(F.col("_variant") == F.col("variant"), 0).when(F.col("_cluster") == F.substring_index("variant", "::", 1), 1).when(F.col("face_index") == F.col("_was"), 2)
+    found = out.join(f, ["album_id", "source_photo_id"]).withColumn("_rank", rank).where("_rank is not null")
+    found = found.groupBy(*keys).agg(F.min_by("face_index", F.struct("_rank", "face_index")).alias("source_face_index"))
+    return out.join(found, keys, "left").withColumn("source_face_index", F.coalesce("source_face_index", F.lit(0))).drop("_was")
 
 
 def with_duplicate_flags(photos: DataFrame, members: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from ..functions import detector, display
 from ..functions import scalar as S
 from ..operators import albums, duplicates, faces, identity, incremental, merge, stats
 from ..sources.fixtures import DUCK, labelled, photos
+from ..sources.fixtures import faces as faces_of
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -90,6 +91,30 @@ def _staged(spark, sf_dir):
     return photos(spark, sf_dir).withColumn("status", F.expr(_STATE)).withColumn("progress", (F.col("photo_id") % 101).cast("double"))
 
 
+_ALBUM = """select album_id, case when album_id % 3 = 0 then null else concat('Album ', cast(album_id as {S})) end as name,
+  concat('20', cast(10 + album_id % 15 as {S}), '-0', cast(1 + album_id % 9 as {S}), '-11T10:00:00.000Z') as created_at,
+  case when album_id % 4 = 0 then null else 'x' end as link, case when album_id % 5 = 0 then null else album_id % 2 = 0 end as completed,
+  case when album_id % 7 = 0 then null else album_id % 3 = 1 end as has_uploads, cast(7 as bigint) as total_photos, cast(null as bigint) as total_storage, album_id % 6 as updated_at
+  from (select distinct user_id as album_id from {T} union all select -1 - {N} from (select distinct user_id % 3 as {N} from {T}) z) a"""
+_ALBUMS = ", albums as materialized (" + _ALBUM.format(S="varchar", T="events", N="n") + ")"
+
+
+def _albums(spark, sf_dir) -> DataFrame:
+    return spark.sql(_ALBUM.format(S="string", T="{events}", N="n"), events=spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+def _states(spark, sf_dir) -> DataFrame:
+    """Photos with flags, position by name and all three statuses."""
+    p = flagged(spark, sf_dir).withColumn("position", F.row_number().over(Window.partitionBy("album_id").orderBy(S.natural_key(F.col("file_name")), "photo_id")))
+    state = {"status": _STATE, "analysis_status": "case photo_id % 5 when 0 then 'idle' when 1 then 'pending' when 2 then 'analyzing' else 'analyzed' end", "server_upload_status": "case photo_id % 4 when 0 then 'uploading' when 1 then null when 2 then 'pending' else 'uploaded' end"}
+    return p.withColumns({k: F.expr(v) for k, v in state.items()})
+
+
+_STATES = f""", states as materialized (select *, row_number() over (partition by album_id order by file_name, photo_id) as position, {_STATE} as status,
+  case photo_id % 5 when 0 then 'idle' when 1 then 'pending' when 2 then 'analyzing' else 'analyzed' end as analysis_status,
+  case photo_id % 4 when 0 then 'uploading' when 1 then null when 2 then 'pending' else 'uploaded' end as server_upload_status from flagged)"""
+
+
 @query(f"""select album_id, count(*) as total, count(*) filter (s = 'pending') as pending, count(*) filter (s = 'uploading') as uploading, count(*) filter (s = 'uploaded') as uploaded, count(*) filter (s = 'failed') as failed
   from (select album_id, case when coalesce(st, 'pending') = 'idle' then 'pending' else coalesce(st, 'pending') end as s from (select album_id, {_STATE} as st from photos0)) group by 1""")
 def status_counts(spark, sf_dir):
@@ -111,6 +136,14 @@ def upload_progress(spark, sf_dir):
     return stats.upload_progress(_staged(spark, sf_dir).fillna("idle", ["status"])).withColumn("progress", r9(F.col("progress")))
 
 
+@query(_STATES + """select album_id, count(*) as total, count(*) filter (s = 'pending') as pending, count(*) filter (s = 'uploading') as uploading, count(*) filter (s = 'uploaded') as uploaded, count(*) filter (s = 'failed') as failed
+  from (select album_id, coalesce(server_upload_status, 'idle') as s from states) group by 1""")
+def server_upload_counts(spark, sf_dir):
+    """Photos that are idle on the server count in the total alone."""
+    p = _states(spark, sf_dir).select("album_id", "photo_id", F.coalesce("server_upload_status", F.lit("idle")).alias("status"))
+    return stats.status_counts(p.select("album_id", "photo_id"), p, ("pending", "uploading", "uploaded", "failed"), missing="idle", idle_as=None)
+
+
 # --- orders, lookups
 
 @query("select album_id, photo_id, row_number() over (partition by album_id order by file_name, photo_id) as position from photos0")
@@ -308,6 +341,27 @@ def media_filter(spark, sf_dir):
     return _flat(sets, faces.without_displayed_media(F.col("faces"), yaw=_yaw))
 
 
+_POSTED = _REF + """, one as materialized (select t.* from tiered t join ref using (photo_id) join cnt using (photo_id) where area >= 0.0004
+    and not (n >= 2 and area < 0.00075 and area < ref * 0.5 and not (ref / area >= 8 and exists (select 1 from tiered o where o.photo_id = t.photo_id and o.area >= ref * 0.85 and o.box_top + o.box_height / 2 + 0.03 < t.box_top + t.box_height / 2)))
+    and not (n >= 2 and focus = 'soft' and area < 0.012 and ref >= 0.012 and area < ref * 0.5) and not (eye = 'open' and focus = 'blurred')),
+  fc as materialized (select *, box_left + box_width / 2 as x, box_top + box_height / 2 as y, count(*) over (partition by photo_id) as n, sharpness < 48 as sm, case when abs(yaw) > pi() + 0.01 then radians(abs(yaw)) else abs(yaw) end as turn from one),
+  judged as (select p.photo_id, p.face_index, p.area, p.y, bool_or(
+    (p.area between 0.0035 and 0.16 and (p.sm or p.area >= 0.012) and o.area >= 0.0004 and o.area < p.area and o.y > p.y + 0.04 and p.area / o.area >= 3)
+    or (p.sm and p.n <= 6 and (p.x <= 0.32 or p.x >= 0.68) and p.area between 0.0035 and 0.16 and o.area >= 0.00175 and p.area / o.area between 0.4 and 2.5 and abs(p.x - 0.5) >= abs(o.x - 0.5) + 0.2 and p.y <= o.y + 0.06)
+    or (p.sm and (p.x <= 0.38 or p.x >= 0.62) and p.turn >= 0.4 and o.turn <= 0.35 and o.area >= 0.0004)
+    or (p.sm and p.area >= 0.015 and (p.x <= 0.38 or p.x >= 0.62) and o.area >= 0.0004 and o.area < 0.85 * p.area and abs(o.x - 0.5) < abs(p.x - 0.5))) as bad
+    from fc p left join fc o on o.photo_id = p.photo_id and o.face_index <> p.face_index group by 1, 2, 3, 4),
+  two as (select * from judged where not coalesce(bad, false)),
+  s as (select photo_id, bool_or(y between 0.45 and 0.88) as stage, count(*) filter (not (area >= 0.012 and y < 0.40)) as keep from two group by 1),
+  three as (select two.* from two join s using (photo_id) where not (stage and keep > 0) or not (area >= 0.012 and y < 0.40))"""
+
+
+@query(_POSTED + " select photo_id, cast(row_number() over (partition by photo_id order by face_index) - 1 as int) as face_index, round(area, 9) as area from three")
+def post_processed_faces(spark, sf_dir):
+    sets = faces.post_processed(_sets(spark, sf_dir), _yaw)
+    return sets.select("photo_id", F.explode_outer("faces").alias("f")).where("f is not null").select("photo_id", "f.face_index", r9(S.area(F.col("f.box"))).alias("area"))
+
+
 @query(""", b as (select *, box_top + box_height / 2 as y from tiered), s as (select photo_id, bool_or(y between 0.45 and 0.88) as stage, count(*) filter (not (area >= 0.012 and y < 0.40)) as keep from b group by 1)
   select b.photo_id, face_index from b join s using (photo_id) where not (stage and keep > 0) or not (area >= 0.012 and y < 0.40)""")
 def backdrop_filter(spark, sf_dir):
@@ -427,12 +481,14 @@ def key_face_groups(spark, sf_dir):
 
 
 @query(""", o as (select photo_id, album_id, row_number() over (partition by album_id order by captured_at nulls first, photo_id) as photo_order from photos0),
-  s as (select t.photo_id, album_id, photo_order, 'person-' || (sharpness % 9) || '::' || eye || '::' || focus as variant from tiered t join o using (photo_id)),
+  s as (select t.photo_id, t.face_index, album_id, photo_order, 'person-' || (sharpness % 9) || '::' || eye || '::' || focus as variant from tiered t join o using (photo_id)),
   v as (select album_id, variant, count(*) as n, count(distinct photo_id) as np, count(distinct photo_id) filter (photo_id % 5 <> 0) as nl, arg_min(photo_id, photo_order) filter (photo_id % 5 <> 0) as src from s group by 1, 2)
-  select album_id, variant, greatest(1, n - (np - nl)) as occurrences, src as source_photo_id from v where nl > 0""")
+  select v.album_id, v.variant, greatest(1, n - (np - nl)) as occurrences, src as source_photo_id, f.face_index as source_face_index
+  from v join (select photo_id, variant, min(face_index) as face_index from s group by 1, 2) f on f.photo_id = src and f.variant = v.variant where nl > 0""")
 def keyface_patch(spark, sf_dir):
+    f = _album_faces(spark, sf_dir).withColumn("variant", S.variant_id(F.col("cluster"), F.col("eye"), F.col("focus")))
     gone = photos(spark, sf_dir).where("photo_id % 5 = 0").select("album_id", "photo_id")
-    return incremental.key_faces_after_delete(identity.key_faces(_album_faces(spark, sf_dir)), gone).select("album_id", "variant", "occurrences", "source_photo_id")
+    return incremental.key_faces_after_delete(identity.key_faces(f), gone, f).select("album_id", "variant", "occurrences", "source_photo_id", "source_face_index")
 
 
 @query()
@@ -520,30 +576,6 @@ def legacy_duplicates(spark, sf_dir):
 
 # --- albums
 
-_ALBUM = """select album_id, case when album_id % 3 = 0 then null else concat('Album ', cast(album_id as {S})) end as name,
-  concat('20', cast(10 + album_id % 15 as {S}), '-0', cast(1 + album_id % 9 as {S}), '-11T10:00:00.000Z') as created_at,
-  case when album_id % 4 = 0 then null else 'x' end as link, case when album_id % 5 = 0 then null else album_id % 2 = 0 end as completed,
-  case when album_id % 7 = 0 then null else album_id % 3 = 1 end as has_uploads, cast(7 as bigint) as total_photos, cast(null as bigint) as total_storage, album_id % 6 as updated_at
-  from (select distinct user_id as album_id from {T} union all select -1 - {N} from (select distinct user_id % 3 as {N} from {T}) z) a"""
-_ALBUMS = ", albums as materialized (" + _ALBUM.format(S="varchar", T="events", N="n") + ")"
-
-
-def _albums(spark, sf_dir) -> DataFrame:
-    return spark.sql(_ALBUM.format(S="string", T="{events}", N="n"), events=spark.read.parquet(f"{sf_dir}/events.parquet"))
-
-
-def _states(spark, sf_dir) -> DataFrame:
-    """Photos with flags, position by name and all three statuses."""
-    p = flagged(spark, sf_dir).withColumn("position", F.row_number().over(Window.partitionBy("album_id").orderBy(S.natural_key(F.col("file_name")), "photo_id")))
-    state = {"status": _STATE, "analysis_status": "case photo_id % 5 when 0 then 'idle' when 1 then 'pending' when 2 then 'analyzing' else 'analyzed' end", "server_upload_status": "case photo_id % 4 when 0 then 'uploading' when 1 then null when 2 then 'pending' else 'uploaded' end"}
-    return p.withColumns({k: F.expr(v) for k, v in state.items()})
-
-
-_STATES = f""", states as materialized (select *, row_number() over (partition by album_id order by file_name, photo_id) as position, {_STATE} as status,
-  case photo_id % 5 when 0 then 'idle' when 1 then 'pending' when 2 then 'analyzing' else 'analyzed' end as analysis_status,
-  case photo_id % 4 when 0 then 'uploading' when 1 then null when 2 then 'pending' else 'uploaded' end as server_upload_status from flagged)"""
-
-
 def _placed(rows: DataFrame, name: str) -> DataFrame:
     """Sorted rows with their place, to hold the order against SQL; a list of albums is short."""
     return rows.withColumn("k", F.monotonically_increasing_id()).withColumn(name, F.row_number().over(Window.orderBy("k"))).drop("k")
@@ -674,6 +706,39 @@ def eye_probability_state(spark, sf_dir):
     return labelled(spark, sf_dir).withColumn("s", s).select("photo_id", "face_index", "s.open", F.round("s.confidence", 6).alias("confidence"))
 
 
+_PLACES = """, d as (select photo_id, face_index, sharpness / 100e0 as score, box_width * 4000 as w, box_height * 3000 as h, (lx - box_left) / box_width as lx, (ly - box_top) / box_height as ly, (rx - box_left) / box_width as rx, (ry - box_top) / box_height as ry,
+    (nx - box_left) / box_width as nx, (ny - box_top) / box_height as ny, (mx - box_left) / box_width - 0.15 as ax, (my - box_top) / box_height as ay, (mx - box_left) / box_width + 0.55 as bx, (my - box_top) / box_height + 0.01 as by_ from tiered),
+  v as (select *, lx between -0.15 and 1.15 and ly between -0.15 and 1.15 as l, rx between -0.15 and 1.15 and ry between -0.15 and 1.15 as r, nx between -0.15 and 1.15 and ny between -0.15 and 1.15 as n, ax between -0.15 and 1.15 and ay between -0.15 and 1.15 as a, bx between -0.15 and 1.15 and by_ between -0.15 and 1.15 as b from d),
+  e as (select *, coalesce(l, false) as l_, coalesce(r, false) as r_, coalesce(n, false) as n_, coalesce(a, false) or coalesce(b, false) as m_, case when l and r then (ly + ry) / 2 when l then ly when r then ry end as eyes, case when a and b then (ay + by_) / 2 when a then ay when b then by_ end as mouth, abs(lx - rx) as apart from v),
+  f as (select *, l_ and r_ and n_ and apart between 0.15 and 0.65 and abs(ly - ry) <= 0.12 and abs(nx - (lx + rx) / 2) <= apart * 0.45 and eyes <= 0.64 and abs(eyes - ny) between 0.08 and 0.5 and case when m_ then eyes + 0.02 <= ny and ny + 0.02 <= mouth and mouth >= 0.32 and abs(ny - mouth) between 0.05 and 0.4 and abs(eyes - mouth) between apart * 0.55 and apart * 2.2 else eyes + 0.1 <= ny end as front,
+    n_ and m_ and (l_ or r_) and eyes + 0.1 <= ny and ny + 0.1 <= mouth and abs(eyes - mouth) between 0.12 and 0.7 as side, w / greatest(1, h) as shape from e)
+  select photo_id, face_index from f where score >= 0.3 and w >= 12 and h >= 12 and w * h / (4000 * 3000) >= 0.00028
+    and ((shape between 0.55 and 1.8 and l_ and r_ and n_ and (score >= 0.78 or coalesce(front, false))) or (shape between 0.35 and 1.8 and (score >= 0.78 or coalesce(side, false))))"""
+
+
+@query(_PLACES)
+def accepted_detections(spark, sf_dir):
+    c = F.col
+    at = lambda x, y: F.struct((x * 4000).alias("x"), (y * 3000).alias("y"))
+    points = {"left_eye": at(c("lx"), c("ly")), "right_eye": at(c("rx"), c("ry")), "nose": at(c("nx"), c("ny")), "left_mouth": at(c("mx") - 0.15 * c("box_width"), c("my")), "right_mouth": at(c("mx") + 0.55 * c("box_width"), c("my") + 0.01 * c("box_height"))}
+    box = F.struct((c("box_left") * 4000).alias("left"), (c("box_top") * 3000).alias("top"), (c("box_width") * 4000).alias("width"), (c("box_height") * 3000).alias("height"))
+    f = faces_of(spark, sf_dir).select("photo_id", "face_index", (c("sharpness") / 100).alias("score"), box.alias("box"), F.lit(4000).alias("image_width"), F.lit(3000).alias("image_height"), *(v.alias(k) for k, v in points.items()))
+    return detector.accepted_faces(f).select("photo_id", "face_index")
+
+
+@query("""select photo_id, face_index, coalesce(mean >= 0.65 and low >= 0.55, false) as open, round(case when high is null then 50 when mean >= 0.65 and low >= 0.55 then least(98, 86 + (mean - 0.65) * 200) when high <= 0.4 or mean <= 0.35 then least(98, 86 + (0.4 - high) * 400) else 72 end, 6) as confidence
+  from (select *, least(a, b) as low, greatest(a, b) as high, (coalesce(a, b) + coalesce(b, a)) / 2 as mean from (select photo_id, face_index, case when sharpness % 7 > 0 then left_prob end as a, case when sharpness % 5 > 0 then right_prob end as b from tiered))""")
+def phone_eye_states(spark, sf_dir):
+    f = labelled(spark, sf_dir)
+    state = detector.phone_eye_state(F.when(F.col("sharpness") % 7 > 0, F.col("left_prob")), F.when(F.col("sharpness") % 5 > 0, F.col("right_prob")))
+    return f.withColumn("s", state).select("photo_id", "face_index", "s.open", F.round("s.confidence", 6).alias("confidence"))
+
+
+@query(_suppression("marks * 1e6 + area * 1e3 + eye_conf", f"{_OVER} >= 0.5", "kept") + " select photo_id, face_index from kept")
+def phone_dedupe(spark, sf_dir):
+    return _flat(_sets(spark, sf_dir), faces.suppressed(F.col("faces"), score=lambda f: faces.keep_score(f, f["marks"]), overlap=detector.PROFILES["android"]["overlap"]))
+
+
 @query("select album_id, greatest(count(*), 60) as total, case when sum(file_size) / 1073741824e0 < 1 then printf('%.2f GB', greatest(0.01e0, floor((sum(file_size) / 1073741824e0 * 1024 + 5) / 10) * 0.01e0)) else printf('%.1f GB', sum(file_size) / 1073741824e0) end as size from photos0 group by 1")
 def album_cards(spark, sf_dir):
     t = stats.album_totals(photos(spark, sf_dir))

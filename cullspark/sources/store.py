@@ -21,8 +21,9 @@ MIME = {"jpg": "image/jpeg", "jpeg": "image/jpeg", "png": "image/png", "heic": "
 def list_photos(spark: SparkSession, root: str) -> DataFrame:
     """uri, name, size and type of the photos under root/album: no hidden files, no derived images. Contents aren't read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", F.col("length").alias("size"))
-    name, folder = F.element_at(F.split("path", "/"), -1), F.element_at(F.split("path", "/"), -2)
-    return files.withColumn("name", name).where(~F.col("name").startswith(".") & ~folder.isin(*DERIVED)).select(F.col("path").alias("uri"), "name", "size", mime(F.col("name")).alias("type"))
+    parts = F.split("path", "/")
+    derived = F.exists(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), lambda x: x.isin(*DERIVED))
+    return files.withColumn("name", F.element_at(parts, -1)).where(~F.col("name").startswith(".") & ~derived).select(F.col("path").alias("uri"), "name", "size", mime(F.col("name")).alias("type"))
 
 
 def mime(name: Column, given: Column | None = None) -> Column:

@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.identity import match_faces
-from ..operators.merge import upsert
 
 
 def coalesced(updates: DataFrame) -> DataFrame:
@@ -27,33 +26,63 @@ def shifts(updates: DataFrame, before: DataFrame) -> DataFrame:
     return moves.where("m.status is not null").groupBy("album_id", "m.status").agg(F.sum("m.n").alias("shift")).where("shift <> 0")
 
 
+def counted(counters: DataFrame, moved: DataFrame, storage: DataFrame) -> DataFrame:
+    """Counters (album_id, status, n) and storage (album_id, bytes) after a batch: counts move by shifts and never go below 0.
+
+    moved: album_id, status, shift. storage: album_id, bytes, storage_delta. Gives album_id, counts (a map of status) and bytes.
+    """
+    n = counters.join(moved, ["album_id", "status"], "full_outer")
+    n = n.select("album_id", "status", F.greatest(F.lit(0), F.coalesce("n", F.lit(0)) + F.coalesce("shift", F.lit(0))).alias("n"))
+    maps = n.groupBy("album_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("status", "n")))).alias("counts"))
+    total = storage.groupBy("album_id").agg(F.greatest(F.lit(0), F.sum(F.coalesce("bytes", F.lit(0)) + F.coalesce("storage_delta", F.lit(0)))).cast("long").alias("bytes"))
+    return maps.join(total, "album_id", "full_outer").select("album_id", "counts", F.coalesce("bytes", F.lit(0).cast("long")).alias("bytes"))
+
+
+#: Batches after which a writer folds their changes into a new base.
+FOLD = 20
+
+
 def writer(path: str):
     """A foreachBatch sink that keeps the table at path up to date; a repeated batch changes nothing.
 
-    Each batch writes the whole state of its albums to a version folder of its own and readers take the
-    newest, so a batch that fails half way leaves the last version.
+    A batch writes only its own photos' last states, to a folder of its epoch, so one that fails half way is
+    written again. Every FOLD batches a new base is written, and what the base before it needed is deleted.
     """
 
     def write(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        new = coalesced(batch).select("album_id", "photo_id", "status", "seq")
-        old = latest(spark, path, below=epoch)
-        done = new if old is None else upsert(old, new, ("album_id", "photo_id"), "seq")
-        done.write.mode("overwrite").parquet(f"{path}/epoch={epoch:012d}")
+        coalesced(batch).select("album_id", "photo_id", "status", "seq", "storage_delta").write.mode("overwrite").parquet(f"{path}/delta/epoch={epoch:012d}")
+        if epoch % FOLD == FOLD - 1:
+            last = [e for e in _epochs(spark, f"{path}/base") if e < epoch]
+            latest(spark, path).write.mode("overwrite").parquet(f"{path}/base/epoch={epoch:012d}")
+            for kind in ("base", "delta"):
+                for old in _epochs(spark, f"{path}/{kind}"):
+                    if last and old < last[-1]:
+                        _forget(spark, f"{path}/{kind}/epoch={old:012d}")
 
     return write
 
 
-def latest(spark, path: str, below: int | None = None) -> DataFrame | None:
-    """The newest version under path, or the newest before an epoch."""
+def _epochs(spark, path: str) -> list[int]:
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(where):
+    done = lambda x: fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(x.getPath(), "_SUCCESS"))
+    return sorted(int(x.getPath().getName().split("=")[1]) for x in fs.listStatus(where) if done(x)) if fs.exists(where) else []
+
+
+def _forget(spark, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def latest(spark, path: str) -> DataFrame | None:
+    """album_id, photo_id, status, seq and storage_delta (all changes so far) of the table under path: the newest base and the batches after it."""
+    base, delta = _epochs(spark, f"{path}/base"), _epochs(spark, f"{path}/delta")
+    folders = [f"{path}/base/epoch={e:012d}" for e in base[-1:]] + [f"{path}/delta/epoch={e:012d}" for e in delta if not base or e > base[-1]]
+    if not folders:
         return None
-    names = [str(x.getPath().getName()) for x in fs.listStatus(where)]
-    epochs = sorted(int(n.split("=")[1]) for n in names if n.startswith("epoch="))
-    epochs = [e for e in epochs if below is None or e < below]
-    return spark.read.parquet(f"{path}/epoch={epochs[-1]:012d}") if epochs else None
+    rows = spark.read.parquet(*folders)
+    return rows.groupBy("album_id", "photo_id").agg(F.max_by("status", "seq").alias("status"), F.max("seq").alias("seq"), F.sum("storage_delta").alias("storage_delta"))
 
 
 def clustered(faces: DataFrame) -> DataFrame:

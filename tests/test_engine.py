@@ -409,3 +409,37 @@ def test_key_faces_are_grouped_by_what_can_merge(spark, capsys):
     assert {r.variant: r.merged_into for r in merged.collect()} == {f"{p}::{e}": f"{1 if p < 3 else 3}::{e}" for p in (1, 2, 3) for e in ("open", "closed")}
     merged.explain()
     assert re.search(r"FlatMapGroupsInPandas \[album_id#\d+L?, eye#\d+, focus#\d+\]", capsys.readouterr().out)
+
+
+def test_writer_folds_its_batches(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(updates, "FOLD", 3)
+    table, sink, want = str(tmp_path / "t"), updates.writer(str(tmp_path / "t")), {}
+    for epoch in range(8):
+        rows = [(1, k, 10 * epoch + k, f"s{epoch}", 5) for k in range(epoch, epoch + 3)] + [(1, epoch, 10 * epoch + 9, f"t{epoch}", 1)]
+        for album, photo, seq, status, _ in rows:
+            want[photo] = max(want.get(photo, (0, "")), (seq, status))
+        batch = spark.createDataFrame(rows, "album_id long, photo_id long, seq long, status string, storage_delta long")
+        sink(batch, epoch)
+        if epoch % 2:
+            sink(batch, epoch)  # a batch that is repeated
+        got = updates.latest(spark, table).collect()
+        assert {r.photo_id: (r.seq, r.status) for r in got} == want and sum(r.storage_delta for r in got) == 16 * (epoch + 1)
+    assert updates._epochs(spark, table + "/base") == [2, 5] and updates._epochs(spark, table + "/delta")[0] == 2
+
+
+def test_counters_never_go_below_zero(spark):
+    counters = spark.createDataFrame([(1, "pending", 2), (1, "failed", 1)], "album_id long, status string, n int")
+    moved = spark.createDataFrame([(1, "pending", -3), (1, "uploaded", 3), (2, "pending", 1)], "album_id long, status string, shift int")
+    storage = spark.createDataFrame([(1, 10, -30), (2, None, 7)], "album_id long, bytes long, storage_delta long")
+    got = {r.album_id: (r.counts, r.bytes) for r in updates.counted(counters, moved, storage).collect()}
+    assert got == {1: ({"failed": 1, "pending": 0, "uploaded": 3}, 0), 2: ({"pending": 1}, 7)}
+
+
+def test_scenes_and_source_faces(spark):
+    df = spark.createDataFrame([(["a", "b"], ["b"]), (["a"], ["c"]), ([], ["c"]), (None, ["c"])], "a array<string>, b array<string>")
+    assert [r[0] for r in df.select(identity.share_scene(F.col("a"), F.col("b"))).collect()] == [True, False, False, False]
+    variants = spark.createDataFrame([(1, "p::open::good", 3, [7, 8, 9], (7, 2)), (1, "q::open::good", 1, [7], (7, 0)), (1, "r::open::good", 2, [7, 9], (7, 1)), (1, "s::open::good", 2, [7, 9], (7, 5))], "album_id long, variant string, occurrences long, photo_ids array<long>, best struct<photo_id:long,face_index:int>")
+    faces_ = spark.createDataFrame([(1, 8, 0, "x::open::good", "x"), (1, 8, 1, "p::closed::good", "p"), (1, 9, 0, "x::open::good", "x"), (1, 9, 1, "y::open::good", "y")], "album_id long, photo_id long, face_index int, variant string, cluster string")
+    gone = spark.createDataFrame([(1, 7)], "album_id long, photo_id long")
+    got = {r.variant[0]: (r.occurrences, r.photo_ids, r.source_photo_id, r.source_face_index) for r in incremental.key_faces_after_delete(variants, gone, faces_).collect()}
+    assert got == {"p": (2, [8, 9], 8, 1), "r": (1, [9], 9, 1), "s": (1, [9], 9, 0)}
