@@ -65,18 +65,37 @@ _CLUSTERED = "album_id long, photo_id long, face_index int, cluster_id string"
 
 
 def cluster_faces(faces: DataFrame) -> DataFrame:
-    """cluster_id of each face (album_id, photo_id, captured_at, face_index, print, area), album by album in order of time."""
+    """cluster_id of each face (album_id, photo_id, captured_at, face_index, print, area), album by album in order of time.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        clusters: dict = {}
-        rows, number = [], 1
-        pdf = pdf.sort_values(["captured_at", "photo_id", "face_index"], na_position="first")
-        for photo, part in pdf.groupby("photo_id", sort=False):
-            ids, number = match_faces([(list(p), a) for p, a in zip(part["print"], part["area"])], clusters, number)
-            rows += [(part["album_id"].iloc[0], photo, f, c) for f, c in zip(part["face_index"], ids)]
-        return pd.DataFrame(rows, columns=["album_id", "photo_id", "face_index", "cluster_id"])
-
-    return faces.select("album_id", "photo_id", "captured_at", "face_index", "print", "area").groupBy("album_id").applyInPandas(run, _CLUSTERED)
+    A task reads an album's photos in batches and holds only the clusters found so far.
+    """
+
+    def run(batches):
+        album, clusters, number, held = None, {}, 1, None
+        for pdf in _then_none(batches):
+            rows = held if pdf is None else pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            held = None
+            if rows is None or not len(rows):
+                continue
+            if pdf is not None:  # the last photo may go on in the next batch
+                open_ = (rows["album_id"] == rows["album_id"].iloc[-1]) & (rows["photo_id"] == rows["photo_id"].iloc[-1])
+                rows, held = rows[~open_], rows[open_]
+            out = []
+            for (of, photo), part in rows.groupby(["album_id", "photo_id"], sort=False):
+                if of != album:
+                    album, clusters, number = of, {}, 1
+                ids, number = match_faces([(list(p), a) for p, a in zip(part["print"], part["area"])], clusters, number)
+                out += [(of, photo, f, c) for f, c in zip(part["face_index"], ids)]
+            yield pd.DataFrame(out, columns=["album_id", "photo_id", "face_index", "cluster_id"])
+
+    chosen = faces.select("album_id", "photo_id", "captured_at", "face_index", "print", "area")
+    order = ["album_id", F.asc_nulls_first("captured_at"), "photo_id", "face_index"]
+    return chosen.repartition("album_id").sortWithinPartitions(*order).mapInPandas(run, _CLUSTERED)
+
+
+def _then_none(batches):
+    yield from batches
+    yield None
 
 
 def resolved_cluster(faces: DataFrame) -> DataFrame:

@@ -413,12 +413,43 @@ def detector_dedupe(spark, sf_dir):
     return _flat(_sets(spark, sf_dir), faces.suppressed(F.col("faces"), score=lambda f: f["sharpness"] * 1e3 + S.area(f["box"]), values=S.DETECTOR))
 
 
-@query()
+def _subjects(source: str) -> str:
+    """CTEs for the subjects among the faces of source (photo_id, face_index, box, area, sharpness, yaw): chosen (photo_id, face_index)."""
+    few = "{kept} < greatest(1, ceil({of} * 0.35))"
+    return f""", m as materialized (select photo_id, face_index as i, area, box_left + box_width / 2 as x, box_top + box_height / 2 as y, box_width as w, box_height as h, cast(sharpness as double) as sharp, yaw, count(*) over (partition by photo_id) as faces,
+    box_left < 0.08 or box_top < 0.06 or box_left + box_width > 0.92 or box_top + box_height > 0.94 or box_left + box_width / 2 < 0.16 or box_left + box_width / 2 > 0.84 as edge, area * (0.35e0 + 0.65e0 * sharpness / 100) as prominence from {source}),
+  peers as materialized (select a.photo_id, a.i as seed, b.* exclude (photo_id) from m a join m b on a.photo_id = b.photo_id and least(a.area, b.area) > 1e-12 and greatest(a.area, b.area) <= 2.4 * least(a.area, b.area)),
+  scored as (select photo_id, seed, count(*) as n, round(sum(area) * sqrt(count(*)) * (0.5e0 + 0.5e0 * sum(sharp) / count(*) / 100), 12) as score from peers group by 1, 2),
+  best as (select photo_id, arg_max(seed, (score, n, -seed)) as best, arg_max(seed, (score, n, -seed)) filter (n >= 2) as dense from scored group by 1),
+  lead as (select photo_id, arg_max(i, (prominence, -i)) as i from m group by 1),
+  core as (select b.photo_id, median(p.area) as area, median(p.sharp) as sharp, max(p.prominence) as top, bool_or(p.i = l.i) as inside from best b join lead l using (photo_id) join peers p on p.photo_id = b.photo_id and p.seed = b.dense group by 1),
+  seed as (select b.photo_id, case when dense is null then best when c.inside or (f.area >= c.area * 3.5 and f.edge) then dense
+      when (f.area >= c.area * 1.55 and f.sharp >= c.sharp * 0.8 and f.sharp >= 45) or (f.prominence >= c.top * 1.2 and f.area >= c.area * 1.35 and f.sharp >= 45) then f.i else dense end as seed
+    from best b join lead l on l.photo_id = b.photo_id join m f on f.photo_id = b.photo_id and f.i = l.i left join core c on c.photo_id = b.photo_id),
+  g as materialized (select p.*, count(*) over (partition by p.photo_id) as size, p.x - lag(p.x) over (partition by p.photo_id order by p.x) as gap from peers p join seed s on s.photo_id = p.photo_id and s.seed = p.seed),
+  mid as (select photo_id, median(x) as cx, median(y) as cy, median(w) as mw, median(h) as mh, coalesce(median(gap), 0) as gaps from g group by 1),
+  off as (select g.photo_id, median(abs(x - cx)) as mx, median(abs(y - cy)) as my from g join mid using (photo_id) group by 1),
+  reach as (select photo_id, cx, cy, greatest(mx * 3.25, mw * 2.5, case when my <= mh * 0.55 then greatest(gaps * 2.75, mw * 4) else 0 end) as lx, greatest(my * 3.25, mh * 1.75) as ly from mid join off using (photo_id)),
+  near as (select g.*, abs(x - cx) <= lx and abs(y - cy) <= ly as near from g join reach using (photo_id)),
+  g2 as materialized (select *, count(*) over (partition by photo_id) as size2 from (select *, count(*) filter (near) over (partition by photo_id) as n from near) where size <= 2 or n = 0 or near),
+  keen as (select photo_id, median(sharp) as sm, max(sharp) as sx from g2 group by 1),
+  g2b as (select g2.*, sm, sx, not (sharp < sm * 0.48 or (sx >= 55 and sharp < sx * 0.45 and sharp < 50)) as keen from g2 join keen using (photo_id)),
+  g3 as materialized (select *, count(*) over (partition by photo_id) as size3 from (select *, count(*) filter (keen) over (partition by photo_id) as n2 from g2b) where size2 < 2 or (sm < 20 and sx < 40) or {few.format(kept="n2", of="size2")} or keen),
+  true_ as (select g3.*, pm, not (abs(yaw) >= 28 and sharp < pm * 0.72) as true_, abs(yaw) < 18 and sharp >= pm * 0.9 and sharp >= 50 as frontal from g3 join (select photo_id, median(sharp) as pm from g3 group by 1) using (photo_id)),
+  last as (select * from (select *, count(*) filter (true_) over (partition by photo_id) as n3, bool_or(frontal) over (partition by photo_id) as any_ from true_) where size3 < 2 or not any_ or pm < 40 or {few.format(kept="n3", of="size3")} or true_),
+  chosen as (select photo_id, i as face_index from m where faces <= 1 union select photo_id, i from last where faces > 1)"""
+
+
+@query(_subjects("tiered") + " select photo_id, face_index from chosen")
 def dominant_cluster(spark, sf_dir):
     return _flat(faces.dominant(_sets(spark, sf_dir), _yaw), F.col("faces"))
 
 
-@query()
+_FILTERED = _POSTED[: _POSTED.index("  two as")].replace("sharpness < 48 as sm", "(sharpness < 48 or focus = 'blurred') as sm").replace("o.area >= 0.0004 and o.area < 0.85", "o.area >= 0.0008 and o.area < 0.85")
+_CLEAN = _FILTERED + "  shown as materialized (select one.* from one join judged using (photo_id, face_index) where not coalesce(bad, false))" + _suppression("marks * 1e6 + area * 1e3 + eye_conf", _SAME_FACE, "kept", "shown") + ", left_ as materialized (select one.* from one join kept using (photo_id, face_index))" + _subjects("left_")
+
+
+@query(_CLEAN + " select photo_id, face_index from chosen")
 def clean_faces(spark, sf_dir):
     """Artifacts, displayed media and redundant boxes out, then the dominant group."""
     sets = _sets(spark, sf_dir)
