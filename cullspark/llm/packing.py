@@ -2,8 +2,8 @@
 
 Only the histogram (one count per length up to the limit) reaches the driver. It is packed longest
 length first; equal packs are one pattern with a count. Documents then find their place by their
-rank within their length, computed by window functions over salted groups, and the plan, whose size
-depends on the limit alone, is looked up by binary search in the tasks.
+rank within their length, numbered over ranges of rows, and the plan, whose size depends on the limit
+alone, is looked up by binary search in the tasks.
 """
 
 from __future__ import annotations
@@ -14,16 +14,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, numbered
 from .tokens import WordEncoder
 
 LIMIT = 4096
 END = 2
-#: Rows of one length that one window group holds, roughly.
-GROUP_ROWS = 4_000
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -97,13 +95,8 @@ def _lookup(patterns: list[tuple[int, list[tuple[int, int]]]]) -> np.ndarray:
 def pack(cut_pieces: DataFrame, limit: int = LIMIT) -> DataFrame:
     """Adds sequence_id and offset to pieces (doc_id, start, length, ...). cut_pieces is read twice, so it should be a written table."""
     spark = cut_pieces.sparkSession
-    salts = max(1, cut_pieces.count() // GROUP_ROWS)
-    salted = cut_pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start"), F.lit(salts)))
-    counts = cut(salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n")), "counts")
-    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most limit rows
-    before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).drop("n")
-    inner = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "start")) - 1
-    ranked = salted.withColumn("inner", inner).join(before, ["length", "salt"]).withColumn("rank", (F.col("before") + F.col("inner")).cast("long"))
+    histogram = {r["length"]: r["n"] for r in cut_pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most limit rows
+    ranked = numbered(cut_pieces, ["length"], [F.asc_nulls_first("doc_id"), F.asc("start"), F.asc("ids_crc32")], "rank")
     shared = spark.sparkContext.broadcast(_lookup(plan(histogram, limit)))
     names = [*cut_pieces.columns, "rank"]
 
@@ -119,7 +112,7 @@ def pack(cut_pieces: DataFrame, limit: int = LIMIT) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *where], [*names[:-1], "sequence_id", "offset"])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cut_pieces.schema) + ", sequence_id long, offset long"
-    return ranked.select(names).mapInArrow(place, schema)
+    return ranked.mapInArrow(place, schema)
 
 
 def packed(docs: DataFrame, vocabulary: str, limit: int = LIMIT) -> DataFrame:
