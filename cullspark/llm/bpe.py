@@ -6,7 +6,9 @@ run only. Its cause is a merge of higher priority in the other run: one that bui
 took its right part together with what follows, or took its left part together with what precedes.
 The chain of causes ends at a merge that crosses the end of the shared part. `lookahead` computes, in
 order of priority, the farthest end that such a chain can reach, measured from the start of the first
-merge. A token that starts at least that far before the end of the input read so far is final.
+merge. A token that starts at least that far before the end of the input read so far is final, and so are
+all tokens of a pre-token that has ended, across whose end nothing merges. Every id of a text comes from a
+step of that kind; steps that come again and again are remembered.
 """
 
 from __future__ import annotations
@@ -26,11 +28,11 @@ from pyspark.sql import functions as F
 #: Fixed value: how a byte-level pre-tokenizer splits a text.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Bytes that a stream reads before it looks for final tokens, beside the lookahead.
-BLOCK = 4096
+BLOCK = 512
 #: Characters of a text that are split at once.
-TEXT_BLOCK = 1 << 16
-#: Pre-tokens whose ids a worker remembers, and the longest of them in bytes.
-MEMO, MEMO_BYTES = 600_000, 64
+TEXT_BLOCK = 1 << 14
+#: Steps over whole pre-tokens that a worker remembers, and the longest of them in bytes.
+MEMO, MEMO_BYTES = 400_000, 64
 
 
 def byte_letters() -> dict[str, int]:
@@ -121,59 +123,74 @@ class ByteBpe:
                     heapq.heappush(heap, (r, x, part[x], part[after[x]]))
         return [p for p in part if p]
 
+    def step(self, window: bytes, ended: bool) -> tuple[list[int], int]:
+        """Final ids at the beginning of a window of a pre-token, and how many bytes they stand for.
+
+        ended: the pre-token ends with the window, so all of it is final.
+        """
+        tokens = self._short([window[i : i + 1] for i in range(len(window))]) if len(window) <= MEMO_BYTES else self._long(window)
+        if ended:
+            return [self.ids[t] for t in tokens], len(window)
+        at, out = 0, []
+        for token in tokens:
+            if at + self.lookahead > len(window):
+                break
+            out.append(self.ids[token])
+            at += len(token)
+        return out, at
+
     def stream(self, chunks: Iterator[bytes]) -> Iterator[list[int]]:
         """Ids of one pre-token that arrives in chunks; holds BLOCK and lookahead bytes at most, and a chunk."""
-        held = b""
+        held, size = b"", BLOCK + self.lookahead
         for chunk in chunks:
             held += chunk
-            while len(held) >= BLOCK + self.lookahead:
-                now = held[: BLOCK + self.lookahead]
-                at, out = 0, []
-                for token in self._long(now):
-                    if at + self.lookahead > len(now):
-                        break
-                    out.append(self.ids[token])
-                    at += len(token)
+            while len(held) > size:
+                out, at = self.step(held[:size], False)
                 held = held[at:]
                 yield out
-        yield [self.ids[t] for t in self._long(held)]
+        if held:
+            yield self.step(held, True)[0]
 
     def _pretoken(self, word: str) -> bytes:
-        data = word.encode("utf-8", "replace")
-        if len(data) <= MEMO_BYTES:
-            out = np.array([self.ids[t] for t in self._short([data[i : i + 1] for i in range(len(data))])], "<u4").tobytes()
+        out = b"".join([np.array(x, "<u4").tobytes() for x in self.stream(iter((word.encode("utf-8", "replace"),)))])
+        if len(word) <= MEMO_BYTES:
             if len(self.memo) >= MEMO:
                 self.memo.clear()
             self.memo[word] = out
-            return out
-        chunks = (data[i : i + BLOCK] for i in range(0, len(data), BLOCK))
-        return b"".join(np.array(x, "<u4").tobytes() for x in self.stream(chunks))
-
-    def _plain(self, text: str) -> Iterator[bytes]:
-        """Ids of a text without special tokens, a block of its pre-tokens at a time."""
-        memo, at = self.memo, 0
-        while at < len(text):
-            if at + TEXT_BLOCK >= len(text):
-                words = self.split.findall(text, at)
-                at = len(text)
-            else:  # the last two pre-tokens of a block may depend on what follows
-                words, size = self.split.findall(text, at, at + TEXT_BLOCK), TEXT_BLOCK
-                while len(words) < 4 and at + size < len(text):
-                    size *= 2
-                    words = self.split.findall(text, at, at + size)
-                if at + size < len(text):
-                    del words[-2:]
-                at += sum(map(len, words))
+        return out
+
+    def _run(self, text: str, at: int, end: int) -> Iterator[bytes]:
+        """Ids of a long pre-token, encoded a block at a time."""
+        for ids in self.stream(text[i : min(i + BLOCK, end)].encode("utf-8", "replace") for i in range(at, end, BLOCK)):
+            yield np.array(ids, "<u4").tobytes()
+
+    def _plain(self, text: str, at: int, end: int) -> Iterator[bytes]:
+        """Ids of a part of a text without special tokens, a block of its pre-tokens at a time.
+
+        Beside the text a block is held, whatever the length of a pre-token.
+        """
+        memo = self.memo
+        while at < end:
+            last = at + TEXT_BLOCK >= end
+            words = self.split.findall(text, at, end if last else at + TEXT_BLOCK)
+            if not last and len(words) < 4:  # a long pre-token: only its end is looked for
+                stop = self.split.match(text, at, end).end()
+                yield from self._run(text, at, stop)
+                at = stop
+                continue
+            if not last:  # the last two pre-tokens of a block may depend on what follows
+                del words[-2:]
+            at = end if last else at + sum(map(len, words))
             yield b"".join([memo.get(w) or self._pretoken(w) for w in words])
 
     def encode(self, text: str) -> Iterator[bytes]:
         """Ids as little-endian 32-bit bytes, block by block."""
         at = 0
         for m in self.cut.finditer(text) if self.cut else ():
-            yield from self._plain(text[at : m.start()])
+            yield from self._plain(text, at, m.start())
             yield self.special[m[0]].to_bytes(4, "little")
             at = m.end()
-        yield from self._plain(text[at:] if at else text)
+        yield from self._plain(text, at, len(text))
 
     def decode(self, blocks: Iterator[np.ndarray]) -> Iterator[str]:
         """Text of id blocks. The state between blocks is an unfinished character, three bytes at most."""
@@ -185,7 +202,7 @@ class ByteBpe:
 
 
 def encoded(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """One row per document: doc_id, n_tokens, ids_sha256, decoded_sha256.
+    """One row per document: doc_id, n_tokens, ids_sha256, decoded_sha256. Ids are digested and decoded block by block as they come.
 
     A null text is empty: no tokens, and the digests of nothing. Special tokens' strings in a text become
     their ids. Rows with null or repeated doc_id each give a row. Very long texts are read in blocks.
