@@ -25,7 +25,8 @@ from .common import cut, new_folder
 WARC, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 #: Payloads under so many bytes are never revisits.
 REVISIT_BYTES = 100
-RECORDS_PER_ARCHIVE = 5_000
+#: A package ends when it has so many bytes of records; a task holds them until then.
+PACKAGE_BYTES = 32 << 20
 READ_BYTES = 4 << 20
 #: Records that one reading task is dealt, roughly.
 TASK_RECORDS = 2_000
@@ -133,6 +134,7 @@ def write_archives(pages: DataFrame, folder: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
+        size = 0
 
         def flush() -> pa.RecordBatch:
             path, n = _package(folder, held)
@@ -143,8 +145,10 @@ def write_archives(pages: DataFrame, folder: str | None = None) -> DataFrame:
             for page_id, url, payload, digest, first in zip(*(c.to_pylist() for c in batch.columns)):
                 pack = zlib.compressobj(4, zlib.DEFLATED, 31)
                 held.append((pack.compress(record(page_id, url, payload, digest, first)) + pack.flush(), page_id, url))
-                if len(held) == RECORDS_PER_ARCHIVE:
+                size += len(held[-1][0]) + 200  # and its line of the index
+                if size >= PACKAGE_BYTES:
                     yield flush()
+                    size = 0
         if held:
             yield flush()
 
@@ -204,9 +208,12 @@ def ranges(rows: list[tuple[str, int, int]]) -> Iterator[tuple[str, int, int, li
 
 
 def read_records(wanted: DataFrame, payload: bool = False) -> DataFrame:
-    """Records of an index (path, offset, length): page_id, url, payload_bytes, payload_digest, record_type, refers_to; with payload also that."""
+    """Records of an index (path, offset, length, url): page_id, url, payload_bytes, payload_digest, record_type, refers_to; with payload also that.
+
+    The url is the index's: a record's header has no room for control characters.
+    """
     n = max(1, wanted.count() // TASK_RECORDS)
-    dealt = wanted.select("path", "offset", "length").repartitionByRange(n, "path", "offset").sortWithinPartitions("path", "offset")
+    dealt = wanted.select("path", "offset", "length", "url").repartitionByRange(n, "path", "offset").sortWithinPartitions("path", "offset")
     schema = _RECORD_SCHEMA + ", payload binary" * payload
     names = [x.split()[0] for x in schema.split(", ")]
     types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
@@ -214,14 +221,15 @@ def read_records(wanted: DataFrame, payload: bool = False) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path_now, f = None, None
         for batch in batches:
-            for path, start, end, parts in ranges(list(zip(*(c.to_pylist() for c in batch.columns)))):
+            urls = iter(batch.column(3).to_pylist())
+            for path, start, end, parts in ranges(list(zip(*(c.to_pylist() for c in batch.columns[:3])))):
                 if path != path_now:
                     if f:
                         f.close()
                     path_now, f = path, _open(path)
                 f.seek(start)
                 data = f.read(end - start)
-                rows = [parse(data[o - start : o - start + k]) for o, k in parts]
+                rows = [(r[0], url, *r[2:]) for (o, k), url in zip(parts, urls) for r in [parse(data[o - start : o - start + k])]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)][: len(names)], names)
         if f:
             f.close()
