@@ -22,14 +22,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import BROADCAST_ROWS, cut, forget, is_row, keyed
-from .minhash import GOLD, U, _mix, word_hashes
+from .minhash import _BYTE, GOLD, U, _mix, _power
 
 SIMILAR = 0.8
 #: Columns that say where a line stands, in order.
 PLACE = ["doc_id", "text_hash", "line"]
 #: Buckets of the rarity table, a number each.
 BUCKETS = 1 << 18
-CHARS_AT_ONCE = 1 << 18
+CHARS_AT_ONCE, TEXT_BLOCK = 1 << 18, 1 << 20
 #: Where a prefix word has more lines than this in two neighbouring grades of length, they are compared in blocks
 #: of so many lines, and their links are counted, not listed.
 FEW, BLOCK = 500, 1024
@@ -40,15 +40,15 @@ LONG = 80
 FILTER_BITS = 1 << 26
 
 
-def _batches(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list, list[list[str]]]]:
-    """Ids, text hashes and texts' lines in groups of about CHARS_AT_ONCE."""
+def _batches(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list, list[str]]]:
+    """Ids, text hashes and texts in groups of about CHARS_AT_ONCE."""
     ids, hashes, texts, size = [], [], [], 0
     for batch in rows:
         for doc, hashed, text in zip(*(c.to_pylist() for c in batch.columns)):
             ids.append(doc)
             hashes.append(hashed)
-            texts.append((text or "").split("\n"))
-            size += len(text or "")
+            texts.append(text or "")
+            size += len(texts[-1])
             if size >= CHARS_AT_ONCE:
                 yield ids, hashes, texts
                 ids, hashes, texts, size = [], [], [], 0
@@ -56,15 +56,42 @@ def _batches(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list, list[
         yield ids, hashes, texts
 
 
-def _sets(lines_: list[str], count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Line number and each distinct word of each line, sorted by both.
+#: Beginnings of UTF-8 white space beside the ASCII ones; where they occur, words are parted by str.split first.
+_WIDE = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")
+
+
+def _tokens(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Line number and 64-bit hash of each lower-cased word of a text; no word is handled alone."""
+    low = text.lower()
+    data = low.encode("utf-8", "replace")
+    raw = np.frombuffer(data, np.uint8)
+    wide = not low.isascii() and ((raw == 0xC2) | (raw >= 0xE1) & (raw <= 0xE3)).any() and any(w in data for w in _WIDE)
+    if wide or ((raw < 32) & (raw != 10)).any():
+        data = "\n".join([" ".join(x.split()) for x in low.split("\n")]).encode("utf-8", "replace")
+        raw = np.frombuffer(data, np.uint8)
+    gaps = np.flatnonzero((raw == 32) | (raw == 10))
+    first, last = np.concatenate([[0], gaps + 1]), np.concatenate([gaps, [len(raw)]])
+    on = last > first
+    first, last = first[on], last[on]
+    out, i = np.zeros(len(first), np.uint64), 0
+    while i < len(first):
+        j = max(i + 1, int(np.searchsorted(last, first[i] + TEXT_BLOCK)))
+        low_, a, b = first[i], first[i:j] - first[i], last[i:j] - first[i]
+        part = raw[low_ : last[j - 1]]
+        powers, back = _power(len(part) + 1)
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[part] * powers[: len(part)], dtype=np.uint64)])
+        out[i:j] = _mix((total[b] - total[a]) * back[a] + (b - a).astype(np.uint64))
+        i = j
+    return np.searchsorted(np.flatnonzero(raw == 10), first), out
+
+
+def _sets(text: str, rare: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Line number and each distinct word of each line, sorted by both. rare: the rarity bits of each bucket.
 
     A word is a number: 8 bits of rarity above 56 of its hash, so that its order is that of rarity.
     """
-    plain = [" ".join(line.split()) for line in "\n".join(lines_).lower().split("\n")]
-    line = np.repeat(np.arange(len(plain)), [x.count(" ") + 1 if x else 0 for x in plain])
-    hashed = word_hashes(" ".join([x for x in plain if x]).encode("utf-8", "replace"))
-    word = (_rarity_bits(count)[_bucket(hashed)] << U(56)) | (hashed >> U(8))
+    line, hashed = _tokens(text)
+    word = rare[_bucket(hashed)] | (hashed >> U(8))
     order = _order(line, word)
     line, word = line[order], word[order]
     first = np.ones(len(line), bool)
@@ -96,20 +123,17 @@ def rarity(docs: DataFrame) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS, np.int64)
-        for batch in batches:
-            texts = batch.column(0).to_pylist()
-            while texts:
-                size = part = 0
-                while part < len(texts) and size < CHARS_AT_ONCE:
-                    size += len(texts[part] or "")
-                    part += 1
-                words = " ".join([t for t in texts[:part] if t]).lower().replace("\n", " ")
-                total += np.bincount(_bucket(word_hashes(words.encode("utf-8", "replace"))), minlength=BUCKETS)
-                texts = texts[part:]
+        held: list[np.ndarray] = []
+        for _, _, texts in _batches(batches):
+            held.append(_bucket(_tokens("\n".join(texts))[1]).astype(np.int32))
+            if sum(map(len, held)) > BUCKETS:
+                total += np.bincount(np.concatenate(held), minlength=BUCKETS)
+                held = []
+        total += np.bincount(np.concatenate(held) if held else np.zeros(0, np.int32), minlength=BUCKETS)
         on = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(on), pa.array(total[on])], ["bucket", "n"])
 
-    rows = docs.select("text").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    rows = keyed(docs).mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(BUCKETS, np.int64)
     out[rows["bucket"]] = rows["n"]
     return out
@@ -143,12 +167,12 @@ def lines(docs: DataFrame, counts: np.ndarray) -> DataFrame:
     occur too seldom in the corpus to be in many lines. more: in long lines, the parities of one half of
     the words, so that two long lines have twice as many.
     """
-    shared, few = docs.sparkSession.sparkContext.broadcast(counts), _rarity_bits(np.array([FEW]))[0]
+    shared, few = docs.sparkSession.sparkContext.broadcast(_rarity_bits(counts) << U(56)), _rarity_bits(np.array([FEW]))[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = shared.value
         for ids, hashes, texts in _batches(batches):
-            line, word = _sets([x for t in texts for x in t], count)
+            line, word = _sets("\n".join(texts), count)
             if not len(line):
                 continue
             start, n = _starts(line)
@@ -157,7 +181,7 @@ def lines(docs: DataFrame, counts: np.ndarray) -> DataFrame:
             keep = np.where(n < 4, 0, n - least_shared(n) + 1)  # sets of up to three words match only themselves
             inside = np.arange(len(line)) - np.repeat(start, n) < np.repeat(keep, n)
             calm = np.add.reduceat((inside & (word >> U(56) <= few)).astype(np.int64), start)
-            text, number = _ranges(np.array([len(x) for x in texts]))
+            text, number = _ranges(np.array([t.count("\n") + 1 for t in texts]))
             text, number = text[line[start]], number[line[start]]
             prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(keep)]).astype(np.int32)), pa.array(word[inside].view(np.int64)))
             columns = {"doc_id": np.array(ids, np.int64)[text], "text_hash": np.array(hashes, np.int64)[text], "line": number.astype(np.int32), "of": np.bincount(text, minlength=len(texts))[text].astype(np.int32), "class": _classes(word, start, n), "n": n.astype(np.int32), "parities": parities, "more": np.where(n > LONG, half, 0), "calm": calm.astype(np.int32)}
@@ -325,17 +349,18 @@ def _words(classes: DataFrame, reps: DataFrame, docs: DataFrame, counts: np.ndar
     Texts are read again and not shuffled: a filter of places says which lines to send on.
     """
     wanted = cut(classes.select("class").distinct().join(reps.select("class", *PLACE), "class"), "wanted")
-    shared = docs.sparkSession.sparkContext.broadcast((_filter(wanted), counts))
+    shared = docs.sparkSession.sparkContext.broadcast((_filter(wanted), _rarity_bits(counts) << U(56)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         on, count = shared.value
         for ids, hashes, texts in _batches(batches):
-            text, number = _ranges(np.array([len(x) for x in texts]))
+            text, number = _ranges(np.array([t.count("\n") + 1 for t in texts]))
             doc, hashed = np.array(ids, np.int64)[text], np.array(hashes, np.int64)[text]
             bit = _place(doc, hashed, number, 64 * len(on))
             hit = np.flatnonzero((on[bit >> 6] >> (bit & 63).astype(np.uint64)) & U(1))
-            found = [texts[t][k] for t, k in zip(text[hit], number[hit])]
-            line, word = _sets(found, count)
+            parts = {t: texts[t].split("\n") for t in np.unique(text[hit]).tolist()}
+            found = [parts[t][k] for t, k in zip(text[hit].tolist(), number[hit].tolist())]
+            line, word = _sets("\n".join(found), count)
             if not len(line):
                 continue
             start, n = _starts(line)
@@ -368,24 +393,25 @@ def _verified(pairs: DataFrame, found: DataFrame) -> DataFrame:
 
 def linked(reps: DataFrame, docs: DataFrame, rare: np.ndarray) -> DataFrame:
     """class, links and near (the first place of a linked line) of every class with links."""
-    posted = reps.where(F.size("prefix") > 0).select("class", "n", "parities", "more", "calm", F.posexplode("prefix").alias("at", "word")).withColumn("grade", grade(F.col("n")))
+    post = lambda rows: rows.where(F.size("prefix") > 0).select("class", "n", "parities", "more", "calm", F.posexplode("prefix").alias("at", "word")).withColumn("grade", grade(F.col("n")))
+    posted = post(reps)
     # a word that is in few lines of the corpus is in few of any grade
     counts = posted.where("at >= calm").groupBy("word", "grade").agg(F.count(F.lit(1)).alias("c"))
     both = counts.select("word", F.explode(F.array(F.col("grade"), F.col("grade") - 1)).alias("grade"), "c")
     hot_words = cut(both.groupBy("word", "grade").agg(F.sum("c").alias("c")).where(F.col("c") > FEW), "hot")
     many = hot_words.count()
     side = lambda down, name: (lambda h: F.broadcast(h) if many <= BROADCAST_ROWS else h)(hot_words.select("word", (F.col("grade") + down).alias("grade"), F.lit(True).alias(name)))
-    flagged = posted.join(side(0, "hot"), ["word", "grade"], "left").join(side(1, "below"), ["word", "grade"], "left").na.fill(False, ["hot", "below"])
+    marked = lambda rows: rows.join(side(0, "hot"), ["word", "grade"], "left").join(side(1, "below"), ["word", "grade"], "left").na.fill(False, ["hot", "below"])
     # words of many lines come after the calm ones: of those shared before a meeting, hots at most are of that kind
-    cold = flagged.where("not (hot and below)").withColumn("hots", F.greatest(F.lit(0), F.col("at") - F.col("calm")))
+    cold = marked(posted).where("not (hot and below)").withColumn("hots", F.greatest(F.lit(0), F.col("at") - F.col("calm")))
     pairs = cut(_candidates(cold), "pairs")
-    hot_classes = cut(flagged.where("hot or below").select("class").distinct(), "hot_classes")
+    hot_classes = cut(marked(posted.where("at >= calm")).where("hot or below").select("class").distinct(), "hot_classes")
     found = _words(pairs.select(F.explode(F.array("a", "b")).alias("class")).unionByName(hot_classes), reps, docs, rare)
     links = _verified(pairs, found)
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     place = reps.select(F.col("class").alias("b"), F.struct(*PLACE).alias("near"))
     listed = both.join(place, "b").select(F.col("a").alias("class"), F.lit(1).cast("long").alias("links"), "near")
-    of_hot = cut(flagged.select("class", "n", "at", "word", "grade", "hot", "below").join(hot_classes, "class", "left_semi"), "flagged")
+    of_hot = cut(marked(post(reps.join(hot_classes, "class", "left_semi"))).select("class", "n", "at", "word", "grade", "hot", "below"), "flagged")
     every = listed.unionByName(_hot_links(of_hot, hot_words, found))
     out = cut(every.groupBy("class").agg(F.sum("links").alias("links"), F.min("near").alias("near")), "linked")
     forget(pairs, found, links, hot_classes, of_hot)
@@ -403,7 +429,11 @@ def similar_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 @F.pandas_udf(T.StringType())
 def _keep(text, gone):
-    return text.combine(gone, lambda t, g: t if g is None or t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in set(g)))
+    def kept(t, g):
+        out = set(g)
+        return "\n".join([x for i, x in enumerate(t.split("\n")) if i not in out])
+
+    return text.combine(gone, lambda t, g: t if g is None or t is None else kept(t, g))
 
 
 def without_similar_lines(docs: DataFrame) -> DataFrame:
@@ -440,6 +470,8 @@ def _without(docs: DataFrame) -> DataFrame:
     forget(every, best)
     joined = docs.join(by, is_row(docs, by), "left")
     zero = F.lit(0).cast("long")
-    text = _keep(docs["text"].cast("string"), by["gone"])
+    text = docs["text"].cast("string")
+    some = F.coalesce(F.size(by["gone"]) > 0, F.lit(False))  # only texts that lose lines go to Python
+    text = F.when(some, _keep(F.when(some, text), F.when(some, by["gone"]))).otherwise(text)
     made = {"text": text, "n_lines": F.coalesce(by["n_lines"], zero), "n_removed": F.greatest(F.coalesce(F.size(by["gone"]), F.lit(0)), F.lit(0)).cast("long"), "n_links": F.coalesce(by["n_links"], zero)}
     return joined.select(*(docs[f"`{c}`"] for c in docs.columns if c not in made), *(v.alias(k) for k, v in made.items()))
