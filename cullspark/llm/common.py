@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import hashlib
 import tempfile
 import uuid
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -113,3 +115,30 @@ def numbered(rows: DataFrame, group: list[str], order: list[Column], name: str =
     few = counts.count() <= BROADCAST_ROWS
     joined = dealt.join(F.broadcast(counts) if few else counts, same)
     return joined.select(*(f"`{c}`" for c in rows.columns), (F.col("_at") + F.col("_shift")).alias(name))
+
+
+def digests(pieces: DataFrame, key: str, order: str, text: str, sep: str) -> DataFrame:
+    """key and digest, the SHA-256 in hex of a key's texts joined by sep in the given order; keys aren't null.
+
+    A hash goes from front to back, so a key's texts are one task's; they pass through it as a stream.
+    """
+
+    def run(batches):
+        now, state = None, None
+        for batch in batches:
+            out = []
+            for k, t in zip(batch["key"], batch["text"]):
+                if state is None or k != now:
+                    if state is not None:
+                        out.append((now, state.hexdigest()))
+                    now, state = k, hashlib.sha256()
+                else:
+                    state.update(sep.encode())
+                state.update(t.encode())
+            yield pd.DataFrame(out, columns=["key", "digest"])
+        if state is not None:
+            yield pd.DataFrame([(now, state.hexdigest())], columns=["key", "digest"])
+
+    dealt = pieces.select(F.col(key).alias("key"), F.col(order).alias("_order"), F.col(text).alias("text")).repartition("key").sortWithinPartitions("key", "_order")
+    kind = next(f.dataType for f in dealt.schema if f.name == "key").simpleString()
+    return dealt.select("key", "text").mapInPandas(run, f"key {kind}, digest string").withColumnRenamed("key", key)

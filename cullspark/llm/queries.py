@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, chat, exact_dedup, langid, line_dedup, minhash, packing, substring_dedup, warc
+from . import ann, bpe, chat, exact_dedup, langid, line_dedup, minhash, packing, repair, substring_dedup, warc
 from .common import table
 
 
@@ -60,10 +60,59 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.linked(chat.as_tool_calls(table(spark, sf_dir, "conversations")), chat.REPLY)
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, language_of_pages, op2_substring_dedup, op3_packing, op4_line_dedup, op5_warc, op6_exact_dedup, op7_minhash, op8_bpe, op9_ann, op10_chat)}
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.audited(repair.damaged(table(spark, sf_dir, "conversations")), of=table(spark, sf_dir, "conversations"))
+
+
+#: op11: the cheapest edits from the back, as cost and letters in one text that sorts by both; then the lines from the front.
+
+
+def _step(cost: str, letter: str, of: str) -> str:
+    return f"lpad(cast(cast(substr({of}, 1, 10) as bigint) + {cost} as varchar), 10, '0') || '{letter}' || substr({of}, 11)"
+
+
+def _row(state: int) -> str:
+    """The best of a row's edits in a state, given the best after it in each state (v0 to v3)."""
+    follow, nxt = {0: {"s": 1, "u": 2}, 1: {"u": 2}, 2: {"a": 3}, 3: {"u": 2}}[state], (2, 2, 3, 2)[state]
+    keep = "case " + " ".join(f"when i = '{i}' then {_step('late', 'K', f'v{to}')}" for i, to in follow.items()) + " end"
+    return f"case when bad then {_step('4', 'D', f'v{state}')} else least({_step('4', 'D', f'v{state}')}, {_step('3 + late', 'R', f'v{nxt}')}, coalesce({keep}, '9')) end"
+
+
+_RE = "case when s = 2 then 'assistant' else 'user' end"
+_OP11 = f"""
+    with recursive d0 as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' ') as k from conversations),
+    d1 as (select *, xor(list_reduce(list_transform(range(1, length(k) + 1), lambda j: cast(unicode(substr(k, j, 1)) as bigint)), lambda c, b:
+        list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, case when x & 1 = 1 then 3988292384 else 0 end)), cast(4294967295 as bigint)), 4294967295) % 20 as hit from d0),
+    d2 as (select conv_id, turn, case when hit = 4 then 'user' else role end as role, case hit when 1 then '' when 2 then translate(text, '.!?', '') else text end as text,
+        unnest(case when hit = 3 then [0, 1] else [0] end) as copy from d1 where hit <> 0),
+    d3 as (select *, cast(row_number() over (partition by conv_id order by turn nulls first, role, text) as int) as nr from d2),
+    d4 as (select *, rtrim(text, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') as said, row_number() over (partition by conv_id, role, text order by nr) > 1 as again, substr(role, 1, 1) as i from d3),
+    d as materialized (select *, said = '' as blank, said <> '' and again as dup, said <> '' and not again and right(said, 1) not in ('.', '!', '?') as trunc, said = '' or again as bad,
+        coalesce(lag(i) over (partition by conv_id order by nr) || i not in ('su', 'ua', 'au'), false) as odd, case when said <> '' and not again and right(said, 1) not in ('.', '!', '?') then 3 else 0 end as late,
+        'k' || coalesce(cast(conv_id as varchar), '') as conv from d4),
+    sums as (select conv, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (blank) as blank, count(*) filter (dup) as duplicate, count(*) filter (trunc) as truncated, count(*) filter (odd) as illegal, max(nr) as n from d group by 1),
+    back as (select conv, n + 1 as nr, '0000000000' as v0, '0000000006II' as v1, '0000000003I' as v2, '0000000000' as v3 from sums
+      union all
+      select conv, nr, least(r0, {_step('3', 'I', 'i2')}), least(r1, {_step('3', 'I', 'i2')}), i2, least(r3, {_step('3', 'I', 'i2')}) from (
+        select *, least(r2, {_step('3', 'I', 'r3')}) as i2 from (
+          select b.conv, d.nr, {_row(0)} as r0, {_row(1)} as r1, {_row(2)} as r2, {_row(3)} as r3 from back b join d on d.conv = b.conv and d.nr = b.nr - 1))),
+    best as (select conv, cast(substr(v0, 1, 10) as bigint) as cost, substr(v0, 11) as audit from back where nr = 1),
+    front as (select conv, audit, 1 as p, 1 as nr, 0 as s, cast(null as varchar) as line from best
+      union all
+      select f.conv, audit, p + 1, case when e = 'I' then f.nr else f.nr + 1 end, case when e = 'D' then s when e = 'K' then case i when 's' then 1 when 'u' then 2 else 3 end when s = 2 then 3 else 2 end,
+        case e when 'I' then {_RE} || ':' when 'K' then role || ':' || text when 'R' then {_RE} || ':' || text end
+      from (select *, substr(audit, p, 1) as e from front where p <= length(audit)) f left join d on d.conv = f.conv and d.nr = f.nr),
+    said as (select conv, sha256(string_agg(line, chr(10) order by p)) as hash from front where line is not null group by 1)
+    select c.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal,
+      coalesce(cost, 0) as cost, coalesce(audit, '') as audit, coalesce(hash, sha256('')) as repaired_sha256
+    from (select distinct conv_id, 'k' || coalesce(cast(conv_id as varchar), '') as conv from conversations) c left join sums using (conv) left join best using (conv) left join said using (conv)"""
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, language_of_pages, op2_substring_dedup, op3_packing, op4_line_dedup, op5_warc, op6_exact_dedup, op7_minhash, op8_bpe, op9_ann, op10_chat, op11_repair)}
 
 #: op9_ann finds nearly all of the nearest, which SQL can't express; tests/llm holds it against brute force.
 ORACLES = {
+    "op11_repair": _OP11,
     "op5_warc": """
         with p as (select page_id, coalesce(html, '') as html, url from pages),
         d as (select page_id, url, octet_length(encode(html)) as payload_bytes, sha256(html) as payload_digest from p),
