@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, chat, exact_dedup, langid, line_dedup, minhash, packing, repair, substring_dedup, warc
+from . import ann, bpe, chat, decontaminate, exact_dedup, langid, lexical, line_dedup, minhash, packing, repair, substring_dedup, warc
 from .common import table
 
 
@@ -64,6 +64,14 @@ def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.audited(repair.damaged(table(spark, sf_dir, "conversations")), of=table(spark, sf_dir, "conversations"))
 
 
+def op12_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(lexical.build(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+
+
 #: op11: the cheapest edits from the back, as cost and letters in one text that sorts by both; then the lines from the front.
 
 
@@ -108,11 +116,33 @@ _OP11 = f"""
     from (select distinct conv_id, 'k' || coalesce(cast(conv_id as varchar), '') as conv from conversations) c left join sums using (conv) left join best using (conv) left join said using (conv)"""
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, language_of_pages, op2_substring_dedup, op3_packing, op4_line_dedup, op5_warc, op6_exact_dedup, op7_minhash, op8_bpe, op9_ann, op10_chat, op11_repair)}
+QUERIES = {f.__name__: f for f in (op1_language_id, language_of_pages, op2_substring_dedup, op3_packing, op4_line_dedup, op5_warc, op6_exact_dedup, op7_minhash, op8_bpe, op9_ann, op10_chat, op11_repair, op12_decontaminate, op13_lexical)}
 
 #: op9_ann finds nearly all of the nearest, which SQL can't express; tests/llm holds it against brute force.
 ORACLES = {
     "op11_repair": _OP11,
+    "op13_lexical": r"""
+        with d0 as (select row_number() over () as nr, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+        d as (select nr, doc_id, len(w) as n, w from d0 where len(w) > 0),
+        s as (select count(*) as docs, cast(sum(n) as bigint) as length from d),
+        p as materialized (select nr, term, count(*) as tf from (select nr, unnest(w) as term from d) group by 1, 2),
+        f as (select term, cast(floor(1000 * ln((2.0e0 * docs + 2) / (2.0e0 * count(*) + 1))) as bigint) as weight from p, s group by term, docs),
+        q as (select nr, item_id, term, count(*) as times from (select row_number() over () as nr, item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) as term from benchmark) group by 1, 2, 3),
+        m as (select nr, doc_id, 25 + (75 * n * docs) // length as m from d, s),
+        r as (select q.nr as query, any_value(item_id) as item_id, m.nr, any_value(doc_id) as doc_id, cast(sum(times * weight * ((1000000000 * tf) // (1000 * tf + 8 * m))) as bigint) as score
+          from q join f using (term) join p using (term) join m on m.nr = p.nr group by q.nr, m.nr),
+        k as (select item_id, cast(row_number() over (partition by query order by score desc, doc_id) as int) as rank, doc_id, score from r where score > 0)
+        select item_id, rank, doc_id, score from k where rank <= 10""",
+    "op12_decontaminate": r"""
+        with d as (select row_number() over () as nr, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+        b as (select coalesce(cast(item_id as varchar), '') as item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+        i as materialized (select distinct item, n, array_to_string(w[k:k + n - 1], ' ') as said from (select *, unnest(range(1, len(w) - n + 2)) as k from (select *, least(10, len(w)) as n from b where len(w) > 0))),
+        t as (select nr, n, k, array_to_string(w[k:k + n - 1], ' ') as said from (select nr, n, w, unnest(range(1, len(w) - n + 2)) as k from d, (select distinct n from i) where len(w) >= n)),
+        h as materialized (select nr, t.n, k, item from t join i on t.said = i.said and t.n = i.n),
+        p as (select nr, count(distinct j) as n_hit from (select nr, unnest(range(k, k + n)) as j from h) group by 1),
+        g as (select nr, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct nr, item from h) group by 1)
+        select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+        from d left join p using (nr) left join g using (nr)""",
     "op5_warc": """
         with p as (select page_id, coalesce(html, '') as html, url from pages),
         d as (select page_id, url, octet_length(encode(html)) as payload_bytes, sha256(html) as payload_digest from p),
