@@ -21,23 +21,26 @@ split at the ends of words. Empty tables give no rows. Extra columns are ignored
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches
+from .common import cut, forget, small_batches
 
-#: The tree: documents it is fitted to, features that terms are hashed to, parts at most, and documents of a part.
+#: The tree: documents it is fitted to (in expectation, twice as many at most), features that terms are hashed to, parts at most, and documents of a part.
 SAMPLE, FEATURES, LEAVES, PART = 2048, 1 << 14, 64, 1024
 #: Postings of a chunk, documents of a shard, and rounds of trades at each level.
 POSTINGS, SHARD, ROUNDS = 400_000, 64, 5
 #: Shards that a query visits at once, documents it returns, and pairs of query and term of a batch.
 FIRST, TOP, PAIRS = 8, 10, 500_000
+#: Terms that a task counts before it passes the counts on.
+HELD = 300_000
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _TERM = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -59,26 +62,25 @@ def terms_of(text: str | None) -> Counter:
     return found
 
 
-def vectors(rows: DataFrame, key: str) -> DataFrame:
-    """key, n, terms and counts of rows (key, text) that have a term."""
+def _packed(terms: list[bytes], *numbers: np.ndarray) -> bytes:
+    """Terms and lists of 32-bit numbers as one compressed value."""
+    parts = [np.asarray(x, np.int32).tobytes() for x in numbers]
+    text = b"\n".join(terms)
+    sizes = np.array([len(x) for x in (*parts, text)], np.int64)
+    return zstandard.ZstdCompressor(level=1).compress(b"".join((bytes([len(sizes)]), sizes.tobytes(), *parts, text)))
 
-    def run(batches):
-        for b in batches:
-            n, sizes, terms, counts, keep = [], [0], [], [], []
-            for k, t in enumerate(b.column(1).to_pylist()):
-                found = terms_of(t)
-                if found:
-                    keep.append(k)
-                    terms += found.keys()
-                    counts += found.values()
-                    sizes.append(len(terms))
-                    n.append(sum(found.values()))
-            offsets = pa.array(sizes, pa.int32())
-            lists = pa.ListArray.from_arrays(offsets, pa.array(terms, pa.binary()).cast(pa.string())), pa.ListArray.from_arrays(offsets, pa.array(counts, pa.int32()))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep, pa.int64())), pa.array(n, pa.int64()), *lists], [key, "n", "terms", "counts"])
 
-    kind = rows.schema[key].dataType.simpleString()
-    return rows.select(key, F.col("text").cast("string").alias("text")).mapInArrow(run, f"{key} {kind}, n long, terms array<string>, counts array<int>")
+def _unpacked(value: bytes) -> tuple:
+    """The lists of numbers and the terms of _packed()."""
+    raw = zstandard.ZstdDecompressor().decompress(value)
+    sizes = np.frombuffer(raw, np.int64, raw[0], 1)
+    ends = 1 + 8 * raw[0] + np.cumsum(sizes)
+    numbers = [np.frombuffer(raw, np.int32, n // 4, e - n) for n, e in zip(sizes[:-1].tolist(), ends[:-1].tolist())]
+    return *numbers, raw[ends[-1] - sizes[-1] : ends[-1]].split(b"\n")
+
+
+def _features(terms: list[bytes]) -> np.ndarray:
+    return np.unique(np.fromiter(map(zlib.crc32, terms), np.int64, len(terms)) % FEATURES)
 
 
 def _trade(seg: np.ndarray, side: np.ndarray, doc: np.ndarray, term: np.ndarray, n_terms: int) -> tuple[np.ndarray, bool]:
@@ -107,7 +109,14 @@ def _trade(seg: np.ndarray, side: np.ndarray, doc: np.ndarray, term: np.ndarray,
 
 
 def bisected(doc: np.ndarray, term: np.ndarray, n_docs: int, n_terms: int, levels: int, rounds: int = ROUNDS) -> np.ndarray:
-    """The path of each document through levels of bisection, as a number whose bits are its sides."""
+    """The path of each document through levels of bisection, as a number whose bits are its sides.
+
+    Terms of one document, or of more than half of all, don't tell documents apart and have no say.
+    """
+    many = np.bincount(term, minlength=n_terms)
+    on = (many > 1) & (2 * many <= n_docs)
+    telling = on[term]
+    doc, term, n_terms = doc[telling], (np.cumsum(on) - 1)[term[telling]], int(on.sum())
     seg = np.zeros(n_docs, np.int64)
     for _ in range(levels):
         place = np.argsort(seg, kind="stable")
@@ -115,7 +124,7 @@ def bisected(doc: np.ndarray, term: np.ndarray, n_docs: int, n_terms: int, level
         rank = np.empty(n_docs, np.int64)
         rank[place] = np.arange(n_docs) - first[seg[place]]
         side = (rank >= (np.diff(first)[seg] + 1) // 2).astype(np.int64)
-        for _ in range(rounds):
+        for _ in range(rounds if n_terms else 0):
             side, moved = _trade(seg, side, doc, term, n_terms)
             if not moved:
                 break
@@ -154,30 +163,39 @@ def _index_of_chunk(n_all: int, length: int):
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["doc_id", "n"], na_position="last", ignore_index=True)
-        sizes = rows["terms"].map(len).to_numpy()
-        doc = np.repeat(np.arange(len(rows)), sizes)
-        term, names = pd.factorize(np.concatenate(rows["terms"].to_list()), sort=True)
-        counts = np.concatenate(rows["counts"].to_list()).astype(np.int64)
-        levels = _levels(len(rows), SHARD)
-        path = bisected(doc, term, len(rows), len(names), levels)
-        n = rows["n"].to_numpy(np.int64)
-        m = 25 + (75 * n * n_all) // length
-        impact = (1_000_000_000 * counts) // (1000 * counts + 8 * m[doc])
+        counts, terms = zip(*map(_unpacked, rows["vector"]))
+        doc = np.repeat(np.arange(len(rows)), [len(x) for x in terms])
+        counts = np.concatenate(counts).astype(np.int64)
+        term, names = pd.factorize(np.array([t for x in terms for t in x], object), sort=True)
+        path = bisected(doc, term, len(rows), len(names), _levels(len(rows), SHARD))
+        impact = _impact(counts, _spread(rows["n"].to_numpy(np.int64), n_all, length)[doc])
+        order = np.lexsort((doc, term, path[doc]))
+        doc, term, counts, impact = doc[order], term[order], counts[order], impact[order]
+        ends = np.searchsorted(path[doc], np.arange(path.max() + 2))
         out = []
         for shard in np.unique(path):
-            members = np.flatnonzero(path == shard)
-            here = np.flatnonzero(path[doc] == shard)
-            here = here[np.lexsort((doc[here], term[here]))]
+            members, here = np.flatnonzero(path == shard), slice(ends[shard], ends[shard + 1])
             t, starts = np.unique(term[here], return_index=True)
-            local = np.searchsorted(members, doc[here]).astype(np.int32)
-            ids = rows["doc_id"].iloc[members]
-            out.append((rows["chunk"].iloc[0], int(shard), [names[x] for x in t], np.append(starts, len(here)).astype(np.int32), local, impact[here], [None if pd.isna(x) else int(x) for x in ids], np.maximum.reduceat(impact[here], starts)))
-        return pd.DataFrame(out, columns=["chunk", "shard", "terms", "starts", "docs", "impacts", "doc_ids", "tops"])
+            said = [names[x] for x in t]
+            ids = [None if pd.isna(x) else int(x) for x in rows["doc_id"].iloc[members]]
+            bound = _packed(said, np.maximum.reduceat(impact[here], starts))
+            posting = _packed([], np.append(starts, len(term[here])), np.searchsorted(members, doc[here]), counts[here])
+            out.append((rows["chunk"].iloc[0], int(shard), bound, posting, ids, rows["n"].iloc[members].tolist()))
+        return pd.DataFrame(out, columns=["chunk", "shard", "bound", "posting", "doc_ids", "lengths"])
 
     return run
 
 
-_INDEX = "chunk string, shard long, terms array<string>, starts array<int>, docs array<int>, impacts array<long>, doc_ids array<long>, tops array<long>"
+def _spread(n: np.ndarray, n_all: int, length: int) -> np.ndarray:
+    return 25 + (75 * n * n_all) // max(1, length)
+
+
+def _impact(times: np.ndarray, spread: np.ndarray) -> np.ndarray:
+    """What a term of weight 1 adds to a document's score, less than a million."""
+    return (1_000_000_000 * times) // (1000 * times + 8 * spread)
+
+
+_INDEX = "chunk string, shard long, bound binary, posting binary, doc_ids array<long>, lengths array<long>"
 
 
 @contextmanager
@@ -193,47 +211,75 @@ def _batches_of(spark: SparkSession, rows: int):
 
 
 class Index:
-    """Written tables: bounds and postings of shards, and in how many documents each term is."""
+    """Written tables: shards with their bounds and postings, and in how many documents each term is."""
 
-    def __init__(self, bounds: DataFrame, postings: DataFrame, frequencies: DataFrame, documents: int, length: int):
-        self.bounds, self.postings, self.frequencies, self.documents, self.length = bounds, postings, frequencies, documents, length
+    def __init__(self, shards: DataFrame, frequencies: DataFrame, documents: int, length: int):
+        self.shards, self.frequencies, self.documents, self.length = shards, frequencies, documents, length
+
+
+def _vectors(docs: DataFrame, tree, levels: int) -> DataFrame:
+    """doc_id, n, load (terms), leaf and vector (counts and terms) of the documents that have a term; tree is a broadcast one."""
+
+    def run(parts):
+        weights, limits = tree.value
+        for part in parts:
+            out, found = [], []
+            for d, text in zip(part["doc_id"], part["text"]):
+                counted = terms_of(text)
+                if counted:
+                    terms = sorted(counted)
+                    found.append(_features(terms))
+                    out.append((d, counted.total(), len(terms), _packed(terms, np.fromiter((counted[t] for t in terms), np.int32, len(terms)))))
+            node = np.zeros(len(out), np.int64)
+            if out:
+                doc, term = np.repeat(np.arange(len(out)), [len(x) for x in found]), np.concatenate(found)
+                for _ in range(levels):
+                    node = 2 * node + 1 + (np.bincount(doc, weights[node[doc], term], len(out)) > limits[node])
+            yield pd.DataFrame({"doc_id": pd.array([x[0] for x in out], object), "n": [x[1] for x in out], "load": [x[2] for x in out], "leaf": node, "vector": pd.array([x[3] for x in out], object)})
+
+    # ids go as text, since numbers with nulls would lose digits
+    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    return rows.mapInPandas(run, "doc_id string, n long, load long, leaf long, vector binary").withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
+def _frequencies(vectors_: DataFrame) -> DataFrame:
+    """term and df; tasks pass on counts of many documents."""
+
+    def run(parts):
+        held = Counter()
+        for part in parts:
+            for v in part["vector"]:
+                held.update(_unpacked(v)[-1])
+                if len(held) >= HELD:
+                    yield pd.DataFrame({"term": [t.decode("utf-8", "replace") for t in held], "df": list(held.values())})
+                    held = Counter()
+        if held:
+            yield pd.DataFrame({"term": [t.decode("utf-8", "replace") for t in held], "df": list(held.values())})
+
+    return vectors_.select("vector").mapInPandas(run, "term string, df long").groupBy("term").agg(F.sum("df").alias("df"))
 
 
 def build(docs: DataFrame) -> Index:
     """The index of docs (doc_id, text)."""
     spark = docs.sparkSession
     small_batches(spark)
-    made = cut(vectors(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id"), "vectors")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    total = docs.count()
+    levels = min(_levels(total, PART), _levels(LEAVES, 1))
+    share = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << 30)) < min(1.0, SAMPLE / max(1, total)) * (1 << 30)
+    features = docs.where(share).select("text").limit(2 * SAMPLE).mapInPandas(lambda parts: (pd.DataFrame({"f": [_features(list(terms_of(t))).astype(np.int32) for t in p["text"]]}) for p in parts), "f array<int>")
+    sample = [np.array(r.f) for r in features.collect() if r.f] if levels else []
+    tree = spark.sparkContext.broadcast(_fitted(sample, levels))
+    made = cut(_vectors(docs, tree, levels), "vectors")
     n_all, length = made.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    frequencies = cut(made.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")), "df")
+    frequencies = cut(_frequencies(made), "df")
 
-    features = F.array_distinct(F.transform("terms", lambda t: F.pmod(F.xxhash64(t), F.lit(FEATURES)).cast("int")))
-    made = made.withColumn("features", features)
-    levels = min(_levels(n_all, PART), _levels(LEAVES, 1))
-    sample = made.select("features", F.xxhash64("terms").alias("h")).orderBy("h").limit(SAMPLE).select("features").collect()
-    tree = spark.sparkContext.broadcast(_fitted([np.array(r.features) for r in sample], levels))
-
-    def leaf(parts: pd.Series) -> pd.Series:
-        weights, limits = tree.value
-        doc, term = np.repeat(np.arange(len(parts)), parts.map(len)), np.concatenate(parts.to_list())
-        node = np.zeros(len(parts), np.int64)
-        for _ in range(levels):
-            right = np.bincount(doc, weights[node[doc], term], len(parts)) > limits[node]
-            node = 2 * node + 1 + right
-        return pd.Series(node)
-
-    leaf.__annotations__ = {"parts": pd.Series, "return": pd.Series}
-    routed = made.withColumn("leaf", F.pandas_udf(leaf, "long")("features")).drop("features")
-    routed = cut(routed, "routed")
-    loads = routed.groupBy("leaf").agg(F.sum(F.size("terms")).alias("load")).select("leaf", F.ceil(F.col("load") / POSTINGS).alias("_slices"))  # LEAVES rows
-    routed = routed.join(F.broadcast(loads), "leaf")
-    slice_ = F.pmod(F.xxhash64("terms", "doc_id"), F.col("_slices"))
-    # rows that are all alike would share a slice, so a slice is chosen by the row's number too
-    slice_ = F.pmod(slice_ + F.monotonically_increasing_id(), F.col("_slices"))
-    chunks = routed.withColumn("chunk", F.concat_ws("-", "leaf", slice_)).select("chunk", "doc_id", "n", "terms", "counts")
-    with _batches_of(spark, 64):
-        index = cut(chunks.groupBy("chunk").applyInPandas(_index_of_chunk(n_all, length), _INDEX), "index")
-    return Index(index.select("chunk", "shard", "terms", "tops"), index.select("chunk", "shard", "terms", "starts", "docs", "impacts", "doc_ids"), frequencies, n_all, length)
+    loads = made.groupBy("leaf").agg(F.ceil(F.sum("load") / POSTINGS).alias("_slices"))  # LEAVES rows
+    slice_ = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("_slices"))
+    chunks = made.join(F.broadcast(loads), "leaf").withColumn("chunk", F.concat_ws("-", "leaf", slice_)).select("chunk", "doc_id", "n", "vector")
+    index = cut(chunks.groupBy("chunk").applyInPandas(_index_of_chunk(n_all, length), _INDEX), "index")
+    forget(made)
+    return Index(index, frequencies, n_all, length)
 
 
 class _Queries:
@@ -242,7 +288,7 @@ class _Queries:
     def __init__(self, pairs: pd.DataFrame):
         pairs = pairs.sort_values(["term", "query"], ignore_index=True)
         names, starts = np.unique(pairs["term"].to_numpy(object), return_index=True) if len(pairs) else ([], np.zeros(0, np.int64))
-        self.place = {t: k for k, t in enumerate(names)}
+        self.place = {t.encode("utf-8", "replace"): k for k, t in enumerate(names)}
         self.starts = np.append(starts, len(pairs))
         self.numbers = np.unique(pairs["query"].to_numpy(np.int64))
         self.query = np.searchsorted(self.numbers, pairs["query"].to_numpy(np.int64))
@@ -258,17 +304,19 @@ class _Queries:
         return np.repeat(at, many), self.query[pair], self.weight[pair]
 
 
-def _bounds(queries: _Queries, terms, tops: np.ndarray) -> np.ndarray:
+def _bounds(queries: _Queries, bound: bytes) -> np.ndarray:
+    tops, terms = _unpacked(bound)
     at, query, weight = queries.matches(terms)
     out = np.zeros(len(queries.numbers), np.int64)
     np.add.at(out, query, weight * tops[at])
     return out
 
 
-def _scores(queries: _Queries, row, wanted: np.ndarray, least: np.ndarray) -> list[tuple[int, int | None, int]]:
+def _scores(queries: _Queries, row, spread: np.ndarray, wanted: np.ndarray, least: np.ndarray) -> list[tuple[int, int | None, int]]:
     """The best documents of a shard for the wanted queries (places), as far as they reach the least scores."""
-    at, query, weight = queries.matches(row.terms)
-    starts, docs, impacts = np.asarray(row.starts), np.asarray(row.docs), np.asarray(row.impacts)
+    at, query, weight = queries.matches(_unpacked(row.bound)[-1])
+    starts, docs, counts, _ = _unpacked(row.posting)
+    impacts = _impact(counts.astype(np.int64), spread[docs])
     out, order = [], np.argsort(wanted)
     for block in np.array_split(order, max(1, -(-len(order) // 128))):
         mine = wanted[block]
@@ -287,6 +335,7 @@ def _scores(queries: _Queries, row, wanted: np.ndarray, least: np.ndarray) -> li
 
 def _visited(index: Index, visits: DataFrame, pairs) -> DataFrame:
     """query, doc_id and score of the best documents of visited shards; visits: query, chunk, shard, least."""
+    n_all, length = index.documents, index.length
     by_shard = visits.groupBy("chunk", "shard").agg(F.collect_list(F.struct("query", "least")).alias("wanted"))  # queries of a batch at most
 
     def run(parts):
@@ -296,11 +345,18 @@ def _visited(index: Index, visits: DataFrame, pairs) -> DataFrame:
             for row in part.itertuples():
                 ids = np.array([w["query"] for w in row.wanted], np.int64)
                 row = row._replace(doc_ids=[None if pd.isna(x) else int(x) for x in row.doc_ids])
-                out += _scores(queries, row, np.searchsorted(queries.numbers, ids), np.array([w["least"] for w in row.wanted], np.int64))
+                spread = _spread(np.array(row.lengths, np.int64), n_all, length)
+                out += _scores(queries, row, spread, np.searchsorted(queries.numbers, ids), np.array([w["least"] for w in row.wanted], np.int64))
             yield pd.DataFrame({"query": [x[0] for x in out], "doc_id": pd.array([x[1] for x in out], "Int64"), "score": [x[2] for x in out]})
 
-    rows = index.postings.join(by_shard, ["chunk", "shard"])
-    return rows.select("terms", "starts", "docs", "impacts", "doc_ids", "wanted").mapInPandas(run, "query long, doc_id long, score long")
+    rows = index.shards.join(by_shard, ["chunk", "shard"])
+    return rows.select("bound", "posting", "doc_ids", "lengths", "wanted").mapInPandas(run, "query long, doc_id long, score long")
+
+
+def _terms_of_queries(parts):
+    for part in parts:
+        found = [(q, t.decode("utf-8", "replace"), n) for q, text in zip(part["query"], part["text"]) for t, n in terms_of(text).items()]
+        yield pd.DataFrame(found, columns=["query", "term", "times"])
 
 
 def _best(results: DataFrame) -> DataFrame:
@@ -312,7 +368,7 @@ def search(index: Index, items: DataFrame) -> DataFrame:
     """item_id, rank, doc_id and score of the TOP best documents of each of items (item_id, text)."""
     spark = items.sparkSession
     rows = cut(items.select("item_id", F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("query")), "items")
-    terms = vectors(rows, "query").select("query", F.explode(F.arrays_zip("terms", "counts")).alias("x")).select("query", F.col("x.terms").alias("term"), F.col("x.counts").alias("times"))
+    terms = rows.select("query", "text").mapInPandas(_terms_of_queries, "query long, term string, times long")
     ratio = F.lit(2.0 * index.documents + 2) / (2.0 * F.col("df") + 1)
     weight = F.floor(1000 * F.log(ratio)).cast("long")
     pairs = cut(terms.join(index.frequencies, "term").select("query", "term", (weight * F.col("times")).alias("weight")), "pairs")
@@ -334,7 +390,7 @@ def _batch(spark: SparkSession, index: Index, pairs: DataFrame) -> DataFrame:
         queries, kept = _Queries(sent.value), []
         for part in parts:
             for row in part.itertuples():
-                bound = _bounds(queries, row.terms, np.asarray(row.tops))
+                bound = _bounds(queries, row.bound)
                 on = np.flatnonzero(bound > 0)
                 kept.append(pd.DataFrame({"query": queries.numbers[on], "chunk": row.chunk, "shard": row.shard, "bound": bound[on]}))
             if kept:
@@ -344,7 +400,7 @@ def _batch(spark: SparkSession, index: Index, pairs: DataFrame) -> DataFrame:
     least_type = "query long, chunk string, shard long, bound long"
     order = Window.partitionBy("query").orderBy(F.desc("bound"), "chunk", "shard")
     with _batches_of(spark, 64):
-        near = index.bounds.mapInPandas(first, least_type).withColumn("k", F.row_number().over(order)).where(F.col("k") <= FIRST)
+        near = index.shards.select("chunk", "shard", "bound").mapInPandas(first, least_type).withColumn("k", F.row_number().over(order)).where(F.col("k") <= FIRST)
         near = cut(near.select("query", "chunk", "shard", F.lit(1).cast("long").alias("least")), "near")
         seen = cut(_best(_visited(index, near, sent)), "seen")
         # queries of a batch at most: the score to reach, and the shards that were visited
@@ -360,7 +416,7 @@ def _batch(spark: SparkSession, index: Index, pairs: DataFrame) -> DataFrame:
             for part in parts:
                 out = []
                 for row in part.itertuples():
-                    on = _bounds(queries, row.terms, np.asarray(row.tops)) >= least
+                    on = _bounds(queries, row.bound) >= least
                     seen_here = before.get((row.chunk, row.shard))
                     if seen_here:
                         on[np.searchsorted(queries.numbers, list(seen_here))] = False
@@ -368,6 +424,6 @@ def _batch(spark: SparkSession, index: Index, pairs: DataFrame) -> DataFrame:
                     out.append(pd.DataFrame({"query": queries.numbers[at], "chunk": row.chunk, "shard": row.shard, "least": least[at]}))
                 yield pd.concat(out) if out else pd.DataFrame({"query": [], "chunk": [], "shard": [], "least": []})
 
-        others = index.bounds.mapInPandas(rest, "query long, chunk string, shard long, least long")
+        others = index.shards.select("chunk", "shard", "bound").mapInPandas(rest, "query long, chunk string, shard long, least long")
         later = _visited(index, others, sent)
         return cut(_best(seen.drop("rank").unionByName(later)), "found")
