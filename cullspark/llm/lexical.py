@@ -7,9 +7,9 @@ LEAVES parts; every document is routed down it, parts are dealt into chunks of a
 chunk is bisected on its own documents down to shards of SHARD. All documents are indexed, in any number of chunks.
 
 Searching. The bound of a shard is the sum of a query's weights times the largest impact of each term in it. The
-FIRST shards of each query by bound are visited, which gives the score of its tenth document so far; then those
-whose bound reaches that score, ties included, for an equal score may have a smaller doc_id. The others can't hold
-a result. Shards stay where they are: bounds are worked out beside them, and only numbers of queries and shards
+FIRST shards of each query by bound are visited, which gives the score of its tenth document so far; then, of the
+SECOND by bound, those whose bound reaches that score, which raises it; then any others whose bound still reaches it,
+ties included, for an equal score may have a smaller doc_id. The rest can't hold a result. Shards stay where they are: bounds are worked out beside them, and only numbers of queries and shards
 and a few results for each go through shuffles. Queries go to the tasks in batches of about PAIRS pairs of query
 and term; a batch is a pass over the bounds, so any number of queries is served.
 
@@ -37,8 +37,8 @@ from .common import cut, forget, small_batches
 SAMPLE, FEATURES, LEAVES, PART = 2048, 1 << 14, 64, 1024
 #: Postings of a chunk, documents of a shard, and rounds of trades at each level.
 POSTINGS, SHARD, ROUNDS = 400_000, 64, 5
-#: Shards that a query visits at once, documents it returns, and pairs of query and term of a batch.
-FIRST, TOP, PAIRS = 8, 10, 500_000
+#: Shards that a query visits at once and those looked at next, documents it returns, and pairs of query and term of a batch.
+FIRST, SECOND, TOP, PAIRS = 8, 96, 10, 500_000
 #: Terms that a task counts before it passes the counts on.
 HELD = 300_000
 
@@ -87,15 +87,14 @@ def _trade(seg: np.ndarray, side: np.ndarray, doc: np.ndarray, term: np.ndarray,
     """One round: in each segment the documents that gain most by changing sides change them, pair by pair."""
     n_seg = int(seg.max()) + 1
     key, right = seg[doc] * n_terms + term, side[doc]
-    size = n_seg * n_terms
-    both, r = np.bincount(key, minlength=size), np.bincount(key[right == 1], minlength=size)
-    left = both - r
-    many = np.maximum(1, np.stack((np.bincount(seg[side == 0], minlength=n_seg), np.bincount(seg[side == 1], minlength=n_seg))))
-    nl, nr = np.repeat(np.log2(many[0]), n_terms), np.repeat(np.log2(many[1]), n_terms)
-    cost = lambda a, b: a * (nl - np.log2(a + 1)) + b * (nr - np.log2(b + 1))
-    now = cost(left, r)
-    to_right, to_left = now - cost(np.maximum(left - 1, 0), r + 1), now - cost(left + 1, np.maximum(r - 1, 0))
-    gain = np.bincount(doc, np.where(right == 1, to_left[key], to_right[key]), len(seg))
+    r = np.bincount(key[right == 1], minlength=n_seg * n_terms)
+    left = (np.bincount(key, minlength=n_seg * n_terms) - r)[key]
+    r = r[key]
+    log = np.log2(np.arange(1, len(seg) + 3))  # of a count and one
+    nl, nr = (log[np.maximum(1, np.bincount(seg[side == s], minlength=n_seg)) - 1][seg[doc]] for s in (0, 1))
+    cost = lambda a, b: a * (nl - log[a]) + b * (nr - log[b])
+    over = 1 - 2 * right  # what the right half gains if this document changes sides
+    gain = np.bincount(doc, cost(left, r) - cost(left - over, r + over), len(seg))
     order = np.lexsort((-gain, side, seg))
     block = (seg * 2 + side)[order]
     begin = np.searchsorted(block, np.arange(2 * n_seg + 1))
@@ -274,7 +273,7 @@ def build(docs: DataFrame) -> Index:
     n_all, length = made.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     frequencies = cut(_frequencies(made), "df")
 
-    loads = made.groupBy("leaf").agg(F.ceil(F.sum("load") / POSTINGS).alias("_slices"))  # LEAVES rows
+    loads = made.groupBy("leaf").agg(F.ceil(F.greatest(F.sum("load") / POSTINGS, F.count(F.lit(1)) / (2 * PART))).alias("_slices"))  # LEAVES rows
     slice_ = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("_slices"))
     chunks = made.join(F.broadcast(loads), "leaf").withColumn("chunk", F.concat_ws("-", "leaf", slice_)).select("chunk", "doc_id", "n", "vector")
     index = cut(chunks.groupBy("chunk").applyInPandas(_index_of_chunk(n_all, length), _INDEX), "index")
@@ -333,21 +332,36 @@ def _scores(queries: _Queries, row, spread: np.ndarray, wanted: np.ndarray, leas
     return out
 
 
+def _top(rows: pd.DataFrame) -> pd.DataFrame:
+    return rows.sort_values(["query", "score", "doc_id"], ascending=[True, False, True], na_position="last").groupby("query", sort=False).head(TOP)
+
+
 def _visited(index: Index, visits: DataFrame, pairs) -> DataFrame:
-    """query, doc_id and score of the best documents of visited shards; visits: query, chunk, shard, least."""
+    """query, doc_id and score of the best documents that a task finds in visited shards; visits: query, chunk, shard, bound, least.
+
+    A task goes on with the scores that it has found: a shard whose bound doesn't reach a query's tenth is passed over.
+    """
     n_all, length = index.documents, index.length
-    by_shard = visits.groupBy("chunk", "shard").agg(F.collect_list(F.struct("query", "least")).alias("wanted"))  # queries of a batch at most
+    by_shard = visits.groupBy("chunk", "shard").agg(F.collect_list(F.struct("query", "bound", "least")).alias("wanted"))  # queries of a batch at most
 
     def run(parts):
         queries = _Queries(pairs.value)
+        reach = np.ones(len(queries.numbers), np.int64)
+        best = pd.DataFrame({"query": np.zeros(0, np.int64), "doc_id": pd.array([], "Int64"), "score": np.zeros(0, np.int64)})
         for part in parts:
             out = []
             for row in part.itertuples():
-                ids = np.array([w["query"] for w in row.wanted], np.int64)
-                row = row._replace(doc_ids=[None if pd.isna(x) else int(x) for x in row.doc_ids])
-                spread = _spread(np.array(row.lengths, np.int64), n_all, length)
-                out += _scores(queries, row, spread, np.searchsorted(queries.numbers, ids), np.array([w["least"] for w in row.wanted], np.int64))
-            yield pd.DataFrame({"query": [x[0] for x in out], "doc_id": pd.array([x[1] for x in out], "Int64"), "score": [x[2] for x in out]})
+                at = np.searchsorted(queries.numbers, np.array([w["query"] for w in row.wanted], np.int64))
+                least = np.maximum(reach[at], np.array([w["least"] for w in row.wanted], np.int64))
+                on = np.array([w["bound"] for w in row.wanted], np.int64) >= least
+                if on.any():
+                    row = row._replace(doc_ids=[None if pd.isna(x) else int(x) for x in row.doc_ids])
+                    out += _scores(queries, row, _spread(np.array(row.lengths, np.int64), n_all, length), at[on], least[on])
+            found = pd.DataFrame({"query": [x[0] for x in out], "doc_id": pd.array([x[1] for x in out], "Int64"), "score": [x[2] for x in out]})
+            best = _top(pd.concat([best, found]))
+            full = best.groupby("query")["score"].agg(["size", "min"]).query(f"size == {TOP}")
+            reach[np.searchsorted(queries.numbers, full.index.to_numpy(np.int64))] = full["min"].to_numpy(np.int64)
+        yield best
 
     rows = index.shards.join(by_shard, ["chunk", "shard"])
     return rows.select("bound", "posting", "doc_ids", "lengths", "wanted").mapInPandas(run, "query long, doc_id long, score long")
@@ -387,43 +401,49 @@ def _batch(spark: SparkSession, index: Index, pairs: DataFrame) -> DataFrame:
     sent = spark.sparkContext.broadcast(pairs.toPandas())
 
     def first(parts):
-        queries, kept = _Queries(sent.value), []
+        queries, kept = _Queries(sent.value), None
         for part in parts:
+            found = [] if kept is None else [kept]
             for row in part.itertuples():
                 bound = _bounds(queries, row.bound)
                 on = np.flatnonzero(bound > 0)
-                kept.append(pd.DataFrame({"query": queries.numbers[on], "chunk": row.chunk, "shard": row.shard, "bound": bound[on]}))
-            if kept:
-                kept = [pd.concat(kept).sort_values(["bound", "chunk", "shard"], ascending=[False, True, True]).groupby("query").head(FIRST)]
-        yield from kept
+                found.append(pd.DataFrame({"query": queries.numbers[on], "chunk": row.chunk, "shard": row.shard, "bound": bound[on]}))
+            kept = pd.concat(found).sort_values(["bound", "chunk", "shard"], ascending=[False, True, True]).groupby("query").head(SECOND)
+        if kept is not None:
+            yield kept
 
-    least_type = "query long, chunk string, shard long, bound long"
     order = Window.partitionBy("query").orderBy(F.desc("bound"), "chunk", "shard")
     with _batches_of(spark, 64):
-        near = index.shards.select("chunk", "shard", "bound").mapInPandas(first, least_type).withColumn("k", F.row_number().over(order)).where(F.col("k") <= FIRST)
-        near = cut(near.select("query", "chunk", "shard", F.lit(1).cast("long").alias("least")), "near")
-        seen = cut(_best(_visited(index, near, sent)), "seen")
-        # queries of a batch at most: the score to reach, and the shards that were visited
+        bounds = index.shards.select("chunk", "shard", "bound")
+        near = bounds.mapInPandas(first, "query long, chunk string, shard long, bound long").withColumn("k", F.row_number().over(order)).where(F.col("k") <= SECOND)
+        near = cut(near, "near")
+        one = F.lit(1).cast("long").alias("least")
+        seen = cut(_best(_visited(index, near.where(F.col("k") <= FIRST).select("query", "chunk", "shard", "bound", one), sent)), "seen")
+        tenth = seen.where(F.col("rank") == TOP).select("query", F.col("score").alias("_tenth"))
+        again = near.where(F.col("k") > FIRST).join(tenth, "query", "left").select("query", "chunk", "shard", "bound", F.coalesce("_tenth", one).alias("least"))
+        seen = cut(_best(seen.drop("rank").unionByName(_visited(index, again.where("bound >= least"), sent))), "seen")
+        # numbers of a batch's queries: the score to reach, and the last shard that was looked at in order of bounds, where there are more
         reached = {r["query"]: r["score"] for r in seen.where(F.col("rank") == TOP).select("query", "score").collect()}
-        done = {}
-        for r in near.collect():
-            done.setdefault((r.chunk, r.shard), set()).add(r["query"])
-        told = spark.sparkContext.broadcast((reached, done))
+        last = {r["query"]: (r["bound"], r["chunk"], r["shard"]) for r in near.where(F.col("k") == SECOND).select("query", "bound", "chunk", "shard").collect()}
+        open_ = {q: (x, reached.get(q, 1)) for q, x in last.items() if x[0] >= reached.get(q, 1)}
+        if not open_:
+            return seen
+        told = spark.sparkContext.broadcast(open_)
 
         def rest(parts):
-            queries, (least_of, before) = _Queries(sent.value), told.value
-            least = np.array([least_of.get(q, 1) for q in queries.numbers.tolist()], np.int64)
+            queries, open_ = _Queries(sent.value), told.value
+            asked = np.flatnonzero(np.isin(queries.numbers, list(open_)))
+            limits = [open_[q] for q in queries.numbers[asked].tolist()]
+            least, high = np.array([x[1] for x in limits], np.int64), np.array([x[0][0] for x in limits], np.int64)
             for part in parts:
                 out = []
                 for row in part.itertuples():
-                    on = _bounds(queries, row.bound) >= least
-                    seen_here = before.get((row.chunk, row.shard))
-                    if seen_here:
-                        on[np.searchsorted(queries.numbers, list(seen_here))] = False
-                    at = np.flatnonzero(on)
-                    out.append(pd.DataFrame({"query": queries.numbers[at], "chunk": row.chunk, "shard": row.shard, "least": least[at]}))
-                yield pd.concat(out) if out else pd.DataFrame({"query": [], "chunk": [], "shard": [], "least": []})
-
-        others = index.shards.select("chunk", "shard", "bound").mapInPandas(rest, "query long, chunk string, shard long, least long")
-        later = _visited(index, others, sent)
-        return cut(_best(seen.drop("rank").unionByName(later)), "found")
+                    bound = _bounds(queries, row.bound)[asked]
+                    behind = np.array([(row.chunk, row.shard) > x[0][1:] for x in limits])
+                    at = np.flatnonzero((bound >= least) & ((bound < high) | ((bound == high) & behind)))
+                    out.append(pd.DataFrame({"query": queries.numbers[asked[at]], "chunk": row.chunk, "shard": row.shard, "bound": bound[at], "least": least[at]}))
+                if out:
+                    yield pd.concat(out)
+
+        others = bounds.mapInPandas(rest, "query long, chunk string, shard long, bound long, least long")
+        return cut(_best(seen.drop("rank").unionByName(_visited(index, others, sent))), "found")

@@ -212,7 +212,7 @@ def plain_search(docs, items):
 @pytest.mark.parametrize("small", [False, True])
 def test_search_equals_brute_force(spark, monkeypatch, small):
     if small:  # many parts, chunks, shards and batches of queries
-        for name, value in (("PART", 16), ("POSTINGS", 400), ("SHARD", 4), ("FIRST", 2), ("PAIRS", 60), ("SAMPLE", 50)):
+        for name, value in (("PART", 16), ("POSTINGS", 400), ("SHARD", 4), ("FIRST", 2), ("SECOND", 3), ("PAIRS", 60), ("SAMPLE", 50)):
             monkeypatch.setattr(lexical, name, value)
     docs, items = planted(8)
     r = random.Random(2)
