@@ -4,11 +4,12 @@ Vectors get one more coordinate that gives all one length, so that the largest i
 smallest distance on a sphere. A bounded sample is halved again and again at the median along its main
 direction; the parts' means, moved out to the sphere, are the centroids, as many as the vectors need for
 lists of one size. Centroids form a neighbour graph in memory that a beam search walks. A vector near
-the boundary of its nearest list goes to all lists almost as near. A query reads the lists within a ratio
-of its nearest one's distance, however many those are: few where vectors are clustered, a larger share
-where they point evenly in all directions. Neighbouring lists are searched together, so that a vector is
-sent to them once and a query brings one result back from them; they are dealt in blocks, so a list of
-many equal vectors is many tasks'. One rule holds at every size.
+the boundary of its nearest list goes to all lists almost as near. A query reads on until the lists it has
+read hold several times as many vectors as it wants, and then all lists within a ratio of the last one's
+distance, however many those are: few where vectors are clustered, a larger share where they point evenly
+in all directions. Neighbouring lists are searched together in blocks of a bounded number of vectors, so that
+a vector is sent to a block once and a query, which goes to the blocks of its lists alone, brings one result
+back from each; only a list that alone has more is dealt out. One rule holds at every size.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import BROADCAST_ROWS, cut
 
 K, EVERY = 20, 20
 #: Vectors of a list, before copies; and how much memory the centroids may take, beyond which lists grow, in blocks.
@@ -33,9 +34,9 @@ DEGREE, BEAM = 24, 32
 MARKS = 32 << 20
 #: Lists that a vector goes to, at most, and how much farther than its nearest they may be (distances).
 COPIES, NEAR = 8, 1.25
-#: A query reads the lists within so many times the nearest one's distance.
-RATIO = 1.23
-#: Groups of neighbouring lists that are searched together, and vectors or queries of a block of one.
+#: A query reads the lists within so many times the distance of the one with which it has read FILL times the vectors it wants.
+RATIO, FILL = 1.23, 3
+#: Parts that lists are dealt to in their order, at least, and vectors or queries of a block within one.
 GROUPS, BLOCK = 64, 8192
 
 
@@ -48,6 +49,12 @@ def usable(vectors: DataFrame) -> DataFrame:
     return rows.groupBy("vec_id").agg(F.min("vector").alias("vector"))
 
 
+def of_one_width(rows: DataFrame) -> DataFrame:
+    """The rows (vec_id, vector) of the width that most have, of equally many the wider."""
+    found = rows.groupBy(F.size("vector").alias("width")).count().orderBy(F.desc("count"), F.desc("width")).first()
+    return rows if found is None else rows.where(F.size("vector") == found["width"])
+
+
 def centroids(sample: np.ndarray, parts: int, radius: float) -> np.ndarray:
     """Means of the parts of sample, all halved at the median of their main direction until there are enough, moved out to the radius."""
     whole = [sample]
@@ -117,10 +124,11 @@ class Graph:
             off[live] = np.take_along_axis(d, short, 1)
             ids, far, done = np.hstack([ids, wide]), np.hstack([far, off]), np.hstack([done, np.zeros(wide.shape, bool)])
 
-    def within(self, x: np.ndarray, ratio: float, most: int | None = None) -> list[np.ndarray]:
-        """For each row the centroids found within ratio times the nearest one's distance, nearest first, most of them at most.
+    def within(self, x: np.ndarray, ratio: float, most: int | None = None, held: np.ndarray | None = None, need: float = 0) -> list[np.ndarray]:
+        """For each row the centroids found within ratio times a distance, nearest first, most of them at most.
 
-        Where all of the beam is that near, a wider one goes out.
+        The distance is the nearest one's, or with held (vectors of each list) that of the list with which need are
+        reached. Where all of the beam is that near, a wider one goes out.
         """
         out: list = [None] * len(x)
         step = max(16, MARKS // len(self.points))
@@ -128,10 +136,17 @@ class Graph:
             todo, beam = np.arange(a, min(a + step, len(x))), BEAM
             while len(todo):
                 ids, far = self.search(x[todo], beam)
-                limit = far[:, :1] * ratio + 1e-6
-                short = (far[:, -1:] > limit)[:, 0] | (beam >= len(self.points)) | (most is not None and beam >= 2 * most)
+                base, reached = far[:, :1], np.ones(len(far), bool)
+                if held is not None:
+                    there = np.isfinite(far)
+                    enough = there & (np.cumsum(np.where(there, held[ids], 0), axis=1) >= need)
+                    reached = enough.any(axis=1)
+                    last = np.where(reached, enough.argmax(axis=1), there.sum(axis=1) - 1)
+                    base = np.take_along_axis(far, last[:, None], 1)
+                limit = base * ratio + 1e-6
+                short = reached & (far[:, -1] > limit[:, 0]) | (beam >= len(self.points)) | (most is not None and beam >= 2 * most)
                 for i, found, d, m in zip(todo[short], ids[short], far[short], limit[short]):
-                    out[i] = found[d <= m][:most]
+                    out[i] = found[(d <= m) & np.isfinite(d)][:most]
                 todo, beam = todo[~short], beam * 4
         return out
 
@@ -144,30 +159,35 @@ def _reading(lists_: pd.Series) -> tuple[np.ndarray, np.ndarray]:
     return flat[order], np.repeat(np.arange(len(size)), size)[order]
 
 
-def _nearest(asked, q, ids, v) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows of q, of v and the scores of the K nearest of each query, and of those that tie with the last."""
-    s = q @ v.T
-    s[asked[:, None] == ids] = -np.inf
-    k = min(K, len(ids))
+def _nearest(asked, q, ids, v, k) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of q, of v and the scores of the k nearest of each query, and of those that tie with the last."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        s = q @ v.T
+    own = asked[:, None] == ids
+    s[np.isnan(s)] = -np.inf
+    s[own] = -np.inf
+    k = min(k, len(ids))
     least = np.partition(s, -k, axis=1)[:, -k:].min(axis=1, keepdims=True)
-    row, col = np.nonzero((s >= least - 1e-9) & np.isfinite(s))
+    slack = 1e-9 * np.maximum(1, np.abs(np.where(np.isfinite(least), least, 0)))
+    row, col = np.nonzero((s >= least - slack) & ~own)
     # one order of additions, so that equal vectors tie
-    return row, col, np.add.accumulate(v[col] * q[row], axis=1)[:, -1] if len(row) else np.zeros(0)
+    with np.errstate(over="ignore", invalid="ignore"):
+        return row, col, np.add.accumulate(v[col] * q[row], axis=1)[:, -1] if len(row) else np.zeros(0)
 
 
-def _first(row: np.ndarray, ids: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The K largest scores of each row, ties to the smaller id; an id counts once."""
+def _first(row: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k largest scores of each row, ties to the smaller id; an id counts once."""
     order = np.lexsort((ids, -score, row))
     row, ids, score = row[order], ids[order], score[order]
     new = np.ones(len(row), bool)
     new[1:] = (row[1:] != row[:-1]) | (ids[1:] != ids[:-1])
     row, ids, score = row[new], ids[new], score[new]
-    on = np.arange(len(row)) - np.searchsorted(row, row) < K
+    on = np.arange(len(row)) - np.searchsorted(row, row) < k
     return row[on], ids[on], score[on]
 
 
-def _best(queries: pd.DataFrame, vectors: pd.DataFrame) -> pd.DataFrame:
-    """The K nearest vectors for each query among those of one block that are in the lists it reads."""
+def _best(queries: pd.DataFrame, vectors: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The k nearest vectors for each query among those of one block that are in the lists it reads."""
     if not len(queries) or not len(vectors):
         return pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
     vectors = vectors.sort_values("vec_id")
@@ -181,17 +201,23 @@ def _best(queries: pd.DataFrame, vectors: pd.DataFrame) -> pd.DataFrame:
         members = member[slice(*np.searchsorted(list_, [number, number + 1]))]
         for a in range(0, len(readers), 64):
             rows = readers[a : a + 64]
-            row, col, score = _nearest(asked[rows], q[rows], ids[members], v[members])
-            held.append(_first(rows[row], ids[members[col]], score))
+            row, col, score = _nearest(asked[rows], q[rows], ids[members], v[members], k)
+            held.append(_first(rows[row], ids[members[col]], score, k))
         if sum(len(h[0]) for h in held) > 200_000:
-            best = _first(*(np.concatenate(x) for x in zip(best, *held)))
+            best = _first(*(np.concatenate(x) for x in zip(best, *held)), k)
             held = []
-    row, vec, score = _first(*(np.concatenate(x) for x in zip(best, *held)))
+    row, vec, score = _first(*(np.concatenate(x) for x in zip(best, *held)), k)
     return pd.DataFrame({"query_id": asked[row], "vec_id": vec, "score": score})
 
 
+def scaled(rows: DataFrame) -> DataFrame:
+    """rows with vectors over the largest component of all, so that no square of one is beyond a double."""
+    top = rows.agg(F.max(F.array_max(F.transform("vector", lambda x: F.abs(x.cast("double")))))).first()[0]
+    return rows if top is None else rows.withColumn("vector", F.transform("vector", lambda x: (x.cast("double") / F.lit(top)).cast("float")))
+
+
 def index(rows: DataFrame) -> tuple[Graph | None, float]:
-    """The graph of centroids for rows (vec_id, vector), and the square of the largest length."""
+    """The graph of centroids for rows (vec_id, vector) of scaled(), and the square of the largest length."""
     norm = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     total = rows.agg(F.count(F.lit(1)).alias("n"), F.max(norm).alias("top"), F.max(F.size("vector")).alias("width")).first()
     if not total["n"]:
@@ -214,28 +240,70 @@ def lifted(x: np.ndarray, top: float) -> np.ndarray:
 def aimed(x: np.ndarray, top: float) -> np.ndarray:
     """Queries on the same sphere: they have no part of their own in the added coordinate, and their length changes no order."""
     x = x.astype(np.float64)
-    x *= top**0.5 / np.linalg.norm(x, axis=1, keepdims=True)
+    x /= np.maximum(np.abs(x).max(axis=1, keepdims=True), 1e-300)
+    x *= top**0.5 / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
     return np.hstack([x, np.zeros((len(x), 1))]).astype(np.float32)
 
 
-def lists(rows: DataFrame, graph: Graph, top: float, asked: bool) -> DataFrame:
-    """group, vec_id and lists: where vectors go to, or what queries read, for each group of neighbouring lists."""
-    shared, wide = rows.sparkSession.sparkContext.broadcast(graph), -(-len(graph.points) // GROUPS)
+class Blocks:
+    """Blocks of neighbouring lists: the first list of each, and into how many slices its vectors are dealt."""
+
+    def __init__(self, counts: np.ndarray):
+        """counts: vectors of each list, copies included. Blocks end at the borders of GROUPS equal parts, or where BLOCK vectors are reached."""
+        wide, starts, slices = -(-len(counts) // GROUPS), [], []
+        room = 0
+        for k, n in enumerate(counts.tolist()):
+            if k % wide == 0 or n > room:
+                starts.append(k)
+                slices.append(max(1, -(-n // BLOCK)))
+                room = BLOCK
+            room -= n
+        self.starts, self.slices = np.array(starts, np.int32), np.array(slices, np.int32)
+
+    def of(self, number: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.starts, number, side="right").astype(np.int32) - 1
+
+
+def posted(rows: DataFrame, graph: Graph, top: float) -> DataFrame:
+    """vec_id and lists: where vectors (vec_id, vector) of scaled() go to."""
+    return _lists(rows, graph, lambda g, x: g.within(lifted(x, top), NEAR, COPIES))
+
+
+def asked(rows: DataFrame, graph: Graph, top: float, held: np.ndarray, k: int) -> DataFrame:
+    """vec_id and lists: what queries (vec_id, vector) of scaled() read; held are the vectors of each list, a copy counting in part."""
+    return _lists(rows, graph, lambda g, x: g.within(aimed(x, top), RATIO, None, held, FILL * k))
+
+
+def _lists(rows: DataFrame, graph: Graph, find) -> DataFrame:
+    shared = rows.sparkSession.sparkContext.broadcast(graph)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x = np.stack(batch.column(1).to_numpy(zero_copy_only=False)).astype(np.float32)
+                found = [np.sort(f).astype(np.int32) for f in find(shared.value, x)]
+                ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))], ["vec_id", "lists"])
+
+    return rows.select("vec_id", "vector").mapInArrow(run, "vec_id long, lists array<int>")
+
+
+def by_block(rows: DataFrame, blocks: Blocks) -> DataFrame:
+    """block, slices, vec_id and lists: a row of rows (vec_id, lists) for each block that it has lists of."""
+    shared = rows.sparkSession.sparkContext.broadcast(blocks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        g = shared.value
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = np.stack(batch.column(1).to_numpy(zero_copy_only=False)).astype(np.float32)
-            found = [np.sort(f) for f in (g.within(aimed(x, top), RATIO) if asked else g.within(lifted(x, top), NEAR, COPIES))]
-            of, number = np.repeat(np.arange(len(x)), [len(f) for f in found]), np.concatenate(found).astype(np.int32)
-            group = number // wide
-            start = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (group[1:] != group[:-1])]))
+            column, known = batch.column(1), shared.value
+            number, of = column.flatten().to_numpy(), np.repeat(np.arange(batch.num_rows), np.diff(column.offsets.to_numpy()))
+            block = known.of(number)
+            start = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (block[1:] != block[:-1])]))
             parts = pa.ListArray.from_arrays(pa.array(np.append(start, len(of)).astype(np.int32)), pa.array(number))
-            yield pa.RecordBatch.from_arrays([pa.array(group[start].astype(np.int32)), batch.column(0).take(pa.array(of[start])), parts], ["group", "vec_id", "lists"])
+            yield pa.RecordBatch.from_arrays([pa.array(block[start]), pa.array(known.slices[block[start]]), batch.column(0).take(pa.array(of[start])), parts], ["block", "vs", "vec_id", "lists"])
 
-    return rows.select("vec_id", "vector").mapInArrow(run, "group int, vec_id long, lists array<int>")
+    return rows.select("vec_id", "lists").mapInArrow(run, "block int, vs int, vec_id long, lists array<int>")
 
 
 def nearest(vectors: DataFrame, every: int = EVERY, k: int = K) -> DataFrame:
@@ -243,22 +311,33 @@ def nearest(vectors: DataFrame, every: int = EVERY, k: int = K) -> DataFrame:
 
     Vectors that are null, zero or hold nulls, NaN or infinities take no part, nor do rows without
     vec_id; vec_id is the key: of several vectors under one the smallest in order of its numbers counts.
-    All vectors have one length. Ties go to the smaller vec_id. Other columns are not read. No rows in,
-    no rows out.
+    Vectors of another width than most have take no part; of widths that equally many have the larger counts.
+    Components may be of any finite size; a score beyond the largest double is infinite, one that is no number
+    comes last. Ties go to the smaller vec_id. Other columns are not read. No rows in, no rows out.
     """
-    rows = cut(usable(vectors), "vectors")
-    graph, top = index(rows)
+    rows = of_one_width(cut(usable(vectors), "vectors"))
+    small = cut(scaled(rows), "scaled")
+    graph, top = index(small)
     if graph is None:
         return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    posted = cut(lists(rows, graph, top, False), "posted")
-    asked = cut(lists(rows.where(F.col("vec_id") % every == 0), graph, top, True), "asked")
-    blocks = lambda df, name: df.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias(name))
-    sizes = F.broadcast(cut(blocks(posted, "vs").join(blocks(asked, "qs"), "group"), "sizes"))  # GROUPS rows at most
-    other = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    own = lambda n: F.pmod(F.xxhash64("vec_id"), F.col(n))
-    v = posted.join(sizes, "group").withColumn("vb", own("vs")).withColumn("qb", other("qs")).join(rows, "vec_id")
-    q = asked.join(sizes, "group").withColumn("qb", own("qs")).withColumn("vb", other("vs")).join(rows.select("vec_id", F.col("vector").alias("vector")), "vec_id")
-    keys, held = ["group", "vb", "qb"], ["vec_id", "lists", "vector"]
-    found = q.select(*keys, *held).groupBy(*keys).cogroup(v.select(*keys, *held).groupBy(*keys)).applyInPandas(_best, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    placed = cut(posted(small, graph, top), "posted")
+    counts = np.zeros(len(graph.points), np.int64)
+    for r in placed.select(F.explode("lists").alias("list")).groupBy("list").count().collect():  # a number for each list, CENTROID_BYTES bounds them
+        counts[r["list"]] = r["count"]
+    blocks, share = Blocks(counts), placed.count() / max(1, counts.sum())
+    wanted = cut(asked(small.where(F.col("vec_id") % every == 0), graph, top, counts * share, k), "asked")
+    v, q = by_block(placed, blocks), cut(by_block(wanted, blocks), "wanted")
+    # queries of a block, in parts; a row for each block, of which there are as many as BLOCK fits into the vectors' copies
+    parts = cut(q.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("qs")), "parts")
+    few = parts.count() <= BROADCAST_ROWS
+    parts = F.broadcast(parts) if few else parts
+    other = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda n: F.pmod(F.xxhash64("vec_id"), F.col(n)).cast("int")
+    v = v.join(parts, "block").withColumn("vb", own("vs")).withColumn("qb", other("qs")).join(rows, "vec_id")
+    q = q.join(parts, "block").withColumn("qb", own("qs")).withColumn("vb", other("vs")).join(rows, "vec_id")
+    keys, held = ["block", "vb", "qb"], ["vec_id", "lists", "vector"]
+    best = lambda a, b: _best(a, b, k)
+    found = q.select(*keys, *held).groupBy(*keys).cogroup(v.select(*keys, *held).groupBy(*keys)).applyInPandas(best, "query_id long, vec_id long, score double")
+    score = F.when(F.isnan("score"), F.lit(float("-inf"))).otherwise(F.col("score"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(score.desc(), "vec_id"))
     return found.distinct().withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

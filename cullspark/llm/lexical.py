@@ -36,7 +36,7 @@ from .common import cut, forget, small_batches
 #: The tree: documents it is fitted to (in expectation, twice as many at most), features that terms are hashed to, parts at most, and documents of a part.
 SAMPLE, FEATURES, LEAVES, PART = 2048, 1 << 14, 64, 1024
 #: Postings of a chunk, documents of a shard, and rounds of trades at each level.
-POSTINGS, SHARD, ROUNDS = 400_000, 64, 5
+POSTINGS, SHARD, ROUNDS = 400_000, 64, 3
 #: Shards that a query visits at once and those looked at next, documents it returns, and pairs of query and term of a batch.
 FIRST, SECOND, TOP, PAIRS = 8, 96, 10, 500_000
 #: Terms that a task counts before it passes the counts on.
@@ -88,12 +88,12 @@ def _trade(seg: np.ndarray, side: np.ndarray, doc: np.ndarray, term: np.ndarray,
     n_seg = int(seg.max()) + 1
     key, right = seg[doc] * n_terms + term, side[doc]
     r = np.bincount(key[right == 1], minlength=n_seg * n_terms)
-    left = (np.bincount(key, minlength=n_seg * n_terms) - r)[key]
-    r = r[key]
-    log = np.log2(np.arange(1, len(seg) + 3))  # of a count and one
+    left = (np.bincount(key, minlength=n_seg * n_terms) - r).astype(np.int32)[key]
+    r = r.astype(np.int32)[key]
+    log = np.log2(np.arange(1, len(seg) + 3)).astype(np.float32)  # of a count and one; which documents are near needs no more digits
     nl, nr = (log[np.maximum(1, np.bincount(seg[side == s], minlength=n_seg)) - 1][seg[doc]] for s in (0, 1))
     cost = lambda a, b: a * (nl - log[a]) + b * (nr - log[b])
-    over = 1 - 2 * right  # what the right half gains if this document changes sides
+    over = (1 - 2 * right).astype(np.int32)  # what the right half gains if this document changes sides
     gain = np.bincount(doc, cost(left, r) - cost(left - over, r + over), len(seg))
     order = np.lexsort((-gain, side, seg))
     block = (seg * 2 + side)[order]

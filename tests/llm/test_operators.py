@@ -618,6 +618,86 @@ def test_nearest_is_exact_when_small(spark):
     assert ann.nearest(df.limit(0)).count() == 0
 
 
+def shares(df):
+    """Copies of a vector, lists that a query reads, and the graph."""
+    rows_ = ann.scaled(ann.usable(df)).cache()
+    graph, largest = ann.index(rows_)
+    placed = ann.posted(rows_, graph, largest).cache()
+    many = lambda df: df.agg(F.avg(F.size("lists"))).first()[0]
+    held = np.zeros(len(graph.points))
+    for x in placed.select(F.explode("lists").alias("l")).groupBy("l").count().collect():
+        held[x.l] = x["count"] * placed.count()
+    held /= placed.agg(F.sum(F.size("lists"))).first()[0]
+    return many(placed), many(ann.asked(rows_.where("vec_id % 20 = 0"), graph, largest, held, ann.K)), graph
+
+
+def recall(v, got, k=20):
+    ids = np.arange(0, len(v), 20)
+    s = v[ids].astype(float) @ v.astype(float).T
+    s[np.arange(len(ids)), ids] = -np.inf
+    least = np.sort(s, axis=1)[:, -k]  # of equal scores any counts
+    return np.mean([sum(s[n, j] >= least[n] - 1e-12 for j in got[i]) / k for n, i in enumerate(ids.tolist())])
+
+
+@pytest.mark.parametrize("kind", [3, 6, 12, 20, 80, "skewed", "lognormal"])
+def test_recall_of_tight_clusters(spark, kind):
+    """Clusters smaller than what is asked for, clusters of very unlike sizes, and lengths of very unlike size."""
+    r = np.random.default_rng(9)
+    n = 6_000
+    if kind == "lognormal":
+        v = r.normal(size=(n, 32))
+        v *= np.exp(r.normal(size=(n, 1))) / np.linalg.norm(v, axis=1, keepdims=True)
+    else:
+        of = np.minimum(r.zipf(1.3, n), 500) - 1 if kind == "skewed" else np.repeat(np.arange(-(-n // kind)), kind)[:n]
+        v = r.normal(size=(int(of.max()) + 1, 32))[of] + (1e-3 if kind == 12 else 1e-2) * r.normal(size=(n, 32))
+        v /= np.linalg.norm(v, axis=1, keepdims=True)
+    v = r.permutation(v).astype(np.float32)
+    got = collections.defaultdict(set)
+    df = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "vec_id long, embedding array<float>").repartition(4)
+    for x in ann.nearest(df).collect():
+        got[x.query_id].add(x.vec_id)
+    found = recall(v, got)
+    print(kind, round(found, 4), [round(x, 2) for x in shares(df)[:2]])
+    assert all(len(got[i]) == 20 for i in range(0, n, 20)) and found >= 0.95
+
+
+def test_more_neighbours_than_usual(spark):
+    v = np.random.default_rng(4).normal(size=(400, 6))
+    df = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = collections.defaultdict(set)
+    for x in ann.nearest(df, k=50).collect():
+        got[x.query_id].add(x.vec_id)
+    assert all(len(x) == 50 for x in got.values()) and recall(v, got, 50) >= 0.9
+
+
+def test_huge_vectors_and_odd_widths(spark):
+    r = np.random.default_rng(6)
+    v = r.normal(size=(300, 5))
+    v[7] *= 1e160
+    v[40] *= 1e-200
+    odd = [(1000, [1.0, 2.0]), (1020, [5.0] * 9), (1040, [1e300, 1e300, 0.0, 0.0, 0.0]), (1060, [-1e300, 1e300, 0.0, 0.0, 0.0])]
+    df = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)] + odd, "vec_id long, embedding array<double>")
+    got = collections.defaultdict(list)
+    for x in sorted(ann.nearest(df).collect(), key=lambda x: (x.query_id, x["rank"])):
+        got[x.query_id].append((x.vec_id, x.score))
+    whole = dict(enumerate(v)) | {k: np.array(x) for k, x in odd if len(x) == 5}
+    assert set(got) == {k for k in whole if k % 20 == 0} and all(len(x) == 20 for x in got.values())
+    with np.errstate(over="ignore", invalid="ignore"):
+        for q, found in got.items():
+            scores = sorted(((-np.add.accumulate(whole[j] * whole[q])[-1], j) for j in whole if j != q), key=lambda x: (np.isnan(x[0]), x))
+            assert [(j, -s) for s, j in scores[:20]] == found
+
+
+def test_blocks_follow_the_vectors():
+    counts = np.full(1000, 100)
+    counts[500] = 5 * ann.BLOCK + 1
+    b = ann.Blocks(counts)
+    of = b.of(np.arange(1000))
+    held = np.bincount(of, counts) / b.slices
+    assert held.max() <= ann.BLOCK and (np.diff(of) >= 0).all() and b.slices[of[500]] == 6 and b.slices.sum() == len(b.slices) + 5
+    assert len(ann.Blocks(np.full(100_000, 100)).starts) == pytest.approx(100_000 * 100 / ann.BLOCK, rel=0.1)
+
+
 @pytest.mark.parametrize("kind", ["clusters", "even", "lengths"])
 def test_recall(spark, kind):
     """Against brute force, with the share of lists that queries read and of copies in lists."""
@@ -638,11 +718,7 @@ def test_recall(spark, kind):
     s[np.arange(len(ids)), ids] = -np.inf
     top = np.argpartition(-s, 20, axis=1)[:, :20]
     assert sum(len(got[i] & set(t.tolist())) for i, t in zip(ids.tolist(), top)) / top.size >= 0.9
-    rows_ = ann.usable(df).cache()
-    graph, largest = ann.index(rows_)
-    many = lambda df: df.agg(F.sum(F.size("lists")) / F.count_distinct("vec_id")).first()[0]
-    posted = many(ann.lists(rows_, graph, largest, False))
-    read = many(ann.lists(rows_.where("vec_id % 20 = 0"), graph, largest, True))
+    posted, read, graph = shares(df)
     assert len(graph.points) >= len(v) / ann.LIST and posted > 1.2
     assert read / len(graph.points) < {"clusters": 0.1, "even": 0.3, "lengths": 0.7}[kind]
 
