@@ -60,6 +60,38 @@ def ear_state(ratio: Column) -> Column:
     return F.when(ratio >= 0.22, "open").when(ratio <= 0.16, "closed").otherwise("unknown")
 
 
+#: Places of the eyes' contours among the 106 points of a face, and heights over widths that are open and closed.
+LEFT_CONTOUR, RIGHT_CONTOUR = tuple(range(33, 43)), tuple(range(87, 97))
+OPEN_RATIO, CLOSED_RATIO, HALF_OPEN = 0.22, 0.16, 0.45
+
+
+def contour_ratio(points: Column, places: tuple[int, ...]) -> Column:
+    """Height over width of a contour of points (structs of x and y in pixels of the eye's input): between the means of its upper and lower half.
+
+    Null where one of the points is missing.
+    """
+    chosen = F.array(*(F.get(points, k) for k in places))
+    x, y = F.transform(chosen, lambda p: p["x"].cast("double")), F.transform(chosen, lambda p: p["y"].cast("double"))
+    whole = F.forall(chosen, lambda p: p.isNotNull() & p["x"].isNotNull() & p["y"].isNotNull())
+    mean = lambda v: F.aggregate(v, F.lit(0.0), lambda s, e: s + e) / F.size(v)
+    height = _let(mean(y), lambda m: F.abs(mean(F.filter(y, lambda v: v >= m)) - mean(F.filter(y, lambda v: v <= m))))
+    return F.when(whole, height / F.greatest(F.lit(1e-3), F.array_max(x) - F.array_min(x)))
+
+
+def contour_eyes(points: Column) -> Column:
+    """ratio, probability, open and confidence from the contours of both eyes; all null where a point is missing."""
+    ratio = (contour_ratio(points, LEFT_CONTOUR) + contour_ratio(points, RIGHT_CONTOUR)) / 2
+
+    def judged(r: Column) -> Column:
+        p = _held((r - CLOSED_RATIO) / (OPEN_RATIO - CLOSED_RATIO), 0.0, 1.0)
+        wide, shut = r >= OPEN_RATIO, r <= CLOSED_RATIO
+        sure = F.when(wide, _held(55 + p * 40, 55.0, 95.0)).when(shut, _held(55 + (1 - p) * 40, 55.0, 95.0)).otherwise(48 + F.abs(p - 0.5) * 20)
+        known = lambda c: F.when(r.isNotNull(), c)
+        return F.struct(r.alias("ratio"), known(p).alias("probability"), known(wide | (~shut & (p >= HALF_OPEN))).alias("open"), known(sure).alias("confidence"))
+
+    return _let(ratio, judged)
+
+
 def without_weak(faces: Column, reference: Column) -> Column:
     """Drops weak detections of a photo by score, size, shape and place; a photo's only face stays, and never all go.
 
@@ -107,21 +139,35 @@ def phone_eye_state(left: Column, right: Column) -> Column:
     return F.struct(F.coalesce(is_open, F.lit(False)).alias("open"), sure.alias("confidence"))
 
 
-def tiled(pixels: Column, faces: Column, profile: str = "desktop") -> Column:
-    """Whether an image is looked at a second time in tiles."""
+#: Fixed values of the desktop's rule: the largest face from which tiles add nothing, and the one from which a pair doesn't need them.
+SUBJECT_AREA, PAIR_AREA = 0.0040, 0.0009
+
+
+def tiled(pixels: Column, faces: Column, profile: str = "desktop", largest: Column | None = None, least_pixels: int | None = None) -> Column:
+    """Whether an image is looked at again in tiles: large enough, and too few faces found, whose largest (as a share of the image) is small."""
     _, least, enough = PROFILES[profile]["tiles"]
-    return (pixels >= least) & (faces < enough)
+    least = least if least_pixels is None else least_pixels
+    need = (pixels >= least) & (faces < enough)
+    if profile == "desktop" and largest is not None:
+        need = need & ((faces == 0) | ((largest < SUBJECT_AREA) & ~((largest >= PAIR_AREA) & (faces >= 2))))
+    return need
 
 
 def tiles(width: Column, height: Column, side: int, profile: str = "desktop") -> Column:
-    """side x side overlapping tiles of an image in pixels, row by row: structs of left, top, width, height."""
-    share = 1 - PROFILES[profile]["tiles"][0]
+    """side x side overlapping tiles of an image in pixels, row by row: structs of left, top, width, height.
+
+    A tile is larger than its cell by the overlap; those that would stick out are moved in.
+    """
+    over, whole = 1 + PROFILES[profile]["tiles"][0], profile != "desktop"
 
     def spans(length: Column) -> Column:
-        tile = length / (1 + (side - 1) * share)
-        return F.transform(F.sequence(F.lit(0), F.lit(side - 1)), lambda k: F.struct(F.floor(k * tile * share).cast("int").alias("at"), F.ceil(tile).cast("int").alias("size")))
+        tile = F.least(length.cast("double"), (length / side * over).cast("double"))
+        tile = F.floor(tile) if whole else tile
+        step = F.floor(length / side) if whole else length / side
+        begin = lambda k: F.floor(F.when(k * step + tile > length, F.greatest(F.lit(0.0), length - tile)).otherwise(k * step)).cast("int")
+        return F.transform(F.sequence(F.lit(0), F.lit(side - 1)), lambda k: F.struct(begin(k).alias("at"), F.greatest(F.lit(1), F.least(length - begin(k), F.ceil(tile))).cast("int").alias("size")))
 
-    return F.flatten(F.transform(spans(height), lambda y: F.transform(spans(width), lambda x: F.struct(x["at"].alias("left"), y["at"].alias("top"), F.least(x["size"], width - x["at"]).cast("int").alias("width"), F.least(y["size"], height - y["at"]).cast("int").alias("height")))))
+    return F.flatten(F.transform(spans(height), lambda y: F.transform(spans(width), lambda x: F.struct(x["at"].alias("left"), y["at"].alias("top"), x["size"].alias("width"), y["size"].alias("height")))))
 
 
 # --- acceptance of detections by their five points

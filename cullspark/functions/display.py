@@ -53,3 +53,37 @@ def on_display(box: Column, layout: Column) -> Column:
 def visible(position: Column, first: Column, last: Column, total: Column, pad: int = 3) -> Column:
     """Whether a row is near enough to the rows on screen to be loaded."""
     return (position >= F.greatest(F.lit(0), first - pad)) & (position < F.least(total, last + pad + 1))
+
+
+# Fixed values of the view of a face: padding at the sides, above and below in shares of its box, and how much of the part below counts for the middle; a thumbnail's shape.
+SIDE, ABOVE, BELOW, ANCHOR_BELOW = 0.30, 0.30, 0.50, 0.12
+THUMBNAIL = 4 / 3
+
+
+def _placed(scale: Column, width: Column, height: Column, image_width: Column, image_height: Column) -> Column:
+    """Rectangle of a scaled image, centred."""
+    w, h = image_width * scale, image_height * scale
+    return F.struct(((width - w) / 2).alias("left"), ((height - h) / 2).alias("top"), w.alias("width"), h.alias("height"))
+
+
+def covered(width: Column, height: Column, image_width: Column, image_height: Column) -> Column:
+    """Rectangle of an image scaled to cover all of its place and centred."""
+    return _placed(F.greatest(width / image_width, height / image_height), width, height, image_width, image_height)
+
+
+def thumbnail(width: Column, image_width: Column, image_height: Column) -> Column:
+    """Rectangle of an image in an album's thumbnail: upright images whole, others cover it."""
+    height = width / THUMBNAIL
+    across, down = width / image_width, height / image_height
+    scale = F.when(image_height > image_width, F.least(across, down)).otherwise(F.greatest(across, down))
+    return _placed(scale, width, height, image_width, image_height)
+
+
+def face_zoomed(width: Column, height: Column, image_width: Column, image_height: Column, box: Column) -> Column:
+    """Rectangle of an image scaled and moved so that a face and its surroundings fill the view, which may go beyond the image."""
+    w, h = (F.greatest(box[s] * n, F.lit(1.0)) for s, n in (("width", image_width), ("height", image_height)))
+    left, top = box["left"] * image_width - SIDE * w, box["top"] * image_height - ABOVE * h
+    wide, high = w * (1 + 2 * SIDE), h * (1 + ABOVE + BELOW)
+    scale = F.least(width / wide, height / high)
+    x, y = left + wide / 2, top + h * (1 + ABOVE + ANCHOR_BELOW) / 2
+    return F.struct((width / 2 - x * scale).alias("left"), (height / 2 - y * scale).alias("top"), (image_width * scale).alias("width"), (image_height * scale).alias("height"))

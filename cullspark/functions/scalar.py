@@ -175,10 +175,15 @@ def _stem(name: Column) -> Column:
     return F.regexp_replace(name, r"\.[^.]+$", "")
 
 
+#: Order of names: letters by their base, whatever their case and accents.
+NAMES = "UNICODE_CI_AI"
+
+
 def natural_key(name: Column) -> Column:
-    """Sorts without regard to case and with runs of digits as numbers of any length: a run is led by how many digits it has.
+    """Sorts without regard to case and accents and with runs of digits as numbers of any length: a run is led by how many digits it has.
 
-    The length has four places, and a zero before it keeps runs in the place of digits among other signs.
+    The length has four places, and a zero before it keeps runs in the place of digits among other signs. The key is
+    compared by the collation NAMES, so it is for sorting; names that differ in case or accents alone are equal.
     """
     parts = F.regexp_extract_all(F.lower(F.coalesce(name, F.lit(""))), F.lit(r"(\d+|\D+)"), 1)
 
@@ -186,7 +191,7 @@ def natural_key(name: Column) -> Column:
         plain = F.regexp_replace(x, r"^0+(?=\d)", "")
         return F.concat(F.lit("0"), F.lpad(F.length(plain).cast("string"), 4, "0"), plain)
 
-    return F.array_join(F.transform(parts, lambda x: F.when(x.rlike(r"^\d"), number(x)).otherwise(x)), "")
+    return F.collate(F.array_join(F.transform(parts, lambda x: F.when(x.rlike(r"^\d"), number(x)).otherwise(x)), ""), NAMES)
 
 
 def exif_millis(text: Column, zone: str = "UTC") -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
+from ..sources import scratch
 
 # The window in milliseconds, hash distances, name gaps.
 WINDOW = 300_000
@@ -101,12 +102,9 @@ def groups(photos: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def ensure_checkpoints(spark) -> None:
-    """Checkpoints go to the cluster's shared folder; without one to the warehouse, on one machine to a new temporary folder."""
+    """Checkpoints go to the folder that all machines see."""
     if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        alone = spark.sparkContext.master.startswith("local")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-") if alone else f"{spark.conf.get('spark.sql.warehouse.dir')}/.checkpoints")
+        spark.sparkContext.setCheckpointDir(scratch.shared_dir(spark))
 
 
 def tier(blurred: Column, closed: Column) -> Column:

@@ -483,9 +483,9 @@ def _printed(spark, sf_dir):
     return labelled(spark, sf_dir).withColumn("print", S.fingerprint(F.col("face"))).withColumn("area", S.area(F.col("box")))
 
 
-@query("select photo_id, face_index, list_transform(print, lambda x: round(x, 7)) as print, len(print) as n from tiered")
+@query("select photo_id, face_index, list_transform(print, lambda x: round(x, 7) + 0.0e0) as print, len(print) as n from tiered")
 def face_fingerprint(spark, sf_dir):
-    return _printed(spark, sf_dir).select("photo_id", "face_index", F.transform("print", lambda x: F.round(x, 7)).alias("print"), F.size("print").cast("long").alias("n"))
+    return _printed(spark, sf_dir).select("photo_id", "face_index", F.transform("print", lambda x: F.round(x, 7) + 0.0).alias("print"), F.size("print").cast("long").alias("n"))
 
 
 @query("select a.photo_id, a.face_index as a, b.face_index as b, round(" + _APART.format(a="a.print", b="b.print") + ", 7) as distance from tiered a join tiered b on a.photo_id = b.photo_id and a.face_index < b.face_index")
@@ -687,11 +687,11 @@ def shown_key_faces(spark, sf_dir):
 @query(""", o as (select photo_id, album_id, row_number() over (partition by album_id order by captured_at nulls first, photo_id) as photo_order from photos0),
   f as (select t.*, album_id, photo_order, case when sharpness % 9 > 0 then 'person-' || (sharpness % 9) end as cluster_id from tiered t join o using (photo_id) where photo_id % 4 <> 0 and album_id % 5 <> 0),
   g as (select *, row_number() over (partition by album_id, cluster_id order by photo_order, face_index) as r from f where cluster_id is not null)
-  select album_id, cluster_id, list_transform(print, lambda x: round(x, 7)) as print, round(area, 9) as area from g where r = 1""")
+  select album_id, cluster_id, list_transform(print, lambda x: round(x, 7) + 0.0e0) as print, round(area, 9) as area from g where r = 1""")
 def seeded_clusters(spark, sf_dir):
     f = _album_faces(spark, sf_dir).withColumns({"cluster_id": F.when(F.col("sharpness") % 9 > 0, F.col("cluster")), "analysis_status": F.when(F.col("photo_id") % 4 == 0, "idle").otherwise("analyzed")})
     known = photos(spark, sf_dir).where("album_id % 5 = 0").select("album_id")
-    return albums.seeded_clusters(f, known).select("album_id", "cluster_id", F.transform("print", lambda x: F.round(x, 7)).alias("print"), r9(F.col("area")).alias("area"))
+    return albums.seeded_clusters(f, known).select("album_id", "cluster_id", F.transform("print", lambda x: F.round(x, 7) + 0.0).alias("print"), r9(F.col("area")).alias("area"))
 
 
 @query("""select event_id, case event_id % 6 when 0 then cast(5 as bigint) when 1 then epoch_us(date_trunc('second', ts)) // 1000 when 2 then epoch_us(date_trunc('second', ts)) // 1000 when 3 then null
