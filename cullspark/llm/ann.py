@@ -4,10 +4,10 @@ Vectors get one more coordinate that gives all one length, so that the largest i
 smallest distance on a sphere. A bounded sample is halved again and again at the median along its main
 direction; the parts' means, moved out to the sphere, are the centroids, as many as the vectors need for
 lists of one size. Centroids form a neighbour graph in memory that a beam search walks. A vector near
-the boundary of its nearest list goes to all lists almost as near. A query reads on until the lists it has
-read hold several times as many vectors as it wants, and then all lists within a ratio of the last one's
-distance, however many those are: few where vectors are clustered, a larger share where they point evenly
-in all directions. Neighbouring lists are searched together in blocks of a bounded number of vectors, so that
+the boundary of its nearest list goes to all lists almost as near. A query reads the lists within a ratio of
+its nearest one's distance, however many those are: few where vectors are clustered, a larger share where
+they point evenly in all directions. Where those hold too few vectors, the ratio is taken from the list
+with which there are enough. Neighbouring lists are searched together in blocks of a bounded number of vectors, so that
 a vector is sent to a block once and a query, which goes to the blocks of its lists alone, brings one result
 back from each; only a list that alone has more is dealt out. One rule holds at every size.
 """
@@ -34,8 +34,9 @@ DEGREE, BEAM = 24, 32
 MARKS = 32 << 20
 #: Lists that a vector goes to, at most, and how much farther than its nearest they may be (distances).
 COPIES, NEAR = 8, 1.25
-#: A query reads the lists within so many times the distance of the one with which it has read FILL times the vectors it wants.
-RATIO, FILL = 1.23, 3
+#: A query reads the lists within RATIO times the nearest one's distance; where those don't hold FILL times the vectors that it
+#: wants, since its own are few and close, the lists within WIDE times the distance of the one with which they do.
+RATIO, FILL, WIDE = 1.24, 3, 1.3
 #: Parts that lists are dealt to in their order, at least, and vectors or queries of a block within one.
 GROUPS, BLOCK = 64, 8192
 
@@ -127,8 +128,8 @@ class Graph:
     def within(self, x: np.ndarray, ratio: float, most: int | None = None, held: np.ndarray | None = None, need: float = 0) -> list[np.ndarray]:
         """For each row the centroids found within ratio times a distance, nearest first, most of them at most.
 
-        The distance is the nearest one's, or with held (vectors of each list) that of the list with which need are
-        reached. Where all of the beam is that near, a wider one goes out.
+        The distance is the nearest one's; with held (vectors of each list), where the lists that near don't hold need,
+        it is that of the list with which they do, and WIDE the ratio. Where all of the beam is that near, a wider one goes out.
         """
         out: list = [None] * len(x)
         step = max(16, MARKS // len(self.points))
@@ -136,14 +137,15 @@ class Graph:
             todo, beam = np.arange(a, min(a + step, len(x))), BEAM
             while len(todo):
                 ids, far = self.search(x[todo], beam)
-                base, reached = far[:, :1], np.ones(len(far), bool)
+                limit, reached = far[:, :1] * ratio, np.ones(len(far), bool)
                 if held is not None:
                     there = np.isfinite(far)
                     enough = there & (np.cumsum(np.where(there, held[ids], 0), axis=1) >= need)
                     reached = enough.any(axis=1)
                     last = np.where(reached, enough.argmax(axis=1), there.sum(axis=1) - 1)
-                    base = np.take_along_axis(far, last[:, None], 1)
-                limit = base * ratio + 1e-6
+                    filled = np.take_along_axis(far, last[:, None], 1)
+                    limit = np.where(filled <= limit, limit, filled * WIDE)
+                limit = limit + 1e-6
                 short = reached & (far[:, -1] > limit[:, 0]) | (beam >= len(self.points)) | (most is not None and beam >= 2 * most)
                 for i, found, d, m in zip(todo[short], ids[short], far[short], limit[short]):
                     out[i] = found[(d <= m) & np.isfinite(d)][:most]
@@ -163,6 +165,9 @@ def _nearest(asked, q, ids, v, k) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows of q, of v and the scores of the k nearest of each query, and of those that tie with the last."""
     with np.errstate(over="ignore", invalid="ignore"):
         s = q @ v.T
+        beyond = np.nonzero(~np.isfinite(s))
+        if len(beyond[0]):  # where it matters in which order is added
+            s[beyond] = np.add.accumulate(v[beyond[1]] * q[beyond[0]], axis=1)[:, -1]
     own = asked[:, None] == ids
     s[np.isnan(s)] = -np.inf
     s[own] = -np.inf
@@ -334,7 +339,7 @@ def nearest(vectors: DataFrame, every: int = EVERY, k: int = K) -> DataFrame:
     other = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     own = lambda n: F.pmod(F.xxhash64("vec_id"), F.col(n)).cast("int")
     v = v.join(parts, "block").withColumn("vb", own("vs")).withColumn("qb", other("qs")).join(rows, "vec_id")
-    q = q.join(parts, "block").withColumn("qb", own("qs")).withColumn("vb", other("vs")).join(rows, "vec_id")
+    q = q.join(parts, "block").withColumn("qb", own("qs")).withColumn("vb", other("vs")).join(rows.select("vec_id", F.col("vector").alias("vector")), "vec_id")
     keys, held = ["block", "vb", "qb"], ["vec_id", "lists", "vector"]
     best = lambda a, b: _best(a, b, k)
     found = q.select(*keys, *held).groupBy(*keys).cogroup(v.select(*keys, *held).groupBy(*keys)).applyInPandas(best, "query_id long, vec_id long, score double")
