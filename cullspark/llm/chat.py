@@ -124,7 +124,7 @@ def linked(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     neighbouring positions. Other columns are not read. No rows in, no rows out.
     """
     rows = messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
-    looks = F.col("role").isin("assistant", "tool") & F.col("text").startswith("{")
+    looks = F.col("role").isin("assistant", "tool") & F.ltrim(F.col("text"), F.lit(" \t\r\n")).startswith("{")
     rows = rows.withColumn("v", F.when(looks, F.try_parse_json("text")))
     listed = F.try_variant_get("v", "$.tool_calls", "array<variant>")
     rows = rows.withColumn("calls", F.when((F.col("role") == "assistant") & F.col("conv_id").isNotNull(), listed))

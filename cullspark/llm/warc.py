@@ -1,19 +1,22 @@
 """Web archives in ZIP packages: written by partition, read back by byte ranges without extraction.
 
-A package holds a WARC file, each record its own gzip member, and an index of them, both stored and not
-deflated. A reader finds both in the central directory, reads the index and then only the ranges of the
-records it wants. Files are read and written with pyarrow's file systems, so any shared store will do.
+A package holds a WARC file, each record its own gzip member, and an index of them in CDXJ (a key, a time and
+an object with url, filename, offset and length), both stored and not deflated. A reader finds archives and
+indexes by folder and suffix in the central directory, any number of either, reads the indexes and then only
+the ranges of the records it wants. An archive that no index names isn't read. Files are read and written with pyarrow's file systems, so any shared store will do.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import re
 import struct
 import uuid
 import zipfile
 import zlib
 from collections.abc import Iterator
+from urllib.parse import urlsplit
 
 import pyarrow as pa
 from pyarrow import fs as pafs
@@ -23,6 +26,8 @@ from pyspark.sql import functions as F
 from .common import cut, new_folder
 
 WARC, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
+#: Where a package has its archives and indexes, and how their names end.
+ARCHIVES, INDEXES = ("archive/", (".warc.gz", ".warc")), ("indexes/", (".cdxj", ".cdx", ".idx"))
 #: Payloads under so many bytes are never revisits.
 REVISIT_BYTES = 100
 #: A package ends when it has so many bytes of records; a task holds them until then.
@@ -103,6 +108,17 @@ def record(page_id, url, payload: bytes, digest: str, first) -> bytes:
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
+def key_of(url: str | None) -> str:
+    """What an index sorts by: the parts of the host from the last to the first, then the path, in lower case."""
+    try:
+        parts = urlsplit(_clean(url).strip().lower())
+        host = ",".join(reversed((parts.hostname or "").split(".")))
+        rest = (parts.path or "/") + (f"?{parts.query}" if parts.query else "")
+    except ValueError:  # what is no address is its own key
+        host, rest = "", _clean(url).lower()
+    return f"{host}){rest}".replace(" ", "%20")
+
+
 def _package(folder: str, rows: list[tuple[bytes, int | None, str | None]]) -> tuple[str, int]:
     """Writes one package. Its name is new each time: the manifest says which of a retried task's files count."""
     path, index, at = f"{folder}/{uuid.uuid4().hex}.wacz", [], 0
@@ -112,10 +128,11 @@ def _package(folder: str, rows: list[tuple[bytes, int | None, str | None]]) -> t
         with z.open(zipfile.ZipInfo(WARC), "w", force_zip64=True) as w:
             for data, page_id, url in rows:
                 w.write(data)
-                index.append(json.dumps({"id": page_id, "url": url, "offset": at, "length": len(data)}))
+                line = {"id": page_id, "url": url, "filename": WARC.rpartition("/")[2], "offset": str(at), "length": str(len(data))}
+                index.append(f"{key_of(url)} {re.sub('[^0-9]', '', DATE)} {json.dumps(line)}")
                 at += len(data)
         with z.open(zipfile.ZipInfo(INDEX), "w") as w:
-            w.write("".join(f"{x}\n" for x in index).encode())
+            w.write("".join(f"{x}\n" for x in sorted(index)).encode("utf-8", "replace"))
     return path, len(rows)
 
 
@@ -158,38 +175,76 @@ def write_archives(pages: DataFrame, folder: str | None = None) -> DataFrame:
 # --- reading
 
 
+def _named(found: dict[str, tuple[int, int]], kind: tuple[str, tuple[str, ...]]) -> dict[str, tuple[int, int]]:
+    """The stored members in a folder whose names end so, by their names in it."""
+    folder, ends = kind
+    return {n[len(folder) :]: place for n, place in found.items() if n.startswith(folder) and n.lower().endswith(ends)}
+
+
+def _entry(line: bytes, archives: dict[str, tuple[int, int]]) -> tuple | None:
+    """Offset in the package, length, page id and url of a line of an index; None for one that names no record here."""
+    text = line.decode("utf-8", "replace")
+    try:
+        row = json.loads(text[text.index("{") :])
+        name = row.get("filename")
+        start, size = archives[name] if name is not None else next(iter(archives.values())) if len(archives) == 1 else (None, 0)
+        offset, length = int(row["offset"]), int(row["length"])
+    except (ValueError, KeyError, TypeError):
+        return None
+    if start is None or offset < 0 or length <= 0 or offset + length > size:
+        return None
+    return start + offset, length, row.get("id") if isinstance(row.get("id"), int) else None, row.get("url")
+
+
 def index(manifest: DataFrame) -> DataFrame:
-    """Where each record of the packages lies: path, offset, length, page_id, url."""
+    """Where each record of the packages lies: path, offset, length, page_id (null in a package of others), url. Lines that name no record are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path in batch.column(0).to_pylist():
                 with _open(path) as f:
                     found = members(f, f.size())
-                    (start, _), (at, left), rest = found[WARC], found[INDEX], b""
-                    while left:
-                        f.seek(at)
-                        data = f.read(min(left, READ_BYTES))
-                        at, left = at + len(data), left - len(data)
-                        *lines, rest = (rest + data).split(b"\n")
-                        rows = [json.loads(x) for x in lines]
-                        yield pa.RecordBatch.from_arrays([pa.array([path] * len(rows), pa.string()), pa.array([start + r["offset"] for r in rows], pa.int64()), *(pa.array([r[k] for r in rows], t) for k, t in (("length", pa.int64()), ("id", pa.int64()), ("url", pa.string())))], ["path", "offset", "length", "page_id", "url"])
+                    archives = _named(found, ARCHIVES)
+                    for at, left in _named(found, INDEXES).values():
+                        rest = b""
+                        while left:
+                            f.seek(at)
+                            data = f.read(min(left, READ_BYTES))
+                            at, left = at + len(data), left - len(data)
+                            *lines, rest = (rest + data).split(b"\n")
+                            lines += [rest] if not left else []  # the last line may have no end
+                            rows = [r for x in lines if (r := _entry(x, archives))]
+                            columns = list(zip(*rows)) or [[], [], [], []]
+                            yield pa.RecordBatch.from_arrays([pa.array([path] * len(rows), pa.string()), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string())))], ["path", "offset", "length", "page_id", "url"])
 
     tasks = max(1, min(manifest.count(), 10_000))
     return manifest.select("path").repartition(tasks).mapInArrow(run, _INDEX_SCHEMA)
 
 
+_PAGE = re.compile(r"<urn:page:(\d+)>$")
+
+
+def _fields(head: bytes) -> dict[str, str]:
+    """Header fields by name in lower case."""
+    pairs = (x.partition(":") for x in head.decode("utf-8", "replace").split("\r\n")[1:])
+    return {k.strip().lower(): v.strip() for k, _, v in pairs}
+
+
 def parse(data: bytes) -> tuple:
-    """Page id, url, payload bytes, payload digest, type, referred page and payload of one gzip member."""
-    head, _, body = zlib.decompress(data, 31).partition(b"\r\n\r\n")
-    fields = dict(x.split(": ", 1) for x in head.decode("utf-8").split("\r\n")[1:])
-    http, _, payload = body[: int(fields["Content-Length"])].partition(b"\r\n\r\n")
-    page = lambda name: int(x) if name in fields and (x := fields[name][len("<urn:page:") : -1]) != "None" else None
-    kind, url = fields["WARC-Type"], fields.get("WARC-Target-URI")
+    """Page id, url, payload bytes, payload digest, type, referred page and payload of one record, a gzip member or plain.
+
+    Page ids are of the packages written here and null in others; so is what a revisit of another's doesn't say.
+    """
+    head, _, body = (zlib.decompress(data, 31) if data[:2] == b"\x1f\x8b" else data).partition(b"\r\n\r\n")
+    fields = _fields(head)
+    block = body[: int(fields.get("content-length", 0))]
+    http, _, payload = block.partition(b"\r\n\r\n") if block.startswith(b"HTTP/") else (b"", b"", block)
+    page = lambda name: int(m[1]) if (m := _PAGE.match(fields.get(name, ""))) else None
+    kind, url = fields.get("warc-type"), fields.get("warc-target-uri")
     if kind == "revisit":
-        size = int(dict(x.split(": ", 1) for x in http.decode().split("\r\n")[1:])["Content-Length"])
-        return page("WARC-Record-ID"), url, size, fields["WARC-Payload-Digest"].removeprefix("sha256:"), kind, page("WARC-Refers-To"), None
-    return page("WARC-Record-ID"), url, len(payload), hashlib.sha256(payload).hexdigest(), kind, None, payload
+        size, digest = _fields(http).get("content-length"), fields.get("warc-payload-digest", "")
+        return page("warc-record-id"), url, int(size) if size else None, digest.removeprefix("sha256:") or None, kind, page("warc-refers-to"), None
+    return page("warc-record-id"), url, len(payload), hashlib.sha256(payload).hexdigest(), kind, None, payload
 
 
 def ranges(rows: list[tuple[str, int, int]]) -> Iterator[tuple[str, int, int, list[tuple[int, int]]]]:

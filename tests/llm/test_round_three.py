@@ -9,7 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from cullspark.llm import decontaminate, lexical, repair, wordbytes
+from cullspark.llm import chat, decontaminate, lexical, repair, warc, wordbytes
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -241,3 +241,51 @@ def test_bisection_brings_alike_documents_together():
     path = lexical.bisected(doc, term, 256, 200, 2, rounds=20)
     assert (np.bincount(path) == 64).all()
     assert np.mean([np.bincount(kind[path == p]).max() / 64 for p in range(4)]) > 0.9
+
+
+# --- packages of others, and blanks before calls
+
+
+def test_packages_of_others(spark, tmp_path):
+    """Several archives and indexes under other names, offsets as texts or numbers, records by other writers."""
+    import gzip
+    import json
+    import zipfile
+
+    def rec(kind, body, **more):
+        head = {"WARC-Type": kind, "WARC-Record-ID": "<urn:uuid:1>", "Content-Length": str(len(body))} | more
+        return ("WARC/1.0\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head.items()) + "\r\n").encode() + body + b"\r\n\r\n"
+
+    http = b"HTTP/1.1 200 OK\r\nX: y\r\n\r\n"
+    one = [gzip.compress(rec("response", http + b"first", **{"WARC-Target-URI": "http://a.example/"})), gzip.compress(rec("metadata", b"plain words"))]
+    two = [rec("response", http + b"second"), rec("revisit", b"HTTP/1.1 200 OK\r\nContent-Length: 7\r\n\r\n", **{"WARC-Payload-Digest": "sha256:aa"}), rec("revisit", b"", **{"warc-payload-digest": "sha1:XX"})]
+    lines = [f'example,a)/ 2001 {json.dumps({"url": "http://a.example/", "filename": "rec-1.warc.gz", "offset": "0", "length": str(len(one[0]))})}', f'x) 2001 {json.dumps({"filename": "rec-1.warc.gz", "offset": len(one[0]), "length": len(one[1]), "id": "text"})}', "!meta 0 no object", 'y) 1 {"filename": "gone.warc.gz", "offset": 0, "length": 3}', 'y) 1 {"filename": "rec-1.warc.gz", "offset": 0, "length": 99999}']
+    at, more = 0, []
+    for r in two:
+        more.append(json.dumps({"filename": "sub/b.WARC", "offset": at, "length": len(r)}))
+        at += len(r)
+    path = str(tmp_path / "p.wacz")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_STORED) as z:
+        z.writestr("datapackage.json", "{}")
+        z.writestr("archive/rec-1.warc.gz", b"".join(one))
+        z.writestr("archive/sub/b.WARC", b"".join(two))
+        z.writestr("indexes/index.cdxj", "\n".join(lines))
+        z.writestr("indexes/more.cdx", "\n".join(more) + "\n")
+        z.writestr(zipfile.ZipInfo("indexes/packed.cdxj"), "x" * 1000, zipfile.ZIP_DEFLATED)
+    places = warc.index(spark.createDataFrame([(f"file://{path}", 5)], "path string, records long"))
+    assert places.count() == 5 and places.where("page_id is not null").count() == 0
+    got = [(r.record_type, r.payload_bytes if r.payload_bytes is not None else -1, r.payload_digest, r.url, bytes(r.payload or b"")) for r in warc.read_records(places, payload=True).collect()]
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    assert sorted(got, key=str) == sorted([("response", 5, sha(b"first"), "http://a.example/", b"first"), ("metadata", 11, sha(b"plain words"), None, b"plain words"), ("response", 6, sha(b"second"), None, b"second"), ("revisit", 7, "aa", None, b""), ("revisit", -1, "sha1:XX", None, b"")], key=str)
+
+
+def test_keys_of_an_index():
+    assert warc.key_of("HTTPS://www.Example.org/A b?q=1") == "org,example,www)/a%20b?q=1"
+    assert warc.key_of(None) == ")/" and warc.key_of("http://[broken") == ")http://[broken"
+
+
+def test_blanks_before_calls(spark):
+    call = ' \n\t{"tool_calls": [{"id": "a", "name": "reply", "arguments": {"turn": 1, "prompt": "x"}}]}'
+    data = [(1, 0, "assistant", call), (1, 1, "tool", '\r\n {"tool_call_id": "a", "content": "y"}'), (1, 2, "assistant", " [1]"), (1, 3, "assistant", " {broken")]
+    got = {r.turn: (r.kind, r.linked, r.errors) for r in chat.linked(spark.createDataFrame(data, "conv_id long, turn long, role string, text string"), chat.REPLY).collect()}
+    assert got == {0: ("call", True, ""), 2: ("message", False, ""), 3: ("message", False, "")}
