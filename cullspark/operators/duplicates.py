@@ -61,24 +61,41 @@ def _near_numbers(photos: DataFrame) -> DataFrame:
     return p.withColumn("gap", F.abs(F.col("a_idx") - F.col("b_idx"))).where(F.col("gap") <= GAP)
 
 
-def duplicate_pairs(photos: DataFrame) -> DataFrame:
-    """Near-duplicate pairs (album_id, a, b, gap, hamming) of photos with boxes (array of box) and prints (array of fingerprint).
+#: Photos that may be broadcast, once they were counted: ids alone.
+FEW = 200_000
 
-    Numbers and hashes decide most pairs; faces are fetched for the others alone.
+
+def gathered(faces: DataFrame) -> DataFrame:
+    """photo_id, boxes and prints of faces (photo_id, face_index, box, print), in order of face_index."""
+    by = faces.groupBy("photo_id").agg(F.array_sort(F.collect_list(F.struct("face_index", "box", "print"))).alias("_f"))
+    return by.select("photo_id", F.transform("_f", lambda x: x["box"]).alias("boxes"), F.transform("_f", lambda x: x["print"]).alias("prints"))
+
+
+def duplicate_pairs(photos: DataFrame, faces: DataFrame) -> DataFrame:
+    """Near-duplicate pairs (album_id, a, b, gap, hamming) of photos, given their faces (photo_id, face_index, box, print).
+
+    Numbers and hashes decide most pairs. The others are written and the photos in them counted, and only those
+    photos' faces are read, gathered and joined.
     """
     p = _near_numbers(photos)
     hashes = (F.coalesce("a_perceptual_hash", F.lit("")) != "") & (F.coalesce("b_perceptual_hash", F.lit("")) != "")
     p = p.withColumn("both_hashes", hashes).withColumn("hamming", F.when(hashes, S.hamming(F.col("a_perceptual_hash"), F.col("b_perceptual_hash"))))
     judge = lambda framing, faces: near_duplicate(F.col("gap"), F.col("hamming"), F.col("both_hashes"), framing, faces)
     p = p.select("album_id", F.col("a_photo_id").alias("a"), F.col("b_photo_id").alias("b"), "gap", "hamming", "both_hashes")
-    p = p.withColumn("sure", judge(F.lit(False), F.lit(False))).withColumn("may", judge(F.lit(True), F.lit(True)))
-    some = lambda c: F.coalesce(c, F.array())
+    p = p.withColumn("sure", judge(F.lit(False), F.lit(False))).where(judge(F.lit(True), F.lit(True)))
+    p = scratch.written(p, "pairs")
+    open_ = p.where("not sure")
+    asked = scratch.written(open_.select(F.explode(F.array("a", "b")).alias("photo_id")).distinct(), "asked")
+    few = asked.count() <= FEW
+    seen = scratch.written(gathered(faces.join(F.broadcast(asked) if few else asked, "photo_id", "left_semi")), "seen")
     for k in "ab":
-        face = photos.select(F.col("album_id").alias("_album"), F.col("photo_id").alias("_photo"), F.col("boxes").alias(f"{k}_boxes"), F.col("prints").alias(f"{k}_prints"))
-        p = p.where("may").join(face, ~F.col("sure") & (F.col("album_id") == F.col("_album")) & (F.col(k) == F.col("_photo")), "left").drop("_album", "_photo")
+        face = seen.select(F.col("photo_id").alias(k), F.col("boxes").alias(f"{k}_boxes"), F.col("prints").alias(f"{k}_prints"))
+        open_ = open_.join(face, k, "left")
+    some = lambda c: F.coalesce(c, F.array())
     framing = S.framings_similar(some(F.col("a_boxes")), some(F.col("b_boxes")))
-    faces = S.faces_similar(some(F.col("a_prints")), some(F.col("b_prints")))
-    return p.where(F.col("sure") | judge(framing, faces)).select("album_id", "a", "b", "gap", "hamming")
+    alike = S.faces_similar(some(F.col("a_prints")), some(F.col("b_prints")))
+    columns = ["album_id", "a", "b", "gap", "hamming"]
+    return p.where("sure").select(*columns).unionByName(open_.where(judge(framing, alike)).select(*columns))
 
 
 def groups(photos: DataFrame, links: DataFrame) -> DataFrame:

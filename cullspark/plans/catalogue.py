@@ -215,21 +215,13 @@ _BEST = _GROUPS + """, ranks as (select c.photo_id, c.component, f.album_id, cou
   first(c.photo_id) over (partition by component order by case when blurred then 0 when closed_eyes then 1 else 2 end desc, coalesce(star_rating, 0) desc, captured_at nulls last, file_name, cast(c.photo_id as varchar)) as best_photo_id from comp c join flagged f on f.photo_id = c.photo_id)"""
 
 
-def with_faces(spark, sf_dir) -> DataFrame:
-    """Photos with boxes and fingerprints of their faces, in order of face_index."""
-    f = labelled(spark, sf_dir).withColumn("print", S.fingerprint(F.col("face")))
-    by = f.groupBy("photo_id").agg(F.array_sort(F.collect_list(F.struct("face_index", "box", "print"))).alias("_f"))
-    by = by.select("photo_id", F.transform("_f", lambda x: x["box"]).alias("boxes"), F.transform("_f", lambda x: x["print"]).alias("prints"))
-    return photos(spark, sf_dir).join(by, "photo_id", "left")
-
-
 @query(_PAIRS + "select album_id, a, b, dt from pairs")
 def temporal_pairs(spark, sf_dir):
     return duplicates.pairs(photos(spark, sf_dir)).select("album_id", F.col("a_photo_id").alias("a"), F.col("b_photo_id").alias("b"), "dt")
 
 
 def _links(spark, sf_dir):
-    return duplicates.duplicate_pairs(with_faces(spark, sf_dir))
+    return duplicates.duplicate_pairs(photos(spark, sf_dir), _printed(spark, sf_dir).select("photo_id", "face_index", "box", "print"))
 
 
 @query(_PAIRS + "select album_id, a, b, gap, ham as hamming from links")

@@ -72,7 +72,8 @@ def photo_rows(spark, rows):
 
 def found(spark, rows):
     p = photo_rows(spark, rows)
-    links = duplicates.duplicate_pairs(p)
+    faces_ = p.select("photo_id", F.posexplode(F.arrays_zip("boxes", "prints")).alias("face_index", "f")).select("photo_id", "face_index", F.col("f.boxes").alias("box"), F.col("f.prints").alias("print"))
+    links = duplicates.duplicate_pairs(p, faces_)
     return p, duplicates.best_of_groups(p, duplicates.groups(p, links))
 
 
