@@ -70,17 +70,19 @@ def contour_ratio(points: Column, places: tuple[int, ...]) -> Column:
 
     Null where one of the points is missing.
     """
-    chosen = F.array(*(F.get(points, k) for k in places))
-    x, y = F.transform(chosen, lambda p: p["x"].cast("double")), F.transform(chosen, lambda p: p["y"].cast("double"))
-    whole = F.forall(chosen, lambda p: p.isNotNull() & p["x"].isNotNull() & p["y"].isNotNull())
     mean = lambda v: F.aggregate(v, F.lit(0.0), lambda s, e: s + e) / F.size(v)
-    height = _let(mean(y), lambda m: F.abs(mean(F.filter(y, lambda v: v >= m)) - mean(F.filter(y, lambda v: v <= m))))
-    return F.when(whole, height / F.greatest(F.lit(1e-3), F.array_max(x) - F.array_min(x)))
+
+    def of(p: Column) -> Column:
+        height = _let(mean(p["y"]), lambda m: F.abs(mean(F.filter(p["y"], lambda v: v >= m)) - mean(F.filter(p["y"], lambda v: v <= m))))
+        return F.when(F.forall(p["x"], lambda v: v.isNotNull()) & F.forall(p["y"], lambda v: v.isNotNull()), height / F.greatest(F.lit(1e-3), F.array_max(p["x"]) - F.array_min(p["x"])))
+
+    parts = F.struct(*(F.array(*(F.get(points, k)[c].cast("double") for k in places)).alias(c) for c in "xy"))
+    return _let(parts, of)
 
 
 def contour_eyes(points: Column) -> Column:
     """ratio, probability, open and confidence from the contours of both eyes; all null where a point is missing."""
-    ratio = (contour_ratio(points, LEFT_CONTOUR) + contour_ratio(points, RIGHT_CONTOUR)) / 2
+    ratio = _let(points, lambda p: (contour_ratio(p, LEFT_CONTOUR) + contour_ratio(p, RIGHT_CONTOUR)) / 2)
 
     def judged(r: Column) -> Column:
         p = _held((r - CLOSED_RATIO) / (OPEN_RATIO - CLOSED_RATIO), 0.0, 1.0)

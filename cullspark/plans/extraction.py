@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 from ..functions import detector, display, exif, image, retry
 from ..functions import scalar as S
-from ..operators import detection, stats
-from ..sources import scratch, search
+from ..operators import detection, incremental, stats
+from ..sources import scratch, search, store
 from ..sources.fixtures import faces as faces_of
-from ..sources.fixtures import photos
+from ..sources.fixtures import labelled, photos
 from ..streaming import compose, state
-from .catalogue import _ALBUMS, ORACLES, QUERIES, _album_faces, _albums, query
+from .catalogue import _ALBUMS, _STATE, _STATES, ORACLES, QUERIES, _album_faces, _albums, _states, flagged, query
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -160,7 +160,7 @@ _ACCENTED = "concat(case photo_id % 7 when 0 then 'Été' when 1 then 'ete' when
 
 
 @query(f""", n as (select album_id, photo_id, {_ACCENTED.format(S='varchar')} as name from photos0)
-  select album_id, photo_id, row_number() over (partition by album_id order by strip_accents(lower(regexp_extract(name, '^[^0-9]+', 0))), cast(regexp_extract(name, '[0-9]+', 0) as int), photo_id) as position from n""")
+  select album_id, photo_id, row_number() over (partition by album_id order by strip_accents(lower(regexp_extract(name, '^[^0-9]+', 0))) || '0', cast(regexp_extract(name, '[0-9]+', 0) as int), photo_id) as position from n""")
 def natural_order_accents(spark, sf_dir):
     """Names in natural order where accents and case tell none apart."""
     p = photos(spark, sf_dir).withColumn("name", F.expr(_ACCENTED.format(S="string")))
@@ -257,3 +257,84 @@ def upload_attempts(spark, sf_dir):
     u = u.withColumn("o", retry.outcome(F.col("status"), F.col("etag"), F.col("body"), F.col("timed_out")))
     wait = F.when(F.col("o.again"), retry.longest_wait(F.col("attempt"), F.col("status"), F.col("header"), F.lit(5000)))
     return u.select("event_id", "o.done", "o.again", "o.category", wait.alias("wait"))
+
+
+# --- rules that had tests alone
+
+@query("""select photo_id, face_index, list_transform(case when lx is null then [aspect, yaw / 90 * 0.2e0, pitch / 90 * 0.2e0] else list_concat(print[1:6], [yaw / 90 * 0.2e0, pitch / 90 * 0.2e0]) end, lambda x: round(x, 7) + 0.0e0) as print from tiered""")
+def identity_prints(spark, sf_dir):
+    """Fingerprints for telling persons apart: poses weigh a fifth, and without both eyes there are three numbers."""
+    print_ = F.transform(S.fingerprint(F.col("face"), 0.2, True), lambda x: F.round(x, 7) + 0.0)
+    return labelled(spark, sf_dir).select("photo_id", "face_index", print_.alias("print"))
+
+
+@query("""select photo_id, face_index, round(radians(greatest(-45e0, least(45e0, (nx * 4000 - (lx + rx) * 4000 / 2) / greatest(1, abs(rx - lx) * 4000) * 35))), 8) as yaw,
+  case when low > 0.42 and low < 0.68 then -0.18 when my <= (ly + ry) / 2 then -0.2 else 0 end * 1.0e0 as pitch from (select *, round(((ly + ry) / 2 * 3000 - box_top * 3000) / greatest(1, box_height * 3000), 9) as low from tiered) where lx is not null and nx is not null and my is not null""")
+def detector_poses(spark, sf_dir):
+    """Poses from the places of eyes, nose and mouth."""
+    c = F.col
+    f = faces_of(spark, sf_dir).where("lx is not null and nx is not null and my is not null")
+    eyes, top = (c("ly") + c("ry")) / 2 * 3000, c("box_top") * 3000
+    return f.select("photo_id", "face_index", F.round(detector.yaw(c("lx") * 4000, c("rx") * 4000, c("nx") * 4000), 8).alias("yaw"), detector.pitch(top, top + c("box_height") * 3000, eyes, c("my") * 3000).alias("pitch"))
+
+
+@query(""", n as (select photo_id, face_index, case when l_partkey % 5 = 0 then 'closed' when l_partkey % 5 = 1 then 'odd' end as own, case when l_suppkey % 4 = 0 then 'good' end as sharp_own, case when l_partkey % 7 > 0 then sharpness end as s, eye, eye_conf from tiered),
+  m as (select *, coalesce(case when own = 'closed' then own end, eye) as e, coalesce(sharp_own, case when coalesce(s, 0) >= 65 then 'good' when coalesce(s, 0) >= 40 then 'soft' else 'blurred' end) as f from n)
+  select photo_id, face_index, e as eye, f as focus, photo_id || '-' || face_index as cluster, case e when 'closed' then 'Closed Eyes' when 'partial' then 'Partial Eyes' else 'Open Eyes' end as eye_text, case f when 'blurred' then 'Blurred' when 'soft' then 'Soft Focus' else 'Good Focus' end as focus_text,
+    case when e = 'closed' then 'bad' when e = 'partial' then 'warning' else 'good' end as eye_colour, case when f = 'blurred' then 'bad' when f = 'soft' then 'warning' else 'good' end as focus_colour from m""")
+def native_faces(spark, sf_dir):
+    """A detector's faces as the engine holds them, with what is shown of them."""
+    c = F.col
+    eyes = F.struct(c("eyes_open").alias("value"), c("eye_conf").cast("double").alias("confidence"), c("left_prob").alias("left"), c("right_prob").alias("right"))
+    own = F.struct(F.when(c("l_partkey") % 5 == 0, "closed").when(c("l_partkey") % 5 == 1, "odd").alias("eyeStatus"), F.when(c("l_suppkey") % 4 == 0, "good").alias("focusLevel"), F.when(c("l_partkey") % 7 > 0, c("sharpness").cast("double")).alias("sharpness"), F.lit(None).cast("double").alias("brightness"), F.lit(None).cast("struct<left: double>").alias("boundingBox"), eyes.alias("eyesOpen"))
+    f = faces_of(spark, sf_dir).withColumn("own", own).select("photo_id", "face_index", S.native_face(c("own"), c("photo_id"), c("face_index")).alias("n"))
+    return f.select("photo_id", "face_index", c("n.eyeStatus").alias("eye"), c("n.focusLevel").alias("focus"), c("n.clusterId").alias("cluster"), S.eye_label(c("n.eyeStatus")).alias("eye_text"), S.focus_label(c("n.focusLevel")).alias("focus_text"), S.status_colour(c("n.eyeStatus")).alias("eye_colour"), S.status_colour(c("n.focusLevel")).alias("focus_colour"))
+
+
+_LINKS = "concat('file:///a/thumbs/', cast(photo_id as {S}), case photo_id % 3 when 0 then '.v4.jpg' when 1 then '.v3.jpg' else '.jpg' end)"
+
+
+@query(f"""select photo_id, case when photo_id % 3 = 0 then {_LINKS.format(S='varchar')} end as grid, case when photo_id % 3 = 0 then {_LINKS.format(S='varchar')} else 'file:///a/' || file_name end as shown,
+  case when photo_id % 2 = 0 then 'file:///a/details/' || photo_id || '.d1.jpg?v=2' when photo_id % 3 = 0 then {_LINKS.format(S='varchar')} else 'file:///a/' || file_name end as detail,
+  case when photo_id % 4 > 1 then lower(perceptual_hash) end as hash, case photo_id % 4 when 0 then 'image/webp' when 1 then 'image/heic' else 'image/jpeg' end as type, photo_id % 4 <> 0 as supported, photo_id % 5 <> 0 as again from photos0""")
+def photo_views(spark, sf_dir):
+    """What is shown of photos: images that can be used, valid hashes, types, and whether they are analysed anew."""
+    c = F.col
+    uri, thumb = F.concat(F.lit("file:///a/"), "file_name"), F.expr(_LINKS.format(S="string"))
+    detail = F.when(c("photo_id") % 2 == 0, F.concat(F.lit("file:///a/details/"), "photo_id", F.lit(".d1.jpg?v=2"))).otherwise(F.concat(F.lit("file:///a/details/"), "photo_id", F.lit(".jpg")))
+    given = F.when(c("photo_id") % 4 == 3, F.upper("perceptual_hash")).when(c("photo_id") % 4 == 2, F.concat(F.lit(" "), "perceptual_hash")).when(c("photo_id") % 4 == 1, F.substring("perceptual_hash", 1, 15))
+    name = F.when(c("photo_id") % 4 == 0, F.regexp_replace("file_name", "JPG$", "WebP")).when(c("photo_id") % 4 == 1, F.regexp_replace("file_name", "JPG$", "HEIC")).otherwise(c("file_name"))
+    version = F.when(c("photo_id") % 5 == 0, S.CURRENT_ENGINE["desktop"]).when(c("photo_id") % 5 == 1, "scrfd-ocec-1").when(c("photo_id") % 5 == 2, "")
+    return photos(spark, sf_dir).select("photo_id", display.grid_uri(thumb).alias("grid"), display.display_uri(uri, thumb).alias("shown"), display.detail_uri(uri, thumb, detail).alias("detail"), S.valid_hash(given).alias("hash"), store.mime(name, F.lit("public.image")).alias("type"), S.supported_format(name, F.lit(None).cast("string")).alias("supported"), S.needs_reanalysis(version).alias("again"))
+
+
+@query(""", e as (select *, photo_id % 3 = 0 and album_id % 4 <> 0 as edit from flagged), a as (select *, case when edit and photo_id % 2 = 0 then photo_id % 4 = 0 else selected end as now, case when edit and photo_id % 5 > 0 then case when star_rating = photo_id % 5 then 0 else photo_id % 5 end else star_rating end as star from e)
+  select album_id, count(*) filter (now) as my_selections, cast(sum(star) as bigint) as stars from a group by 1""")
+def edited_albums(spark, sf_dir):
+    """Selections and stars of albums after edits, which albums with uploads refuse; the same star again clears it."""
+    p = flagged(spark, sf_dir)
+    touched = p.where("photo_id % 3 = 0")
+    stars = incremental.toggle_star(p, touched.where("photo_id % 5 > 0").select("album_id", "photo_id", (F.col("photo_id") % 5).cast("int").alias("star")))
+    edits = touched.select("album_id", "photo_id", F.when(F.col("photo_id") % 2 == 0, F.col("photo_id") % 4 == 0).alias("new_selected")).join(stars.select("album_id", "photo_id", F.col("star_rating").alias("new_star")), ["album_id", "photo_id"], "left")
+    after = incremental.edited(p, edits, p.select("album_id").distinct().withColumn("has_uploads", F.col("album_id") % 4 == 0))
+    counted = incremental.stats_after_edit(stats.album_stats(p), p, after).select("album_id", "my_selections")
+    return counted.join(after.groupBy("album_id").agg(F.sum("star_rating").cast("long").alias("stars")), "album_id")
+
+
+@query(_STATES + "select album_id, count(*) filter (status = 'uploaded') as kept, coalesce(album_id % 3 = 0, false) or bool_or(coalesce(analysis_status <> 'idle', false)) as started from states group by 1")
+def cancelled_imports(spark, sf_dir):
+    """What albums keep when an import is cancelled, and whether their analysis had begun."""
+    p = _states(spark, sf_dir)
+    kept = incremental.pruned(p).groupBy("album_id").agg(F.count(F.lit(1)).alias("kept"))
+    known = p.select("album_id").distinct().withColumn("completed", F.when(F.col("album_id") % 3 == 0, True))
+    return incremental.started(known, p).join(kept, "album_id", "left").select("album_id", F.coalesce("kept", F.lit(0)).cast("long").alias("kept"), "started")
+
+
+@query("select album_id, cast(photo_id as varchar) as photo_id, file_name as name, file_size, coalesce(" + _STATE + ", 'pending') as upload_status, photo_id % 9 as updated_at from photos0 where photo_id % 10 <> 3")
+def stored_rows(spark, sf_dir):
+    """Photos as rows of JSON with promoted columns, read back by field; rows that can't be read are left out."""
+    p = photos(spark, sf_dir).withColumn("file", F.struct(F.col("file_name").alias("name"), F.col("file_size").alias("size"))).withColumn("status", F.expr(_STATE))
+    rows = store.encode(p, ["file", "status"], F.col("photo_id") % 9)
+    rows = rows.withColumn("data", F.when(F.col("photo_id").cast("long") % 10 == 3, F.lit("{broken")).otherwise(F.col("data")))
+    fields = store.decode(rows, "file struct<name: string, size: long>").select("album_id", "photo_id", "updated_at", "file.name")
+    return fields.join(rows.select("album_id", "photo_id", "file_size", "upload_status"), ["album_id", "photo_id"])
