@@ -150,9 +150,9 @@ def image_sharpness(spark, sf_dir):
 @query()
 def two_pass_faces(spark, sf_dir):
     """Faces of pictures by a detector that finds the same small ones in every part it is given; tests hold the passes against plain loops."""
-    p = _pictures(spark, sf_dir, "60 + photo_id % 7", "40 + photo_id % 5")
+    p = _pictures(spark, sf_dir, "24 + photo_id % 7", "16 + photo_id % 5")
     detect = detection.constant([(0.9, 0.1, 0.1, 0.02, 0.03), (0.6, 0.55, 0.4, 0.03, 0.02)])
-    found = detection.detected(p, detect, least_pixels=2500).select("photo_id", F.posexplode("found").alias("face_index", "d"))
+    found = detection.detected(p, detect, least_pixels=450).select("photo_id", F.posexplode("found").alias("face_index", "d"))
     return found.select("photo_id", "face_index", "d.score", *(F.round(f"d.{c}", 6).alias(c) for c in ("left", "top", "width", "height")))
 
 
@@ -268,14 +268,14 @@ def identity_prints(spark, sf_dir):
     return labelled(spark, sf_dir).select("photo_id", "face_index", print_.alias("print"))
 
 
-@query("""select photo_id, face_index, round(radians(greatest(-45e0, least(45e0, (nx * 4000 - (lx + rx) * 4000 / 2) / greatest(1, abs(rx - lx) * 4000) * 35))), 8) as yaw,
+@query("""select photo_id, face_index, round(radians(greatest(-45e0, least(45e0, (nx * 4000 - (lx + rx) * 4000 / 2) / greatest(1, abs(rx - lx) * 4000) * 35))), 8) + 0.0e0 as yaw,
   case when low > 0.42 and low < 0.68 then -0.18 when my <= (ly + ry) / 2 then -0.2 else 0 end * 1.0e0 as pitch from (select *, round(((ly + ry) / 2 * 3000 - box_top * 3000) / greatest(1, box_height * 3000), 9) as low from tiered) where lx is not null and nx is not null and my is not null""")
 def detector_poses(spark, sf_dir):
     """Poses from the places of eyes, nose and mouth."""
     c = F.col
     f = faces_of(spark, sf_dir).where("lx is not null and nx is not null and my is not null")
     eyes, top = (c("ly") + c("ry")) / 2 * 3000, c("box_top") * 3000
-    return f.select("photo_id", "face_index", F.round(detector.yaw(c("lx") * 4000, c("rx") * 4000, c("nx") * 4000), 8).alias("yaw"), detector.pitch(top, top + c("box_height") * 3000, eyes, c("my") * 3000).alias("pitch"))
+    return f.select("photo_id", "face_index", (F.round(detector.yaw(c("lx") * 4000, c("rx") * 4000, c("nx") * 4000), 8) + F.lit(0.0)).alias("yaw"), detector.pitch(top, top + c("box_height") * 3000, eyes, c("my") * 3000).alias("pitch"))
 
 
 @query(""", n as (select photo_id, face_index, case when l_partkey % 5 = 0 then 'closed' when l_partkey % 5 = 1 then 'odd' end as own, case when l_suppkey % 4 = 0 then 'good' end as sharp_own, case when l_partkey % 7 > 0 then sharpness end as s, eye, eye_conf from tiered),
