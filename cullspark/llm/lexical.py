@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, forget, small_batches
+from .common import BROADCAST_ROWS, cut, forget, small_batches
 
 #: The tree: documents it is fitted to (in expectation, twice as many at most), features that terms are hashed to, parts at most, and documents of a part.
 SAMPLE, FEATURES, LEAVES, PART = 2048, 1 << 14, 64, 1024
@@ -342,7 +342,8 @@ def _visited(index: Index, visits: DataFrame, pairs) -> DataFrame:
     A task goes on with the scores that it has found: a shard whose bound doesn't reach a query's tenth is passed over.
     """
     n_all, length = index.documents, index.length
-    by_shard = visits.groupBy("chunk", "shard").agg(F.collect_list(F.struct("query", "bound", "least")).alias("wanted"))  # queries of a batch at most
+    by_shard = cut(visits.groupBy("chunk", "shard").agg(F.collect_list(F.struct("query", "bound", "least")).alias("wanted")), "visits")  # queries of a batch at most
+    few = (by_shard.agg(F.sum(F.size("wanted"))).first()[0] or 0) <= BROADCAST_ROWS  # else shards are shuffled to them
 
     def run(parts):
         queries = _Queries(pairs.value)
@@ -363,7 +364,7 @@ def _visited(index: Index, visits: DataFrame, pairs) -> DataFrame:
             reach[np.searchsorted(queries.numbers, full.index.to_numpy(np.int64))] = full["min"].to_numpy(np.int64)
         yield best
 
-    rows = index.shards.join(by_shard, ["chunk", "shard"])
+    rows = index.shards.join(F.broadcast(by_shard) if few else by_shard, ["chunk", "shard"])
     return rows.select("bound", "posting", "doc_ids", "lengths", "wanted").mapInPandas(run, "query long, doc_id long, score long")
 
 
