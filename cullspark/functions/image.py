@@ -6,6 +6,8 @@ of an image, and how, differs by platform: see SOURCES and SHARPNESS. Only a pho
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -73,8 +75,7 @@ def bilinear(plane: np.ndarray, y: np.ndarray, x: np.ndarray) -> np.ndarray:
         return low, np.minimum(n - 1, low + 1), v - low
 
     (y0, y1, ty), (x0, x1, tx) = around(y, plane.shape[0]), around(x, plane.shape[1])
-    if plane.ndim == 3:
-        tx = tx[:, None]
+    tx = tx.reshape(-1, *[1] * (plane.ndim - 2))
     at = lambda i, j: plane[np.ix_(i, j)]
     upper, lower = at(y0, x0) + (at(y0, x1) - at(y0, x0)) * tx, at(y1, x0) + (at(y1, x1) - at(y1, x0)) * tx
     return upper + (lower - upper) * ty.reshape(-1, *[1] * (plane.ndim - 1))
@@ -110,6 +111,11 @@ def _seen(pixels: np.ndarray, profile: str) -> np.ndarray:
 
 def dhash(pixels: np.ndarray, profile: str = "desktop", orientation: int | None = 1) -> str:
     """64-bit difference hash of an image: 9 x 8 samples, left brighter than right, as 16 hex digits."""
+    return dhashes(pixels[:, :, None], profile, orientation)[0]
+
+
+def dhashes(pixels: np.ndarray, profile: str = "desktop", orientation: int | None = 1) -> list[str]:
+    """dhash of images of one size: rows, columns, images, blue-green-red."""
     seen = _seen(oriented(pixels, orientation), profile)
     high, wide = seen.shape[:2]
     if SOURCES[profile]["samples"] == "point":
@@ -119,24 +125,28 @@ def dhash(pixels: np.ndarray, profile: str = "desktop", orientation: int | None
     else:
         gray = luma(np.floor(bilinear(seen.astype(float), centres(8, high), centres(9, wide)) + 0.5))
     gray = gray.astype(np.uint8)
-    return np.packbits((gray[:, :-1] > gray[:, 1:]).ravel()).tobytes().hex()
+    bits = (gray[:, :-1] > gray[:, 1:]).reshape(64, -1)
+    return [x.tobytes().hex() for x in np.packbits(bits, axis=0).T]
 
 
-def _spread(gray: np.ndarray, base: float) -> float:
-    """0 to 100 from the variance of the Laplacian."""
+def _spread(gray: np.ndarray, base: float) -> np.ndarray:
+    """0 to 100 from the variance of the Laplacian, for an image or for each of rows, columns, images."""
     lap = 4.0 * gray[1:-1, 1:-1] - gray[:-2, 1:-1] - gray[2:, 1:-1] - gray[1:-1, :-2] - gray[1:-1, 2:]
-    variance = max(0.0, float((lap * lap).mean() - lap.mean() ** 2))
-    return float(np.clip(np.log(variance + 1) / np.log(base) * 100, 0, 100))
+    variance = np.maximum(0.0, (lap * lap).mean(axis=(0, 1)) - lap.mean(axis=(0, 1)) ** 2)
+    return np.clip(np.log(variance + 1) / np.log(base) * 100, 0, 100)
 
 
 def _rounded(x: float) -> int:
     return int(np.floor(abs(x) + 0.5)) * (1 if x >= 0 else -1)
 
 
-def sharpness(gray: np.ndarray, box: tuple[float, float, float, float] | None = None, profile: str = "desktop") -> float:
-    """0 to 100 for a face's box (left, top, width, height in pixels) of an image's brightness; without a box all of it."""
+def sharpness(gray: np.ndarray, box: tuple[float, float, float, float] | None = None, profile: str = "desktop") -> float | np.ndarray:
+    """0 to 100 for a face's box (left, top, width, height in pixels) of an image's brightness; without a box all of it.
+
+    For images of one size (rows, columns, images) a score of each, or the one number that all have.
+    """
     how = SHARPNESS[profile]
-    high, wide = gray.shape
+    high, wide = gray.shape[:2]
     x, y, w, h = box or (0.0, 0.0, float(wide), float(high))
     if w < 3 or h < 3:
         return how["unknown"]
@@ -157,7 +167,7 @@ def sharpness(gray: np.ndarray, box: tuple[float, float, float, float] | None =
         scale = longest / max(across, down)
         w, h = max(1, int(across * scale)), max(1, int(down * scale))
         part = bilinear(part, centres(h, down), centres(w, across))
-        if min(part.shape) < 3:
+        if min(part.shape[:2]) < 3:
             return how["unknown"]
     score = _spread(part, how["base"])
     if "small" in how and across * down < how["small"][0]:
@@ -173,12 +183,34 @@ def pixels_of(content, width, height) -> np.ndarray | None:
     return np.frombuffer(content, np.uint8).reshape(int(height), int(width), 3)
 
 
+#: Images of one size that are worked on at once take so many bytes at most, or are one image.
+_TOGETHER = 4 << 20
+
+
+def _alike(raw, w, h, how: Iterable) -> Iterator[tuple]:
+    """Images of one size and one value of how, in groups: that value, their places in the batch, and rows, columns, images, blue-green-red."""
+    groups: dict[tuple, list] = {}
+    for k, (content, wide, high, x) in enumerate(zip(raw, w, h, how)):
+        image = pixels_of(content, wide, high)
+        if image is not None:
+            groups.setdefault((image.shape, x), []).append((k, image))
+    for (shape, x), found in groups.items():
+        most = max(1, _TOGETHER // (shape[0] * shape[1] * 3))
+        for at in range(0, len(found), most):
+            places, images = zip(*found[at : at + most])
+            yield x, places, np.stack(images).transpose(1, 2, 0, 3)
+
+
 def hashes(content: Column, width: Column, height: Column, orientation: Column | None = None, profile: str = "desktop") -> Column:
     """dhash of raw pixels in a binary column; null where sizes don't fit."""
 
     def run(raw: pd.Series, w: pd.Series, h: pd.Series, o: pd.Series) -> pd.Series:
-        found = ((pixels_of(*x), turn) for *x, turn in zip(raw, w, h, o))
-        return pd.Series([None if p is None else dhash(p, profile, None if pd.isna(turn) else int(turn)) for p, turn in found], dtype=object)
+        out = [None] * len(raw)
+        turns = (None if pd.isna(turn) else int(turn) for turn in o)
+        for turn, places, pixels in _alike(raw, w, h, turns):
+            for k, found in zip(places, dhashes(pixels, profile, turn)):
+                out[k] = found
+        return pd.Series(out, dtype=object)
 
     run.__annotations__ = dict.fromkeys(("raw", "w", "h", "o", "return"), pd.Series)
     return F.pandas_udf(run, "string")(content, width, height, F.lit(1) if orientation is None else orientation)
@@ -188,11 +220,16 @@ def sharpnesses(content: Column, width: Column, height: Column, boxes: Column, p
     """sharpness of each box (structs of left, top, width, height in pixels) of an image of raw pixels; null where sizes don't fit."""
 
     def run(raw: pd.Series, w: pd.Series, h: pd.Series, found: pd.Series) -> pd.Series:
-        out = []
-        for c, a, b, boxes_ in zip(raw, w, h, found):
-            pixels = pixels_of(c, a, b)
-            gray = None if pixels is None else luma(pixels)
-            out.append(None if gray is None or boxes_ is None else [None if x is None else sharpness(gray, (x["left"], x["top"], x["width"], x["height"]), profile) for x in boxes_])
+        out = [None] * len(raw)
+        sides = ("left", "top", "width", "height")
+        asked = (None if boxes_ is None else tuple(None if x is None else tuple(x[c] for c in sides) for x in boxes_) for boxes_ in found)
+        for boxes_, places, pixels in _alike(raw, w, h, asked):
+            if boxes_ is None:
+                continue
+            gray = luma(pixels)
+            scores = [None if x is None else np.broadcast_to(sharpness(gray, x, profile), len(places)).tolist() for x in boxes_]
+            for n, k in enumerate(places):
+                out[k] = [None if x is None else x[n] for x in scores]
         return pd.Series(out, dtype=object)
 
     run.__annotations__ = dict.fromkeys(("raw", "w", "h", "found", "return"), pd.Series)
