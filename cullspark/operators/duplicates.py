@@ -7,6 +7,8 @@ no album becomes a product.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -22,6 +24,8 @@ GAP, ADJACENT = 10, 2
 KEEPER = 2
 # Milliseconds within which the older detector sorts photos.
 HOUR = 3_600_000
+# Milliseconds within which photos are looked for company; no part of the rule.
+DAY = 86_400_000
 
 
 def pairs(photos: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -44,14 +48,26 @@ def near_duplicate(gap: Column, apart: Column, both_hashes: Column, framing: Col
     return F.when(gap.isNull() | (gap > GAP), False).when(near <= SAME, True).when(adjacent & (near <= SAME_ADJACENT), True).when(far, False).when(adjacent & both_hashes & framing, True).otherwise(faces & framing)
 
 
+def _in_company(photos: DataFrame) -> DataFrame:
+    """photos (album_id, t and others) without those that have no other of their album within WINDOW.
+
+    Times are compared inside a day; photos within WINDOW of its beginning or end stay as they are.
+    """
+    at = F.pmod(F.col("t"), F.lit(DAY))
+    inside = Window.partitionBy("album_id", F.col("t") - at).orderBy("t")
+    near = (F.col("t") - F.lag("t").over(inside) <= WINDOW) | (F.lead("t").over(inside) - F.col("t") <= WINDOW)
+    return photos.withColumn("_near", near | (at < WINDOW) | (at >= DAY - WINDOW)).where("_near").drop("_near")
+
+
 def _near_numbers(photos: DataFrame) -> DataFrame:
     """Pairs (a later, b earlier) of one album and name prefix within WINDOW whose numbers are GAP apart at most.
 
     Numbers are dealt in tens and meet their own ten and its neighbours, so photos of one time, or of none,
-    make no bucket of their own. Only ids, times, numbers and hashes are shuffled.
+    make no bucket of their own. Only ids, times, numbers and hashes of photos that aren't alone are shuffled.
     """
     n = F.col("file_name")
-    rows = photos.select("album_id", "photo_id", F.coalesce("captured_at", F.lit(0)).cast("long").alias("t"), S.burst_prefix(n).alias("prefix"), S.burst_index(n).alias("idx"), "perceptual_hash").where("prefix is not null and idx is not null")
+    rows = _in_company(photos.select("album_id", "photo_id", F.coalesce("captured_at", F.lit(0)).cast("long").alias("t"), "file_name", "perceptual_hash"))
+    rows = rows.select("album_id", "photo_id", "t", S.burst_prefix(n).alias("prefix"), S.burst_index(n).alias("idx"), "perceptual_hash").where("prefix is not null and idx is not null")
     ten = F.col("idx") - F.col("idx") % GAP
     keys, held = ["album_id", "prefix", "ten"], ["photo_id", "t", "idx", "perceptual_hash"]
     late = rows.withColumn("ten", ten).select(*keys, *(F.col(c).alias(f"a_{c}") for c in held))
@@ -62,7 +78,7 @@ def _near_numbers(photos: DataFrame) -> DataFrame:
 
 
 #: Photos that may be broadcast, once they were counted: ids alone.
-FEW = 200_000
+FEW = 1_000_000
 
 
 def gathered(faces: DataFrame) -> DataFrame:
@@ -71,11 +87,12 @@ def gathered(faces: DataFrame) -> DataFrame:
     return by.select("photo_id", F.transform("_f", lambda x: x["box"]).alias("boxes"), F.transform("_f", lambda x: x["print"]).alias("prints"))
 
 
-def duplicate_pairs(photos: DataFrame, faces: DataFrame) -> DataFrame:
+def duplicate_pairs(photos: DataFrame, faces: DataFrame | Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Near-duplicate pairs (album_id, a, b, gap, hamming) of photos, given their faces (photo_id, face_index, box, print).
 
     Numbers and hashes decide most pairs. The others are written and the photos in them counted, and only those
-    photos' faces are read, gathered and joined.
+    photos' faces are read, gathered and joined. faces may be a function from photo_ids to their faces, so that
+    what it does before is done for those photos alone.
     """
     p = _near_numbers(photos)
     hashes = (F.coalesce("a_perceptual_hash", F.lit("")) != "") & (F.coalesce("b_perceptual_hash", F.lit("")) != "")
@@ -86,8 +103,8 @@ def duplicate_pairs(photos: DataFrame, faces: DataFrame) -> DataFrame:
     p = scratch.written(p, "pairs")
     open_ = p.where("not sure")
     asked = scratch.written(open_.select(F.explode(F.array("a", "b")).alias("photo_id")).distinct(), "asked")
-    few = asked.count() <= FEW
-    seen = scratch.written(gathered(faces.join(F.broadcast(asked) if few else asked, "photo_id", "left_semi")), "seen")
+    given = F.broadcast(asked) if asked.count() <= FEW else asked
+    seen = scratch.written(gathered(faces(given) if callable(faces) else faces.join(given, "photo_id", "left_semi")), "seen")
     for k in "ab":
         face = seen.select(F.col("photo_id").alias(k), F.col("boxes").alias(f"{k}_boxes"), F.col("prints").alias(f"{k}_prints"))
         open_ = open_.join(face, k, "left")
@@ -102,16 +119,17 @@ def groups(photos: DataFrame, links: DataFrame) -> DataFrame:
     """album_id, photo_id, component (smallest photo_id) of photos in groups, from links (album_id, a, b).
 
     Labels shrink by hooking to the smallest neighbour and jumping along labels until nothing changes;
-    each round is checkpointed, so lineage stays short and lost executors cost one round.
+    each round is written, so it runs once, lineage stays short and lost executors cost one round.
     """
-    ensure_checkpoints(links.sparkSession)
-    edges = links.select("album_id", "a", "b").unionByName(links.select("album_id", F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
-    label = edges.groupBy("album_id", F.col("a").alias("photo_id")).agg(F.least(F.min("a"), F.min("b")).alias("component")).checkpoint()
+    edges = links.select("album_id", "a", "b").unionByName(links.select("album_id", F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    edges = scratch.written(edges, "edges")
+    label = scratch.written(edges.groupBy("album_id", F.col("a").alias("photo_id")).agg(F.least(F.min("a"), F.min("b")).alias("component")), "label")
     while True:
         near = edges.join(label.withColumnRenamed("photo_id", "b"), ["album_id", "b"]).groupBy("album_id", F.col("a").alias("photo_id")).agg(F.min("component").alias("near"))
         next_ = label.join(near, ["album_id", "photo_id"]).select("album_id", "photo_id", F.col("component").alias("old"), F.least("component", "near").alias("component"))
         up = label.select("album_id", F.col("photo_id").alias("component"), F.col("component").alias("up"))
-        next_ = next_.join(up, ["album_id", "component"], "left").select("album_id", "photo_id", "old", F.least("component", F.coalesce("up", "component")).alias("component")).checkpoint()
+        next_ = next_.join(up, ["album_id", "component"], "left").select("album_id", "photo_id", "old", F.least("component", F.coalesce("up", "component")).alias("component"))
+        next_ = scratch.written(next_, "label")
         moved = not next_.where("old <> component").isEmpty()
         label = next_.drop("old")
         if not moved:

@@ -221,7 +221,7 @@ def temporal_pairs(spark, sf_dir):
 
 
 def _links(spark, sf_dir):
-    return duplicates.duplicate_pairs(photos(spark, sf_dir), _printed(spark, sf_dir).select("photo_id", "face_index", "box", "print"))
+    return duplicates.duplicate_pairs(photos(spark, sf_dir), lambda of: _printed(spark, sf_dir, of).select("photo_id", "face_index", "box", "print"))
 
 
 @query(_PAIRS + "select album_id, a, b, gap, ham as hamming from links")
@@ -234,8 +234,17 @@ def dup_components(spark, sf_dir):
     return duplicates.groups(photos(spark, sf_dir), _links(spark, sf_dir)).select("photo_id", "component")
 
 
+def _grouped(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Duplicate groups' members, and the photos in them with flags: no other photo's faces are labelled."""
+    found = duplicates.groups(photos(spark, sf_dir), _links(spark, sf_dir))
+    ids = found.select("photo_id").distinct()
+    ids = F.broadcast(ids) if found.count() <= duplicates.FEW else ids
+    p = stats.flagged(photos(spark, sf_dir).join(ids, "photo_id", "left_semi"), labelled(spark, sf_dir, ids))
+    return duplicates.best_of_groups(p, found), p
+
+
 def _members(spark, sf_dir):
-    return duplicates.best_of_groups(flagged(spark, sf_dir), duplicates.groups(photos(spark, sf_dir), _links(spark, sf_dir)))
+    return _grouped(spark, sf_dir)[0]
 
 
 @query(_BEST + "select photo_id, 'dup-' || best_photo_id || '-' || n as group_id, best_photo_id, photo_id <> best_photo_id as duplicated from ranks")
@@ -255,9 +264,9 @@ patched as (select *, count(*) over (partition by component) as left_n, max(t) o
 
 @query(_PATCH + "select photo_id, case when left_n > 1 and top = 2 then group_id end as group_id, case when left_n > 1 and top = 2 then b end as best_photo_id, left_n > 1 and top = 2 and photo_id <> b as duplicated from patched")
 def dup_patch_after_delete(spark, sf_dir):
-    p = flagged(spark, sf_dir)
-    gone = p.where("photo_id % 5 = 0").select("album_id", "photo_id")
-    return incremental.groups_after_delete(_members(spark, sf_dir), p, gone).drop("album_id")
+    members, p = _grouped(spark, sf_dir)
+    gone = photos(spark, sf_dir).where("photo_id % 5 = 0").select("album_id", "photo_id")
+    return incremental.groups_after_delete(members, p, gone).drop("album_id")
 
 
 @query(_STATS.replace("from flagged", "from flagged where photo_id % 5 <> 0") + " union all select album_id, 0, 0, 0, 0, 0, 0, 0 from photos0 group by 1 having count(*) filter (photo_id % 5 <> 0) = 0")
@@ -471,8 +480,8 @@ def face_crops(spark, sf_dir):
     return labelled(spark, sf_dir).select("photo_id", "face_index", S.crop(F.col("box"), F.lit(4000), F.lit(3000)).alias("c")).select("photo_id", "face_index", "c.*")
 
 
-def _printed(spark, sf_dir):
-    return labelled(spark, sf_dir).withColumn("print", S.fingerprint(F.col("face"))).withColumn("area", S.area(F.col("box")))
+def _printed(spark, sf_dir, of: DataFrame | None = None):
+    return labelled(spark, sf_dir, of).withColumn("print", S.fingerprint(F.col("face"))).withColumn("area", S.area(F.col("box")))
 
 
 @query("select photo_id, face_index, list_transform(print, lambda x: round(x, 7) + 0.0e0) as print, len(print) as n from tiered")

@@ -74,15 +74,21 @@ def photos(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _view(spark, sf_dir, ("events",), sql)
 
 
-def faces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Faces of a photo with a box, sharpness, eye signals, pose in degrees and, for most, places of eyes, nose and mouth."""
+def faces(spark: SparkSession, sf_dir: str, of: DataFrame | None = None) -> DataFrame:
+    """Faces of a photo with a box, sharpness, eye signals, pose in degrees and, for most, places of eyes, nose and mouth.
+
+    With of (photo_id) those of its photos alone: all rows of a photo are there or none, so numbers in a photo stay.
+    """
     sql = _FACES.replace("from lineitem", "from {lineitem}").replace("from events", "from {events}")
-    return _view(spark, sf_dir, ("lineitem", "events"), sql)
+    tables = {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("lineitem", "events")}
+    if of is not None:
+        tables["lineitem"] = tables["lineitem"].join(of.withColumnRenamed("photo_id", "l_orderkey"), "l_orderkey", "left_semi")
+    return spark.sql(sql, **tables)
 
 
-def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+def labelled(spark: SparkSession, sf_dir: str, of: DataFrame | None = None) -> DataFrame:
     """faces with box, marks (kinds of places), face (as a detector gives it), eye, focus and tier."""
-    f = faces(spark, sf_dir)
+    f = faces(spark, sf_dir, of)
     f = f.withColumn("eye", S.eye_status(F.col("eyes_open"), F.col("eye_conf"), F.col("left_prob"), F.col("right_prob"))).withColumn("focus", S.focus_level(F.col("sharpness")))
     f = f.withColumn("tier", S.face_tier(F.col("eye"), F.col("focus"))).withColumn("box", S.box("box_left", "box_top", "box_width", "box_height"))
     mark = lambda kind, k: F.when(F.col(k + "x").isNotNull(), F.struct(F.lit(kind).alias("type"), F.col(k + "x").alias("x"), F.col(k + "y").alias("y")))

@@ -5,8 +5,11 @@ import os
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from cullspark.functions import image
-from cullspark.plans import extraction
+from cullspark.operators import duplicates
+from cullspark.plans import catalogue, extraction
 
 SF = os.environ.get("SF_DIR", "/root/testdata/sf0.001")
 
@@ -36,3 +39,27 @@ def test_images_of_one_size_are_hashed_at_once(profile):
     some = np.random.default_rng(5).integers(0, 255, (4, 300, 520, 3)).astype(np.uint8)
     for turn in (None, 1, 6):
         assert image.dhashes(some.transpose(1, 2, 0, 3), profile, turn) == [image.dhash(p, profile, turn) for p in some]
+
+
+def test_photos_without_company_are_left_out_and_pairs_stay(spark):
+    """Photos alone within five minutes don't reach the join by numbers; those about midnight do."""
+    day, w = duplicates.DAY, duplicates.WINDOW
+    times = [0, w, 3 * w, 10 * w, 10 * w + w + 1, day - 1, day + w - 1, 3 * day - w - 1, -1, -w - 1, 5 * day + 7 * w, None]
+    rows = [(1, k, None if t is None else t, f"IMG_{1000 + k}.JPG", "0" * 16) for k, t in enumerate(times)] + [(2, 99, 10 * w + 1, "IMG_1003.JPG", "0" * 16)]
+    df = spark.createDataFrame(rows, "album_id long, photo_id long, captured_at long, file_name string, perceptual_hash string")
+    t = {k: x or 0 for k, x in enumerate(times)}
+    want = {(a, b) for a in t for b in t if a != b and (t[b], b) < (t[a], a) and t[a] - t[b] <= w and abs(a - b) <= 10}
+    got = {(r.a_photo_id, r.b_photo_id) for r in duplicates._near_numbers(df).collect()}
+    assert got == want and want
+    kept = {r.photo_id for r in duplicates._in_company(df.selectExpr("*", "coalesce(captured_at, 0) as t")).collect()}
+    assert not kept & {2, 3, 4, 10, 99} and {x for p in want for x in p} <= kept
+
+
+def test_only_the_faces_of_photos_in_question_are_labelled(spark):
+    all_ = catalogue.labelled(spark, SF)
+    ids = all_.select("photo_id").distinct().where("photo_id % 7 = 2")
+    columns = ["photo_id", "face_index", "eye", "focus"]
+    few = catalogue.labelled(spark, SF, F.broadcast(ids))
+    assert sorted(few.select(columns).collect()) == sorted(all_.where("photo_id % 7 = 2").select(columns).collect())
+    plan = few._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Window") < plan.rindex("LeftSemi")  # the ids meet the rows before these are numbered
