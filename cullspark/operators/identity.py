@@ -28,25 +28,68 @@ def rms(a: list[float], b: list[float]) -> float:
     return math.sqrt(sum((x - y) ** 2 for x, y in zip(a, b)) / len(a))
 
 
+class Clusters(dict):
+    """Clusters (fingerprint, area) by id, in the order they were founded, with arrays of those of one length that grow as clusters do."""
+
+    def __init__(self, given=()):
+        super().__init__()
+        self.of_length: dict[int, list] = {}  # ids' ranks, prints, areas, how many
+        self.place: dict[str, tuple[int, int]] = {}
+        self.names: list[str] = []
+        self.rank: dict[str, int] = {}
+        for k, v in dict(given).items():
+            self[k] = v
+
+    def __setitem__(self, k: str, v: tuple[list[float], float]) -> None:
+        super().__setitem__(k, v)
+        print_, area = v
+        if k not in self.rank:
+            self.rank[k] = len(self.names)
+            self.names.append(k)
+        length, row = self.place.get(k, (None, 0))
+        if length != len(print_):
+            if length is not None:
+                self.of_length[length][2][row] = -1.0  # fits nothing any more
+            length = len(print_)
+            group = self.of_length.setdefault(length, [np.zeros(8, int), np.zeros((8, length)), np.zeros(8), 0])
+            row = group[3]
+            if row == len(group[0]):
+                group[:3] = [np.concatenate([x, np.zeros_like(x)]) for x in group[:3]]
+            group[3] += 1
+            group[0][row] = self.rank[k]
+            self.place[k] = (length, row)
+        group = self.of_length[length]
+        group[1][row], group[2][row] = print_, area
+
+
 def match_faces(faces: list[tuple[list[float], float]], clusters: dict[str, tuple[list[float], float]], start: int) -> tuple[list[str], int]:
     """Cluster ids of one photo's faces (fingerprint, area); clusters are updated in place.
 
     All distances are taken before any cluster moves; pairs are taken nearest first, each face and each
     cluster once; a matched cluster blends towards the face, other faces found new clusters.
     """
+    if not isinstance(clusters, Clusters):
+        known = Clusters(clusters)
+        ids, start = match_faces(faces, known, start)
+        clusters.update(known)
+        return ids, start
     near = []
-    names = list(clusters)
-    for length in {len(p) for p, _ in clusters.values()}:
-        own = [k for k in names if len(clusters[k][0]) == length]
-        known, area = np.array([clusters[k][0] for k in own]), np.array([clusters[k][1] for k in own])
-        for i, (print_, size) in enumerate(faces):
-            if 0 < len(print_) <= length and size > 0:  # a shorter print is held against the beginning, a longer one matches nothing
-                d = np.sqrt(((np.array(print_) - known[:, : len(print_)]) ** 2).sum(axis=1) / len(print_))
-                fits = (d < MATCH) & (area > 0) & (np.maximum(area, size) <= MATCH_AREA * np.minimum(area, size))
-                near += [(d[k], i, own[k]) for k in np.flatnonzero(fits)]
+    for length in set(clusters.of_length):
+        ranks, prints, areas, n = clusters.of_length[length]
+        ranks, area = ranks[:n], areas[:n]
+        for width in {len(p) for p, _ in faces}:  # a shorter print is held against the beginning, a longer one matches nothing
+            of = [i for i, (p, size) in enumerate(faces) if len(p) == width and size > 0]
+            if not of or not 0 < width <= length:
+                continue
+            own, size = np.array([faces[i][0] for i in of]), np.array([faces[i][1] for i in of])[:, None]
+            d = np.sqrt(((own[:, None, :] - prints[None, :n, :width]) ** 2).sum(axis=2) / width)
+            fits = (d < MATCH) & (area > 0) & (np.maximum(area, size) <= MATCH_AREA * np.minimum(area, size))
+            near += [(d[r, k], length, of[r], ranks[k]) for r, k in zip(*np.nonzero(fits))]
+    order = {length: k for k, length in enumerate(set(clusters.of_length))}
+    near = [(d, i, clusters.names[k]) for d, length, i, k in sorted(near, key=lambda x: (x[0], order[x[1]], *x[2:]))]
     out: list[str | None] = [None] * len(faces)
     used: set[str] = set()
-    for _, i, k in sorted(near, key=lambda x: x[0]):
+    for _, i, k in near:
         if out[i] is None and k not in used:
             out[i] = k
             used.add(k)
@@ -71,7 +114,7 @@ def cluster_faces(faces: DataFrame) -> DataFrame:
     """
 
     def run(batches):
-        album, clusters, number, held = None, {}, 1, None
+        album, clusters, number, held = None, Clusters(), 1, None
         for pdf in _then_none(batches):
             rows = held if pdf is None else pdf if held is None else pd.concat([held, pdf], ignore_index=True)
             held = None
@@ -81,11 +124,14 @@ def cluster_faces(faces: DataFrame) -> DataFrame:
                 open_ = (rows["album_id"] == rows["album_id"].iloc[-1]) & (rows["photo_id"] == rows["photo_id"].iloc[-1])
                 rows, held = rows[~open_], rows[open_]
             out = []
-            for (of, photo), part in rows.groupby(["album_id", "photo_id"], sort=False):
-                if of != album:
-                    album, clusters, number = of, {}, 1
-                ids, number = match_faces([(list(p), a) for p, a in zip(part["print"], part["area"])], clusters, number)
-                out += [(of, photo, f, c) for f, c in zip(part["face_index"], ids)]
+            albums, photos, indexes, prints, areas = (rows[c].tolist() for c in ("album_id", "photo_id", "face_index", "print", "area"))
+            new = (rows["album_id"] != rows["album_id"].shift()) | (rows["photo_id"] != rows["photo_id"].shift())
+            starts = np.flatnonzero(new).tolist()
+            for a, b in zip(starts, [*starts[1:], len(rows)]):
+                if albums[a] != album:
+                    album, clusters, number = albums[a], Clusters(), 1
+                ids, number = match_faces([(p.tolist(), size) for p, size in zip(prints[a:b], areas[a:b])], clusters, number)
+                out += [(album, photos[a], f, c) for f, c in zip(indexes[a:b], ids)]
             yield pd.DataFrame(out, columns=["album_id", "photo_id", "face_index", "cluster_id"])
 
     chosen = faces.select("album_id", "photo_id", "captured_at", "face_index", "print", "area")

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cullspark.functions import image
-from cullspark.operators import duplicates
+from cullspark.operators import duplicates, identity
 from cullspark.plans import catalogue, extraction
 
 SF = os.environ.get("SF_DIR", "/root/testdata/sf0.001")
@@ -63,3 +63,41 @@ def test_only_the_faces_of_photos_in_question_are_labelled(spark):
     assert sorted(few.select(columns).collect()) == sorted(all_.where("photo_id % 7 = 2").select(columns).collect())
     plan = few._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Window") < plan.rindex("LeftSemi")  # the ids meet the rows before these are numbered
+
+
+def plain_match(faces, clusters, start):
+    """Every distance from lists, nearest first; ties by the order of lengths, faces and founding."""
+    near = []
+    for length in {len(p) for p, _ in clusters.values()}:
+        for i, (p, size) in enumerate(faces):
+            for k, (known, area) in clusters.items():
+                if len(known) == length and 0 < len(p) <= length and size > 0 and area > 0 and max(area, size) <= identity.MATCH_AREA * min(area, size):
+                    d = np.sqrt(((np.array(p) - np.array(known)[: len(p)]) ** 2).sum() / len(p))
+                    if d < identity.MATCH:
+                        near.append((d, i, k))
+    out, used = [None] * len(faces), set()
+    for _, i, k in sorted(near, key=lambda x: x[0]):
+        if out[i] is None and k not in used:
+            out[i] = k
+            used.add(k)
+            (known, area), (p, size) = clusters[k], faces[i]
+            clusters[k] = ([o * identity.OLD_SHARE + n * identity.NEW_SHARE for o, n in zip(known, p)], area * identity.OLD_SHARE + size * identity.NEW_SHARE)
+    for i, k in enumerate(out):
+        if k is None:
+            out[i] = f"person-{start}"
+            clusters[out[i]] = faces[i]
+            start += 1
+    return out, start
+
+
+def test_clusters_keep_their_arrays_between_photos():
+    """Prints of three lengths, equal ones among them; a shorter print shortens its cluster."""
+    r = np.random.default_rng(6)
+    plain, held, one, two = {}, identity.Clusters(), 1, 1
+    for _ in range(150):
+        faces = [((r.integers(0, 4, r.choice([3, 5, 8])) / 40).tolist(), float(r.choice([0.0, 0.1, 0.2, 0.5]))) for _ in range(r.integers(1, 6))]
+        want, one = plain_match(faces, plain, one)
+        got, two = identity.match_faces(faces, held, two)
+        assert got == want and one == two
+    assert {k: (list(p), a) for k, (p, a) in held.items()} == {k: (list(p), a) for k, (p, a) in plain.items()}
+    assert sum(g[3] for g in held.of_length.values()) > len(held)  # some have moved to a shorter length
