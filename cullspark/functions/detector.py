@@ -187,9 +187,7 @@ def _both(a: Column, b: Column) -> Column:
 POINTS = ("left_eye", "right_eye", "nose", "left_mouth", "right_mouth")
 
 
-def _let(value: Column, use) -> Column:
-    """use(value), with value worked out once."""
-    return F.get(F.transform(F.array(value), use), 0)
+_let = S.let
 
 
 def accepted_faces(detections: DataFrame, least_score: float = 0.3, layout: bool = True, profile: str = "desktop") -> DataFrame:

@@ -60,6 +60,11 @@ def centre(b: Column) -> tuple[Column, Column]:
     return b["left"] + b["width"] / 2, b["top"] + b["height"] / 2
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with value worked out once; higher-order functions work out all that a lambda names anew for each element."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def intersection(a: Column, b: Column) -> Column:
     wide = F.least(a["left"] + a["width"], b["left"] + b["width"]) - F.greatest(a["left"], b["left"])
     high = F.least(a["top"] + a["height"], b["top"] + b["height"]) - F.greatest(a["top"], b["top"])
@@ -72,16 +77,46 @@ def iou(a: Column, b: Column) -> Column:
     return F.when(every > 0, both / every).otherwise(0.0)
 
 
-def redundant(a: Column, b: Column, values: tuple = (REDUNDANT_IOU, NESTED_RATIO, NESTED_SHARE, LOOSE_IOU, CENTRE_SHARE)) -> Column:
+def measures(b: Column) -> Column:
+    """What pairs of boxes are judged by, worked out once a box."""
+    x, y = centre(b)
+    parts = {"left": b["left"], "top": b["top"], "right": b["left"] + b["width"], "bottom": b["top"] + b["height"], "area": area(b), "x": x, "y": y, "diagonal": F.sqrt(b["width"] * b["width"] + b["height"] * b["height"])}
+    return F.struct(*(c.alias(n) for n, c in parts.items()))
+
+
+def _shared(a: Column, b: Column, judge) -> Column:
+    """judge(area in common, share of it in both) of two boxes' measures."""
+    wide, high = F.least(a["right"], b["right"]) - F.greatest(a["left"], b["left"]), F.least(a["bottom"], b["bottom"]) - F.greatest(a["top"], b["top"])
+
+    def of(both: Column) -> Column:
+        every = a["area"] + b["area"] - both
+        return judge(both, F.when(every > 0, both / every).otherwise(0.0))
+
+    return let(F.greatest(F.lit(0.0), wide) * F.greatest(F.lit(0.0), high), of)
+
+
+def overlapping(a: Column, b: Column, least: float) -> Column:
+    """Whether intersection over union of two boxes' measures reaches least."""
+    return _shared(a, b, lambda both, over: over >= least)
+
+
+#: Fixed values of redundant: IoU, area ratio, contained share, loose IoU, centre distance.
+REDUNDANT = (REDUNDANT_IOU, NESTED_RATIO, NESTED_SHARE, LOOSE_IOU, CENTRE_SHARE)
+
+
+def redundant(a: Column, b: Column, values: tuple = REDUNDANT) -> Column:
     """Whether two boxes show one face: close overlap, or a much larger box that holds or sits on the smaller."""
+    return clashing(measures(a), measures(b), values)
+
+
+def clashing(a: Column, b: Column, values: tuple = REDUNDANT) -> Column:
+    """redundant by two boxes' measures."""
     same, ratio, share, loose, near = values
-    both, small, large = intersection(a, b), F.least(area(a), area(b)), F.greatest(area(a), area(b))
+    small, large = F.least(a["area"], b["area"]), F.greatest(a["area"], b["area"])
     uneven = large / F.greatest(small, F.lit(1e-8)) >= ratio
-    (ax, ay), (bx, by) = centre(a), centre(b)
-    apart = F.sqrt((ax - bx) * (ax - bx) + (ay - by) * (ay - by))
-    diagonal = F.least(F.sqrt(a["width"] * a["width"] + a["height"] * a["height"]), F.sqrt(b["width"] * b["width"] + b["height"] * b["height"]))
-    over = iou(a, b)
-    return (both > 0) & ((over >= same) | (uneven & (both / F.greatest(small, F.lit(1e-8)) >= share)) | (uneven & (over >= loose) & (apart < near * diagonal)))
+    apart = F.sqrt((a["x"] - b["x"]) * (a["x"] - b["x"]) + (a["y"] - b["y"]) * (a["y"] - b["y"]))
+    near_ = apart < near * F.least(a["diagonal"], b["diagonal"])
+    return _shared(a, b, lambda both, over: (both > 0) & ((over >= same) | (uneven & ((both / F.greatest(small, F.lit(1e-8)) >= share) | ((over >= loose) & near_)))))
 
 
 def crop(b: Column, width: Column, height: Column, side: float = 0.3, top: float = 0.3, bottom: float = 0.5) -> Column:
@@ -109,17 +144,23 @@ def _mark(face: Column, kind: str) -> Column:
 def fingerprint(face: Column, pose_weight: float = 1.0, identity: bool = False) -> Column:
     """Eight numbers from landmarks in eye-distance units, or a short fallback without both eyes."""
     b, pose = face["boundingBox"], face["pose"]
-    left, right, nose, mouth = (_mark(face, k) for k in ("eyeLeft", "eyeRight", "nose", "mouth"))
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     yaw, pitch = (zero(pose[k]) / 90 * pose_weight for k in ("yaw", "pitch"))
-    dx, dy = right["x"] - left["x"], right["y"] - left["y"]
-    span = F.sqrt(dx * dx + dy * dy)
-    unit = F.greatest(span, F.lit(1e-6))
-    mx, my = (left["x"] + right["x"]) / 2, (left["y"] + right["y"]) / 2
-    off = lambda p, k, m: F.when(p.isNull(), 0.0).otherwise((p[k] - m) / unit)
-    full = F.array(aspect(b), span / F.greatest(b["width"], F.lit(1e-6)), off(nose, "x", mx), off(nose, "y", my), off(mouth, "x", mx), off(mouth, "y", my), yaw, pitch)
-    short = F.array(aspect(b), yaw, pitch) if identity else F.array(aspect(b), b["left"], b["top"], yaw, pitch)
-    return F.when(left.isNull() | right.isNull(), short).otherwise(full)
+
+    def of(marks: Column) -> Column:
+        left, right, nose, mouth = (marks[k] for k in ("left", "right", "nose", "mouth"))
+        dx, dy = right["x"] - left["x"], right["y"] - left["y"]
+
+        def with_eyes(eyes: Column) -> Column:
+            unit = F.greatest(eyes["span"], F.lit(1e-6))
+            off = lambda p, k: F.when(p.isNull(), 0.0).otherwise((p[k] - eyes[k]) / unit)
+            return F.array(aspect(b), eyes["span"] / F.greatest(b["width"], F.lit(1e-6)), off(nose, "x"), off(nose, "y"), off(mouth, "x"), off(mouth, "y"), yaw, pitch)
+
+        full = let(F.struct(F.sqrt(dx * dx + dy * dy).alias("span"), ((left["x"] + right["x"]) / 2).alias("x"), ((left["y"] + right["y"]) / 2).alias("y")), with_eyes)
+        short = F.array(aspect(b), yaw, pitch) if identity else F.array(aspect(b), b["left"], b["top"], yaw, pitch)
+        return F.when(left.isNull() | right.isNull(), short).otherwise(full)
+
+    return let(F.struct(*(_mark(face, k).alias(n) for n, k in (("left", "eyeLeft"), ("right", "eyeRight"), ("nose", "nose"), ("mouth", "mouth")))), of)
 
 
 def distance(a: Column, b: Column) -> Column:

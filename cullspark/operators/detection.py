@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from ..functions import detector as D
 from ..functions import scalar as S
 from ..functions.image import pixels_of
-from .faces import suppressed
+from .faces import folded
+from .suppression import places
 
 #: A detection in pixels of the whole image: points are those of detector.POINTS, or none.
 DETECTION = "struct<score: double, left: double, top: double, width: double, height: double, points: array<struct<x: double, y: double>>>"
@@ -44,27 +45,34 @@ def _looked_at(images: DataFrame, detect: Detector, parts: Column, name: str) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = {c: batch.column(names.index(c)) for c in ("content", "width", "height", "_parts")}
-            out: list = []
-            for content, w, h, tiles in zip(*(at[c].to_pylist() for c in ("content", "width", "height", "_parts"))):
+            parts_ = at["_parts"]
+            tiles = list(zip(*(parts_.values.field(c).to_pylist() for c in ("left", "top", "width", "height"))))
+            starts = parts_.offsets.to_pylist()
+            flat, points_, ends = [], [], [0]
+            unseen = []
+            for content, w, h, a, b in zip(*(at[c].to_pylist() for c in ("content", "width", "height")), starts, starts[1:]):
                 image = pixels_of(content, w, h)
-                if image is None:
-                    out.append(None)
-                    continue
-                cuts = [image[t["top"] : t["top"] + t["height"], t["left"] : t["left"] + t["width"]] for t in tiles]
-                found = []
-                for t, some in zip(tiles, detect(cuts) if cuts else []):
-                    for score, left, top, wide, high, *points in some:
-                        moved = [{"x": float(x + t["left"]), "y": float(y + t["top"])} for x, y in (points[0] if points and points[0] is not None else [])]
-                        found.append({"score": float(score), "left": float(left + t["left"]), "top": float(top + t["top"]), "width": float(wide), "height": float(high), "points": moved or None})
-                out.append(found)
-            columns = [*(batch.column(k) for k, c in enumerate(names) if c != "_parts"), pa.array(out, _ARROW)]
+                unseen.append(image is None)
+                if image is not None and a < b:
+                    cuts = [image[y : y + high, x : x + wide] for x, y, wide, high in tiles[a:b]]
+                    for (x, y, _, _), some in zip(tiles[a:b], detect(cuts)):
+                        for score, left, top, wide, high, *points in some:
+                            flat.append((score, left + x, top + y, wide, high))
+                            points_.append([{"x": float(p + x), "y": float(q + y)} for p, q in points[0]] or None if points and points[0] is not None else None)
+                ends.append(len(flat))
+            fields = [*(pa.array(c) for c in np.array(flat, float).reshape(-1, 5).T), pa.array(points_, _ARROW.value_type.field("points").type)]
+            found = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(fields, fields=list(_ARROW.value_type)), type=_ARROW, mask=pa.array(unseen, pa.bool_()))
+            columns = [*(batch.column(k) for k, c in enumerate(names) if c != "_parts"), found]
             yield pa.RecordBatch.from_arrays(columns, [*(c for c in names if c != "_parts"), name])
 
     return given.mapInArrow(run, images.schema)
 
 
 def once(found: Column, width: Column, height: Column, profile: str = "desktop") -> Column:
-    """Detections without those that a better one makes redundant: by score, then area, as the platform judges boxes."""
+    """Detections, a column, without those that a better one makes redundant: by score, then area, as the platform judges boxes.
+
+    Photos are judged in batches; those with a number that is null or not finite one by one.
+    """
     box = lambda d: F.struct((d["left"] / width).alias("left"), (d["top"] / height).alias("top"), (d["width"] / width).alias("width"), (d["height"] / height).alias("height"))
     area = lambda d: d["width"] * d["height"]
     if profile == "android":  # in the order found
@@ -73,8 +81,10 @@ def once(found: Column, width: Column, height: Column, profile: str = "desktop")
         ranked = F.array_sort(found, lambda a, b: F.when(a["score"] > b["score"], -1).when(a["score"] < b["score"], 1).when(area(a) > area(b), -1).when(area(a) < area(b), 1).otherwise(0))
     boxed = F.transform(ranked, lambda d, k: F.struct(box(d).alias("box"), k.cast("int").alias("face_index"), d.alias("d")))
     overlap = D.PROFILES[profile]["overlap"]
-    kept = suppressed(boxed, score=lambda f: -f["face_index"], values=None if overlap else S.DETECTOR, overlap=overlap)
-    return F.transform(kept, lambda f: f["d"])
+    values = None if overlap else S.DETECTOR
+    kept = places(found, None if profile == "android" else found["score"], values=values, overlap=overlap, sides=(width, height))
+    one_by_one = F.transform(folded(boxed, None, values, overlap, None), lambda f: f["d"])
+    return F.when(kept.isNotNull(), F.transform(kept, lambda k: F.get(found, k))).otherwise(one_by_one)
 
 
 def _largest(found: Column, width: Column, height: Column) -> Column:
@@ -96,5 +106,6 @@ def detected(images: DataFrame, detect: Detector, profile: str = "desktop", tili
         more = D.tiled(w.cast("long") * h, F.size("found"), profile, _largest(F.col("found"), w, h), least_pixels) & F.col("found").isNotNull()
         none = F.filter(whole, lambda t: F.lit(False))
         out = _looked_at(out, detect, F.when(more, D.tiles(w, h, side, profile)).otherwise(none), "_more")
-        out = out.withColumn("found", F.when(F.size("_more") > 0, once(F.concat("found", "_more"), w, h, profile)).otherwise(F.col("found"))).drop("_more")
+        out = out.withColumn("_both", F.concat("found", "_more"))
+        out = out.withColumn("found", F.when(F.size("_more") > 0, once(F.col("_both"), w, h, profile)).otherwise(F.col("found"))).drop("_more", "_both")
     return out

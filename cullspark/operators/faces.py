@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
+from .suppression import places
 
 # Fixed values of the filters.
 TINY, RELATIVE_TINY, RELATIVE_SHARE, SOFT_AREA, DEFER_RATIO = 0.0004, 0.00075, 0.5, 0.012, 8
@@ -18,26 +19,32 @@ def gather(faces: DataFrame, *columns: str) -> DataFrame:
 
 def reference_area(faces: Column) -> Column:
     """Mean of the upper half of the positive areas, 0 without any."""
-    areas = F.array_sort(F.filter(F.transform(faces, lambda f: S.area(f["box"])), lambda a: a > 0))
-    upper = F.slice(areas, F.floor(F.size(areas) / 2).cast("int") + 1, F.greatest(F.size(areas), F.lit(1)))
-    return F.when(F.size(areas) == 0, 0.0).otherwise(F.aggregate(upper, F.lit(0.0), lambda s, x: s + x) / F.size(upper))
+
+    def of(areas: Column) -> Column:
+        upper = F.slice(areas, F.floor(F.size(areas) / 2).cast("int") + 1, F.greatest(F.size(areas), F.lit(1)))
+        return F.when(F.size(areas) == 0, 0.0).otherwise(F.aggregate(upper, F.lit(0.0), lambda s, x: s + x) / F.size(upper))
+
+    return S.let(F.sort_array(F.filter(F.transform(faces, lambda f: S.area(f["box"])), lambda a: a > 0)), of)
 
 
 def without_artifacts(faces: Column) -> Column:
     """Drops boxes too small for the photo's other faces, soft specks, and open eyes on a blurred face."""
     many = F.size(faces) >= 2
-    ref = reference_area(faces)
 
-    def keep(f: Column) -> Column:
-        a = S.area(f["box"])
-        y = S.centre(f["box"])[1]
-        relative = many & (ref > 0) & (a < RELATIVE_TINY) & (a < ref * RELATIVE_SHARE)
-        below = F.exists(faces, lambda o: (S.area(o["box"]) >= ref * 0.85) & (S.centre(o["box"])[1] + 0.03 < y))
-        deferred = (ref / F.greatest(a, F.lit(1e-8)) >= DEFER_RATIO) & below
-        speck = many & (f["focus"] == "soft") & (a < SOFT_AREA) & (ref >= SOFT_AREA) & (a < ref * RELATIVE_SHARE)
-        return (a >= TINY) & ~(relative & ~deferred) & ~speck & ~((f["eye"] == "open") & (f["focus"] == "blurred"))
+    def kept(c: Column) -> Column:
+        ref, measured = c["ref"], c["m"]
+
+        def judged(f: Column, a: Column, y: Column) -> Column:
+            relative = many & (ref > 0) & (a < RELATIVE_TINY) & (a < ref * RELATIVE_SHARE)
+            below = F.exists(measured, lambda o: (o["area"] >= ref * 0.85) & (o["y"] + 0.03 < y))
+            deferred = (ref / F.greatest(a, F.lit(1e-8)) >= DEFER_RATIO) & below
+            speck = many & (f["focus"] == "soft") & (a < SOFT_AREA) & (ref >= SOFT_AREA) & (a < ref * RELATIVE_SHARE)
+            return (a >= TINY) & ~(relative & ~deferred) & ~speck & ~((f["eye"] == "open") & (f["focus"] == "blurred"))
 
-    return F.filter(faces, keep)
+        return F.filter(faces, lambda f, k: S.let(F.get(measured, k), lambda m: judged(f, m["area"], m["y"])))
+
+    measure = lambda f: F.struct(S.area(f["box"]).alias("area"), S.centre(f["box"])[1].alias("y"))
+    return S.let(F.struct(reference_area(faces).alias("ref"), F.transform(faces, measure).alias("m")), kept)
 
 
 def without_displayed_media(faces: Column, soft_by_label: bool = True, peer_floor: float = 0.0008, yaw=None) -> Column:
@@ -46,12 +53,17 @@ def without_displayed_media(faces: Column, soft_by_label: bool = True, peer_floo
     yaw: a function from face to its yaw, for the rule on faces that look aside; without it that rule is off.
     """
 
-    def displayed(f: Column) -> Column:
-        a, (x, y) = S.area(f["box"]), S.centre(f["box"])
+    def measure(f: Column) -> Column:
+        x, y = S.centre(f["box"])
         sharp = F.coalesce(f["sharpness"], F.lit(0))
         soft = (sharp < 48) | (f["focus"] == "blurred") if soft_by_label else sharp < 48
+        turn = [] if yaw is None else [S.yaw_radians(yaw(f)).alias("turn")]
+        return F.struct(f["face_index"].alias("i"), S.area(f["box"]).alias("area"), x.alias("x"), y.alias("y"), soft.alias("soft"), *turn)
+
+    def displayed(f: Column, measured: Column) -> Column:
+        a, x, y, soft = (f[c] for c in ("area", "x", "y", "soft"))
         sized = a.between(0.0035, 0.16)
-        others = lambda test: F.exists(faces, lambda o: (o["face_index"] != f["face_index"]) & test(o, S.area(o["box"]), *S.centre(o["box"])))
+        others = lambda test: F.exists(measured, lambda o: (o["i"] != f["i"]) & test(o, o["area"], o["x"], o["y"]))
         above = others(lambda o, b, ox, oy: (b >= TINY) & (b < a) & (oy > y + 0.04) & (a / F.greatest(b, F.lit(1e-8)) >= 3))
         edge = lambda v: F.abs(v - 0.5)
         beside = others(lambda o, b, ox, oy: (b >= 0.00175) & (a / F.greatest(b, F.lit(1e-8))).between(0.4, 2.5) & (edge(x) >= edge(ox) + 0.2) & (y <= oy + 0.06))
@@ -60,10 +72,11 @@ def without_displayed_media(faces: Column, soft_by_label: bool = True, peer_floo
         second = soft & (F.size(faces) <= 6) & ((x <= 0.32) | (x >= 0.68)) & sized & beside
         turned = F.lit(False)
         if yaw is not None:
-            turned = soft & side & (S.yaw_radians(yaw(f)) >= 0.4) & others(lambda o, b, ox, oy: (S.yaw_radians(yaw(o)) <= 0.35) & (b >= TINY))
+            turned = soft & side & (f["turn"] >= 0.4) & others(lambda o, b, ox, oy: (o["turn"] <= 0.35) & (b >= TINY))
         return (sized & above & (soft | (a >= 0.012))) | second | turned | (soft & (a >= 0.015) & side & centred)
 
-    return F.when(F.size(faces) < 2, faces).otherwise(F.filter(faces, lambda f: ~displayed(f)))
+    kept = S.let(F.transform(faces, measure), lambda measured: F.filter(faces, lambda f, k: S.let(F.get(measured, k), lambda m: ~displayed(m, measured))))
+    return F.when(F.size(faces) < 2, faces).otherwise(kept)
 
 
 def without_backdrop(faces: Column) -> Column:
@@ -91,16 +104,27 @@ def keep_score(f: Column, marks: Column | None = None) -> Column:
 
 
 def suppressed(faces: Column, score=keep_score, values: tuple | None = None, overlap: float | None = None, most: int | None = None) -> Column:
-    """Greedy suppression in order of score, then index; survivors in that order.
+    """Greedy suppression in order of score, then index; survivors in that order. Without a score faces come in the order given.
 
-    A fold over the ranked array: a face joins if no survivor makes it redundant. values are those of
-    scalar.redundant; with overlap, plain intersection over union decides.
+    A face joins if no survivor makes it redundant. values are those of scalar.redundant; with overlap, plain
+    intersection over union decides. Photos are judged in batches; a fold over the ranked places judges those with a
+    number that is null or not finite.
     """
-    ranked = F.array_sort(faces, lambda a, b: F.when(score(a) > score(b) + 1e-9, -1).when(score(a) < score(b) - 1e-9, 1).otherwise(a["face_index"] - b["face_index"]))
-    ranked = F.slice(ranked, 1, most) if most else ranked
-    clash = (lambda a, b: S.iou(a, b) >= overlap) if overlap is not None else (lambda a, b: S.redundant(a, b, values) if values else S.redundant(a, b))
-    none = F.filter(faces, lambda f: F.lit(False))
-    return F.aggregate(ranked, none, lambda kept, f: F.when(F.exists(kept, lambda k: clash(k["box"], f["box"])), kept).otherwise(F.concat(kept, F.array(f))))
+    ranks = () if score is None else (F.transform(faces, lambda f: score(f).cast("double")), faces["face_index"])
+    kept = places(faces["box"], *ranks, values=values, overlap=overlap, most=most)
+    return F.when(kept.isNotNull(), F.transform(kept, lambda k: F.get(faces, k))).otherwise(folded(faces, score, values, overlap, most))
+
+
+def folded(faces: Column, score, values: tuple | None, overlap: float | None, most: int | None) -> Column:
+    """suppressed, photo by photo; scores and measures are worked out once a face."""
+    rank = [] if score is None else [("score", score), ("face_index", lambda f: f["face_index"])]
+    measured = F.transform(faces, lambda f, k: F.struct(k.alias("k"), S.measures(f["box"]).alias("m"), *(of(f).alias(n) for n, of in rank)))
+    if score is not None:
+        measured = F.array_sort(measured, lambda a, b: F.when(a["score"] > b["score"] + 1e-9, -1).when(a["score"] < b["score"] - 1e-9, 1).otherwise(a["face_index"] - b["face_index"]))
+    ranked = F.transform(F.slice(measured, 1, most) if most else measured, lambda x: F.struct(x["k"].alias("k"), x["m"].alias("m")))
+    clash = (lambda a, b: S.overlapping(a, b, overlap)) if overlap is not None else (lambda a, b: S.clashing(a, b, values or S.REDUNDANT))
+    fold = lambda kept, f: F.when(F.exists(kept, lambda k: clash(k["m"], f["m"])), kept).otherwise(F.concat(kept, F.array(f)))
+    return S.let(ranked, lambda r: F.aggregate(r, F.slice(r, 1, 0), fold, lambda kept: F.transform(kept, lambda x: F.get(faces, x["k"]))))
 
 
 # Fixed values of the choice of subjects.
@@ -108,10 +132,17 @@ PEER_RATIO, SPREAD, PHOTOBOMB, FOREGROUND, FOREGROUND_SHARP = 2.4, 3.25, 3.5, 1.
 SHARP_RATIO, RELATIVE_SHARP, SOFT_CEILING, PRINT_YAW, PRINT_SHARP, LEAST_SHARE = 0.48, 0.45, 50, 28, 0.72, 0.35
 
 
+def _sorted(values: Column) -> Column:
+    """In ascending order, nulls last."""
+    return S.let(values, lambda v: F.when(F.forall(v, lambda x: x.isNotNull()), F.sort_array(v)).otherwise(F.array_sort(v)))
+
+
 def _median(values: Column) -> Column:
-    s = F.array_sort(values)
-    n = F.size(s)
-    return F.when(n == 0, 0.0).otherwise((F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))) / 2)
+    def of(s: Column) -> Column:
+        n = F.size(s)
+        return F.when(n == 0, 0.0).otherwise((F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))) / 2)
+
+    return S.let(_sorted(values), of)
 
 
 def _of(group: Column, field: str) -> Column:
@@ -158,8 +189,8 @@ def dominant(sets: DataFrame, yaw=lambda f: F.lit(0.0)) -> DataFrame:
     g = F.col("_g")
     df = df.withColumn("_cx", _median(_of(g, "x"))).withColumn("_cy", _median(_of(g, "y"))).withColumn("_w", _median(_of(g, "w"))).withColumn("_h", _median(_of(g, "h")))
     df = df.withColumn("_mx", _median(F.transform(g, lambda f: F.abs(f["x"] - F.col("_cx"))))).withColumn("_my", _median(F.transform(g, lambda f: F.abs(f["y"] - F.col("_cy")))))
-    xs = F.array_sort(_of(g, "x"))
-    df = df.withColumn("_gaps", F.zip_with(F.slice(xs, 2, F.greatest(F.size(g) - 1, F.lit(0))), F.slice(xs, 1, F.greatest(F.size(g) - 1, F.lit(0))), lambda a, b: a - b))
+    steps = lambda xs: F.zip_with(F.slice(xs, 2, F.greatest(F.size(g) - 1, F.lit(0))), F.slice(xs, 1, F.greatest(F.size(g) - 1, F.lit(0))), lambda a, b: a - b)
+    df = df.withColumn("_gaps", S.let(_sorted(_of(g, "x")), steps))
     wide = F.greatest(F.col("_mx") * SPREAD, F.col("_w") * 2.5)
     df = df.withColumn("_lx", F.when(F.col("_my") <= F.col("_h") * 0.55, F.greatest(wide, _median(F.col("_gaps")) * 2.75, F.col("_w") * 4)).otherwise(wide)).withColumn("_ly", F.greatest(F.col("_my") * SPREAD, F.col("_h") * 1.75))
     near = F.filter(g, lambda f: (F.abs(f["x"] - F.col("_cx")) <= F.col("_lx")) & (F.abs(f["y"] - F.col("_cy")) <= F.col("_ly")))

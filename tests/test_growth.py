@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from cullspark.functions import image
-from cullspark.operators import duplicates, identity
+from cullspark.functions import scalar as S
+from cullspark.operators import duplicates, faces, identity
 from cullspark.plans import catalogue, extraction
 
 SF = os.environ.get("SF_DIR", "/root/testdata/sf0.001")
@@ -101,3 +102,32 @@ def test_clusters_keep_their_arrays_between_photos():
         assert got == want and one == two
     assert {k: (list(p), a) for k, (p, a) in held.items()} == {k: (list(p), a) for k, (p, a) in plain.items()}
     assert sum(g[3] for g in held.of_length.values()) > len(held)  # some have moved to a shorter length
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().analyzed().toString()
+
+
+def test_boxes_of_photos_are_judged_in_batches(spark):
+    """As photo by photo, with numbers that are none among them."""
+    rng = np.random.default_rng(8)
+    box = "struct<left: double, top: double, width: double, height: double>"
+    rows = []
+    for photo in range(300):
+        boxes = np.round(rng.random((int(rng.integers(0, 12)), 4)) * 0.4, 2).tolist()
+        rows.append((photo, [(k, tuple(b), float(rng.integers(0, 4))) for k, b in enumerate(boxes)]))
+    rows += [(300, None), (301, [(0, (0.1, 0.1, float("nan"), 0.2), 1.0), (1, (0.1, 0.1, 0.2, 0.2), 2.0)]), (302, [(0, (0.1, 0.1, None, 0.2), 1.0), (1, (0.1, 0.1, 0.2, 0.2), None)])]
+    df = spark.createDataFrame(rows, f"photo_id int, faces array<struct<face_index: int, box: {box}, score: double>>").repartition(3)
+    for how in ({}, {"values": S.DETECTOR}, {"overlap": 0.3}, {"most": 3}, {"score": None}):
+        how = {"score": lambda f: f["score"], **how}
+        got = df.select("photo_id", faces.suppressed(F.col("faces"), **how).alias("a"), faces.folded(F.col("faces"), how["score"], how.get("values"), how.get("overlap"), how.get("most")).alias("b"))
+        assert "ArrowEvalPython" in got._jdf.queryExecution().executedPlan().toString()
+        assert all(str(r.a) == str(r.b) for r in got.collect())
+
+
+def test_what_pairs_need_is_worked_out_once_a_face(spark):
+    """Rules name a face's measures and a photo's reference area once, not once a pair."""
+    sets = catalogue._sets(spark, SF)
+    assert _plan(sets.select(faces.without_artifacts(F.col("faces")).alias("x"))).count("filter(transform(faces") == 1
+    assert _plan(sets.select(faces.without_displayed_media(F.col("faces"), yaw=catalogue._yaw).alias("x"))).count("RADIANS") == 1
+    assert _plan(catalogue.labelled(spark, SF).select(S.fingerprint(F.col("face")).alias("x"))).count("try_element_at") == 4
