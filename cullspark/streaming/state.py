@@ -104,14 +104,28 @@ def clustered(faces: DataFrame, delay: str | None = None, ttl_ms: int | None = N
     return rows.groupBy("album_id").transformWithStateInPandas(FaceClusters(delay is not None, ttl_ms), _CLUSTERED, "append", mode)
 
 
+#: Photos in a block of state on average, at most: every entry that is read or written is a call to the store.
+_BLOCK = 64
+
+
+def _block(photo: int, bits: int) -> int:
+    """One of 2 ** bits blocks; with one bit more, block b is dealt to 2 * b and 2 * b + 1."""
+    return (photo * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) >> 64 - bits
+
+
 class PhotoCounters(StatefulProcessor):
-    """Counts of an album's photos by status, and its bytes, from updates in any order; the last one by seq is a photo's state."""
+    """Counts of an album's photos by status, and its bytes, from updates in any order; the last one by seq is a photo's state.
+
+    Photos are kept in blocks by hash, whose number doubles as the album grows, so a batch reads and writes the blocks that it touches.
+    A block expires as a whole, when none of its photos has changed for ttl_ms.
+    """
 
     def __init__(self, ttl_ms: int | None = None):
         self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.photos = handle.getMapState("photos", "photo_id long", "seq long, status string", self.ttl_ms)
+        self.photos = handle.getMapState("photos", "block long", "photos array<struct<photo_id: long, seq: long, status: string>>", self.ttl_ms)
+        self.size = handle.getValueState("size", "photos long, bits int")  # stays, as blocks are found by it
         self.counts = handle.getMapState("counts", "status string", "n long", self.ttl_ms)
         self.bytes = handle.getValueState("bytes", "n long", self.ttl_ms)
 
@@ -124,14 +138,31 @@ class PhotoCounters(StatefulProcessor):
                 if photo not in last or (seq, str(status)) > (last[photo][0], str(last[photo][1])):
                     last[photo] = (seq, None if pd.isna(status) else status)
         shift: dict[str, int] = {}
-        for photo, (seq, status) in last.items():
-            was = self.photos.getValue((photo,)) if self.photos.containsKey((photo,)) else None
-            if was is not None and was[0] >= seq:
-                continue
-            self.photos.updateValue((photo,), (seq, status))
-            for s, n in ((was[1] if was else None, -1), (status, 1)):
-                if s is not None:
-                    shift[s] = shift.get(s, 0) + n
+        known, bits = self.size.get() if self.size.exists() else (0, 0)
+        before, new = (known, bits), 0
+        while known + len(last) > _BLOCK << bits:
+            if known:
+                self._split(bits)
+            bits += 1
+        touched: dict[int, dict] = {}
+        for photo, update in last.items():
+            touched.setdefault(_block(photo, bits), {})[photo] = update
+        for block, updates in touched.items():
+            held = self._held(block) if known else {}
+            changed = False
+            for photo, (seq, status) in updates.items():
+                was = held.get(photo)
+                if was is not None and was[0] >= seq:
+                    continue
+                held[photo], changed = (seq, status), True
+                for s, n in ((was[1] if was else None, -1), (status, 1)):
+                    if s is not None:
+                        shift[s] = shift.get(s, 0) + n
+                new += was is None
+            if changed:
+                self._keep(block, held)
+        if (known + new, bits) != before:
+            self.size.update((known + new, bits))
         out = []
         for s, n in sorted(shift.items()):
             if n:
@@ -144,6 +175,25 @@ class PhotoCounters(StatefulProcessor):
             out.append((key[0], "bytes", None, total))
         yield pd.DataFrame(out, columns=["album_id", "kind", "status", "n"])
 
+    def _held(self, block: int) -> dict[int, tuple]:
+        if not self.photos.containsKey((block,)):
+            return {}
+        return {photo: (seq, status) for photo, seq, status in self.photos.getValue((block,))[0]}
+
+    def _keep(self, block: int, held: dict[int, tuple]) -> None:
+        self.photos.updateValue((block,), ([(photo, *state) for photo, state in held.items()],))
+
+    def _split(self, bits: int) -> None:
+        """Deals blocks to twice as many; from the last to the first, so that none is written before it was read."""
+        for block in range((1 << bits) - 1, -1, -1):
+            held = self._held(block)
+            for half in (2 * block + 1, 2 * block):
+                some = {p: x for p, x in held.items() if _block(p, bits + 1) == half}
+                if some:
+                    self._keep(half, some)
+                elif half >> bits == 0 and self.photos.containsKey((half,)):
+                    self.photos.removeKey((half,))
+
     def close(self) -> None:
         pass
 

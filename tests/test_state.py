@@ -2,6 +2,7 @@
 
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -86,3 +87,49 @@ def test_counters_stay_at_zero_and_ignore_older_updates(spark, tmp_path):
 def test_time_and_expiry_exclude_each_other(spark, photos):
     with pytest.raises(ValueError):
         state.clustered(photos[0], "1 day", 1000)
+
+
+class _Store:
+    """State in memory that counts the calls it gets."""
+
+    def __init__(self):
+        self.calls, self.maps = 0, {}
+
+    def getMapState(self, name, *schema):
+        return _Variable(self, self.maps.setdefault(name, {}))
+
+    getValueState = getMapState
+
+
+class _Variable:
+    def __init__(self, store, held):
+        self.store, self.held = store, held
+
+    def _called(self, x):
+        self.store.calls += 1
+        return x
+
+    exists = lambda self: self._called(() in self.held)
+    get = lambda self: self._called(self.held[()])
+    update = lambda self, v: self._called(self.held.update({(): v}))
+    containsKey = lambda self, k: self._called(k in self.held)
+    getValue = lambda self, k: self._called(self.held.get(k))
+    updateValue = lambda self, k, v: self._called(self.held.update({k: v}))
+    removeKey = lambda self, k: self._called(self.held.pop(k))
+
+
+def test_counters_keep_photos_in_blocks_that_grow(spark):
+    """A batch calls the store by blocks, not by photos, however large an album grows; counts are those of a plain loop."""
+    r, store, last, got = random.Random(3), _Store(), {}, {}
+    counters = state.PhotoCounters()
+    counters.init(store)
+    for seq, size in enumerate((1, 30, 500, 3, 4000, 900)):
+        ids = r.sample(range(-200, 6000), size)
+        rows = pd.DataFrame({"photo_id": ids, "seq": seq, "status": [r.choice(["pending", "uploaded", None]) for _ in ids], "storage_delta": 1})
+        last.update(zip(ids, rows["status"]))
+        for out in counters.handleInputRows((7,), iter([rows]), None):
+            got.update({(k, s): n for _, k, s, n in out.itertuples(index=False)})
+        want = {("status", s): sum(x == s for x in last.values()) for s in ("pending", "uploaded")}
+        assert {k: n for k, n in got.items() if k[0] == "status" and n} == {k: n for k, n in want.items() if n}
+    assert store.calls < 5434 / 2  # updates in all, of which each took two calls or three
+    assert max(len(v[0]) for v in store.maps["photos"].values()) < 4 * state._BLOCK
