@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -65,24 +67,52 @@ LEFT_CONTOUR, RIGHT_CONTOUR = tuple(range(33, 43)), tuple(range(87, 97))
 OPEN_RATIO, CLOSED_RATIO, HALF_OPEN = 0.22, 0.16, 0.45
 
 
-def contour_ratio(points: Column, places: tuple[int, ...]) -> Column:
-    """Height over width of a contour of points (structs of x and y in pixels of the eye's input): between the means of its upper and lower half.
+def _mean(values: np.ndarray, where: np.ndarray) -> np.ndarray:
+    """Means of rows' values where they count, added in order."""
+    total = np.zeros(len(values))
+    for k in range(values.shape[1]):
+        total = np.where(where[:, k], total + values[:, k], total)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return total / where.sum(axis=1)
+
+
+def _ratio(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Height over width of contours (rows of x and y): between the means of their upper and lower half."""
+    with np.errstate(invalid="ignore"):
+        middle = _mean(y, np.ones(y.shape, bool))[:, None]
+        return np.abs(_mean(y, y >= middle) - _mean(y, y <= middle)) / np.maximum(1e-3, x.max(axis=1) - x.min(axis=1))
 
-    Null where one of the points is missing.
-    """
-    mean = lambda v: F.aggregate(v, F.lit(0.0), lambda s, e: s + e) / F.size(v)
 
-    def of(p: Column) -> Column:
-        height = _let(mean(p["y"]), lambda m: F.abs(mean(F.filter(p["y"], lambda v: v >= m)) - mean(F.filter(p["y"], lambda v: v <= m))))
-        return F.when(F.forall(p["x"], lambda v: v.isNotNull()) & F.forall(p["y"], lambda v: v.isNotNull()), height / F.greatest(F.lit(1e-3), F.array_max(p["x"]) - F.array_min(p["x"])))
+def contour_ratio(points: Column, *contours: tuple[int, ...]) -> Column:
+    """Mean of heights over widths of contours, given by the places of their points (structs of x and y in pixels of the eye's input).
+
+    Null where one of the points is missing. Faces are judged in Arrow batches.
+    """
 
-    parts = F.struct(*(F.array(*(F.get(points, k)[c].cast("double") for k in places)).alias(c) for c in "xy"))
-    return _let(parts, of)
+    def run(faces: pa.Array) -> pa.Array:
+        starts, n = faces.offsets.to_numpy()[:-1], np.diff(faces.offsets.to_numpy())
+        values = faces.values
+        known = ~faces.is_null().to_numpy(zero_copy_only=False) & (n > max(map(max, contours)))
+        rows = np.flatnonzero(known)
+        sides = {}
+        for c in "xy":
+            of = values.field(c).cast(pa.float64())
+            there = [x.is_valid().to_numpy(zero_copy_only=False) for x in (of, values)]
+            sides[c] = of.fill_null(0.0).to_numpy(zero_copy_only=False), there[0] & there[1]
+        out, seen = np.zeros(len(faces)), known.copy()
+        for places in contours:
+            at = starts[rows, None] + np.array(places)
+            out[rows] += _ratio(sides["x"][0][at], sides["y"][0][at])
+            seen[rows] &= (sides["x"][1][at] & sides["y"][1][at]).all(axis=1)
+        return pa.array(out / len(contours), mask=~seen)
+
+    run.__annotations__ = {"faces": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, "double")(points)
 
 
 def contour_eyes(points: Column) -> Column:
     """ratio, probability, open and confidence from the contours of both eyes; all null where a point is missing."""
-    ratio = _let(points, lambda p: (contour_ratio(p, LEFT_CONTOUR) + contour_ratio(p, RIGHT_CONTOUR)) / 2)
+    ratio = contour_ratio(points, LEFT_CONTOUR, RIGHT_CONTOUR)
 
     def judged(r: Column) -> Column:
         p = _held((r - CLOSED_RATIO) / (OPEN_RATIO - CLOSED_RATIO), 0.0, 1.0)
@@ -91,7 +121,7 @@ def contour_eyes(points: Column) -> Column:
         known = lambda c: F.when(r.isNotNull(), c)
         return F.struct(r.alias("ratio"), known(p).alias("probability"), known(wide | (~shut & (p >= HALF_OPEN))).alias("open"), known(sure).alias("confidence"))
 
-    return _let(ratio, judged)
+    return judged(ratio)
 
 
 def without_weak(faces: Column, reference: Column) -> Column:

@@ -7,7 +7,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from cullspark.functions import image
+from cullspark.functions import detector, image
 from cullspark.functions import scalar as S
 from cullspark.operators import duplicates, faces, identity
 from cullspark.plans import catalogue, extraction
@@ -131,3 +131,24 @@ def test_what_pairs_need_is_worked_out_once_a_face(spark):
     assert _plan(sets.select(faces.without_artifacts(F.col("faces")).alias("x"))).count("filter(transform(faces") == 1
     assert _plan(sets.select(faces.without_displayed_media(F.col("faces"), yaw=catalogue._yaw).alias("x"))).count("RADIANS") == 1
     assert _plan(catalogue.labelled(spark, SF).select(S.fingerprint(F.col("face")).alias("x"))).count("try_element_at") == 4
+
+
+def test_contours_are_judged_in_batches(spark):
+    """As point by point, over several contours and lists of any length; points are made and judged in one pass of Arrow batches."""
+    rng = np.random.default_rng(2)
+    rows = [(k, None if k % 50 == 0 else [None if rng.random() < 0.002 else tuple(p) for p in (rng.random((int(rng.integers(95, 107)), 2)) * 9).tolist()]) for k in range(200)]
+    df = spark.createDataFrame(rows, "k int, p array<struct<x: double, y: double>>").repartition(2)
+    got = {r.k: r.ratio for r in df.select("k", detector.contour_eyes(F.col("p"))["ratio"].alias("ratio")).collect()}
+    for k, points in rows:
+        eyes = [[(points or [])[i] if i < len(points or []) else None for i in of] for of in (detector.LEFT_CONTOUR, detector.RIGHT_CONTOUR)]
+        if any(p is None for e in eyes for p in e):
+            assert got[k] is None
+            continue
+        ratio = 0
+        for e in eyes:
+            y = [p[1] for p in e]
+            up, low = [v for v in y if v >= sum(y) / 10], [v for v in y if v <= sum(y) / 10]
+            ratio += abs(sum(up) / len(up) - sum(low) / len(low)) / max(1e-3, max(p[0] for p in e) - min(p[0] for p in e))
+        assert got[k] == pytest.approx(ratio / 2, abs=1e-12)
+    plan = extraction.contour_eye_states(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython [") == 1 and "sequence(0, 105" not in plan
