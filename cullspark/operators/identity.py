@@ -199,10 +199,13 @@ def merge_key_faces(variants: DataFrame, threshold: float = MERGE, same_scene: f
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         kept: list[dict] = []
         rows = []
-        for v in pdf.sort_values(["first_order", "first_face", "variant"]).itertuples():
-            scenes = set() if v.scenes is None else set(v.scenes)
-            box_area = max(0.0, v.box["width"]) * max(0.0, v.box["height"])
-            r = {"variant": v.variant, "photos": set(v.photo_ids), "scenes": scenes, "print": list(v.print), "area": box_area, "blended": v.area, "box": v.box, "score": v.score, "crop": v.crop_uri}
+        # groups are many and small, so rows are plain tuples: sorting and walking a frame costs more than the rule
+        last = lambda x: (x is None or x != x, x)
+        given = zip(*(pdf[c].tolist() for c in ("first_order", "first_face", "variant", "album_id", "photo_ids", "scenes", "print", "area", "box", "score", "crop_uri")))
+        for _, _, variant, album, photos, scenes, print_, area, box, score, crop in sorted(given, key=lambda v: (*last(v[0]), *last(v[1]), v[2])):
+            scenes = set() if scenes is None else set(scenes)
+            box_area = max(0.0, box["width"]) * max(0.0, box["height"])
+            r = {"variant": variant, "photos": set(photos), "scenes": scenes, "print": list(print_), "area": box_area, "blended": area, "box": box, "score": score, "crop": crop}
             k = next((k for k in kept if one_person(k, r)), None)
             if k is None:
                 kept.append(r)
@@ -214,7 +217,7 @@ def merge_key_faces(variants: DataFrame, threshold: float = MERGE, same_scene: f
                     k["blended"] = k["blended"] * OLD_SHARE + r["blended"] * NEW_SHARE
                 k["photos"] |= r["photos"]
                 k["scenes"] |= r["scenes"]
-            rows.append((v.album_id, v.variant, (k or r)["variant"]))
+            rows.append((album, variant, (k or r)["variant"]))
         return pd.DataFrame(rows, columns=["album_id", "variant", "merged_into"])
 
     chosen = variants.select("album_id", "variant", "eye", "focus", "print", "area", "box", "score", "photo_ids", "first_order", "first_face", "crop_uri", "scenes")
