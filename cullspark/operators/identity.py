@@ -151,18 +151,24 @@ def resolved_cluster(faces: DataFrame) -> DataFrame:
     return faces.withColumn("cluster", F.when((F.coalesce("cluster_id", F.lit("")) == "") | (seen > 1), own).otherwise(F.col("cluster_id")))
 
 
-def key_faces(faces: DataFrame) -> DataFrame:
+def key_faces(faces: DataFrame, indexes: bool = False) -> DataFrame:
     """Variants (cluster, eye, focus) of an album: occurrences, photos in first-seen order and the best face.
 
     faces: album_id, photo_id, photo_order, face_index, cluster, eye, focus, sharpness, yaw, pitch, box.
+    With indexes also face_indexes, the variant's first face in each of the photos.
     """
     b = F.col("box")
     score = F.when(F.col("eye") == "open", 400).when(F.col("eye") == "partial", 200).otherwise(0) + F.when(F.col("focus") == "good", 300).when(F.col("focus") == "soft", 150).otherwise(0)
     score = score + F.least(F.col("sharpness"), F.lit(100)) + F.greatest(F.lit(0), 100 - F.abs("yaw") - F.abs("pitch")) + b["width"] * b["height"] * 500 - F.col("photo_order") * 10
     f = faces.withColumn("score", score).withColumn("variant", S.variant_id(F.col("cluster"), F.col("eye"), F.col("focus")))
-    ordered = F.array_sort(F.collect_set(F.struct("photo_order", "photo_id")))
+    ordered = F.array_sort(F.collect_set(F.struct("photo_order", "photo_id", *(["face_index"] if indexes else []))))
     rank = F.struct("score", (-F.col("photo_order")).alias("o"), (-F.col("face_index")).alias("i"))
-    return f.groupBy("album_id", "variant").agg(F.count(F.lit(1)).alias("occurrences"), F.transform(ordered, lambda x: x["photo_id"]).alias("photo_ids"), F.max_by(F.struct("photo_id", "face_index", "score"), rank).alias("best"), F.min(F.struct("photo_order", "face_index")).alias("first")).select("*", F.col("first.photo_order").alias("first_order"), F.col("first.face_index").alias("first_face")).drop("first")
+    k = f.groupBy("album_id", "variant").agg(F.count(F.lit(1)).alias("occurrences"), ordered.alias("members"), F.max_by(F.struct("photo_id", "face_index", "score"), rank).alias("best"), F.min(F.struct("photo_order", "face_index")).alias("first"))
+    members = F.col("members")
+    if indexes:  # sorted, so a photo's first entry has its first face
+        members = F.filter(members, lambda x, i: (i == 0) | (F.get(F.col("members"), i - 1)["photo_id"] != x["photo_id"]))
+    photos = [F.transform(members, lambda x: x["photo_id"]).alias("photo_ids"), *([F.transform(members, lambda x: x["face_index"]).alias("face_indexes")] if indexes else [])]
+    return k.select("album_id", "variant", "occurrences", *photos, "best", F.col("first.photo_order").alias("first_order"), F.col("first.face_index").alias("first_face"))
 
 
 def merge_key_faces(variants: DataFrame, threshold: float = MERGE, same_scene: float = MERGE_SAME_SCENE) -> DataFrame:

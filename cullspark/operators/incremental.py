@@ -38,16 +38,25 @@ def key_faces_after_delete(variants: DataFrame, gone: DataFrame, faces: DataFram
     """Key faces without the deleted photos: empty ones go, counts drop to 1 at least, the source moves to the first photo left.
 
     With faces (album_id, photo_id, face_index, variant, cluster) source_face_index is the source photo's first face of
-    the same variant, else of the same cluster, else the one of the former best face's number, else 0.
+    the same variant, else of the same cluster, else the one of the former best face's number, else 0. Variants with
+    face_indexes (their first face in each of photo_ids) have it from there, so that no faces are read.
     """
     keys = ["album_id", "variant"]
-    own = variants.select(*keys, F.posexplode("photo_ids").alias("at", "photo_id")).join(gone.select("album_id", "photo_id"), ["album_id", "photo_id"], "left_anti")
-    left = own.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "photo_id"))), lambda x: x["photo_id"]).alias("left"))
-    v = variants.join(left, keys)
-    hit = F.size("left") < F.size("photo_ids")
-    count = F.when(hit, F.greatest(F.lit(1), F.col("occurrences") - (F.size("photo_ids") - F.size("left")))).otherwise(F.col("occurrences"))
-    source = F.element_at("left", 1)
-    out = v.select(*keys, count.cast("long").alias("occurrences"), F.col("left").alias("photo_ids"), source.alias("source_photo_id"), *([F.col("best.face_index").alias("_was")] if faces is not None else []))
+    known = faces is None and "face_indexes" in variants.columns
+    was = [F.col("best.face_index").alias("_was")] if faces is not None else []
+    members = F.arrays_zip("photo_ids", "face_indexes") if known else F.transform("photo_ids", lambda x: F.struct(x.alias("photo_ids")))
+    # what a variant has besides goes along with its photos, so that it needn't be joined again
+    own = variants.select(*keys, "occurrences", F.size("photo_ids").alias("_n"), *was, F.posexplode(members).alias("_at", "_m"))
+    own = own.select("*", F.col("_m.photo_ids").alias("_photo"), *([F.col("_m.face_indexes").alias("_face")] if known else [])).drop("_m")
+    g = gone.select(F.col("album_id").alias("_album"), F.col("photo_id").alias("_gone"))
+    own = own.join(g, F.col("album_id").eqNullSafe(F.col("_album")) & (F.col("_photo") == F.col("_gone")), "left_anti")
+    member = F.struct("_at", "_photo", *(["_face"] if known else []))
+    rest = [F.first(c).alias(c) for c in ("occurrences", "_n", *(["_was"] if was else []))]
+    v = own.groupBy(*keys).agg(*rest, F.array_sort(F.collect_list(member)).alias("_left"))
+    count = F.when(F.size("_left") < F.col("_n"), F.greatest(F.lit(1), F.col("occurrences") - (F.col("_n") - F.size("_left")))).otherwise(F.col("occurrences"))
+    source = F.element_at("_left", 1)
+    index = [F.coalesce(source["_face"], F.lit(0)).alias("source_face_index")] if known else []
+    out = v.select(*keys, count.cast("long").alias("occurrences"), F.transform("_left", lambda x: x["_photo"]).alias("photo_ids"), source["_photo"].alias("source_photo_id"), *index, *(["_was"] if was else []))
     if faces is None:
         return out
     f = faces.select("album_id", F.col("photo_id").alias("source_photo_id"), "face_index", F.col("variant").alias("_variant"), F.col("cluster").alias("_cluster"))

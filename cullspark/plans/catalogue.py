@@ -520,7 +520,7 @@ def key_face_groups(spark, sf_dir):
 def keyface_patch(spark, sf_dir):
     f = _album_faces(spark, sf_dir).withColumn("variant", S.variant_id(F.col("cluster"), F.col("eye"), F.col("focus")))
     gone = photos(spark, sf_dir).where("photo_id % 5 = 0").select("album_id", "photo_id")
-    return incremental.key_faces_after_delete(identity.key_faces(f), gone, f).select("album_id", "variant", "occurrences", "source_photo_id", "source_face_index")
+    return incremental.key_faces_after_delete(identity.key_faces(f, indexes=True), gone).select("album_id", "variant", "occurrences", "source_photo_id", "source_face_index")
 
 
 @query()

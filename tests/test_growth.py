@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cullspark.functions import detector, image
 from cullspark.functions import scalar as S
-from cullspark.operators import duplicates, faces, identity
+from cullspark.operators import duplicates, faces, identity, incremental
 from cullspark.plans import catalogue, extraction
 
 SF = os.environ.get("SF_DIR", "/root/testdata/sf0.001")
@@ -152,3 +152,22 @@ def test_contours_are_judged_in_batches(spark):
         assert got[k] == pytest.approx(ratio / 2, abs=1e-12)
     plan = extraction.contour_eye_states(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython [") == 1 and "sequence(0, 105" not in plan
+
+
+def test_key_faces_after_deletion_read_faces_once(spark):
+    """The source's face comes with the variant, so lines are read once, and only what faces are made of."""
+    plan = catalogue.QUERIES["keyface_patch"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    reads = [line for line in plan.split("\n") if "FileScan" in line and "l_orderkey" in line]
+    assert len(reads) == 1 and "l_partkey" in reads[0] and "l_shipdate" not in reads[0]
+    f = catalogue._album_faces(spark, SF).withColumn("variant", S.variant_id(F.col("cluster"), F.col("eye"), F.col("focus")))
+    gone = catalogue.photos(spark, SF).where("photo_id % 5 = 0")
+    by_faces = incremental.key_faces_after_delete(identity.key_faces(f), gone, f)
+    rows = lambda df: sorted(tuple(r) for r in df.select("album_id", "variant", "occurrences", "photo_ids", "source_photo_id", "source_face_index").collect())
+    known = rows(incremental.key_faces_after_delete(identity.key_faces(f, indexes=True), gone))
+    assert known == rows(by_faces) and any(r[-1] for r in known)
+
+
+def test_key_faces_of_no_album_lose_deleted_photos_too(spark):
+    variants = spark.createDataFrame([(None, "p::open::good", 3, [7, 8], [1, 0]), (None, "q::open::good", 1, [7], [2])], "album_id long, variant string, occurrences long, photo_ids array<long>, face_indexes array<int>")
+    gone = spark.createDataFrame([(None, 7)], "album_id long, photo_id long")
+    assert [tuple(r) for r in incremental.key_faces_after_delete(variants, gone).collect()] == [(None, "p::open::good", 2, [8], 8, 0)]
