@@ -29,6 +29,8 @@ SIMILAR = 0.8
 PLACE = ["doc_id", "text_hash", "line"]
 #: Buckets of the rarity table, a number each.
 BUCKETS = 1 << 18
+#: Numbers of the rarity table that are added up together.
+COUNTS = 256
 CHARS_AT_ONCE, TEXT_BLOCK = 1 << 18, 1 << 20
 #: Where a prefix word has more lines than this in two neighbouring grades of length, they are compared in blocks
 #: of so many lines, and their links are counted, not listed.
@@ -130,13 +132,25 @@ def rarity(docs: DataFrame) -> np.ndarray:
                 total += np.bincount(np.concatenate(held), minlength=BUCKETS)
                 held = []
         total += np.bincount(np.concatenate(held) if held else np.zeros(0, np.int32), minlength=BUCKETS)
-        on = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(on), pa.array(total[on])], ["bucket", "n"])
+        yield _counted({k: row for k, row in enumerate(total.reshape(-1, COUNTS)) if row.any()})
 
-    rows = keyed(docs).mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(BUCKETS, np.int64)
-    out[rows["bucket"]] = rows["n"]
-    return out
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, n in zip(*(c.to_pylist() for c in batch.columns)):
+                total[k] = total.get(k, 0) + np.frombuffer(n, np.int64)
+        yield _counted(total)
+
+    kind = "block long, n binary"
+    rows = keyed(docs).mapInArrow(run, kind).repartition("block").mapInArrow(add, kind).collect()
+    out = np.zeros((BUCKETS // COUNTS, COUNTS), np.int64)
+    for r in rows:
+        out[r.block] = np.frombuffer(r.n, np.int64)
+    return out.reshape(-1)
+
+
+def _counted(blocks: dict[int, np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(blocks), pa.int64()), pa.array([n.tobytes() for n in blocks.values()], pa.binary())], ["block", "n"])
 
 
 def least_shared(n, share: float = SIMILAR):
@@ -230,17 +244,16 @@ def _met(word, kind, n, at, parities, more, hots, hot) -> Iterator[tuple[np.ndar
 def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Candidates (a, b) from rows sorted by word; a word's rows may go on in the next batch."""
     rest = None
-    names = ["word", "class", "n", "at", "parities", "more", "hots", "hot"]
 
     def pairs(rows):
-        for a, b in _met(*rows):
+        word, kind, where, parities, more, marks = rows
+        for a, b in _met(word, kind, where >> 32, where & 0xFFFFFFFF, parities, more, marks >> 1, (marks & 1).astype(bool)):
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        rows = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
-        rows = [r.astype(np.int64) if c in ("n", "at", "hots") else r for c, r in zip(names, rows)]
+        rows = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
         rows = [np.concatenate(x) for x in zip(rest, rows)] if rest else rows
         end = np.searchsorted(rows[0], rows[0][-1])
         if end:
@@ -252,7 +265,9 @@ def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _candidates(cold: DataFrame) -> DataFrame:
     """Pairs of classes (a, b) that meet in a word of few lines."""
-    dealt = cold.select("word", "class", "n", "at", "parities", "more", "hots", "hot").repartition("word").sortWithinPartitions("word")
+    # two numbers share a column where they can: these are the most rows of the operator
+    where, marks = ((F.shiftleft(F.col(a).cast("long"), k).bitwiseOR(F.col(b).cast("long"))) for a, k, b in (("n", 32, "at"), ("hots", 1, "hot")))
+    dealt = cold.select("word", "class", where.alias("where"), "parities", "more", marks.alias("marks")).repartition("word").sortWithinPartitions("word")
     return dealt.mapInArrow(_listed, "a long, b long").distinct()
 
 
@@ -375,12 +390,24 @@ def _words(classes: DataFrame, reps: DataFrame, docs: DataFrame, counts: np.ndar
 
 def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs (a, b) whose words x and y are similar enough; distinct words come joined by spaces."""
+    known: dict[int, frozenset] = {}  # a class is in many pairs
+    chars = 0
     for batch in batches:
         on = []
-        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-            one, two = set(x.split(" ")), y.split(" ")
-            shared = len(one.intersection(two))
+        for a, b, x, y in zip(*(batch.column(c).to_pylist() if c < 2 else batch.column(c) for c in range(4))):
+            one, two = known.get(a), known.get(b)
+            if one is None:
+                text = x.as_py()
+                one = known[a] = frozenset(text.split(" "))
+                chars += len(text)
+            if two is None:
+                text = y.as_py()
+                two = known[b] = frozenset(text.split(" "))
+                chars += len(text)
+            shared = len(one & two)
             on.append(shared >= SIMILAR * (len(one) + len(two) - shared) - 1e-9)
+            if chars > CHARS_AT_ONCE:
+                known, chars = {}, 0
         yield batch.select(["a", "b"]).filter(pa.array(on, pa.bool_()))
 
 
@@ -393,7 +420,7 @@ def _verified(pairs: DataFrame, found: DataFrame) -> DataFrame:
 
 def linked(reps: DataFrame, docs: DataFrame, rare: np.ndarray) -> DataFrame:
     """class, links and near (the first place of a linked line) of every class with links."""
-    post = lambda rows: rows.where(F.size("prefix") > 0).select("class", "n", "parities", "more", "calm", F.posexplode("prefix").alias("at", "word")).withColumn("grade", grade(F.col("n")))
+    post = lambda rows: rows.where(F.size("prefix") > 0).withColumn("grade", grade(F.col("n"))).select("class", "n", "grade", "parities", "more", "calm", F.posexplode("prefix").alias("at", "word"))
     posted = post(reps)
     # a word that is in few lines of the corpus is in few of any grade
     counts = posted.where("at >= calm").groupBy("word", "grade").agg(F.count(F.lit(1)).alias("c"))
