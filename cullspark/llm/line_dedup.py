@@ -12,7 +12,9 @@ its class, or one linked to it, has an earlier line.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import BROADCAST_ROWS, cut, forget, is_row, keyed
-from .minhash import _BYTE, GOLD, U, _mix, _power
+from .minhash import GOLD, U, _mix
 
 SIMILAR = 0.8
 #: Columns that say where a line stands, in order.
@@ -31,11 +33,13 @@ PLACE = ["doc_id", "text_hash", "line"]
 BUCKETS = 1 << 18
 #: Numbers of the rarity table that are added up together.
 COUNTS = 256
-CHARS_AT_ONCE, TEXT_BLOCK = 1 << 18, 1 << 20
+CHARS_AT_ONCE = 1 << 18
 #: Where a prefix word has more lines than this in two neighbouring grades of length, they are compared in blocks
 #: of so many lines, and their links are counted, not listed.
 FEW, BLOCK = 500, 1024
 PAIRS_AT_ONCE = 1 << 20
+#: Words of lines are dealt in buckets of about BUCKET, packed from POSTS_AT_ONCE or more together.
+BUCKET, POSTS_AT_ONCE = 1 << 17, 1 << 19
 #: Lines of more words than this have 128 parities.
 LONG = 80
 #: Bits of the filter of places: 16 a place, up to so many; beyond, more lines pass it, which a join drops.
@@ -62,29 +66,44 @@ def _batches(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list, list[
 _WIDE = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")
 
 
-def _tokens(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Line number and 64-bit hash of each lower-cased word of a text; no word is handled alone."""
+#: What is left of eight bytes (the first is the lowest) when the first 0 to 8 are kept.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Bytes of a word up to which the words of a text are hashed together.
+WORD = 64
+
+
+def _hashes(data: bytes, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words of so many bytes that start at first: eight bytes of all words at once."""
+    eight = np.ndarray(len(data) + 1, "<u8", data + bytes(8), strides=(1,))
+    out = size.astype(np.uint64) * GOLD
+    on, at, left = slice(None), first, size
+    for _ in range(WORD // 8):
+        out[on] = _mix(out[on] ^ (eight[at] & _FIRST[np.minimum(left, 8)]))
+        more = np.flatnonzero(left > 8)
+        if not len(more):
+            return out
+        on = more if isinstance(on, slice) else on[more]
+        at, left = at[more] + 8, left[more] - 8
+    for k in on.tolist():
+        out[k] = int.from_bytes(hashlib.blake2b(data[first[k] : first[k] + size[k]], digest_size=8).digest(), "little")
+    return out
+
+
+def _tokens(text: str, numbered: bool = True) -> tuple[np.ndarray | None, np.ndarray]:
+    """Line number (if numbered) and 64-bit hash of each lower-cased word of a text; only words of over WORD bytes are handled alone."""
     low = text.lower()
     data = low.encode("utf-8", "replace")
     raw = np.frombuffer(data, np.uint8)
     wide = not low.isascii() and ((raw == 0xC2) | (raw >= 0xE1) & (raw <= 0xE3)).any() and any(w in data for w in _WIDE)
-    if wide or ((raw < 32) & (raw != 10)).any():
+    if wide or np.count_nonzero(raw < 32) > data.count(b"\n"):
         data = "\n".join([" ".join(x.split()) for x in low.split("\n")]).encode("utf-8", "replace")
         raw = np.frombuffer(data, np.uint8)
-    gaps = np.flatnonzero((raw == 32) | (raw == 10))
+    gaps = np.flatnonzero(raw <= 32)  # no other ones are left
     first, last = np.concatenate([[0], gaps + 1]), np.concatenate([gaps, [len(raw)]])
     on = last > first
     first, last = first[on], last[on]
-    out, i = np.zeros(len(first), np.uint64), 0
-    while i < len(first):
-        j = max(i + 1, int(np.searchsorted(last, first[i] + TEXT_BLOCK)))
-        low_, a, b = first[i], first[i:j] - first[i], last[i:j] - first[i]
-        part = raw[low_ : last[j - 1]]
-        powers, back = _power(len(part) + 1)
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[part] * powers[: len(part)], dtype=np.uint64)])
-        out[i:j] = _mix((total[b] - total[a]) * back[a] + (b - a).astype(np.uint64))
-        i = j
-    return np.searchsorted(np.flatnonzero(raw == 10), first), out
+    line = np.searchsorted(gaps[raw[gaps] == 10], first) if numbered else None
+    return line, _hashes(data, first, last - first)
 
 
 def _sets(text: str, rare: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -127,7 +146,7 @@ def rarity(docs: DataFrame) -> np.ndarray:
         total = np.zeros(BUCKETS, np.int64)
         held: list[np.ndarray] = []
         for _, _, texts in _batches(batches):
-            held.append(_bucket(_tokens("\n".join(texts))[1]).astype(np.int32))
+            held.append(_bucket(_tokens("\n".join(texts), False)[1]).astype(np.int32))
             if sum(map(len, held)) > BUCKETS:
                 total += np.bincount(np.concatenate(held), minlength=BUCKETS)
                 held = []
@@ -218,11 +237,31 @@ def _bits(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x.view(np.uint64)).astype(np.int64)
 
 
-def _met(word, kind, n, at, parities, more, hots, hot) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of classes of whole words' rows that pass the filters."""
-    order = np.lexsort((kind, n, word))
-    word, kind, n, at, parities, more, hots, hot = (c[order] for c in (word, kind, n, at, parities, more, hots, hot))
-    _, of = np.unique(word, return_inverse=True)
+def _by_word(word: np.ndarray, n: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order by word, n and kind of the rows whose word others have too, and the words' numbers in that order."""
+    order = np.argsort(word)
+    change = np.flatnonzero(np.diff(word[order])) + 1
+    size = np.diff(np.concatenate([[0], change, [len(word)]]))
+    order, size = order[np.repeat(size > 1, size)], size[size > 1]
+    of, n, kind = np.repeat(np.arange(len(size)), size), n[order], kind[order]
+    if len(of) and len(size) < 1 << 20 and n.max() < 1 << 16:  # one sort of 64-bit keys, unless a class's first bits don't tell it from another
+        key = (of.astype(np.uint64) << U(44)) | (n.astype(np.uint64) << U(28)) | (kind.view(np.uint64) ^ U(1 << 63)) >> U(36)
+        again = np.argsort(key)
+        key, told = key[again], kind[again]
+        if not ((key[1:] == key[:-1]) & (told[1:] != told[:-1])).any():
+            return order[again], of
+    return order[np.lexsort((kind, n, of))], of
+
+
+def _met(word, before, kind, n, at, parities, more, hots, hot) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of classes of whole words' rows that pass the filters.
+
+    before: the calm word before a calm one, or 0. A pair that has the same one has met there and passed.
+    """
+    order, of = _by_word(word, n, kind)
+    if not len(order):
+        return
+    before, kind, n, at, parities, more, hots, hot = (c[order] for c in (before, kind, n, at, parities, more, hots, hot))
     wide = np.int64(n.max()) * 2 + 2
     place = of * wide + n
     most = np.floor(n / SIMILAR + 1e-9).astype(np.int64)
@@ -234,6 +273,8 @@ def _met(word, kind, n, at, parities, more, hots, hot) -> Iterator[tuple[np.ndar
         y, step = _ranges(meets[low:high])
         y += low
         x = y + 1 + step
+        new = (before[y] != before[x]) | (before[y] == 0)
+        y, x = y[new], x[new]
         need = least_shared(n[y] + n[x], SIMILAR / (1 + SIMILAR))
         # words shared before the first one that this join sees are of many lines: no more than hots
         all_, half = parities[y] ^ parities[x], np.where(n[y] > LONG, more[y] ^ more[x], 0)
@@ -241,34 +282,166 @@ def _met(word, kind, n, at, parities, more, hots, hot) -> Iterator[tuple[np.ndar
         yield kind[y[fits]], kind[x[fits]]
 
 
-def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidates (a, b) from rows sorted by word; a word's rows may go on in the next batch."""
-    rest = None
+#: Words of lines by bucket: numbers of 64 bits in a row, two (length and place, marks; parities, more) in the last two columns.
+_DEALT = "bucket long, word binary, before binary, class binary, place binary, parities binary"
 
-    def pairs(rows):
-        word, kind, where, parities, more, marks = rows
-        for a, b in _met(word, kind, where >> 32, where & 0xFFFFFFFF, parities, more, marks >> 1, (marks & 1).astype(bool)):
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
+def _gathered(batches: Iterator[pa.RecordBatch], size) -> Iterator[list[pa.RecordBatch]]:
+    """Batches in groups of POSTS_AT_ONCE words, by size."""
+    held, words = [], 0
+    for batch in batches:
+        held.append(batch)
+        words += size(batch)
+        if words >= POSTS_AT_ONCE:
+            yield held
+            held, words = [], 0
+    if words:
+        yield held
+
+
+def _blocks(buckets: int, word: np.ndarray, **columns: np.ndarray) -> pa.RecordBatch:
+    """Rows packed by bucket of their words."""
+    bucket = (word.view(np.uint64) & U((1 << 56) - 1)) % U(buckets)
+    order = np.argsort(bucket.astype(np.uint16) if buckets <= 1 << 16 else bucket, kind="stable")
+    start, _ = _starts(bucket[order])
+    ends = np.concatenate([start, [len(word)]])
+
+    def block(x: np.ndarray) -> pa.Array:
+        offsets = (ends * (x.nbytes // len(word))).astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(x[order]))])
+
+    return pa.RecordBatch.from_arrays([pa.array(bucket[order][start].view(np.int64)), block(word), *map(block, columns.values())], ["bucket", "word", *columns])
+
+
+def _packed(buckets: int, word, before, kind, n, at, hots, hot, parities, more) -> pa.RecordBatch:
+    """Words of lines packed by bucket."""
+    place, parities = np.stack([n.astype(np.int64) << 32 | at, hots.astype(np.int64) << 1 | hot], axis=1), np.stack([parities, more], axis=1)
+    return _blocks(buckets, word, **{"before": before, "class": kind, "place": place, "parities": parities})
+
+
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """The columns of each bucket from rows sorted by bucket; one may go on in the next batch."""
+    now, held = None, []
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        rows = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-        rows = [np.concatenate(x) for x in zip(rest, rows)] if rest else rows
-        end = np.searchsorted(rows[0], rows[0][-1])
-        if end:
-            yield from pairs([r[:end] for r in rows])
-        rest = [r[end:] for r in rows]
-    if rest:
-        yield from pairs(rest)
-
-
-def _candidates(cold: DataFrame) -> DataFrame:
-    """Pairs of classes (a, b) that meet in a word of few lines."""
-    # two numbers share a column where they can: these are the most rows of the operator
-    where, marks = ((F.shiftleft(F.col(a).cast("long"), k).bitwiseOR(F.col(b).cast("long"))) for a, k, b in (("n", 32, "at"), ("hots", 1, "hot")))
-    dealt = cold.select("word", "class", where.alias("where"), "parities", "more", marks.alias("marks")).repartition("word").sortWithinPartitions("word")
-    return dealt.mapInArrow(_listed, "a long, b long").distinct()
+        for k, bucket in enumerate(batch.column(0).to_pylist()):
+            if bucket != now and held:
+                yield [np.concatenate(x) for x in zip(*held)]
+                held = []
+            now = bucket
+            held.append([np.frombuffer(batch.column(c)[k].as_buffer(), np.int64) for c in range(1, batch.num_columns)])
+    if held:
+        yield [np.concatenate(x) for x in zip(*held)]
+
+
+def _posts(lines: DataFrame) -> DataFrame:
+    return lines.select("class", "n", "parities", "more", "calm", grade(F.col("n")).alias("grade"), "prefix")
+
+
+def _unfolded(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]]:
+    """Columns of lines of _posts, and line, place and number of each word of theirs."""
+    for held in _gathered(batches, lambda b: len(b.column(6).flatten())):
+        words = [b.column(6) for b in held]
+        of, at = _ranges(np.concatenate([w.value_lengths().to_numpy(zero_copy_only=False) for w in words]))
+        columns = [np.concatenate([b.column(c).to_numpy() for b in held]) for c in range(6)]
+        yield columns, of, at, np.concatenate([w.flatten().to_numpy() for w in words])
+
+
+def _summed(word: np.ndarray, of_grade: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    order = np.lexsort((of_grade, word))
+    word, of_grade, c = word[order], of_grade[order], c[order]
+    start = np.flatnonzero(np.concatenate([[True], (word[1:] != word[:-1]) | (of_grade[1:] != of_grade[:-1])]))
+    return word[start], of_grade[start], np.add.reduceat(c, start)
+
+
+def _hot_words(lines: DataFrame, buckets: int) -> DataFrame:
+    """word, grade and c, the lines with it in this grade and the next, where they are more than FEW."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (_, _, _, _, calm, grades), of, at, word in _unfolded(batches):
+            on = at >= calm[of]  # a word that is in few lines of the corpus is in few of any grade
+            if on.any():
+                word, grades, c = _summed(word[on], grades[of[on]].astype(np.int64), np.ones(on.sum(), np.int64))
+                yield _blocks(buckets, word, grade=grades, c=c)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for word, grades, c in _buckets(batches):
+            word, grades, c = _summed(np.tile(word, 2), np.concatenate([grades, grades - 1]), np.tile(c, 2))
+            many = c > FEW
+            yield pa.RecordBatch.from_arrays([pa.array(word[many]), pa.array(grades[many].astype(np.int32)), pa.array(c[many])], ["word", "grade", "c"])
+
+    rows = _posts(lines.where(F.size("prefix") > F.col("calm"))).mapInArrow(run, "bucket long, word binary, grade binary, c binary")
+    return rows.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(add, "word long, grade int, c long")
+
+
+def _among(word: np.ndarray, of_grade: np.ndarray, words: np.ndarray, grades: np.ndarray) -> np.ndarray:
+    """Which (word, of_grade) are among (words, grades)."""
+    known = np.unique(words)
+    if not len(known):
+        return np.zeros(len(word), bool)
+    pairs = np.unique(np.searchsorted(known, words) << 12 | grades + 2)
+    k = np.minimum(np.searchsorted(known, word), len(known) - 1)
+    pair = k << 12 | of_grade + 2
+    return (known[k] == word) & (pairs[np.minimum(np.searchsorted(pairs, pair), len(pairs) - 1)] == pair)
+
+
+def _calm(lines: DataFrame, buckets: int, hot=None) -> DataFrame:
+    """The calm words of lines' prefixes by bucket; with hot, a broadcast of words and grades, all words that have few lines in some grade."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (kind, n, parities, more, calm, grades), of, at, word in _unfolded(batches):
+            before = np.concatenate([[0], word[:-1]])
+            hots = at - calm[of]
+            before[(at == 0) | (hots >= 0)] = 0
+            on, marked = hots < 0, np.zeros(len(word), bool)
+            if hot is not None:
+                warm = np.flatnonzero(~on)
+                marked[warm] = _among(word[warm], grades[of[warm]], *hot.value)
+                on[warm] = ~(marked[warm] & _among(word[warm], grades[of[warm]] - 1, *hot.value))
+            if on.any():
+                of = of[on]
+                yield _packed(buckets, word[on], before[on], kind[of], n[of], at[on], np.maximum(hots[on], 0), marked[on], parities[of], more[of])
+
+    return _posts(lines).mapInArrow(run, _DEALT)
+
+
+def _with_hot(lines: DataFrame, hot) -> DataFrame:
+    """class of lines with words of many lines in their grade and the next or the one below."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (kind, _, _, _, calm, grades), of, at, word in _unfolded(batches):
+            on = at >= calm[of]
+            of, word = of[on], word[on]
+            yield pa.RecordBatch.from_arrays([pa.array(kind[np.unique(of[_among(word, grades[of], *hot.value) | _among(word, grades[of] - 1, *hot.value)])])], ["class"])
+
+    return _posts(lines.where(F.size("prefix") > F.col("calm"))).mapInArrow(run, "class long")
+
+
+def _warm(cold: DataFrame, buckets: int) -> DataFrame:
+    """Rows of words by bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in _gathered(batches, lambda b: b.num_rows):
+            word, kind, n, at, parities, more, hots, hot = (np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in held]) for c in range(8))
+            yield _packed(buckets, word, np.zeros(len(word), np.int64), kind, n, at, hots, hot, parities, more)
+
+    return cold.select("word", "class", "n", "at", "parities", "more", "hots", "hot").mapInArrow(run, _DEALT)
+
+
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Candidates (a, b) from rows sorted by bucket."""
+    for word, before, kind, place, parities in _buckets(batches):
+        (where, marks), (parities, more) = place.reshape(-1, 2).T, parities.reshape(-1, 2).T
+        for a, b in _met(word, before, kind, where >> 32, where & 0xFFFFFFFF, parities, more, marks >> 1, (marks & 1).astype(bool)):
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+
+def _candidates(cold: DataFrame | None, lines: DataFrame | None = None, buckets: int = 1, hot=None) -> DataFrame:
+    """Pairs of classes (a, b) that meet in a word of few lines: a row of cold or a word of lines, see _calm."""
+    # these are the most rows of the operator, so they are dealt and sorted by blocks
+    dealt = [] if cold is None else [_warm(cold, buckets)]
+    dealt += [] if lines is None else [_calm(lines, buckets, hot)]
+    pairs = reduce(DataFrame.unionByName, dealt).repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_listed, "a long, b long")
+    return pairs.repartition("a", "b").distinct()  # few of a task's pairs repeat
 
 
 def _hot_links(flagged: DataFrame, hot_words: DataFrame, words: DataFrame) -> DataFrame:
@@ -421,18 +594,21 @@ def _verified(pairs: DataFrame, found: DataFrame) -> DataFrame:
 def linked(reps: DataFrame, docs: DataFrame, rare: np.ndarray) -> DataFrame:
     """class, links and near (the first place of a linked line) of every class with links."""
     post = lambda rows: rows.where(F.size("prefix") > 0).withColumn("grade", grade(F.col("n"))).select("class", "n", "grade", "parities", "more", "calm", F.posexplode("prefix").alias("at", "word"))
-    posted = post(reps)
-    # a word that is in few lines of the corpus is in few of any grade
-    counts = posted.where("at >= calm").groupBy("word", "grade").agg(F.count(F.lit(1)).alias("c"))
-    both = counts.select("word", F.explode(F.array(F.col("grade"), F.col("grade") - 1)).alias("grade"), "c")
-    hot_words = cut(both.groupBy("word", "grade").agg(F.sum("c").alias("c")).where(F.col("c") > FEW), "hot")
+    posts = reps.agg(F.sum(F.col("n") * (1 - SIMILAR) + 1)).first()[0] or 0  # about so many; no line's prefix is longer
+    buckets = 1 + int(posts / BUCKET)
+    hot_words = cut(_hot_words(reps, buckets), "hot")
     many = hot_words.count()
     side = lambda down, name: (lambda h: F.broadcast(h) if many <= BROADCAST_ROWS else h)(hot_words.select("word", (F.col("grade") + down).alias("grade"), F.lit(True).alias(name)))
     marked = lambda rows: rows.join(side(0, "hot"), ["word", "grade"], "left").join(side(1, "below"), ["word", "grade"], "left").na.fill(False, ["hot", "below"])
     # words of many lines come after the calm ones: of those shared before a meeting, hots at most are of that kind
-    cold = marked(posted).where("not (hot and below)").withColumn("hots", F.greatest(F.lit(0), F.col("at") - F.col("calm")))
-    pairs = cut(_candidates(cold), "pairs")
-    hot_classes = cut(marked(posted.where("at >= calm")).where("hot or below").select("class").distinct(), "hot_classes")
+    if many <= BROADCAST_ROWS:
+        keys = hot_words.select("word", "grade").toPandas()
+        hot = reps.sparkSession.sparkContext.broadcast((keys["word"].to_numpy(np.int64), keys["grade"].to_numpy(np.int64)))
+        pairs, hot_classes = _candidates(None, reps, buckets, hot), _with_hot(reps, hot)
+    else:
+        warm = marked(post(reps.where(F.size("prefix") > F.col("calm"))).where("at >= calm")).withColumn("hots", F.col("at") - F.col("calm"))
+        pairs, hot_classes = _candidates(warm.where("not (hot and below)"), reps, buckets), warm.where("hot or below").select("class").distinct()
+    pairs, hot_classes = cut(pairs, "pairs"), cut(hot_classes, "hot_classes")
     found = _words(pairs.select(F.explode(F.array("a", "b")).alias("class")).unionByName(hot_classes), reps, docs, rare)
     links = _verified(pairs, found)
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -487,15 +663,14 @@ def without_similar_lines(docs: DataFrame) -> DataFrame:
 def _without(docs: DataFrame) -> DataFrame:
     every, reps, links = similar_lines(docs)
     best = reps.select("class", F.struct(*PLACE).alias("own")).join(links, "class", "left")
-    best = cut(best.select("class", F.least("own", F.coalesce("near", "own")).alias("best"), F.coalesce("links", F.lit(0).cast("long")).alias("links")), "best")
-    forget(reps)
-    judged = every.join(best, "class").withColumn("gone", F.col("best") < F.struct(*PLACE))
+    best = best.select("class", F.least("own", F.coalesce("near", "own")).alias("best"), F.coalesce("links", F.lit(0).cast("long")).alias("links"))
+    judged = every.join(best, "class").select("doc_id", "text_hash", "of", "links", F.when(F.col("best") < F.struct(*PLACE), F.col("line")).alias("gone")).repartition("doc_id", "text_hash")
     # a row that comes so many times has each of its lines as often
     times = F.count(F.lit(1)) / F.max("of")
-    by = judged.groupBy("doc_id", "text_hash").agg(F.max("of").cast("long").alias("n_lines"), F.round(F.sum("links") / times).cast("long").alias("n_links"), F.collect_set(F.when(F.col("gone"), F.col("line"))).alias("gone"))
+    by = judged.groupBy("doc_id", "text_hash").agg(F.max("of").cast("long").alias("n_lines"), F.round(F.sum("links") / times).cast("long").alias("n_links"), F.collect_set("gone").alias("gone"))
     by = cut(by, "by")
-    forget(every, best)
-    joined = docs.join(by, is_row(docs, by), "left")
+    forget(every, reps, links)
+    joined = docs.join(by.hint("shuffle_hash"), is_row(docs, by), "left")  # whole texts aren't sorted
     zero = F.lit(0).cast("long")
     text = docs["text"].cast("string")
     some = F.coalesce(F.size(by["gone"]) > 0, F.lit(False))  # only texts that lose lines go to Python
