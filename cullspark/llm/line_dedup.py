@@ -256,7 +256,7 @@ def _by_word(word: np.ndarray, n: np.ndarray, kind: np.ndarray) -> tuple[np.ndar
 def _met(word, before, kind, n, at, parities, more, hots, hot) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of classes of whole words' rows that pass the filters.
 
-    before: the calm word before a calm one, or 0. A pair that has the same one has met there and passed.
+    before: the word before in the line, or 0 if that has many lines. A pair that has the same one has met there and passed.
     """
     order, of = _by_word(word, n, kind)
     if not len(order):
@@ -389,14 +389,15 @@ def _calm(lines: DataFrame, buckets: int, hot=None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (kind, n, parities, more, calm, grades), of, at, word in _unfolded(batches):
-            before = np.concatenate([[0], word[:-1]])
             hots = at - calm[of]
-            before[(at == 0) | (hots >= 0)] = 0
-            on, marked = hots < 0, np.zeros(len(word), bool)
+            on, marked, many = hots < 0, np.zeros(len(word), bool), np.zeros(len(word), bool)
             if hot is not None:
                 warm = np.flatnonzero(~on)
                 marked[warm] = _among(word[warm], grades[of[warm]], *hot.value)
-                on[warm] = ~(marked[warm] & _among(word[warm], grades[of[warm]] - 1, *hot.value))
+                below = _among(word[warm], grades[of[warm]] - 1, *hot.value)
+                many[warm] = marked[warm] | below
+                on[warm] = ~(marked[warm] & below)
+            before = np.where((at == 0) | np.concatenate([[False], many[:-1]]), 0, np.concatenate([[0], word[:-1]]))
             if on.any():
                 of = of[on]
                 yield _packed(buckets, word[on], before[on], kind[of], n[of], at[on], np.maximum(hots[on], 0), marked[on], parities[of], more[of])
