@@ -15,9 +15,9 @@ from cullspark.llm.common import cut, drop_rows, small_batches
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the languages; rejected ones go."""
+    """Documents in one of the languages, by the pages that show them too; rejected ones go."""
     small_batches(spark)
-    return drop_rows(docs, langid.documents_identified(spark, docs).where("not kept"))
+    return drop_rows(docs, langid.documents_identified(spark, docs, queries.pages_beside(spark, sf_dir)).where("not kept"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
