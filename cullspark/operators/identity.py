@@ -10,7 +10,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
@@ -19,6 +19,8 @@ from ..functions import scalar as S
 MATCH, MATCH_AREA = 0.05, 3.0
 MERGE, MERGE_SAME_SCENE = 0.08, 0.18
 OLD_SHARE, NEW_SHARE = 0.65, 0.35
+#: Distances that two engines sum differ by less.
+ROUNDING = 1e-6
 
 
 def rms(a: list[float], b: list[float]) -> float:
@@ -151,11 +153,12 @@ def resolved_cluster(faces: DataFrame) -> DataFrame:
     return faces.withColumn("cluster", F.when((F.coalesce("cluster_id", F.lit("")) == "") | (seen > 1), own).otherwise(F.col("cluster_id")))
 
 
-def key_faces(faces: DataFrame, indexes: bool = False) -> DataFrame:
+def key_faces(faces: DataFrame, indexes: bool = False, carried: tuple[str, ...] = ()) -> DataFrame:
     """Variants (cluster, eye, focus) of an album: occurrences, photos in first-seen order and the best face.
 
     faces: album_id, photo_id, photo_order, face_index, cluster, eye, focus, sharpness, yaw, pitch, box.
-    With indexes also face_indexes, the variant's first face in each of the photos.
+    With indexes also face_indexes, the variant's first face in each of the photos. best has photo_id, face_index, score
+    and the carried columns.
     """
     b = F.col("box")
     score = F.when(F.col("eye") == "open", 400).when(F.col("eye") == "partial", 200).otherwise(0) + F.when(F.col("focus") == "good", 300).when(F.col("focus") == "soft", 150).otherwise(0)
@@ -163,7 +166,7 @@ def key_faces(faces: DataFrame, indexes: bool = False) -> DataFrame:
     f = faces.withColumn("score", score).withColumn("variant", S.variant_id(F.col("cluster"), F.col("eye"), F.col("focus")))
     ordered = F.array_sort(F.collect_set(F.struct("photo_order", "photo_id", *(["face_index"] if indexes else []))))
     rank = F.struct("score", (-F.col("photo_order")).alias("o"), (-F.col("face_index")).alias("i"))
-    k = f.groupBy("album_id", "variant").agg(F.count(F.lit(1)).alias("occurrences"), ordered.alias("members"), F.max_by(F.struct("photo_id", "face_index", "score"), rank).alias("best"), F.min(F.struct("photo_order", "face_index")).alias("first"))
+    k = f.groupBy("album_id", "variant").agg(F.count(F.lit(1)).alias("occurrences"), ordered.alias("members"), F.max_by(F.struct("photo_id", "face_index", "score", *carried), rank).alias("best"), F.min(F.struct("photo_order", "face_index")).alias("first"))
     members = F.col("members")
     if indexes:  # sorted, so a photo's first entry has its first face
         members = F.filter(members, lambda x, i: (i == 0) | (F.get(F.col("members"), i - 1)["photo_id"] != x["photo_id"]))
@@ -179,6 +182,9 @@ def merge_key_faces(variants: DataFrame, threshold: float = MERGE, same_scene: f
     or prints nearer than threshold, or nearer than same_scene with a scene in common and boxes alike in size,
     shape and place. A better-scored member gives its print, area and box; another only blends in. Gives variant
     and merged_into. A task holds the variants of one eye and focus of an album, people times three at most.
+
+    Until two have merged all are as they were given, so where no two of a group could merge as given, none ever does:
+    those groups are told by columns and keep their variants; only the others are walked.
     """
     for name, kind in (("crop_uri", "string"), ("scenes", "array<string>")):
         variants = variants if name in variants.columns else variants.withColumn(name, F.lit(None).cast(kind))
@@ -226,8 +232,21 @@ def merge_key_faces(variants: DataFrame, threshold: float = MERGE, same_scene: f
             rows.append((album, variant, (k or r)["variant"]))
         return pd.DataFrame(rows, columns=["album_id", "variant", "merged_into"])
 
-    chosen = variants.select("album_id", "variant", "eye", "focus", "print", "area", "box", "score", "photo_ids", "first_order", "first_face", "crop_uri", "scenes")
-    return chosen.groupBy("album_id", "eye", "focus").applyInPandas(run, "album_id long, variant string, merged_into string")
+    def may_merge(x: Column, y: Column) -> Column:
+        """Whether one_person may hold; true also where it isn't known, or by rounding."""
+        n = F.size(x["print"])
+        d = F.sqrt(F.aggregate(F.zip_with(x["print"], y["print"], lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v) / n)
+        scene = F.coalesce(F.arrays_overlap(x["scenes"], y["scenes"]), x["scenes"].isNotNull() & y["scenes"].isNotNull())
+        near = (n > 0) & (n == F.size(y["print"])) & ((d < threshold + ROUNDING) | (scene & (d < same_scene + ROUNDING)))
+        crop = F.coalesce((x["crop_uri"] != "") & (x["crop_uri"] == y["crop_uri"]), F.lit(False))
+        return F.coalesce((x["variant"] <= y["variant"]) & ~F.arrays_overlap(x["photo_ids"], y["photo_ids"]) & (crop | near), F.lit(True))
+
+    keys, held = ["album_id", "eye", "focus"], ["variant", "print", "area", "box", "score", "photo_ids", "first_order", "first_face", "crop_uri", "scenes"]
+    by = variants.groupBy(*keys).agg(F.collect_list(F.struct(*held)).alias("_v"))
+    by = by.withColumn("_open", F.exists("_v", lambda x: F.exists("_v", lambda y: may_merge(x, y))))
+    alone = by.where("not _open").select(F.col("album_id").cast("long").alias("album_id"), F.explode(F.transform("_v", lambda x: x["variant"])).alias("variant"))
+    walked = by.where("_open").select(*keys, F.inline("_v")).groupBy(*keys).applyInPandas(run, "album_id long, variant string, merged_into string")
+    return alone.select("album_id", "variant", F.col("variant").alias("merged_into")).unionByName(walked)
 
 
 def scenes_of(variants: DataFrame, members: DataFrame) -> DataFrame:

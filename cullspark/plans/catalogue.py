@@ -530,11 +530,9 @@ def face_clusters(spark, sf_dir):
 
 @query()
 def key_face_merge(spark, sf_dir):
-    f = _album_faces(spark, sf_dir)
-    k = identity.key_faces(f)
-    best = k.select("album_id", "variant", "photo_ids", "first_order", "first_face", F.col("best.photo_id").alias("photo_id"), F.col("best.face_index").alias("face_index"), F.col("best.score").alias("score"))
-    best = identity.scenes_of(best, _members(spark, sf_dir))
-    return identity.merge_key_faces(best.join(f.select("photo_id", "face_index", "eye", "focus", "print", "area", "box"), ["photo_id", "face_index"]))
+    k = identity.key_faces(_album_faces(spark, sf_dir), carried=("eye", "focus", "print", "area", "box"))
+    best = k.select("album_id", "variant", "photo_ids", "first_order", "first_face", "best.score", "best.eye", "best.focus", "best.print", "best.area", "best.box")
+    return identity.merge_key_faces(identity.scenes_of(best, _members(spark, sf_dir)))
 
 
 # --- merging and storing

@@ -427,6 +427,44 @@ def test_key_faces_are_grouped_by_what_can_merge(spark, capsys):
     assert re.search(r"FlatMapGroupsInPandas \[album_id#\d+L?, eye#\d+, focus#\d+\]", capsys.readouterr().out)
 
 
+def test_only_groups_with_a_first_merge_are_walked(spark):
+    """Random groups against plain loops; those where no two can merge as given never reach Python, which would fail on their boxes."""
+    r, box, rows, want = random.Random(5), (0.3, 0.2, 0.25, 0.3), [], {}
+    for album in range(60):
+        kept, given = [], []
+        for k in range(r.randint(1, 7)):
+            print_ = [round(r.uniform(0, 0.6), 3) for _ in range(r.choice((2, 2, 2, 3)))] if r.random() < 0.9 else []
+            given.append((f"v{k}", print_, r.uniform(0, 2), r.sample(range(30), r.randint(1, 4)), r.choice((None, ["g"], ["g", "h"], [])), r.choice((None, None, "", "c1", "c2", "c3"))))
+        near = lambda p, q: identity.rms(p, q) if p and len(p) == len(q) else math.inf
+        one = lambda a, b: not set(a[3]) & set(b[3]) and ((a[5] and a[5] == b[5]) or near(a[1], b[1]) < 0.08 or (near(a[1], b[1]) < 0.18 and set(a[4] or []) & set(b[4] or [])))
+        merging = any(one(a, b) for k, a in enumerate(given) for b in given[:k])
+        for name, print_, score, photos, scenes, crop in given:
+            v = [name, print_, score, photos, scenes or [], crop]
+            k = next((k for k in kept if one(k, v)), None)
+            want[album, name] = (k or v)[0]
+            if k is None:
+                kept.append(v)
+                continue
+            if score > k[2]:
+                k[1], k[2], k[5] = print_, score, crop
+            elif print_ and len(print_) == len(k[1]):
+                k[1] = [o * 0.65 + n * 0.35 for o, n in zip(k[1], print_)]
+            k[3], k[4] = [*k[3], *photos], [*k[4], *(scenes or [])]
+        rows += [(album, v[0], "open", "good", v[1], 0.1, box if merging else None, v[2], v[3], k, 0, v[5], v[4]) for k, v in enumerate(given)]
+    df = spark.createDataFrame(rows, "album_id long, variant string, eye string, focus string, print array<double>, area double, box struct<left:double,top:double,width:double,height:double>, score double, photo_ids array<long>, first_order int, first_face int, crop_uri string, scenes array<string>")
+    assert {(x.album_id, x.variant): x.merged_into for x in identity.merge_key_faces(df).collect()} == want
+    still = {a for a, _ in want} - {a for (a, v), m in want.items() if v != m}
+    assert 5 < len(still) < 55
+
+
+def test_key_faces_carry_columns_of_the_best_face(spark):
+    box = (0.3, 0.2, 0.25, 0.3)
+    rows = [(1, p, p, i, "c", "open", "good", s, 0.0, 0.0, box, [float(s)]) for p, i, s in ((1, 0, 70), (2, 1, 99), (3, 0, 40))]
+    f = spark.createDataFrame(rows, "album_id long, photo_id long, photo_order int, face_index int, cluster string, eye string, focus string, sharpness int, yaw double, pitch double, box struct<left:double,top:double,width:double,height:double>, print array<double>")
+    (got,) = identity.key_faces(f, carried=("print", "box")).collect()
+    assert (got.best.photo_id, got.best.face_index, got.best.print, tuple(got.best.box)) == (2, 1, [99.0], box)
+
+
 def test_writer_folds_its_batches(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(updates, "FOLD", 3)
     table, sink, want = str(tmp_path / "t"), updates.writer(str(tmp_path / "t")), {}
