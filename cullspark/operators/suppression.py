@@ -26,37 +26,68 @@ def _ranks(score: np.ndarray, index: np.ndarray) -> np.ndarray:
 
 
 def _clash(one: dict, rest: dict, values: tuple, overlap: float | None) -> np.ndarray:
-    """scalar.clashing, or overlapping, of a box of each row and others of the row."""
-    wide = np.minimum(one["right"], rest["right"]) - np.maximum(one["left"], rest["left"])
-    high = np.minimum(one["bottom"], rest["bottom"]) - np.maximum(one["top"], rest["top"])
+    """scalar.clashing, or overlapping, of a box of each row and others of the row; as in columns, what is no number is the greatest."""
+    wide = np.fmin(one["right"], rest["right"]) - np.maximum(one["left"], rest["left"])
+    high = np.fmin(one["bottom"], rest["bottom"]) - np.maximum(one["top"], rest["top"])
     both = np.maximum(0.0, wide) * np.maximum(0.0, high)
     every = one["area"] + rest["area"] - both
-    over = np.divide(both, every, out=np.zeros_like(both), where=every > 0)
+    over = np.divide(both, every, out=np.zeros_like(both), where=~(every <= 0))
     if overlap is not None:
-        return over >= overlap
+        return ~(over < overlap)
     same, ratio, share, loose, near = values
-    small, large = np.minimum(one["area"], rest["area"]), np.maximum(one["area"], rest["area"])
+    small, large = np.fmin(one["area"], rest["area"]), np.maximum(one["area"], rest["area"])
     floor = np.maximum(small, 1e-8)
-    uneven = large / floor >= ratio
+    uneven = ~(large / floor < ratio)
     dx, dy = one["x"] - rest["x"], one["y"] - rest["y"]
-    apart = np.sqrt(dx * dx + dy * dy) < near * np.minimum(one["diagonal"], rest["diagonal"])
-    return (both > 0) & ((over >= same) | (uneven & ((both / floor >= share) | ((over >= loose) & apart))))
+    apart, most = np.sqrt(dx * dx + dy * dy), near * np.fmin(one["diagonal"], rest["diagonal"])
+    close = (apart < most) | (np.isnan(most) & ~np.isnan(apart))
+    return ~(both <= 0) & (~(over < same) | (uneven & (~(both / floor < share) | (~(over < loose) & close))))
 
 
 def _kept(box: dict, values: tuple, overlap: float | None) -> np.ndarray:
     """Which boxes of rows in order of rank stay."""
     left, top, width, height = (box[c] for c in _SIDES)
-    m = {"left": left, "top": top, "right": left + width, "bottom": top + height, "area": np.maximum(0.0, width) * np.maximum(0.0, height)}
-    m |= {"x": left + width / 2, "y": top + height / 2, "diagonal": np.sqrt(width * width + height * height)}
+    with np.errstate(invalid="ignore", over="ignore"):
+        m = {"left": left, "top": top, "right": left + width, "bottom": top + height, "area": np.maximum(0.0, width) * np.maximum(0.0, height)}
+        m |= {"x": left + width / 2, "y": top + height / 2, "diagonal": np.sqrt(width * width + height * height)}
     kept = np.ones(left.shape, bool)
-    for k in range(left.shape[1] - 1):
-        rows = np.flatnonzero(kept[:, k])
-        if len(rows):
-            one, rest = {c: v[rows, k, None] for c, v in m.items()}, {c: v[rows, k + 1 :] for c, v in m.items()}
-            kept[rows, k + 1 :] &= ~_clash(one, rest, values, overlap)
+    with np.errstate(invalid="ignore", over="ignore"):
+        for k in range(left.shape[1] - 1):
+            rows = np.flatnonzero(kept[:, k])
+            if len(rows):
+                one, rest = {c: v[rows, k, None] for c, v in m.items()}, {c: v[rows, k + 1 :] for c, v in m.items()}
+                kept[rows, k + 1 :] &= ~_clash(one, rest, values, overlap)
     return kept
 
 
+def kept_places(n: np.ndarray, starts: np.ndarray, given: dict, area: np.ndarray, known: np.ndarray, values: tuple, overlap: float | None, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """For photos of n boxes each, that begin at starts: where each photo's boxes that stay end, and their places in it, in order of rank.
+
+    given: sides of all boxes and, if they are ranked, score, and with it index; area breaks ties of score. Photos that aren't known have none.
+    """
+    many, found = np.zeros(len(n), np.int64), []
+    for size in np.unique(n[known & (n > 0)]).tolist():
+        rows_ = np.flatnonzero(known & (n == size))
+        for rows in np.array_split(rows_, max(1, len(rows_) * size // _TOGETHER)):
+            at = starts[rows, None] + np.arange(size)
+            if "index" in given:
+                order = _ranks(given["score"][at], given["index"][at])
+            elif "score" in given:  # what is no number comes first, as columns have it
+                order = np.lexsort([k for x in (area[at], given["score"][at]) for k in (-x, ~np.isnan(x))], axis=1)
+            else:
+                order = np.broadcast_to(np.arange(size), at.shape)
+            order = order[:, :most] if most else order
+            at = np.take_along_axis(at, order, 1)
+            kept = _kept({c: given[c][at] for c in _SIDES}, values, overlap)
+            many[rows] = kept.sum(axis=1)
+            found.append((rows, kept.sum(axis=1), order[kept]))
+    ends = np.concatenate([[0], np.cumsum(many)])
+    out = np.zeros(ends[-1], np.int32)
+    for rows, count, which in found:
+        out[np.repeat(ends[rows] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(len(which))] = which
+    return ends, out
+
+
 def places(boxes: Column, score: Column | None = None, index: Column | None = None, values: tuple | None = None, overlap: float | None = None, most: int | None = None, sides: tuple[Column, Column] | None = None) -> Column:
     """Places of the boxes that stay, in order of score, then index; without an index by score, then area, and without both as they come.
 
@@ -82,26 +113,7 @@ def places(boxes: Column, score: Column | None = None, index: Column | None = No
             area = given["width"] * given["height"]
         odd = np.concatenate([[0], np.cumsum(~np.isfinite(sum(x * 0 for x in given.values())))])
         known = ~first.is_null().to_numpy(zero_copy_only=False) & (odd[starts[1:]] == odd[starts[:-1]])
-        many, found = np.zeros(len(n), np.int64), []
-        for size in np.unique(n[known & (n > 0)]).tolist():
-            rows_ = np.flatnonzero(known & (n == size))
-            for rows in np.array_split(rows_, max(1, len(rows_) * size // _TOGETHER)):
-                at = starts[rows, None] + np.arange(size)
-                if "index" in given:
-                    order = _ranks(given["score"][at], given["index"][at])
-                elif "score" in given:
-                    order = np.lexsort((-area[at], -given["score"][at]), axis=1)
-                else:
-                    order = np.broadcast_to(np.arange(size), at.shape)
-                order = order[:, :most] if most else order
-                at = np.take_along_axis(at, order, 1)
-                kept = _kept({c: given[c][at] for c in _SIDES}, values, overlap)
-                many[rows] = kept.sum(axis=1)
-                found.append((rows, kept.sum(axis=1), order[kept]))
-        ends = np.concatenate([[0], np.cumsum(many)])
-        out = np.zeros(ends[-1], np.int32)
-        for rows, count, which in found:
-            out[np.repeat(ends[rows] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(len(which))] = which
+        ends, out = kept_places(n, starts, given, area, known, values, overlap, most)
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(out), mask=pa.array(~known))
 
     run.__annotations__ = {"lists": pa.Array, "return": pa.Array}

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cullspark.functions import detector, image
 from cullspark.functions import scalar as S
-from cullspark.operators import detection
+from cullspark.operators import detection, faces
 from cullspark.sources import backfill, store
 from cullspark.streaming import compose
 
@@ -210,6 +210,40 @@ def test_a_constant_detector(spark):
     assert [(d.score, d.left, d.top, d.width, d.height) for d in found] == [(0.9, 35.0, 8.0, 30.0, 32.0)]
 
 
+def test_all_passes_are_one_python_step(spark, capsys):
+    """A task holds one worker for detection, however many passes, and only columns that are wanted come back."""
+    df = spark.createDataFrame([(7, bytearray(100 * 80 * 3), 100, 80), (8, bytearray(1), 100, 80)], "k int, content binary, width int, height int")
+    found = detection.detected(df, detection.constant([(0.9, 0.35, 0.1, 0.03, 0.04)]), least_pixels=1, columns=("k",))
+    assert found.columns == ["k", "found"]
+    assert {r.k: r.found and len(r.found) for r in found.collect()} == {7: 5, 8: None}  # one, then one a tile of four, which is enough
+    capsys.readouterr()
+    found.explain()
+    plan = capsys.readouterr().out
+    assert plan.count("MapInArrow") == 1 and "EvalPython" not in plan
+    assert detection.detected(df, detection.constant([]), least_pixels=1).columns == [*df.columns, "found"]
+
+
+@pytest.mark.parametrize("profile", ["desktop", "ios", "android"])
+def test_odd_numbers_of_detections_are_judged_as_columns_do(spark, profile):
+    """Numbers that are none or without end: ranks and overlaps equal those of the expressions over one photo."""
+    r = random.Random(9)
+    value = lambda: r.choice([math.nan, math.inf, -math.inf, 0.0, -3.0, *(r.uniform(0, 40) for _ in range(12))])
+    photos = [[tuple(r.choice([value(), 1.0, 0.5]) if k == 0 else value() for k in range(5)) for _ in range(r.randint(0, 7))] for _ in range(300)]
+    rows = [(k, 50, 40, [(*d, None) for d in p]) for k, p in enumerate(photos)]
+    d = spark.createDataFrame(rows, f"k int, w int, h int, found array<{detection.DETECTION}>")
+    area = lambda x: x["width"] * x["height"]
+    order = lambda a, b: F.when(a["score"] > b["score"], -1).when(a["score"] < b["score"], 1).when(area(a) > area(b), -1).when(area(a) < area(b), 1).otherwise(0)
+    ranked = F.col("found") if profile == "android" else F.array_sort("found", order)
+    box = lambda x: F.struct((x["left"] / F.col("w")).alias("left"), (x["top"] / F.col("h")).alias("top"), (x["width"] / F.col("w")).alias("width"), (x["height"] / F.col("h")).alias("height"))
+    overlap = detector.PROFILES[profile]["overlap"]
+    kept = faces.folded(F.transform(ranked, lambda x: F.struct(box(x).alias("box"), x.alias("d"))), None, None if overlap else S.DETECTOR, overlap, None)
+    want = {x.k: [str(tuple(f["d"])[:5]) for f in x.kept] for x in d.select("k", kept.alias("kept")).collect()}
+    flat = [(k, x) for k, p in enumerate(photos) for x in p]
+    once = detection._Found([k for k, _ in flat], [x for _, x in flat], [None] * len(flat)).once(np.ones(300, bool), np.full(300, 50), np.full(300, 40), profile)
+    got = {k: [str(tuple(x.tolist())) for x in once.flat[once.owner == k]] for k in range(300)}
+    assert got == want and 0 < sum(map(len, got.values())) < len(flat)
+
+
 # --- composed updates
 
 UPDATE = "album_id long, photo_id long, seq long, `set` array<string>, status string, stars int, storage_delta long, immediate boolean, batch struct<`from`: string, `to`: string>"
